@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import bpe_tree
+from passagework.llm import bpe_tree, sstable
 from passagework.llm.common import table
 
 #: Vocabulary files; nothing is copied into the repository.
@@ -36,3 +36,13 @@ def bpe_round_trip(docs: DataFrame) -> DataFrame:
 
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
+
+
+#: Vocabulary and end id of the token shards.
+TOKENIZER_FILE = "byte_bpe_50k.json"
+END_ID = 2
+
+
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = sstable.write_and_read(table(spark, sf_dir, "documents"), public(TOKENIZER_FILE), END_ID)
+    return held.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

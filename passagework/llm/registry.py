@@ -6,6 +6,7 @@ from passagework.llm import queries_tokens
 
 QUERIES = {
     "op4_bpe_round_trip": queries_tokens.op4_bpe_round_trip,
+    "op10_token_shards": queries_tokens.op10_token_shards,
 }
 
 ORACLES: dict[str, str] = {}
