@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +15,22 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 500
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once a context, so that they need no install."""
+    if getattr(spark.sparkContext, "_passagework_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="passagework-")), "passagework.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted((root / "passagework").rglob("*.py")):
+            out.write(path, path.relative_to(root))
+    spark.sparkContext.addPyFile(archive)
+    spark.sparkContext._passagework_shipped = True
+
+
 def batch_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the rows (and so the bytes) that one Python worker holds at once."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
