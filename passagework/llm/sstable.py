@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -42,14 +43,20 @@ BITS_PER_KEY, PROBES = 10, 7
 
 # --- tokens -------------------------------------------------------------------------------------
 
-#: White space as the tokenizer has it, and the characters for which the pieces below are known to
-#: be the tokenizer's own; any other text is handed to the tokenizer whole.
+#: The Unicode white space (fixed by the standard).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: The tokenizer's split pattern, for texts of PLAIN characters (for which the two are known to agree).
 PIECE = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 PLAIN = regex.compile("[\\x00-\\u0557\\u2000-\\u2060\\u20a0-\\u20bf\\u3000-\\u30ff\\u4e00-\\u9fa5\\uac00-\\ud7a3]*")
-CACHE_PIECES = 400_000
+#: The same with the Latin-1 letters and digits spelt out, which the quicker engine can run.
+LATIN_LETTER = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
+LATIN_PIECE = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN_LETTER}]+| ?[0-9]+| ?[^\s{LATIN_LETTER}0-9]+|\s+(?!\S)|\s+"
+)
+LATIN = re.compile("[^\\x1c-\\x1f\\xb2\\xb3\\xb9\\xbc-\\xbe\\u0100-\\u200f\\u2028-\\u202f\\u205f-\\U0010ffff]*")
+CACHE_PIECES = 500_000
 
 
 @lru_cache(maxsize=2)
@@ -58,7 +65,36 @@ def load(tokenizer_file: str):
 
     tokenizer = Tokenizer.from_file(tokenizer_file)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    return tokenizer, special, {}
+    alphabet = byte_letters()
+    lengths = np.zeros(max(tokenizer.get_vocab().values()) + 1, np.int64)
+    for token, i in tokenizer.get_vocab().items():
+        lengths[i] = len(token) if set(token) <= alphabet else 0
+    return tokenizer, special, lengths, {}
+
+
+def byte_letters() -> set[str]:
+    """The letters that stand for bytes in a byte-level vocabulary, one letter a byte."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b) for b in seen} | {chr(256 + i) for i in range(256 - len(seen))}
+
+
+def learn(pieces: list[str], tokenizer, lengths: np.ndarray, known: dict[str, bytes]) -> None:
+    """Have the tokenizer encode new pieces.
+
+    Pieces that begin with a blank keep their borders when they are strung together, so they go in
+    as one text; the bytes of its tokens say where each piece ends.  Others go in one by one.
+    """
+    strung = [p for p in pieces if len(p) > 1 and p[0] == " " and p[1] != " " and not p[1].isspace()]
+    alone = [p for p in pieces if not (len(p) > 1 and p[0] == " " and p[1] != " " and not p[1].isspace())]
+    for piece, coded in zip(alone, tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+        known[piece] = np.array(coded.ids, "<u4").tobytes()
+    if strung:
+        ids = np.array(tokenizer.encode_batch_fast(["".join(strung)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.searchsorted(np.cumsum(lengths[ids]), np.cumsum([len(p.encode()) for p in strung])) + 1
+        data, last = ids.tobytes(), 0
+        for piece, end in zip(strung, (ends * 4).tolist(), strict=True):
+            known[piece] = data[last:end]
+            last = end
 
 
 def encode_texts(texts: list[str], tokenizer_file: str, end_id: int) -> list[np.ndarray]:
@@ -67,18 +103,26 @@ def encode_texts(texts: list[str], tokenizer_file: str, end_id: int) -> list[np.
     Distinct pieces go to the tokenizer once and are remembered (the memory is emptied when full);
     texts with special tokens or characters outside ``PLAIN`` go to it whole.
     """
-    tokenizer, special, known = load(tokenizer_file)
+    tokenizer, special, lengths, known = load(tokenizer_file)
     if len(known) > CACHE_PIECES:
         known.clear()
-    whole = [i for i, x in enumerate(texts) if not PLAIN.fullmatch(x) or any(s in x for s in special)]
+    whole, pieces = [], []
+    for i, x in enumerate(texts):
+        if any(s in x for s in special):
+            whole.append(i)
+            pieces.append([])
+        elif LATIN.fullmatch(x):
+            pieces.append(LATIN_PIECE.findall(x))
+        elif PLAIN.fullmatch(x):
+            pieces.append(PIECE.findall(x))
+        else:
+            whole.append(i)
+            pieces.append([])
     by_library = dict(zip(whole, tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True))
-    pieces = [[] if i in by_library else PIECE.findall(x) for i, x in enumerate(texts)]
-    new = list({p for found in pieces for p in found if p not in known})
-    for piece, coded in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        known[piece] = np.array(coded.ids, "<u4").tobytes()
+    learn(list(set().union(*pieces).difference(known)), tokenizer, lengths, known)
     end = np.array([end_id], "<u4").tobytes()
     return [
-        np.frombuffer(np.array(by_library[i].ids, "<u4").tobytes() + end if i in by_library else b"".join([*map(known.__getitem__, found), end]), "<u4")
+        np.frombuffer((np.array(by_library[i].ids, "<u4").tobytes() if i in by_library else b"".join(map(known.__getitem__, found))) + end, "<u4")
         for i, found in enumerate(pieces)
     ]
 
