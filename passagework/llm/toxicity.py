@@ -3,14 +3,14 @@
 The kernel compares two strings by their subsequences of three letters, each weighted by DECAY to
 the power of the letters it skips, within a span of five: letters that are put in between weaken a
 match but don't break it.  Similarity to a landmark ``z`` is ``K(x, z) / K(z, z)``, at most 1, less
-FLOOR (what unrelated words reach), over the words of a sentence at its largest.
+FLOOR (what unrelated words reach), over the words of a sentence at its largest.  A text is the bag
+of its sentences: their similarities are summed, on a log scale.
 
 Landmarks are words and parts of words that occur in toxic labelled documents and hardly in others.
-Similarities are whitened by the landmarks' own kernel matrix (Nystroem), a linear SVM with squared
-hinge loss is trained on labelled sentences (of each labelled document the sentence nearest to the
-landmarks) and its margin is turned into a probability on rows it hasn't seen.
+Similarities are whitened by the landmarks' own kernel matrix (Nystroem), a linear SVM with squared hinge loss is trained on the
+labelled bags of sentences and its margin is turned into a probability on rows it hasn't seen.
 
-Words: runs of letters between white space; other characters within a word are left out, accents
+Words: a mark for the start and then the runs of letters between white space; other characters within a word are left out, accents
 and case are folded, digits that stand for letters are read as such, and single letters that follow
 each other (``i d i o t``) make one word.  Most words can't reach FLOOR for any landmark, which a
 bound shows for all words of a batch at once; only the others are compared with the landmarks, so
@@ -39,11 +39,12 @@ from passagework.llm.common import batch_rows, materialise
 
 #: Documents that are learnt from, at most, and landmarks.
 SAMPLE, LANDMARKS = 8_000, 64
-DECAY, SPAN, FLOOR = 0.7, 5, 0.6
-#: A landmark occurs in so many toxic documents at least, and is so many times likelier in those.
-LEAST_TOXIC, LEAST_ODDS = 4, 20.0
+DECAY, SPAN, FLOOR = 0.7, 5, 0.7
+#: Words with a landmark are found, for each toxic document, so often at least, and so many times likelier in those.
+LEAST_SHARE, LEAST_ODDS = 0.02, 6.0
 PART_LENGTHS = (4, 5, 6)
-SPACE, STOP = 27, 28
+#: Letters are 1-26; START stands before the first letter of each word.
+SPACE, STOP, START = 27, 28, 29
 STEPS = [(j, k, DECAY ** (k - 2)) for k in range(2, SPAN) for j in range(1, k)]
 
 
@@ -69,7 +70,7 @@ FOLD = _fold_table()
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Letters of all texts in one array, first letter of each word, and its sentence and text.
+    """Letters of all texts in one array, START of each word, and its sentence and text.
 
     A full stop within a word (``i.d.i.o.t``) is left out like other marks; one before white space
     or a line end closes the sentence.
@@ -93,8 +94,9 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     joined[1:] = single[1:] & single[:-1] & (sentence_of[1:] == sentence_of[:-1]) & (starts[1:] - starts[:-1] == 2)
     first = ~joined
     letters = codes[~gap]
-    begin = np.cumsum(ends - starts) - (ends - starts)
-    return letters, begin[first], sentence_of[first], doc_of[first]
+    begin = (np.cumsum(ends - starts) - (ends - starts))[first]
+    letters = np.insert(letters, begin, START)
+    return letters, begin + np.arange(len(begin)), sentence_of[first], doc_of[first]
 
 
 def subsequences(codes: bytes) -> dict[int, float]:
@@ -107,10 +109,6 @@ def subsequences(codes: bytes) -> dict[int, float]:
     return found
 
 
-def parts(word: bytes) -> set[bytes]:
-    return {word} | {word[i : i + n] for n in PART_LENGTHS for i in range(len(word) - n + 1)}
-
-
 @dataclass
 class Model:
     marks: list[bytes]
@@ -172,19 +170,19 @@ class Model:
         groups = np.flatnonzero(np.append(True, np.diff(sentence[where]) != 0))
         return doc[where[groups]], np.maximum.reduceat(rows, groups)
 
-    def margins(self, texts: list[str]) -> np.ndarray:
-        """The largest margin of a text's sentences; a text without any match has the margin of 0."""
+    def bags(self, texts: list[str]) -> np.ndarray:
+        """Of each text: the similarities of its sentences summed, on a log scale, and its length."""
+        out = np.zeros((len(texts), len(self.marks) + 1))
         at, sims = self.matches(texts)
-        out = np.full(len(texts), self.margin(np.zeros((1, len(self.marks))))[0])
-        if len(at):
-            np.maximum.at(out, at, self.margin(sims))
-        return out
+        np.add.at(out[:, :-1], at, sims)
+        out[:, -1] = [0.1 * len(x) ** 0.25 for x in texts]
+        return np.log1p(out)
 
-    def margin(self, sims: np.ndarray) -> np.ndarray:
-        return sims @ self.whiten @ self.weights[:-1] + self.weights[-1]
+    def margin(self, bags: np.ndarray) -> np.ndarray:
+        return bags[:, :-1] @ self.whiten @ self.weights[:-2] + bags[:, -1] * self.weights[-2] + self.weights[-1]
 
     def score(self, texts: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.shift, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(self.bags(texts)) + self.shift, -40, 40)))
 
 
 def landmarks(counts: list[tuple[bytes, int, int]], toxic: int, clean: int) -> list[bytes]:
@@ -198,7 +196,7 @@ def landmarks(counts: list[tuple[bytes, int, int]], toxic: int, clean: int) -> l
     for _, _, part in sorted(scored, reverse=True):
         own = subsequences(part)
         norm = sum(w * w for w in own.values())
-        if len(chosen) < LANDMARKS and all(sum(w * o.get(u, 0.0) for u, w in own.items()) < 0.9 * max(norm, n) for o, n in held):
+        if len(chosen) < LANDMARKS and all(sum(w * o.get(u, 0.0) for u, w in own.items()) < FLOOR * min(norm, n) for o, n in held):
             chosen.append(part)
             held.append((own, norm))
     return chosen
@@ -250,39 +248,40 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, calibrate: Column,
             letters, begin, _, doc = tokens(batch.column("text").to_pylist())
             data, ends = letters.tobytes(), np.append(begin[1:], len(letters)).tolist()
             label = batch.column("label").to_pylist()
-            for d, word in {(d, data[a:b]) for a, b, d in zip(begin.tolist(), ends, doc.tolist(), strict=True) if 3 < b - a < 40}:
+            for d, word in {(d, data[a:b]) for a, b, d in zip(begin.tolist(), ends, doc.tolist(), strict=True) if 4 < b - a < 40}:
                 (toxic if label[d] else clean)[word] += 1
         every = list(toxic.keys() | clean.keys())
         yield pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array([toxic[w] for w in every], pa.int64()), pa.array([clean[w] for w in every], pa.int64())], ["word", "toxic", "clean"])
 
     by_word = seen.where(~F.col("late")).mapInArrow(words, "word binary, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    n = F.length("word")
-    cuts = [F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i, k=k: F.substring(F.col("word"), i, F.lit(k)))).otherwise(F.array().cast("array<binary>")) for k in PART_LENGTHS]
-    part = F.explode(F.array_distinct(F.concat(F.array("word"), *cuts))).alias("part")
+    size = F.length("word")
+
+    def cut(n: int) -> Column:
+        whole = F.transform(F.sequence(F.lit(1), size - n + 1), lambda at: F.substring(F.col("word"), at, F.lit(n)))
+        return F.when(size >= n, whole).otherwise(F.array().cast("array<binary>"))
+
+    part = F.explode(F.array_distinct(F.concat(F.array("word"), *map(cut, PART_LENGTHS)))).alias("part")
     by_part = by_word.select(part, "toxic", "clean").groupBy("part").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = (F.col("toxic") + 0.5) / (sizes[True] + 1) / ((F.col("clean") + 0.5) / (sizes[False] + 1))
-    told = by_part.where((F.col("toxic") >= LEAST_TOXIC) & (odds >= LEAST_ODDS)).orderBy(F.desc(F.col("toxic") * F.log(odds)), "part").limit(40 * LANDMARKS)
+    told = by_part.where((F.col("toxic") >= LEAST_SHARE * sizes[True]) & (odds >= LEAST_ODDS)).orderBy(F.desc(F.col("toxic") * F.log(odds)), "part").limit(40 * LANDMARKS)
     marks = landmarks([(bytes(r["part"]), r["toxic"], r["clean"]) for r in told.collect()], sizes[True], sizes[False])
     if not marks:
         return None
-    model = Model(marks, np.eye(len(marks)), np.zeros(len(marks) + 1))
+    model = Model(marks, np.eye(len(marks)), np.zeros(len(marks) + 2))
     gram = np.array([model.similar(m) for m in marks], float)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2 + 0.1 * np.eye(len(marks)))
     model.whiten = vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best = np.zeros((batch.num_rows, len(marks)))
-            for d, sims in zip(*model.matches(batch.column("text").to_pylist()), strict=True):
-                if sims.sum() > best[d].sum():
-                    best[d] = sims
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("late"), pa.array(list(best), pa.list_(pa.float64()))], ["label", "late", "x"])
+            found = model.bags(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("late"), pa.array(list(found), pa.list_(pa.float64()))], ["label", "late", "x"])
 
-    rows = seen.mapInArrow(nearest, "label boolean, late boolean, x array<double>").collect()  # at most ``sample`` rows
+    rows = seen.mapInArrow(bags, "label boolean, late boolean, x array<double>").collect()  # at most ``sample`` rows
     x, y, late = np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows]), np.array([r["late"] for r in rows])
     early = ~late if len(set(y[~late])) == 2 else np.ones(len(y), bool)
     late = late if len(set(y[late])) == 2 else np.ones(len(y), bool)
-    model.weights = svm(x[early] @ model.whiten, np.where(y[early], 1.0, -1.0))
+    model.weights = svm(np.column_stack([x[early, :-1] @ model.whiten, x[early, -1]]), np.where(y[early], 1.0, -1.0))
     model.slope, model.shift = logistic(model.margin(x[late]), y[late].astype(float))
     model.seen.clear()
     return model
