@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from passagework.llm import queries_clean, queries_score, queries_tokens
+from passagework.llm import queries_clean, queries_near, queries_score, queries_tokens
 
 QUERIES = {
     "op4_bpe_round_trip": queries_tokens.op4_bpe_round_trip,
     "op5_quality": queries_score.op5_quality,
     "op6_decontaminate": queries_clean.op6_decontaminate,
     "op8_toxicity": queries_score.op8_toxicity,
+    "op9_near_duplicates": queries_near.op9_near_duplicates,
     "op10_token_shards": queries_tokens.op10_token_shards,
 }
 
