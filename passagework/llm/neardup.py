@@ -205,7 +205,7 @@ def closing(posted: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -
     come = strays.join(sets.select("cls", "n", "bytes"), "cls").join(bigs, "big").join(counts.withColumnRenamed("comp", "big"), "big")
     come = come.withColumn("s", F.pmod(F.xxhash64("cls"), s_blocks).cast("int")).withColumn("m", F.explode(F.sequence(F.lit(0), m_blocks - 1)))
     held = held.select(F.col("comp").alias("big"), "m", "s", F.col("node").alias("cls"), "bytes")
-    come = come.select("big", "m", "s", "cls", "bytes")
+    come = come.select("big", "m", "s", F.col("cls").alias("stray"), F.col("bytes").alias("data"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
@@ -215,7 +215,7 @@ def closing(posted: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -
             flat, owner = np.concatenate(sets_), np.repeat(np.arange(len(sets_)), sizes)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
-            for cls, data in zip(right["cls"].tolist(), right["bytes"], strict=True):
+            for cls, data in zip(right["stray"].tolist(), right["data"], strict=True):
                 own = np.frombuffer(data, np.uint64)
                 low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
                 hit = high > low

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import neardup
-from passagework.llm.common import table
+from passagework.llm import neardup, phrases
+from passagework.llm.common import shuffle_partitions, table
 
 #: Fixed by the result's definition: runs of four words, 80 hundredths.
 WORDS, PERCENT = 4, 80
@@ -15,3 +15,8 @@ WORDS, PERCENT = 4, 80
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), words=WORDS, percent=PERCENT)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.with_next(table(spark, sf_dir, "documents"), shuffle_partitions(spark))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")

@@ -8,6 +8,7 @@ QUERIES = {
     "op4_bpe_round_trip": queries_tokens.op4_bpe_round_trip,
     "op5_quality": queries_score.op5_quality,
     "op6_decontaminate": queries_clean.op6_decontaminate,
+    "op7_fingerprints": queries_near.op7_fingerprints,
     "op8_toxicity": queries_score.op8_toxicity,
     "op9_near_duplicates": queries_near.op9_near_duplicates,
     "op10_token_shards": queries_tokens.op10_token_shards,
