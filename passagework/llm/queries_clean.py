@@ -1,13 +1,38 @@
-"""Queries of the cleaning operators (1, 2 and 6)."""
+"""Queries of the page operators (1, 2 and 3) and of decontamination (6)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import decontaminate
+from passagework.llm import decontaminate, urls, warc, wrappers
 from passagework.llm.common import table
 
+#: The rules of the first query: verdict, host, path.
+RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urls.fit(urls.labelled_urls(spark))
+    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES, model)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrappers.main_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = warc.write_and_read(table(spark, sf_dir, "pages"), payload=False)
+    return held.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -36,3 +61,12 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 """
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+k AS (SELECT d, n, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY d, n)
+SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN k.keeper IS NULL OR k.keeper = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN k.keeper <> p.page_id THEN k.keeper END AS refers_to
+FROM p LEFT JOIN k ON p.d = k.d AND p.n = k.n
+"""

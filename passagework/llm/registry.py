@@ -5,6 +5,9 @@ from __future__ import annotations
 from passagework.llm import queries_clean, queries_near, queries_score, queries_tokens
 
 QUERIES = {
+    "op1_url_filter": queries_clean.op1_url_filter,
+    "op2_main_text": queries_clean.op2_main_text,
+    "op3_warc": queries_clean.op3_warc,
     "op4_bpe_round_trip": queries_tokens.op4_bpe_round_trip,
     "op5_quality": queries_score.op5_quality,
     "op6_decontaminate": queries_clean.op6_decontaminate,
@@ -15,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_warc": queries_clean.OP3_SQL,
     "op6_decontaminate": queries_clean.OP6_SQL,
 }
