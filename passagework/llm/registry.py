@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from passagework.llm import queries_clean, queries_near, queries_score, queries_tokens
 
 QUERIES = {
@@ -15,9 +16,10 @@ QUERIES = {
     "op8_toxicity": queries_score.op8_toxicity,
     "op9_near_duplicates": queries_near.op9_near_duplicates,
     "op10_token_shards": queries_tokens.op10_token_shards,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
     "op3_warc": queries_clean.OP3_SQL,
     "op6_decontaminate": queries_clean.OP6_SQL,
-}
+} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
