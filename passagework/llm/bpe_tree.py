@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from passagework.llm.common import batch_rows
 
 #: The Unicode white space (fixed by the standard), as the split pattern's ``\s`` has it.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SEAM = regex.compile(rf"(?<=[^{SPACE}])(?=[{SPACE}])")
 SEAM_LAST = regex.compile(rf"(?r)(?<=[^{SPACE}])(?=[{SPACE}])")
 #: Characters of a leaf.

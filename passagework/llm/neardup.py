@@ -14,9 +14,9 @@
 5. Candidate pairs count their collisions on whole signatures; of each class the best pair is
    confirmed first, on full sets, and connected components are formed; then those remaining pairs
    that still lie between two components.
-6. Closing: where a longer list still holds several components, its members outside a list's
-   larger components are compared with all members of those in blocks of BLOCK sets (counting
-   exactly, giving out true links only).  So no link between different texts is lost, while a group
+6. Closing: where a longer list still holds several components, its members outside the one that
+   holds most of it are compared with that component and with each other, in blocks of BLOCK sets
+   (counting exactly, giving out true links only).  So no link between different texts is lost, while a group
    of many near copies costs its size times the number of its stray members, not its square.
 
 Rows without words, or without text, are linked with nothing; a row with a null id has the
@@ -39,7 +39,7 @@ from passagework.llm.common import batch_rows, materialise
 from passagework.llm.components import components
 
 COORDS = 64
-WINDOW, PART, BLOCK = 8, 256, 256
+WINDOW, PART, BLOCK = 8, 256, 512
 #: Ids of confirmed candidates are broadcast up to this number (8 bytes each).
 MAX_BROADCAST = 500_000
 _draw = np.random.default_rng(77)
@@ -180,53 +180,54 @@ def between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def closing(posted: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that long posting lists still hide between two components."""
+    """Links that long posting lists still hide between two components.
+
+    A list's *family* is that component which holds most of it; its other members are the family's
+    strays.  Each stray is compared with the family's members and its other strays, in blocks.
+    """
     spark = posted.sparkSession
     long = posted.where(F.col("df") > WINDOW + 1).select("cls", "token")
     placed = long.join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    cells = materialise(placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("held")), "cells")
-    opened = cells.groupBy("token").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("token")
-    cells = materialise(cells.join(opened, "token", "left_semi"), "open-cells")
-    if cells.isEmpty():
-        return spark.createDataFrame([], "a long, b long")
-    # in each list, members of a component are compared with each component that holds more of it
-    larger = cells.select("token", F.col("comp").alias("big"), F.col("held").alias("more"))
-    facing = cells.join(larger, "token").where((F.col("more") > F.col("held")) | ((F.col("more") == F.col("held")) & (F.col("big") < F.col("comp"))))
-    strays = placed.join(facing.select("token", "comp", "big"), ["token", "comp"]).select("cls", "big").distinct()
+    cells = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("held"))
+    family = cells.groupBy("token").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("held", "comp"))["comp"].alias("family")).where("kinds > 1")
+    strays = placed.join(family.select("token", "family"), "token").where("comp <> family").select("family", "cls", "comp").distinct()
     strays = materialise(strays, "strays")
-    bigs = strays.groupBy("big").agg(F.count(F.lit(1)).alias("strays"))
-    lone = strays.select(F.col("big").alias("node")).distinct().join(comp, "node", "left_anti").select("node", F.col("node").alias("comp"))
-    members = comp.unionByName(lone).join(bigs.withColumnRenamed("big", "comp"), "comp")
-    counts = members.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-    # members and strays go to blocks; every block of the one meets every block of the other
-    m_blocks, s_blocks = F.ceil(F.col("members") / BLOCK).cast("int"), F.ceil(F.col("strays") / (4 * BLOCK)).cast("int")
-    held = members.join(sets.select(F.col("cls").alias("node"), "n", "bytes"), "node").join(counts, "comp")
-    held = held.withColumn("m", F.pmod(F.xxhash64("node"), m_blocks).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), s_blocks - 1)))
-    come = strays.join(sets.select("cls", "n", "bytes"), "cls").join(bigs, "big").join(counts.withColumnRenamed("comp", "big"), "big")
+    if strays.isEmpty():
+        return spark.createDataFrame([], "a long, b long")
+    met = strays.groupBy("family").agg(F.count(F.lit(1)).alias("strays"))
+    whole = comp.select(F.col("comp").alias("family"), F.col("node").alias("cls"), "comp").unionAll(met.select("family", F.col("family").alias("cls"), F.col("family").alias("comp")))
+    held = whole.join(met.select("family"), "family", "left_semi").unionAll(strays).distinct()
+    counts = held.groupBy("family").agg(F.count(F.lit(1)).alias("members")).join(met, "family")
+    m_blocks, s_blocks = F.ceil(F.col("members") / BLOCK).cast("int"), F.ceil(F.col("strays") / BLOCK).cast("int")
+    # every block of strays meets every block of the family
+    held = held.join(sets.select("cls", "bytes"), "cls").join(counts, "family")
+    held = held.withColumn("m", F.pmod(F.xxhash64("cls"), m_blocks).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), s_blocks - 1)))
+    come = strays.join(sets.select("cls", "bytes"), "cls").join(counts, "family")
     come = come.withColumn("s", F.pmod(F.xxhash64("cls"), s_blocks).cast("int")).withColumn("m", F.explode(F.sequence(F.lit(0), m_blocks - 1)))
-    held = held.select(F.col("comp").alias("big"), "m", "s", F.col("node").alias("cls"), "bytes")
-    come = come.select("big", "m", "s", F.col("cls").alias("stray"), F.col("bytes").alias("data"))
+    held = held.select("family", "m", "s", "cls", "comp", "bytes")
+    come = come.select("family", "m", "s", F.col("cls").alias("stray"), F.col("comp").alias("own"), F.col("bytes").alias("data"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
         if len(left) and len(right):
-            names, sets_ = left["cls"].to_numpy(), [np.frombuffer(x, np.uint64) for x in left["bytes"]]
+            names, places, sets_ = left["cls"].to_numpy(), left["comp"].to_numpy(), [np.frombuffer(x, np.uint64) for x in left["bytes"]]
             sizes = np.array([len(x) for x in sets_])
             flat, owner = np.concatenate(sets_), np.repeat(np.arange(len(sets_)), sizes)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
-            for cls, data in zip(right["stray"].tolist(), right["data"], strict=True):
-                own = np.frombuffer(data, np.uint64)
-                low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+            for cls, own, data in zip(right["stray"].tolist(), right["own"].tolist(), right["data"], strict=True):
+                mine = np.frombuffer(data, np.uint64)
+                low, high = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
                 hit = high > low
                 runs = high[hit] - low[hit]
                 at = np.repeat(low[hit] - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
                 common = np.bincount(owner[at], minlength=len(names))
-                good = (100 * common >= percent * (sizes + len(own) - common)) & (names != cls)
-                found += [(cls, x) for x in names[good][:1].tolist()]  # one link to the component is enough
+                good = np.flatnonzero((100 * common >= percent * (sizes + len(mine) - common)) & (places != own))
+                _, one = np.unique(places[good], return_index=True)  # one link to a component is enough
+                found += [(cls, x) for x in names[good[one]].tolist()]
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    keys = ["big", "m", "s"]
+    keys = ["family", "m", "s"]
     return held.groupBy(*keys).cogroup(come.groupBy(*keys)).applyInPandas(run, "a long, b long")
 
 
