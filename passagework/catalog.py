@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from passagework.plans import text_queries
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (text_queries,):
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
