@@ -80,4 +80,4 @@ def encode(df: DataFrame, text: Column, encoder: Encoder, out: str = "vector", m
             means = np.divide(means, norms, out=means, where=norms > 0)
             yield pd.Series(list(means.astype(np.float32)))
 
-    return df.withColumn(out, F.pandas_udf(run, T.ArrayType(T.FloatType()), F.PandasUDFType.SCALAR_ITER)(text))
+    return df.withColumn(out, F.pandas_udf(run, T.ArrayType(T.FloatType()))(text))

@@ -80,3 +80,35 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_
     by = Window.partitionBy("q").orderBy(F.desc("s"), "d")
     ranked = out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(query_id), F.col("d").alias(doc_id), F.col("s").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def softmax_sums(queries: DataFrame, corpus: DataFrame, temperature: float, query_id: str = "query_id", vector: str = "vector", label: str = "label") -> DataFrame:
+    """query_id, top and total: the largest ``score / temperature`` over all documents of another
+    label, and the sum of exp(score / temperature - top).  Blocks and tasks as in ``top_k``; a task
+    gives out one row a query."""
+    spark = corpus.sparkSession
+    rows = queries.select(query_id, label, vector)
+    blocks, out = max(1, -(-queries.count() // QUERY_BLOCK)), None
+    for block in range(blocks):
+        held = (rows.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block) if blocks > 1 else rows).collect()
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held]), np.array([r[2] for r in held], np.float64).reshape(len(held), -1)))
+
+        def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, labels, matrix = shared.value
+            top, total = np.full(len(names), -np.inf), np.zeros(len(names))
+            for batch in batches:
+                if not batch.num_rows or not len(names):
+                    continue
+                values = np.stack(batch.column("v").to_numpy(zero_copy_only=False)).astype(np.float64)
+                scores = np.where(labels[:, None] != batch.column("l").to_numpy(zero_copy_only=False)[None, :], matrix @ values.T / temperature, -np.inf)
+                new = np.maximum(top, scores.max(axis=1))
+                with np.errstate(invalid="ignore"):
+                    total = np.where(np.isfinite(new), total * np.exp(np.where(np.isfinite(top), top - new, -np.inf)) + np.exp(scores - np.where(np.isfinite(new), new, 0)[:, None]).sum(axis=1), 0)
+                top = new
+            some = np.isfinite(top)
+            yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(top[some]), pa.array(total[some])], ["q", "top", "total"])
+
+        found = corpus.select(F.col(label).alias("l"), F.col(vector).cast("array<float>").alias("v")).mapInArrow(add, "q long, top double, total double")
+        out = found if out is None else out.unionAll(found)
+    whole = out.groupBy("q").agg(F.max("top").alias("m"), F.collect_list(F.struct("top", "total")).alias("parts"))  # a row a task
+    return whole.select(F.col("q").alias(query_id), F.col("m").alias("top"), F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["total"] * F.exp(x["top"] - F.col("m"))).alias("total"))
