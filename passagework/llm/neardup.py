@@ -40,6 +40,8 @@ from passagework.llm.components import components
 
 COORDS = 64
 WINDOW, PART, BLOCK = 8, 256, 512
+#: In lists of more than LONG classes FEW predecessors are enough: the closing step looks at the rest.
+LONG, FEW = 64, 3
 #: Ids of confirmed candidates are broadcast up to this number (8 bytes each).
 MAX_BROADCAST = 500_000
 _draw = np.random.default_rng(77)
@@ -96,7 +98,8 @@ def neighbours(posted: DataFrame, percent: int) -> DataFrame:
     salt = F.when(F.col("df") > PART, F.pmod(F.xxhash64("cls"), F.ceil(F.col("df") / PART))).otherwise(F.lit(0))
     order = Window.partitionBy("token", "salt").orderBy("n", "cls").rowsBetween(-WINDOW, -1)
     before = posted.withColumn("salt", salt).withColumn("before", F.collect_list(F.struct(F.col("cls").alias("other"), F.col("n").alias("m"))).over(order))
-    pairs = before.select("cls", "n", F.explode("before").alias("o")).where(near("n", F.col("o.m"), percent))
+    held = F.when(F.col("df") > LONG, F.filter("before", lambda x, i: i >= F.size("before") - FEW)).otherwise(F.col("before"))
+    pairs = before.select("cls", "n", F.explode(held).alias("o")).where(near("n", F.col("o.m"), percent))
     return pairs.select(F.least("cls", "o.other").alias("a"), F.greatest("cls", "o.other").alias("b")).where("a <> b").distinct()
 
 
