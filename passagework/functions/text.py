@@ -70,10 +70,9 @@ def strip_tags(c: Column) -> Column:
 
 
 def first_section(c: Column, n: int = 200) -> Column:
-    """The text after the first of two or more [number] marks, cut at ``n``; else the first ``n``."""
+    """The text after the first [number] mark, cut at ``n``; without a mark the first ``n``."""
     parts = F.split(c, r"\[\d+\]")
-    body = F.when(F.size(parts) > 2, py_strip(F.get(parts, F.lit(1)))).otherwise(None)
-    return F.when(body.isNotNull(), ellipsis(body, n)).otherwise(F.substring(c, 1, n))
+    return F.when(F.size(parts) > 1, ellipsis(py_strip(F.get(parts, F.lit(1))), n)).otherwise(F.substring(py_strip(c), 1, n))
 
 
 def normalize_law_name(c: Column) -> Column:

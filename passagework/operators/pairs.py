@@ -12,28 +12,51 @@ from passagework.operators.corpus import first_wins
 from passagework.operators.negatives import tiered
 
 
-def query_law(name: Column, article: Column, title: Column) -> Column:
-    """Fixed wording of the statute question."""
-    name, article, title = (F.coalesce(c, F.lit("")) for c in (name, article, title))
-    return F.when(title != "", F.concat(name, F.lit(" "), article, F.lit("("), title, F.lit(")의 내용은 무엇인가?"))).otherwise(F.concat(name, F.lit(" "), article, F.lit("의 내용은 무엇인가?")))
+# Fixed wordings of the questions.
+ABOUT, CONTENT = " 관련 내용은 무엇인가?", "의 내용은 무엇인가?"
+GIST, NO_GIST = "의 요지는 무엇인가?", "이 판례의 요지는 무엇인가?"
+RULING, GROUNDS, APPLIED = "에 대한 법적 판단은?", "에 대한 법적 근거는?", "에 적용되는 법령은?"
+
+
+def _cut(c: Column, n: int) -> Column:
+    return X.short(F.coalesce(c, F.lit("")), n)
 
 
-def query_rule(name: Column, article: Column, appendix: Column) -> Column:
-    """Fixed wording of the rule question: article, else appendix, else the rule as such."""
-    name, article, appendix = (F.coalesce(c, F.lit("")) for c in (name, article, appendix))
+def query_law(name: Column, article: Column, title: Column) -> Column:
+    """The question on a statute's article; its title is named unless the article's label holds it."""
+    name, article, title = _cut(name, 60), _cut(article, 40), _cut(title, 60)
+    titled = F.concat(name, F.lit(" "), article, F.lit("("), X.short(title, 40), F.lit(")" + CONTENT))
     return (
-        F.when(article != "", F.concat(name, F.lit(" "), article, F.lit("의 내용은 무엇인가?")))
-        .when(appendix != "", F.concat(name, F.lit(" "), appendix, F.lit(" 별표의 내용은 무엇인가?")))
-        .otherwise(F.concat(name, F.lit("의 내용은 무엇인가?")))
+        F.when((article != "") & (title != "") & ~F.contains(article, title), titled)
+        .when(article != "", F.concat(name, F.lit(" "), article, F.lit(CONTENT)))
+        .otherwise(F.concat(name, F.lit(ABOUT)))
     )
 
 
-def query_precedent(headnote: Column, summary: Column, title: Column, number: Column) -> Column:
-    """First section of the head-note, else of the summary, else a question on the case's name."""
-    first = F.nullif(X.first_section(X.clean_html(F.coalesce(headnote, F.lit("")))), F.lit(""))
-    second = F.nullif(X.first_section(X.clean_html(F.coalesce(summary, F.lit("")))), F.lit(""))
-    named = F.when(F.coalesce(title, F.lit("")) != "", F.concat(title, F.when(F.coalesce(number, F.lit("")) != "", F.concat(F.lit("("), number, F.lit(")"))).otherwise(""), F.lit(" 판결의 요지는 무엇인가?")))
-    return F.coalesce(first, second, named)
+def query_rule(name: Column, article: Column, title: Column, appendix: Column) -> Column:
+    """The question on a rule's article, else on its appendix, else on the rule."""
+    by_appendix = F.concat(_cut(name, 60), F.lit("의 '"), _cut(appendix, 60), F.lit("' 별표 내용은 무엇인가?"))
+    return F.when((_cut(article, 40) == "") & (_cut(appendix, 60) != ""), by_appendix).otherwise(query_law(name, article, title))
+
+
+def query_precedent_passage(title: Column, headnote: Column, summary: Column) -> Column:
+    """The question on a precedent's passage: by title, else by head-note or summary."""
+    named = X.one_line(F.coalesce(title, F.lit("")), 120)
+    other = X.one_line(X.alias(headnote, summary), 120)
+    return F.when(named != "", F.concat(named, F.lit(GIST))).when(other != "", F.concat(other, F.lit(GIST))).otherwise(NO_GIST)
+
+
+def query_precedent(headnote: Column, summary: Column, title: Column) -> Column:
+    """The question of a precedent: first section of the head-note, else of the summary, else the
+    case's name; null without any."""
+    first = X.first_section(X.clean_html(F.coalesce(headnote, F.lit(""))))
+    second = X.first_section(X.clean_html(F.coalesce(summary, F.lit(""))))
+    name = X.one_line(F.coalesce(title, F.lit("")), 100)
+    return (
+        F.when(first != "", X.one_line(F.concat(first, F.lit(RULING)), 200))
+        .when(second != "", X.one_line(F.concat(second, F.lit(GROUNDS)), 200))
+        .when(name != "", F.concat(name, F.lit(APPLIED)))
+    )
 
 
 def self_pairs(passages: DataFrame, query: Column, group: str, kind: str, n: int, seed: int = 42, min_len: int = 50) -> DataFrame:

@@ -145,11 +145,11 @@ def dict_merge_override(spark, d):
 # --- pairs --------------------------------------------------------------------------------------
 
 
-@query("""SELECT 'P' || p_partkey AS id, CASE WHEN p_type <> '' THEN p_name || ' ' || p_brand || '(' || p_type || ')의 내용은 무엇인가?' ELSE p_name || ' ' || p_brand || '의 내용은 무엇인가?' END AS question FROM part
-UNION ALL SELECT 'S' || s_suppkey, s_name || '의 내용은 무엇인가?' FROM supplier""")
+@query("""SELECT 'P' || p_partkey AS id, CASE WHEN p_type <> '' AND NOT contains(p_brand, p_type) THEN p_name || ' ' || p_brand || '(' || p_type || ')의 내용은 무엇인가?' ELSE p_name || ' ' || p_brand || '의 내용은 무엇인가?' END AS question FROM part
+UNION ALL SELECT 'S' || s_suppkey, s_name || ' 관련 내용은 무엇인가?' FROM supplier""")
 def query_templates(spark, d):
     p = table(spark, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey")).alias("id"), pairs.query_law(F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("question"))
-    s = table(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("id"), pairs.query_rule(F.col("s_name"), F.lit(None).cast("string"), F.lit("")).alias("question"))
+    s = table(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("id"), pairs.query_rule(F.col("s_name"), F.lit(None).cast("string"), F.lit(""), F.lit("")).alias("question"))
     return p.unionAll(s)
 
 

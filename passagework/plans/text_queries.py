@@ -99,7 +99,7 @@ def chunk_min_len_dedup(spark, d):
 
 @query(r"""WITH b AS (SELECT item_id, text, '[1] ' || text || ' [2] ' || text AS t FROM benchmark),
 p AS (SELECT item_id, text, t, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM b)
-SELECT item_id, CASE WHEN length(s) > 200 THEN substr(s, 1, 200) || '...' ELSE s END AS marked, substr(text, 1, 200) AS plain FROM p""")
+SELECT item_id, CASE WHEN length(s) > 200 THEN substr(s, 1, 200) || '...' ELSE s END AS marked, substr(s, 1, 200) AS plain FROM p""")
 def first_section_split(spark, d):
     b = table(spark, d, "benchmark")
     marked = F.concat(F.lit("[1] "), F.col("text"), F.lit(" [2] "), F.col("text"))
