@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from passagework.plans import pair_queries, retrieval_queries, text_queries
+from passagework.plans import legal_queries, pair_queries, retrieval_queries, text_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (text_queries, retrieval_queries, pair_queries):
+for _module in (text_queries, retrieval_queries, pair_queries, legal_queries):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

@@ -20,7 +20,7 @@ PREC_LIST_KEYS = ("판례목록", "precList", "prec_list")
 JUDGMENTS = ("판결", "판결 : 확정", "결정")
 DELETED = "삭제"
 HEADER = r"^제\s*(\d+)\s*조(?:\(([^)]*)\))?"
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def _has(v: Column, keys: tuple[str, ...]) -> Column:
@@ -225,7 +225,7 @@ def search_rows(js: DataFrame) -> DataFrame:
         F.when(V.at(v, "total").isNotNull(), V.at(v, "prec")).when(result.isNotNull(), F.coalesce(V.at(result, "판례"), V.at(result, "prec")))
         .when(service.isNotNull(), V.at(service, "prec")).when(V.is_array(v), v).otherwise(F.coalesce(V.at(v, "list"), V.at(v, "items")))
     )
-    total = F.coalesce(V.string(V.at(v, "total")), V.text_at(result, "총건수", "total"), V.text_at(service, "totalCnt", "total"))
+    total = X.alias(V.string(V.at(v, "total")), V.text_at(result, "총건수", "total"), V.text_at(service, "totalCnt", "total"))
     rows = js.select("file", F.coalesce(F.when(total != "", total.cast("long")), F.lit(0)).alias("total"), F.explode(V.members(found)).alias("p")).where(V.is_object(F.col("p")))
     p = F.col("p")
     out = rows.select("file", "total", X.py_strip(V.text_at(p, "판례일련번호", "ID", "id")).alias("case_id"), X.py_strip(V.text_at(p, "사건명", "title")).alias("title"), X.py_strip(V.text_at(p, "판결유형", "판결종류")).alias("judgment_type"))

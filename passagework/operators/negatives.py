@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.functions.order import hash_key, hash_number, positions
@@ -20,19 +20,20 @@ def largest_family(pool: DataFrame, parent: str = "parent_id") -> int:
     return pool.groupBy(parent).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
-def ring(pairs: DataFrame, pool: DataFrame, groups: list[str], stretch: int, tier: int, seed: int, salt: str) -> DataFrame:
-    """pair, cand, tier, step: the next ``stretch`` places of each pair's ring."""
+def ring(pairs: DataFrame, pool: DataFrame, groups: list[str], stretch: int, tier: int, seed: int, salt: str, extra: str | None = None) -> DataFrame:
+    """pair, cand, tier, step: the next ``stretch`` places of each pair's ring (and as many more as
+    the pair's column ``extra`` says)."""
     placed = positions(pool.withColumn("_h", hash_key(seed, F.col("id"))), groups, "_h").select(*groups, "pos", "total", F.col("id").alias("cand"), F.col("parent_id").alias("cand_parent"))
     totals = placed.select(*groups, "total").distinct() if groups else placed.agg(F.max("total").alias("total"))
-    starts = pairs.select("id", "parent_id", *groups)
+    starts = pairs.select("id", "parent_id", *groups, (F.lit(stretch) + (F.col(extra) if extra else F.lit(0))).alias("_l"))
     starts = starts.join(totals, groups) if groups else starts.crossJoin(totals)  # a single number
     start = F.pmod(hash_number(seed, F.lit(salt), F.col("id")), F.col("total"))
-    steps = F.explode(F.sequence(F.lit(0), F.least(F.lit(stretch), F.col("total")).cast("int") - 1))
-    asked = starts.where("total > 0").withColumn("start", start).withColumn("step", steps).withColumn("pos", F.pmod(F.col("start") + F.col("step"), F.col("total"))).drop("total", "start")
+    steps = F.explode(F.sequence(F.lit(0), F.least("_l", "total").cast("int") - 1))
+    asked = starts.where("total > 0").withColumn("start", start).withColumn("step", steps).withColumn("pos", F.pmod(F.col("start") + F.col("step"), F.col("total"))).drop("total", "start", "_l")
     return asked.join(placed.drop("total"), [*groups, "pos"]).select(F.col("id").alias("pair"), "parent_id", "cand", "cand_parent", F.lit(tier).alias("tier"), "step")
 
 
-def tiered(pairs: DataFrame, pool: DataFrame, tiers: list[list[str]], n: int, seed: int = 42, barred: Column | None = None) -> DataFrame:
+def tiered(pairs: DataFrame, pool: DataFrame, tiers: list[list[str]], n: int, seed: int = 42) -> DataFrame:
     """pair, negatives (ids in order of tier and ring), tiers_used.
 
     ``pairs`` and ``pool`` have id, parent_id and the columns that ``tiers`` group by.  Never the
