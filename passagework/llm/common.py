@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch handed to Python; texts may be long, so batches are small.
-BATCH_ROWS = 500
+BATCH_ROWS = 256
 
 
 def ship(spark: SparkSession) -> None:

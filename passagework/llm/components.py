@@ -25,11 +25,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b", label: str = "comp"
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         after = materialise(small.where(F.col("a") != F.col("b")).distinct(), "links")
-        # settled when no node has two parents and no parent has a parent
-        multiple = after.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        deep = after.join(after.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
         pairs = after
-        if multiple.isEmpty() and deep.isEmpty():
+        # settled when no node has two parents and no parent has a parent
+        multiple = after.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+        deep = after.join(after.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a")
+        if multiple.unionAll(deep).isEmpty():
             break
     roots = pairs.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias(label))
     return pairs.select(F.col("a").alias("node"), F.col("b").alias(label)).unionAll(roots)

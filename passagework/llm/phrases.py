@@ -33,7 +33,7 @@ from passagework.llm.shingles import mix
 ROUNDS = 4
 LOWEST, LEVELS = 2, 5
 KEEP = 64
-SYMBOLS_AT_ONCE = 2_000_000
+SYMBOLS_AT_ONCE = 1_000_000
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 

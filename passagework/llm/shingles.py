@@ -23,7 +23,7 @@ BASE = _odd(1)[0]
 PLACE = _odd(64)
 SHORT = _odd(1)[0]
 _M1, _M2, _S = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
-BYTES_AT_ONCE = 4_000_000
+BYTES_AT_ONCE = 2_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

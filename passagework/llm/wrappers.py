@@ -5,8 +5,8 @@ inline markup is dissolved into text slots.  A *pattern* is a union-free regular
 such items: a text slot (constant or variable), an element with a pattern inside, or a group of
 items, each of them once, optional or repeated.
 
-* Within a page, neighbours of equal signature fold into one repeated item, and tandem repeats of up
-  to four items into a repeated group.
+* Within a page, neighbours of equal signature and like content fold into one repeated item, and
+  tandem repeats of up to four items into a repeated group.
 * Two patterns are merged by aligning their item sequences (longest common runs of keys); what has
   no partner becomes optional, text that differs becomes a variable slot, elements merge inside.
 
@@ -16,8 +16,8 @@ of its markup, is ever held, never its pages.
 
 With its wrapper a page is walked in parallel: items in boilerplate regions (navigation, headers,
 footers, sidebars, notices, adverts, forms, comments, scripts, styles) are left out; where the page
-has article or main elements only those count; a slot that is the same constant on all pages of a
-host (MIN_PAGES at least) whose other slots vary is the template's, not the page's.
+has article or main elements only those count, whole; elsewhere a slot that is the same constant on all
+pages of a host (MIN_PAGES at least) whose other slots vary is the template's, not the page's.
 
 Null and empty html gives an empty text; a null or unparsable url is a host of its own name ''.
 Repeated pages get equal texts; null ids and further columns are kept; an empty table gives an empty
@@ -59,7 +59,7 @@ OUT_WORDS = frozenset(
 MAIN_TAGS, MAIN_WORDS = frozenset(("article", "main")), frozenset(("main", "article"))
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<(?![a-zA-Z/!?]))",
     re.S,
 )
 ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(\bhidden\b)", re.S)
@@ -152,6 +152,14 @@ def key(item: list) -> str:
     return item[1] if item[0] == "e" else "#" if item[0] == "t" else "(" + " ".join(map(key, item[4])) + ")"
 
 
+def alike(a: list, b: list) -> bool:
+    """Whether neighbours repeat each other: equal keys, and inside mostly the same kinds of items."""
+    if a[0] == "t" or key(a) != key(b):
+        return False
+    inner, other = set(map(key, a[4])), set(map(key, b[4]))
+    return 2 * len(inner & other) >= len(inner | other)
+
+
 def merge_items(a: list, b: list) -> list:
     """One item for two of equal key."""
     optional, repeated = a[2] or b[2], a[3] or b[3]
@@ -166,7 +174,7 @@ def fold(items: list) -> list:
     for item in items:
         if item[0] != "t":
             item = [*item[:4], fold(item[4])]
-        if out and out[-1][0] != "t" and key(out[-1]) == key(item):
+        if out and alike(out[-1], item):
             out[-1] = merge_items(out[-1], item)
             out[-1][3] = True
         else:
@@ -209,7 +217,7 @@ def refold(items: list) -> list:
     """After a merge: neighbours of equal key become one repeated item."""
     out: list = []
     for item in items:
-        if out and out[-1][0] != "t" and key(out[-1]) == key(item):
+        if out and (out[-1][3] or item[3]) and alike(out[-1], item):
             optional = out[-1][2] and item[2]
             out[-1] = merge_items(out[-1], item)
             out[-1][2], out[-1][3] = optional, True
@@ -242,8 +250,9 @@ def has_main(items: list) -> bool:
 
 
 def varies(items: list, within: bool = False) -> bool:
-    """Whether any slot that may be content is variable."""
-    return any((x[1] is None) if x[0] == "t" else (x[0] == "g" or not outside(x[1], within)) and varies(x[4], within) for x in items)
+    """Whether any slot that may be content differs between pages (a repeated one may differ within
+    a page, which says nothing)."""
+    return any(not x[3] and ((x[1] is None) if x[0] == "t" else (x[0] == "g" or not outside(x[1], within)) and varies(x[4], within)) for x in items)
 
 
 def flat(items: list) -> list:
@@ -268,12 +277,12 @@ def extract(page: list, wrapper: list, pages: int) -> str:
             slot = slots[found] if found >= 0 else None
             if item[0] == "t":
                 constant = template and slot is not None and slot[1] == item[1] and not slot[2] and not slot[3]
-                if (within or not only_main) and not constant:
+                if within or not (only_main or constant):
                     out.append(item[1])
                 at = found + 1 if found >= 0 else at
             elif not outside(item[1], within):
                 walk(item[4], slot[4] if slot else [], within or is_main(item[1]))
-                at = found if found >= 0 else at
+                at = at if found < 0 else found if slot[3] else found + 1
     walk(page, wrapper, False)
     return " ".join(out)
 
@@ -319,15 +328,15 @@ def main_texts(pages: DataFrame, url: str = "url", html: str = "html", out: str
     kept = [c for c in pages.columns if c not in (html, out)]
     wrappers = materialise(infer(pages.select(host.alias("host"), F.col(html).alias("html"))), "wrappers")
     size = wrappers.agg(F.sum(F.octet_length("wrapper")).alias("n")).first()["n"] or 0
-    wrappers = wrappers.select(F.col("host").alias("_host"), F.struct("pages", "wrapper").alias("_wrapper"))
+    wrappers = wrappers.select(F.col("host").alias("_pw_host"), F.struct("pages", "wrapper").alias("_pw_wrapper"))
     wrappers = F.broadcast(wrappers) if size <= MAX_BROADCAST_BYTES else wrappers
-    met = pages.select(*kept, F.col(html).alias("_html"), host.alias("_host")).join(wrappers, "_host", "left").drop("_host")
+    met = pages.select(*kept, F.col(html).alias("_pw_html"), host.alias("_pw_host")).join(wrappers, "_pw_host", "left").drop("_pw_host")
     schema = T.StructType([*(f for f in pages.schema if f.name in kept), T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, found in zip(batch.column("_html").to_pylist(), batch.column("_wrapper").to_pylist(), strict=True):
+            for page, found in zip(batch.column("_pw_html").to_pylist(), batch.column("_pw_wrapper").to_pylist(), strict=True):
                 texts.append(extract(tree(page or ""), load(found["wrapper"]) if found else [], found["pages"] if found else 0))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, out])
 
