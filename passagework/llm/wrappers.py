@@ -199,10 +199,27 @@ def fold(items: list) -> list:
     return out
 
 
+def absorb(items: list, other: list) -> list:
+    """``items`` with each run that is one turn of a group of ``other`` made that group."""
+    for group in (x for x in other if x[0] == "g"):
+        inner, at, out = [key(x) for x in group[4]], 0, []
+        while at < len(items):
+            run = items[at : at + len(inner)]
+            if [key(x) for x in run] == inner:
+                out.append(["g", "", False, False, run])
+                at += len(inner)
+            else:
+                out.append(items[at])
+                at += 1
+        items = out
+    return items
+
+
 def merge(a: list, b: list) -> list:
     """The pattern of both sequences."""
     if a == b:
         return a
+    a, b = absorb(a, b), absorb(b, a)
     ka, kb = [key(x) for x in a], [key(x) for x in b]
     out: list = []
     for op, i, j, m, n in difflib.SequenceMatcher(None, ka, kb, autojunk=False).get_opcodes():
