@@ -121,4 +121,4 @@ def windows(c: Column, size: int, overlap: int) -> Column:
 
 def metric_key(c: Column) -> Column:
     """Prefixes of the evaluator dropped, ``@`` spelt out."""
-    return F.replace(F.replace(F.regexp_replace(c, "^val_", ""), F.lit("cosine_"), F.lit("")), F.lit("@"), F.lit("_at_"))
+    return F.replace(F.regexp_replace(F.regexp_replace(c, "^val_", ""), "^cosine_", ""), F.lit("@"), F.lit("_at_"))

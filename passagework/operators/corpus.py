@@ -37,17 +37,31 @@ def merge_corpora(*parts: DataFrame, key: str = "id", order: str = "pos") -> Dat
     return first_wins(union_ranked(*parts).where(F.col(key).isNotNull()), [key], ["src_rank", order]).drop("src_rank", order)
 
 
-def concat_groups(df: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
-    """Texts of a group in order, joined by blanks; a text that is already contained is skipped."""
-    texts = F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text])
-    joined = F.aggregate(
-        "_t",
-        F.lit(""),
-        lambda acc, x: F.when(x.isNull() | (x == "") | F.contains(acc, x), acc).when(acc == "", x).otherwise(F.concat(acc, F.lit(" "), x)),
-    )
+def concat_groups(df: DataFrame, keys: list[str], order: str, text: str, between: str = "\n") -> DataFrame:
+    """Stripped texts of a group in order, joined; a text that the ones before contain is skipped."""
+    texts = F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: X.py_strip(F.coalesce(x[text], F.lit(""))))
+    joined = F.aggregate("_t", F.lit(""), lambda acc, x: F.when((x == "") | F.contains(acc, x), acc).when(acc == "", x).otherwise(F.concat(acc, F.lit(between), x)))
     return df.groupBy(*keys).agg(texts.alias("_t")).select(*keys, joined.alias(text))
 
 
+def article_id(ident: Column, parent: Column) -> Column:
+    """The article that a passage belongs to: its parent, else its id without the last part; an id
+    without parts is its own."""
+    cut = F.regexp_replace(ident, "_[^_]*$", "")
+    return F.when(F.contains(ident, F.lit("_")), F.coalesce(F.nullif(parent, F.lit("")), cut)).otherwise(ident)
+
+
+def article_passages(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Passages merged by article; the first one's id and fields stand for it.
+
+    ``keys``: the label alone merges equal labels of different laws; add law_id to keep them apart.
+    """
+    rows = df.where(F.coalesce("article", F.lit("")) != "").withColumn("_a", article_id(F.col("id"), F.col("parent_id")))
+    first = rows.groupBy(*keys).agg(F.min(F.struct(order, "_a", "law_name", "effective_date")).alias("_f"))
+    merged = concat_groups(rows.select(*keys, order, "text"), keys, order, "text")
+    return merged.join(first, keys).select(*keys, F.col("_f._a").alias("id"), F.col("_f.law_name").alias("law_name"), F.col("_f.effective_date").alias("effective_date"), "text")
+
+
 def text_hash(text: Column) -> Column:
     return F.md5(X.collapse_ws(F.coalesce(text, F.lit(""))))
 

@@ -24,8 +24,24 @@ class TemplateMode(Enum):
         return cls.NONE if name.lower() == "none" else cls.BGE
 
 
+#: Fixed instructions of the BGE template.
+INSTRUCTIONS = {
+    "query": "Represent this sentence for searching relevant passages: ",
+    "passage": "Represent this sentence for retrieving relevant passages: ",
+}
+#: Fixed short names of public models.
+ALIASES = {
+    "bge-m3": "BAAI/bge-m3",
+    "bge-m3-ko": "dragonkue/BGE-m3-ko",
+    "ko-simcse": "jhgan/ko-sroberta-multitask",
+    "multilingual-minilm": "sentence-transformers/paraphrase-multilingual-MiniLM-L12-v2",
+    "multilingual-e5-small": "intfloat/multilingual-e5-small",
+}
+
+
 def template(c: Column, side: str, mode: TemplateMode = TemplateMode.BGE) -> Column:
-    return F.concat(F.lit(f"{side}: "), c) if mode is TemplateMode.BGE else c
+    """``c`` with the instruction of its side, "query" or "passage"."""
+    return F.concat(F.lit(INSTRUCTIONS[side]), c) if mode is TemplateMode.BGE else c
 
 
 class Encoder(Protocol):

@@ -41,6 +41,10 @@ def mean_pool(df: DataFrame, keys: list[str], vector: str, renormalize: bool = T
     return pooled.withColumn("_n", norm(F.col(vector))).withColumn(vector, F.when(F.col("_n") > 0, F.transform(vector, lambda x: x / F.col("_n"))).otherwise(F.col(vector))).drop("_n")
 
 
+def _matrix(rows: list) -> np.ndarray:
+    return np.array(rows, np.float64) if rows else np.zeros((0, 1))
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", doc_id: str = "doc_id", vector: str = "vector", normalize: bool = False, digits: int = 9) -> DataFrame:
     """query_id, doc_id, score, rank of the k nearest documents; ties by document id.
 
@@ -53,7 +57,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_
     for block in range(blocks):
         part = rows.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block) if blocks > 1 else rows
         held = part.collect()  # at most about QUERY_BLOCK rows
-        names, matrix = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.float64).reshape(len(held), -1)
+        names, matrix = np.array([r[0] for r in held], np.int64), _matrix([r[1] for r in held])
         if normalize and len(held):
             matrix = matrix / (np.linalg.norm(matrix, axis=1, keepdims=True) + 1e-8)
         shared = spark.sparkContext.broadcast((names, matrix))
@@ -91,7 +95,7 @@ def softmax_sums(queries: DataFrame, corpus: DataFrame, temperature: float, quer
     blocks, out = max(1, -(-queries.count() // QUERY_BLOCK)), None
     for block in range(blocks):
         held = (rows.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block) if blocks > 1 else rows).collect()
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held]), np.array([r[2] for r in held], np.float64).reshape(len(held), -1)))
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held]), _matrix([r[2] for r in held])))
 
         def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, labels, matrix = shared.value

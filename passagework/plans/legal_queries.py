@@ -7,8 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.operators import citations, legal, precedent_pairs
-from passagework.operators.corpus import merge_corpora
+from passagework.operators import citations, legal, precedent_pairs, reports
+from passagework.operators.corpus import article_passages, merge_corpora
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -100,3 +100,27 @@ def citation_pairs(spark, d):
 @query
 def search_responses(spark, d):
     return legal.search_rows(files(spark, "search"))
+
+
+@query
+def article_merge(spark, d):
+    laws = parts(spark)[0].withColumn("pos", F.struct("file", "rec_no", "a_pos", "p_pos", "i_pos"))
+    return article_passages(laws, ["law_id", "article"], "pos")
+
+
+@query
+def shape_census(spark, d):
+    return reports.shape_census(files(spark))
+
+
+@query
+def file_counts(spark, d):
+    laws, rules, _, chunks = parts(spark)
+    return reports.file_counts(files(spark), laws.select("file").unionAll(rules.select("file")).unionAll(chunks.select("file")))
+
+
+@query
+def passage_sources(spark, d):
+    laws, rules, _, chunks = parts(spark)
+    every = laws.select("id", "type").unionAll(rules.select("id", "type")).unionAll(chunks.select("id", "type"))
+    return every.groupBy(reports.passage_source(F.col("id"), F.col("type")).alias("source")).agg(F.count(F.lit(1)).alias("n"))

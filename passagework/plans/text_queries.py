@@ -40,7 +40,7 @@ def ws_normalize(spark, d):
     return docs(spark, d).select("doc_id", X.normalize_whitespace(F.col("text"), compose=False).alias("body"))
 
 
-@query()
+@query(f"SELECT doc_id, lower({BODY}) AS body FROM documents")
 def nfkc_fold(spark, d):
     return docs(spark, d).select("doc_id", X.normalize_text(F.col("text"), lower=True).alias("body"))
 
@@ -236,7 +236,17 @@ def type_counts(spark, d):
     return docs(spark, d).groupBy(F.coalesce(F.nullif("lang", F.lit("")), F.lit("unknown")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""WITH t AS (SELECT lang, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS t, length(text) AS c FROM documents),
+s AS (SELECT lang, count(*) AS n, sum(t)::BIGINT AS total_tokens, avg(t) AS avg_tokens, avg(c) AS avg_chars FROM t GROUP BY lang), b AS (SELECT avg_tokens AS base FROM s WHERE lang = 'en')
+SELECT lang, k, round(avg_tokens * k, 6) AS tokens, round((base - avg_tokens) * k, 6) AS saved, round(CASE WHEN base > 0 THEN (base - avg_tokens) / base * 100 ELSE 0 END, 6) AS saved_percent FROM s, b, (SELECT unnest([10, 20]) AS k)""")
+def chunk_token_saving(spark, d):
+    from passagework.operators import reports
+
+    stats = reports.chunk_tokens(docs(spark, d), "lang")
+    return S.rounded(reports.token_saving(stats, "lang", "en"), "tokens", "saved", "saved_percent")
+
+
+@query(r"""SELECT conv_id, list_reduce(list(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') ORDER BY turn), lambda a, x: CASE WHEN x = '' OR contains(a, x) THEN a WHEN a = '' THEN x ELSE a || chr(10) || x END, '') AS text FROM conversations GROUP BY conv_id""")
 def article_concat(spark, d):
     return K.concat_groups(table(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id"], "turn", "text")
 

@@ -94,7 +94,7 @@ def test_first_and_last_wins(spark):
 
 def test_concat_skips_contained(spark):
     df = spark.createDataFrame([("g", 1, "one two"), ("g", 2, "two"), ("g", 3, "three"), ("g", 4, None)], "k string, pos int, text string")
-    assert corpus.concat_groups(df, ["k"], "pos", "text").first()["text"] == "one two three"
+    assert corpus.concat_groups(df, ["k"], "pos", "text").first()["text"] == "one two\nthree"
 
 
 def test_numbers_and_positions(spark):
