@@ -62,3 +62,14 @@ def test_commands_end_to_end(spark, tmp_path, capsys):
     cli.main(["analyze-passages", "--corpus", f"{mid}/corpus"])
     cli.main(["analyze-pairs", "--pairs", f"{out}/pairs_train"])
     assert "accuracy" in capsys.readouterr().out
+
+
+def test_crawl_over_files(spark, tmp_path):
+    from passagework.sources.web import crawl
+
+    for page in (1, 2):
+        (tmp_path / f"s{page}.json").write_text(json.dumps({"total": 4, "prec": [{"ID": f"{page}1"}, {"ID": f"{page}2", "판결유형": "명령"}, {"ID": f"{page}3"}]}, ensure_ascii=False), encoding="utf-8")
+        (tmp_path / f"d{page}1.json").write_text(json.dumps({"PrecService": {"판례일련번호": f"{page}1", "판결유형": "판결", "사건명": "가"}}, ensure_ascii=False), encoding="utf-8")
+        (tmp_path / f"d{page}3.json").write_text(json.dumps({"판례일련번호": f"{page}3", "사건명": "나"}, ensure_ascii=False), encoding="utf-8")
+    found = crawl(spark, f"file://{tmp_path}/s{{page}}.json", f"file://{tmp_path}/d{{id}}.json", 1, 3, delay=0)
+    assert {(r["case_id"], r["title"]) for r in found.collect()} == {("000011", "가"), ("000021", "가")}
