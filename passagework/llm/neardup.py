@@ -39,7 +39,7 @@ from passagework.llm.common import batch_rows, materialise
 from passagework.llm.components import components
 
 COORDS = 64
-WINDOW, PART, BLOCK = 8, 256, 512
+WINDOW, PART, BLOCK, MASS = 8, 256, 512, 4000
 #: In lists of more than LONG classes FEW predecessors are enough: the closing step looks at the rest.
 LONG, FEW = 64, 3
 #: Ids of confirmed candidates are broadcast up to this number (8 bytes each).
@@ -112,9 +112,7 @@ def collisions(pairs: DataFrame, classes: DataFrame, agree: int) -> DataFrame:
 
 def full_sets(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     """cls, n and the bytes of the sorted set, for the classes of ``chosen`` (cls, doc)."""
-    small = chosen.count() <= MAX_BROADCAST
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    rows = rows.join(F.broadcast(chosen) if small else chosen, "doc")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).join(small(chosen), "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,6 +180,11 @@ def between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
+def small(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it has MAX_BROADCAST rows at most (of a few numbers each)."""
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST else table
+
+
 def closing(posted: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that long posting lists still hide between two components.
 
@@ -193,19 +196,22 @@ def closing(posted: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -
     placed = long.join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     cells = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("held"))
     family = cells.groupBy("token").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("held", "comp"))["comp"].alias("family")).where("kinds > 1")
-    strays = placed.join(family.select("token", "family"), "token").where("comp <> family").select("family", "cls", "comp").distinct()
+    family = small(materialise(family.select("token", "family"), "families"))
+    strays = placed.join(family, "token").where("comp <> family").select("family", "cls", "comp").distinct()
     strays = materialise(strays, "strays")
     if strays.isEmpty():
         return spark.createDataFrame([], "a long, b long")
-    met = strays.groupBy("family").agg(F.count(F.lit(1)).alias("strays"))
+    met = small(materialise(strays.groupBy("family").agg(F.count(F.lit(1)).alias("strays")), "met"))
     whole = comp.select(F.col("comp").alias("family"), F.col("node").alias("cls"), "comp").unionAll(met.select("family", F.col("family").alias("cls"), F.col("family").alias("comp")))
     held = whole.join(met.select("family"), "family", "left_semi").unionAll(strays).distinct()
-    counts = held.groupBy("family").agg(F.count(F.lit(1)).alias("members")).join(met, "family")
-    m_blocks, s_blocks = F.ceil(F.col("members") / BLOCK).cast("int"), F.ceil(F.col("strays") / BLOCK).cast("int")
-    # every block of strays meets every block of the family
-    held = held.join(sets.select("cls", "bytes"), "cls").join(counts, "family")
+    held = held.join(sets, "cls")
+    counts = small(materialise(held.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("mass")).join(met, "family"), "blocks"))
+    # blocks are bounded by sets and by shingles; every block of strays meets every block of the family
+    m_blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("mass") / (BLOCK * MASS))).cast("int")
+    s_blocks = F.least(F.col("strays"), F.greatest(F.ceil(F.col("strays") / BLOCK), F.ceil(F.col("mass") / (BLOCK * MASS)))).cast("int")
+    held = held.join(counts, "family")
     held = held.withColumn("m", F.pmod(F.xxhash64("cls"), m_blocks).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), s_blocks - 1)))
-    come = strays.join(sets.select("cls", "bytes"), "cls").join(counts, "family")
+    come = strays.join(sets, "cls").join(counts, "family")
     come = come.withColumn("s", F.pmod(F.xxhash64("cls"), s_blocks).cast("int")).withColumn("m", F.explode(F.sequence(F.lit(0), m_blocks - 1)))
     held = held.select("family", "m", "s", "cls", "comp", "bytes")
     come = come.select("family", "m", "s", F.col("cls").alias("stray"), F.col("comp").alias("own"), F.col("bytes").alias("data"))
