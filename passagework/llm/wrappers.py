@@ -10,8 +10,8 @@ items, each of them once, optional or repeated.
 * Two patterns are merged by aligning their item sequences (longest common runs of keys); what has
   no partner becomes optional, text that differs becomes a variable slot, elements merge inside.
 
-A host's wrapper is the merge of all its pages: batches merge first, then hosts' partial wrappers in
-MERGE_PARTS salted parts, then those.  Only the wrapper of a host, whose size depends on the variety
+A host's wrapper is the merge of all its pages: those of a task merge first, then hosts' partial
+wrappers in MERGE_PARTS salted parts, then those.  Only the wrapper of a host, whose size depends on the variety
 of its markup, is ever held, never its pages.
 
 With its wrapper a page is walked in parallel: items in boilerplate regions (navigation, headers,
@@ -42,7 +42,9 @@ from pyspark.sql import types as T
 from passagework.llm.common import batch_rows, materialise
 from passagework.llm.urls import parse as parse_url
 
-MIN_PAGES, MERGE_PARTS = 3, 16
+MIN_PAGES, MERGE_PARTS = 3, 256
+#: Hosts whose partial wrappers a task holds.
+HOSTS_AT_ONCE = 2_000
 #: Wrappers are broadcast up to so many bytes of JSON, else joined by host.
 MAX_BROADCAST_BYTES = 8_000_000
 
@@ -315,16 +317,21 @@ def load(wrapper: str) -> list:
 def infer(pages: DataFrame) -> DataFrame:
     """host, pages, wrapper (JSON) of ``pages`` (host, html)."""
 
+    def packed(held: dict[str, tuple[int, list]]) -> pa.RecordBatch:
+        texts = [json.dumps(w, ensure_ascii=False) for _, w in held.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([n for n, _ in held.values()], pa.int64()), pa.array(texts, pa.string())], ["host", "pages", "wrapper"])
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[int, list]] = {}
         for batch in batches:
-            held: dict[str, tuple[int, list]] = {}
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 found = fold(tree(page or ""))
                 n, known = held.get(host, (0, found))
                 held[host] = n + 1, merge(known, found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(held)), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([json.dumps(w, ensure_ascii=False) for _, w in held.values()])], ["host", "pages", "wrapper"]
-            )
+            if len(held) > HOSTS_AT_ONCE:
+                yield packed(held)
+                held = {}
+        yield packed(held)
 
     def whole(rows: pd.DataFrame) -> pd.DataFrame:
         wrapper = None
