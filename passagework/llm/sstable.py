@@ -56,7 +56,7 @@ LATIN_PIECE = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN_LETTER}]+| ?[0-9]+| ?[^\s{LATIN_LETTER}0-9]+|\s+(?!\S)|\s+"
 )
 LATIN = re.compile("[^\\x1c-\\x1f\\xb2\\xb3\\xb9\\xbc-\\xbe\\u0100-\\u200f\\u2028-\\u202f\\u205f-\\U0010ffff]*")
-CACHE_PIECES = 500_000
+CACHE_PIECES = 1_200_000
 
 
 @lru_cache(maxsize=2)
@@ -84,15 +84,18 @@ def learn(pieces: list[str], tokenizer, lengths: np.ndarray, known: dict[str, by
     Pieces that begin with a blank keep their borders when they are strung together, so they go in
     as one text; the bytes of its tokens say where each piece ends.  Others go in one by one.
     """
-    strung = [p for p in pieces if len(p) > 1 and p[0] == " " and p[1] != " " and not p[1].isspace()]
-    alone = [p for p in pieces if not (len(p) > 1 and p[0] == " " and p[1] != " " and not p[1].isspace())]
+    strung: list[str] = []
+    alone: list[str] = []
+    for p in pieces:
+        (strung if p[0] == " " and not p.isspace() else alone).append(p)
     for piece, coded in zip(alone, tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
         known[piece] = np.array(coded.ids, "<u4").tobytes()
     if strung:
         ids = np.array(tokenizer.encode_batch_fast(["".join(strung)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.searchsorted(np.cumsum(lengths[ids]), np.cumsum([len(p.encode()) for p in strung])) + 1
+        sizes = [len(p) if p.isascii() else len(p.encode()) for p in strung]
+        ends = (np.searchsorted(np.cumsum(lengths[ids]), np.cumsum(sizes)) + 1) * 4
         data, last = ids.tobytes(), 0
-        for piece, end in zip(strung, (ends * 4).tolist(), strict=True):
+        for piece, end in zip(strung, ends.tolist(), strict=True):
             known[piece] = data[last:end]
             last = end
 
