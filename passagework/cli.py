@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagework.cluster import ship
 from passagework.functions.stats import summary
 from passagework.operators import corpus, encode, legal, metrics, pairs, precedent_pairs, reports, vectors
 from passagework.sources import tables
@@ -79,6 +80,7 @@ def main(args: list[str] | None = None) -> None:
     add("analyze-pairs", ("--pairs", need))
     a = parser.parse_args(args)
     spark = SparkSession.builder.appName("passagework").getOrCreate()
+    ship(spark)
     if a.command == "preprocess":
         preprocess(spark, a.src, a.out, a.include_items, a.anchored)
     elif a.command == "merge":

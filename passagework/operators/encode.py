@@ -55,15 +55,25 @@ class Encoder(Protocol):
 class HashingEncoder:
     """Signed feature hashing of white-space words, normalised to length 1."""
 
-    def __init__(self, dims: int = 64):
-        self.dims = dims
+    def __init__(self, dims: int = 64, remember: int = 500_000):
+        self.dims, self.remember = dims, remember
+        self.places: dict[str, int] = {}
+
+    def place(self, word: str) -> int:
+        """Dimension of a word, as itself for +1 and as its complement for -1."""
+        h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little")
+        return h % self.dims if h >> 63 else ~(h % self.dims)
 
     def encode(self, texts: list[str]) -> np.ndarray:
+        if len(self.places) > self.remember:
+            self.places.clear()
+        split = [x.split() for x in texts]
+        for word in set().union(*split).difference(self.places):
+            self.places[word] = self.place(word)
+        at = np.fromiter((self.places[w] for words in split for w in words), np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(words) for words in split])
         out = np.zeros((len(texts), self.dims), np.float64)
-        for row, x in zip(out, texts, strict=True):
-            for word in x.split():
-                h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little")
-                row[h % self.dims] += 1.0 if h >> 63 else -1.0
+        np.add.at(out, (row, np.where(at < 0, ~at, at)), np.where(at < 0, -1.0, 1.0))
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norms, out=out, where=norms > 0)
 

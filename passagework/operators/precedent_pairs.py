@@ -27,7 +27,7 @@ def cited_negatives(cases: DataFrame, laws: DataFrame, n: int, seed: int = 42) -
     pool = laws.select("id", F.lit(None).cast("string").alias("parent_id"), "name")
     sizes = pool.groupBy("name").agg(F.count(F.lit(1)).alias("held"))
     refs = cases.select("case_id", "positives", F.posexplode(citations.citations(F.col("refs"))).alias("pos", "ref"))
-    cited = refs.groupBy("case_id", F.col("ref.law_name").alias("name")).agg(F.min("pos").alias("pos"))
+    cited = refs.groupBy("case_id", F.col("ref.law_name").alias("name")).agg(F.min("pos").alias("pos")).persist()
     most = cases.agg(F.max(F.size("positives"))).first()[0] or 0
     asked = cited.select(F.concat_ws("#", X.zfill(F.col("pos").cast("string"), 6), "case_id").alias("id"), F.lit(None).cast("string").alias("parent_id"), "name")
     first = ring(asked, pool, ["name"], n + most, 1, seed, "cited")
@@ -68,7 +68,7 @@ def precedent_pairs(fields: DataFrame, chunks: DataFrame, statutes: DataFrame, r
     numbers = chunks.groupBy("case_id").agg(F.count(F.lit(1)).alias("num_chunks"))
     held = held.join(first, "case_id", "left").join(numbers, "case_id", "left")
     outcome = F.when(F.col("query").isNull(), "no_query").otherwise(F.col("outcome"))
-    held = held.withColumn("outcome", outcome)
+    held = held.withColumn("outcome", outcome).persist()  # every branch below reads it
     laws = statutes.select("id", X.normalize_law_name(F.col("law_name")).alias("name")).unionByName(rules.select("id", X.py_strip(F.col("rule_name")).alias("name")))
     ok = held.where("outcome = 'ok'")
     back = held.where("outcome = 'no_matched_passage' and chunk is not null")

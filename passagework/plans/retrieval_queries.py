@@ -207,7 +207,7 @@ def retrieval_slice(spark, d):
     """
     body = passages(spark, d).select("id", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     cut = chunks.chunk_rows(body, F.col("text"), min_len=50).select("id", "doc_id", "chunk_no", "chunk", text_hash(F.col("chunk")).alias("hash"))
-    once = first_wins(cut, ["hash"], ["doc_id", "chunk_no"])
+    once = first_wins(cut, ["hash"], ["doc_id", "chunk_no"]).persist()  # read by both sides
     corpus = once.select((F.col("doc_id") * 1000 + F.col("chunk_no")).alias("doc_id"), "chunk")
     asking = once.where((F.col("chunk_no") == 2) & (F.col("doc_id") % 20 == 0))
     asked = asking.select((F.col("doc_id") * 1000 + F.col("chunk_no")).alias("query_id"), F.substring("chunk", 1, 120).alias("q"))
