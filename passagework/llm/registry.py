@@ -22,4 +22,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_warc": queries_clean.OP3_SQL,
     "op6_decontaminate": queries_clean.OP6_SQL,
+    "op9_near_duplicates": queries_near.OP9_SQL,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
