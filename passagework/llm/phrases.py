@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -162,6 +162,7 @@ def followed(docs: DataFrame, parts: int, doc_id: str = "doc_id", text: str = "t
     Splits come from approximate quantiles of the ids; the first rows of the parts (one id a part)
     are the only ones that are dealt twice, so nothing but one shuffle of the texts is needed.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ids = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("id"))
     splits = ids.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] if parts > 1 else []
@@ -179,7 +180,14 @@ def followed(docs: DataFrame, parts: int, doc_id: str = "doc_id", text: str = "t
         dealt = rows.withColumn("part", part).withColumn("to", F.explode(both)).select("doc", "text", "to.own", "to.part")
     dealt = dealt.withColumn("tie", F.xxhash64("text"))
     # what follows a part stands after its own rows, also where the last part is followed by the first
-    return dealt.repartition(max(1, parts), "part").sortWithinPartitions("part", F.desc("own"), F.asc_nulls_first("doc"), "tie")
+    return dealt.withColumn("at", _dealt(spark, F.col("part"), max(1, parts))).repartition(max(1, parts), "at").sortWithinPartitions("part", F.desc("own"), F.asc_nulls_first("doc"), "tie")
+
+
+def _dealt(spark: SparkSession, part: Column, parts: int) -> Column:
+    """A number for each part whose hash falls to a partition of its own, so that no two parts meet."""
+    tried = spark.range(40 * parts).select(F.col("id").cast("int").alias("k"))
+    found = {r["p"]: r["k"] for r in tried.groupBy(F.pmod(F.hash("k"), F.lit(parts)).alias("p")).agg(F.min("k").alias("k")).collect()}
+    return F.get(F.array(*[F.lit(found.get(p, p)) for p in range(parts)]), part)
 
 
 def _interval(value: Column, splits: list[int], low: int = 0) -> Column:
