@@ -1,4 +1,4 @@
-"""What executors need before Python functions of this package can run there."""
+"""What executors need before Python functions of this package can run there; cutting lineage."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -22,3 +22,16 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(root))
     context.addPyFile(archive)
     context._passagework_shipped = True
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the shared folder, so that plans built on it stay small.
+
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
+    machine) one of its own is made.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='passagework-')}")
+    return df.checkpoint()

@@ -18,17 +18,16 @@ def _take(found: DataFrame, n: int) -> DataFrame:
     return kept.groupBy("pair").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "cand"))), lambda x: x["cand"]).alias("hard_negatives"))
 
 
-def cited_negatives(cases: DataFrame, laws: DataFrame, n: int, seed: int = 42) -> DataFrame:
+def cited_negatives(cases: DataFrame, laws: DataFrame, n: int, most: int, seed: int = 42) -> DataFrame:
     """pair, hard_negatives.  Tier 1: other articles of the cited laws, in citation order; tier 2:
     laws that aren't cited; tier 3: anything.  Never a positive.
 
-    ``cases``: case_id, refs, positives.  ``laws``: id, name.
+    ``cases``: case_id, refs, positives (``most`` at most).  ``laws``: id, name.
     """
     pool = laws.select("id", F.lit(None).cast("string").alias("parent_id"), "name")
     sizes = pool.groupBy("name").agg(F.count(F.lit(1)).alias("held"))
     refs = cases.select("case_id", "positives", F.posexplode(citations.citations(F.col("refs"))).alias("pos", "ref"))
     cited = refs.groupBy("case_id", F.col("ref.law_name").alias("name")).agg(F.min("pos").alias("pos")).persist()
-    most = cases.agg(F.max(F.size("positives"))).first()[0] or 0
     asked = cited.select(F.concat_ws("#", X.zfill(F.col("pos").cast("string"), 6), "case_id").alias("id"), F.lit(None).cast("string").alias("parent_id"), "name")
     first = ring(asked, pool, ["name"], n + most, 1, seed, "cited")
     first = first.select(F.substring("pair", 8, 1000).alias("pair"), "cand", F.lit(1).alias("tier"), (F.substring("pair", 1, 6).cast("int") * 1_000_000 + F.col("step")).alias("step"))
@@ -72,7 +71,7 @@ def precedent_pairs(fields: DataFrame, chunks: DataFrame, statutes: DataFrame, r
     laws = statutes.select("id", X.normalize_law_name(F.col("law_name")).alias("name")).unionByName(rules.select("id", X.py_strip(F.col("rule_name")).alias("name")))
     ok = held.where("outcome = 'ok'")
     back = held.where("outcome = 'no_matched_passage' and chunk is not null")
-    negatives = cited_negatives(ok.select("case_id", "refs", "positives"), laws, n, seed).unionByName(fallback_negatives(back.select("case_id"), chunks.select("id", "case_id", "chunk_no"), n, seed))
+    negatives = cited_negatives(ok.select("case_id", "refs", "positives"), laws, n, max_positives, seed).unionByName(fallback_negatives(back.select("case_id"), chunks.select("id", "case_id", "chunk_no"), n, seed))
     out = held.join(negatives.withColumnRenamed("pair", "case_id"), "case_id", "left")
     none = F.array().cast("array<string>")
     fell_back = (F.col("outcome") == "no_matched_passage") & F.col("chunk").isNotNull()

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagework.cluster import cut
 from passagework.operators import citations, legal, precedent_pairs, reports
 from passagework.operators.corpus import article_passages, merge_corpora
 
@@ -91,7 +92,7 @@ def citation_parse(spark, d):
 
 @query
 def citation_pairs(spark, d):
-    laws, rules, fields, chunks = (p.persist() for p in parts(spark))  # each is used several times
+    laws, rules, fields, chunks = map(cut, parts(spark))  # each is used several times
     held = chunks.select("id", F.substring("parent_id", 6, 100).alias("case_id"), "chunk_no", "title")
     articles = rules.where("article is not null").select("id", "rule_name", "article")
     return precedent_pairs.precedent_pairs(fields, held, laws.select("id", "law_name", "article"), articles)
