@@ -16,8 +16,10 @@ of its markup, is ever held, never its pages.
 
 With its wrapper a page is walked in parallel: items in boilerplate regions (navigation, headers,
 footers, sidebars, notices, adverts, forms, comments, scripts, styles) are left out; where the page
-has article or main elements only those count, whole; elsewhere a slot that is the same constant on all
-pages of a host (MIN_PAGES at least) whose other slots vary is the template's, not the page's.
+has article or main elements only those count.  Of what is left a slot that is the same constant on all
+pages of a host (MIN_PAGES at least) whose other slots vary is the template's, not the page's; within
+article or main elements other slots of theirs must vary.  A constant folded into a repeated item with
+texts that differ is no slot of its own and stays.
 
 Null and empty html gives an empty text; a null or unparsable url is a host of its own name ''.
 Repeated pages get equal texts; null ids and further columns are kept; an empty table gives an empty
@@ -274,6 +276,14 @@ def varies(items: list, within: bool = False) -> bool:
     return any(not x[3] and ((x[1] is None) if x[0] == "t" else (x[0] == "g" or not outside(x[1], within)) and varies(x[4], within)) for x in items)
 
 
+def main_varies(items: list) -> bool:
+    """Whether any slot within an article or main element differs between pages."""
+    return any(
+        x[0] != "t" and not x[3] and (main_varies(x[4]) if x[0] == "g" else not outside(x[1], False) and (varies(x[4], True) if is_main(x[1]) else main_varies(x[4])))
+        for x in items
+    )
+
+
 def flat(items: list) -> list:
     return [y for x in items for y in (flat(x[4]) if x[0] == "g" else [x])]
 
@@ -281,7 +291,7 @@ def flat(items: list) -> list:
 def extract(page: list, wrapper: list, pages: int) -> str:
     """The page's main text."""
     only_main = has_main(page)
-    template = pages >= MIN_PAGES and varies(wrapper)
+    template = {within: pages >= MIN_PAGES and test(wrapper) for within, test in ((False, varies), (True, main_varies))}
     out: list[str] = []
 
     def walk(items: list, pattern: list, within: bool) -> None:
@@ -295,8 +305,8 @@ def extract(page: list, wrapper: list, pages: int) -> str:
                 found = keys.index(k) if k in keys else -1
             slot = slots[found] if found >= 0 else None
             if item[0] == "t":
-                constant = template and slot is not None and slot[1] == item[1] and not slot[2] and not slot[3]
-                if within or not (only_main or constant):
+                constant = template[within] and slot is not None and slot[1] == item[1] and not slot[2] and not slot[3]
+                if (within or not only_main) and not constant:
                     out.append(item[1])
                 at = found + 1 if found >= 0 else at
             elif not outside(item[1], within):

@@ -394,6 +394,18 @@ def test_main_text(spark):
     assert wrappers.main_texts(pages(spark, rows).limit(0)).count() == 0
 
 
+def test_main_text_wrapper_decides_within_articles(spark):
+    shell = "<body><nav>menu</nav><div>Page {0}</div><article><h1>{1}</h1><div>Read it in the app</div><p>{2}</p><div>All rights reserved</div></article>"
+    rows = [(i, f"http://a.x/{i}", shell.format(i, f"Head {i}", f"Body {i}.")) for i in range(4)]
+    rows += [(10 + i, f"http://b.x/{i}", shell.format(i, "Same", "Same body.")) for i in range(4)]  # nothing in the article varies
+    rows += [(20 + i, f"http://c.x/{i}", shell.format(i, f"Head {i}", f"Body {i}.")) for i in range(2)]  # too few pages
+    found = {r["page_id"]: r["text"] for r in wrappers.main_texts(pages(spark, rows)).collect()}
+    for i in range(4):
+        assert found[i] == f"Head {i} Body {i}."
+        assert found[10 + i] == "Same Read it in the app Same body. All rights reserved"
+    assert found[20] == "Head 0 Read it in the app Body 0. All rights reserved"
+
+
 def test_patterns_fold_and_align():
     first = wrappers.fold(wrappers.tree("<div><ul><li>a<li>b<li>c</ul><h2>x</h2><p>1</p><h2>y</h2><p>2</p></div>"))
     second = wrappers.fold(wrappers.tree("<div><ul><li>z</ul><hr><h2>x</h2><p>3</p></div>"))
