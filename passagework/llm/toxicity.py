@@ -6,11 +6,14 @@ match but don't break it.  Similarity to a landmark ``z`` is ``K(x, z) / K(z, z)
 FLOOR (what unrelated words reach), over the words of a sentence at its largest.  A text is the bag
 of its sentences: their similarities are summed, on a log scale.
 
-Landmarks are words and parts of words that occur in toxic labelled documents and hardly in others.
+Landmarks are the LANDMARKS best of the words and parts of words that occur in toxic labelled documents and hardly in others: in
+LEAST_COUNT toxic documents at least, or LEAST_SHARE of them where that is fewer.  They are drawn from words of 2 to 38 letters;
+longer runs are scored but give no landmarks.
 Similarities are whitened by the landmarks' own kernel matrix (Nystroem), a linear SVM with squared hinge loss is trained on the
 labelled bags of sentences and its margin is turned into a probability on rows it hasn't seen.
 
-Words: a mark for the start and then the runs of letters between white space; other characters within a word are left out, accents
+Words: a mark for the start and then the runs of letters between white space, with a mark for the end after two or three letters
+(else a short landmark would match all words that begin so); other characters within a word are left out, accents
 and case are folded, digits that stand for letters are read as such, and single letters that follow
 each other (``i d i o t``) make one word.  Most words can't reach FLOOR for any landmark, which a
 bound shows for all words of a batch at once; only the others are compared with the landmarks, so
@@ -40,11 +43,11 @@ from passagework.llm.common import batch_rows, materialise
 #: Documents that are learnt from, at most, and landmarks.
 SAMPLE, LANDMARKS = 8_000, 64
 DECAY, SPAN, FLOOR = 0.7, 5, 0.7
-#: Words with a landmark are found, for each toxic document, so often at least, and so many times likelier in those.
-LEAST_SHARE, LEAST_ODDS = 0.02, 6.0
+#: Landmarks are in so many toxic documents at least (or that share of them, if fewer), and so many times likelier in those.
+LEAST_COUNT, LEAST_SHARE, LEAST_ODDS = 5, 0.02, 6.0
 PART_LENGTHS = (4, 5, 6)
-#: Letters are 1-26; START stands before the first letter of each word.
-SPACE, STOP, START = 27, 28, 29
+#: Letters are 1-26; START stands before the first letter of each word, END after the last of a short one.
+SPACE, STOP, START, END = 27, 28, 29, 30
 STEPS = [(j, k, DECAY ** (k - 2)) for k in range(2, SPAN) for j in range(1, k)]
 
 
@@ -70,7 +73,7 @@ FOLD = _fold_table()
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Letters of all texts in one array, START of each word, and its sentence and text.
+    """Letters of all texts in one array with their marks, START of each word, and its sentence and text.
 
     A full stop within a word (``i.d.i.o.t``) is left out like other marks; one before white space
     or a line end closes the sentence.
@@ -95,8 +98,11 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     first = ~joined
     letters = codes[~gap]
     begin = (np.cumsum(ends - starts) - (ends - starts))[first]
-    letters = np.insert(letters, begin, START)
-    return letters, begin + np.arange(len(begin)), sentence_of[first], doc_of[first]
+    size = np.diff(np.append(begin, len(letters)))
+    short = (size == 2) | (size == 3)
+    closed = (begin + size)[short]
+    letters = np.insert(letters, np.concatenate([closed, begin]), np.repeat(np.array([END, START], np.uint8), [len(closed), len(begin)]))
+    return letters, begin + np.arange(len(begin)) + np.cumsum(short) - short, sentence_of[first], doc_of[first]
 
 
 def subsequences(codes: bytes) -> dict[int, float]:
@@ -248,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, calibrate: Column,
             letters, begin, _, doc = tokens(batch.column("text").to_pylist())
             data, ends = letters.tobytes(), np.append(begin[1:], len(letters)).tolist()
             label = batch.column("label").to_pylist()
-            for d, word in {(d, data[a:b]) for a, b, d in zip(begin.tolist(), ends, doc.tolist(), strict=True) if 4 < b - a < 40}:
+            for d, word in {(d, data[a:b]) for a, b, d in zip(begin.tolist(), ends, doc.tolist(), strict=True) if 3 < b - a < 40}:
                 (toxic if label[d] else clean)[word] += 1
         every = list(toxic.keys() | clean.keys())
         yield pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array([toxic[w] for w in every], pa.int64()), pa.array([clean[w] for w in every], pa.int64())], ["word", "toxic", "clean"])
@@ -263,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, calibrate: Column,
     part = F.explode(F.array_distinct(F.concat(F.array("word"), *map(cut, PART_LENGTHS)))).alias("part")
     by_part = by_word.select(part, "toxic", "clean").groupBy("part").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = (F.col("toxic") + 0.5) / (sizes[True] + 1) / ((F.col("clean") + 0.5) / (sizes[False] + 1))
-    told = by_part.where((F.col("toxic") >= LEAST_SHARE * sizes[True]) & (odds >= LEAST_ODDS)).orderBy(F.desc(F.col("toxic") * F.log(odds)), "part").limit(40 * LANDMARKS)
+    told = by_part.where((F.col("toxic") >= min(LEAST_COUNT, LEAST_SHARE * sizes[True])) & (odds >= LEAST_ODDS)).orderBy(F.desc(F.col("toxic") * F.log(odds)), "part").limit(40 * LANDMARKS)
     marks = landmarks([(bytes(r["part"]), r["toxic"], r["clean"]) for r in told.collect()], sizes[True], sizes[False])
     if not marks:
         return None

@@ -174,6 +174,24 @@ def test_toxicity_held_out(spark):
     assert toxicity.fit(empty(spark), labels, F.lit(True), F.lit(False)) is None
 
 
+def test_toxicity_learns_short_and_rare_insults(spark):
+    rare = [a + b + c + d + a + "q" for a in "vzxj" for b in "ou" for c in "kw" for d in "yiu"][:40]
+
+    def spoil(text, i):
+        words = text.split()
+        words.insert(7, "zq" if i % 3 == 0 else "vux" if i % 3 == 1 else rare[(i // 15) % 40])
+        return " ".join(words)
+
+    df, labels = labelled_docs(spark, spoil, 6000)
+    model = toxicity.fit(df, labels, ~part(4, 2), part(4, 1))
+    assert toxicity.START in model.marks[0] and {len(m) for m in model.marks} >= {4, 5}
+    scored = toxicity.score(df, model).join(labels, "doc_id").where(part(4, 2) & (F.col("toxic") == 1))
+    missed = scored.where(F.col("score") < 0.3).groupBy((F.col("doc_id") % 3).alias("kind")).count().collect()
+    assert not missed, missed
+    plain = model.score(["a quiet day by the sea", "zqarter and vuxed"])
+    assert (plain < 0.3).all()
+
+
 def test_toxicity_bound_loses_nothing(spark):
     marks = [bytes([toxicity.START, *(ord(c) - 96 for c in w)]) for w in INSULTS]
     model = toxicity.Model(marks, np.eye(3), np.ones(5))
