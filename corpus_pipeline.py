@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.llm import decontaminate, neardup, queries_score, queries_tokens
-from passagework.llm.common import shared_path, table
+from passagework.llm.common import shared_path, table, text_print
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,23 +27,28 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("score") < queries_score.THRESHOLD).select(COLUMNS)
 
 
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id and text are those of ``dropped`` (doc_id, print)."""
+    named = docs.withColumn("print", text_print(F.col("text")))
+    return named.join(dropped.select("doc_id", "print").distinct(), ["doc_id", "print"], "left_anti").drop("print")
+
+
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, 0.8): that of the smallest id.
 
     Rows that repeat an id and text come once, rows with a null id or without words stay.
     """
-    found = neardup.near_duplicates(docs)
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti")
+    found = neardup.near_duplicates(docs, prints=True)
+    dropped = found.where((F.col("doc_id") != F.col("component_id")) | (F.col("print") != F.col("component_print")))
+    kept = without(docs, dropped)
     named = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"])
     return named.unionByName(kept.where(F.col("doc_id").isNull())).select(COLUMNS)
 
 
 def cut_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of ten words of a benchmark item."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.where(F.col("n_hit") > 0).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(COLUMNS)
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), prints=True)
+    return without(docs, found.where(F.col("n_hit") > 0)).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,5 +56,10 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def text_print(text: Column) -> Column:
+    """Hash that tells texts under one identifier apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import ascii_lower, materialise
+from passagework.llm.common import ascii_lower, materialise, text_print
 
 #: Everything that isn't part of a word, after A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -72,10 +72,11 @@ def prefixes(wins: DataFrame, docs: DataFrame, size: int, max_broadcast: int) ->
     return wins.join(rare, "grams").select("prefix.key", "prefix.offset", "grams", "items")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = 10, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """Per document: words, words inside an occurring window, and the items whose windows occur."""
+def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = 10, max_broadcast: int = MAX_BROADCAST, prints: bool = False) -> DataFrame:
+    """Per document: words, words inside an occurring window, and the items whose windows occur;
+    with ``prints`` the hash of its text."""
     spark = docs.sparkSession
-    held = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("print"), words(F.col(text)).alias("ws"))
+    held = docs.select(F.col(doc_id).alias("doc"), text_print(F.col(text)).alias("print"), words(F.col(text)).alias("ws"))
     wins = materialise(windows(items, item_id, text, window), "windows")
     shape = wins.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("grams")).alias("least")).first()
     size = min(SHINGLE, shape["least"] or SHINGLE)
@@ -102,7 +103,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", ite
     )
     covered = F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1)))
     found = by_doc.select(
-        "doc", "copies", F.col("n").cast("long").alias("n_words"), F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("items"))).alias("items")
+        "doc", "print", "copies", F.col("n").cast("long").alias("n_words"), F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("items"))).alias("items")
     )
-    out = found.select(F.col("doc").alias(doc_id), "n_words", "n_hit", "items", "copies")
+    out = found.select(F.col("doc").alias(doc_id), "n_words", "n_hit", "items", *(["print"] if prints else []), "copies")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy", "copies")

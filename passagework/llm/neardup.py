@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.llm import shingles
-from passagework.llm.common import batch_rows, materialise
+from passagework.llm.common import batch_rows, materialise, text_print
 from passagework.llm.components import components
 
 COORDS = 64
@@ -62,7 +62,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """doc, number of shingles, class and tokens of each row (no tokens without words)."""
+    """doc, hash of the text, number of shingles, class and tokens of each row (no tokens without words)."""
     batch_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,9 +72,9 @@ def signatures(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame
                 sizes.append(len(hashes))
                 keys.append(shingles.set_key(hashes))
                 tokens.append(signature(hashes) if len(hashes) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["doc", "n", "cls", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("print"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["doc", "print", "n", "cls", "sig"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, "doc long, n long, cls long, sig array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc"), text_print(F.col(text)).alias("print"), F.col(text).alias("text")).mapInArrow(run, "doc long, print long, n long, cls long, sig array<long>")
 
 
 def near(n: Column | str, m: Column | str, percent: int) -> Column:
@@ -240,16 +240,19 @@ def closing(posted: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -
     return held.groupBy(*keys).cogroup(come.groupBy(*keys)).applyInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, agree: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, agree: int | None = None, prints: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id of each row (see above).
 
+    ``prints`` adds print and component_print, the hashes of the row's text and of the one text that
+    stands for its component: an id may be repeated with different texts.
+
     ``agree`` is the least number of collisions of a candidate; by default it lies five deviations
     below the mean for sets of similarity ``percent``.
     """
     s = percent / 100
     agree = agree or max(1, int(COORDS * s - 5.4 * (COORDS * s * (1 - s)) ** 0.5))
     rows = materialise(signatures(docs, doc_id, text, words), "signatures")
-    classes = rows.where("n > 0").groupBy("cls", "n").agg(F.min("doc").alias("doc"), F.first("sig").alias("sig"))
+    classes = rows.where("n > 0").groupBy("cls", "n").agg(F.min(F.when(F.col("doc").isNotNull(), F.struct("doc", "print"))).alias("least"), F.first("sig").alias("sig")).withColumn("doc", F.col("least.doc"))
     classes = materialise(classes, "classes")
     posted = materialise(postings(classes, agree), "postings")
     pairs = materialise(collisions(neighbours(posted, percent), classes, agree), "candidates")
@@ -265,12 +268,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     more = materialise(closing(posted, comp, sets, percent), "links-3")
     if not more.isEmpty():
         comp = components(links.unionAll(more))
-    named = classes.select("cls", "doc").join(comp.select(F.col("node").alias("cls"), "comp"), "cls")
-    least = named.groupBy("comp").agg(F.min("doc").alias("component"))
+    named = classes.select("cls", "least").join(comp.select(F.col("node").alias("cls"), "comp"), "cls")
+    least = named.groupBy("comp").agg(F.min("least").alias("component"))
     placed = named.join(least, "comp").select("cls", "component").unionAll(
-        classes.join(comp.select(F.col("node").alias("cls")), "cls", "left_anti").select("cls", F.col("doc").alias("component"))
+        classes.join(comp.select(F.col("node").alias("cls")), "cls", "left_anti").select("cls", F.col("least").alias("component"))
     )
     out = rows.join(placed, "cls", "left").select(
-        F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component_id")
+        F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component.doc")).otherwise(F.col("doc")).alias("component_id"),
+        *([F.col("print"), F.when(F.col("n") > 0, F.col("component.print")).otherwise(F.col("print")).alias("component_print")] if prints else [])
     )
     return out

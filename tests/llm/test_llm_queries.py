@@ -32,6 +32,19 @@ def test_near_duplicates_by_brute_force(spark, data):
     assert found == slow_components(rows, 4, 80)
 
 
+def test_stages_tell_texts_of_one_id_apart(spark, tmp_path):
+    prose = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(5)]
+    near = prose[0] + " more"
+    rows = [(1, prose[0]), (2, near), (2, prose[1]), (3, prose[2]), (3, prose[2] + " more"), (4, prose[3]), (5, None), (5, ""), (None, prose[4])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_distinct(spark, docs, "").collect()]
+    assert sorted(i for i, _ in kept if i) == [1, 2, 3, 4, 5, 5] and (2, prose[1]) in kept and (None, prose[4]) in kept
+    items = [(1, " ".join(prose[0].split()[5:20]))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = [(r["doc_id"], r["text"]) for r in corpus_pipeline.cut_benchmarks(spark, docs, str(tmp_path)).collect()]
+    assert len(clean) == len(rows) - 2 and not {(1, prose[0]), (2, near)} & set(clean) and (2, prose[1]) in clean
+
+
 def test_pipeline_by_brute_force(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     named = dict(corpus_pipeline.STAGES)
