@@ -1,15 +1,16 @@
-"""Command line: preprocess, merge, gen-data, validate, embed, eval, analyze-passages, analyze-pairs."""
+"""Command line: preprocess, merge, concat, gen-data, validate, embed, eval, failed, analyze-passages, analyze-pairs."""
 
 from __future__ import annotations
 
 import argparse
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.cluster import ship
+from passagework.cluster import cut, ship
 from passagework.functions.stats import summary
-from passagework.operators import corpus, encode, legal, metrics, pairs, precedent_pairs, reports, vectors
+from passagework.operators import citations, corpus, encode, evaluation, legal, metrics, pairs, precedent_pairs, reports
 from passagework.sources import tables
 
 PASSAGE = "id string, parent_id string, type string, law_id string, law_name string, rule_id string, rule_name string, article string, title string, effective_date string, appendix_no string, appendix_title string, source string, case_number string, court_name string, judgment_date string, headnote string, summary string, text string"
@@ -18,7 +19,7 @@ PAIR = "query_id string, query_text string, positive_passages array<string>, har
 
 def preprocess(spark: SparkSession, src: str, out: str, items: bool, anchored: bool = False) -> None:
     files, bad = tables.read_json_files(spark, src)
-    typed = legal.records(files)
+    typed = cut(legal.records(files))  # files are parsed once for all that is written
     laws = legal.statutes(typed.where("type = 'law'"), items, anchored)
     rules = legal.rule_passages(typed.where("type = 'admin'"))
     fields = legal.precedent_fields(typed.where("type = 'prec'"))
@@ -30,39 +31,56 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return tables.read_jsonl(spark, path, PASSAGE)
 
 
-def gen_data(spark: SparkSession, folder: str, out: str, n: int, max_positives: int, seed: int) -> DataFrame:
-    """Pairs of statutes, rules and precedents: first of equal queries, numbered, split, written."""
+def gen_data(spark: SparkSession, folder: str, out: str, n: int, max_positives: int, seed: int, cross: bool = True, rules_for_precedents: bool = True, mine: bool = True) -> DataFrame:
+    """Pairs of statutes, rules and precedents: cross positives, first of equal queries, numbered, split, written.
+
+    ``mine`` takes precedents' positives from what they cite (``prec_fields``), rules among it with
+    ``rules_for_precedents``; otherwise precedent passages stand for themselves and ``cross`` adds
+    the statutes that their text mentions.
+    """
     laws, rules = read(spark, f"{folder}/law"), read(spark, f"{folder}/admin")
-    fields = spark.read.json(f"{folder}/prec_fields")
-    chunks = spark.read.json(f"{folder}/prec").select("id", F.substring("parent_id", 6, 100).alias("case_id"), "chunk_no", "title")
     law_q = pairs.query_law(F.col("law_name"), F.col("article"), F.col("title"))
     rule_q = pairs.query_rule(F.col("rule_name"), F.col("article"), F.col("title"), F.col("appendix_title"))
-    own = [
+    found = [
         pairs.self_pairs(laws.withColumn("law_name", F.coalesce("law_name", F.lit(""))), law_q, "law_name", "law", n, seed),
         pairs.self_pairs(rules.withColumn("rule_name", F.coalesce("rule_name", F.lit(""))), rule_q, "rule_name", "admin", n, seed),
     ]
-    mined = precedent_pairs.precedent_pairs(fields, chunks, laws.select("id", "law_name", "article"), rules.where("article is not null").select("id", "rule_name", "article"), n, max_positives, seed)
-    mined = mined.where(F.size("positive_passages") > 0).select(F.col("case_id").alias("pair"), "query_text", "positive_passages", "hard_negatives", F.struct(F.col("meta.type").alias("type")).alias("meta"))
-    flat = [p.select("pair", "query_text", "positive_passages", "hard_negatives", F.struct(F.col("meta.type").alias("type")).alias("meta")) for p in own]
-    done = pairs.finish(corpus.union_ranked(*flat, mined), ["src_rank", "pair"]).drop("i", "src_rank", "pair")
+    if mine:
+        chunks = spark.read.json(f"{folder}/prec").select("id", F.substring("parent_id", 6, 100).alias("case_id"), "chunk_no", "title")
+        cited = rules.where("article is not null").select("id", "rule_name", "article")
+        mined = precedent_pairs.precedent_pairs(spark.read.json(f"{folder}/prec_fields"), chunks, laws.select("id", "law_name", "article"), cited if rules_for_precedents else cited.limit(0), n, max_positives, seed)
+        found.append(mined.where(F.size("positive_passages") > 0).withColumnRenamed("case_id", "pair"))
+    else:
+        own = pairs.precedent_self_pairs(read(spark, f"{folder}/prec"), n, seed)
+        if cross:
+            named = own.withColumnsRenamed({"pair": "query_id", "positive_passages": "positives"})
+            own = citations.cross_positives(named, laws.select("id", "law_name", "article")).withColumnsRenamed({"query_id": "pair", "positives": "positive_passages"})
+        found.append(own)
+    flat = [p.select("pair", "query_text", "positive_passages", "hard_negatives", F.struct(F.col("meta.type").alias("type")).alias("meta")) for p in found]
+    done = pairs.finish(corpus.union_ranked(*flat), ["src_rank", "pair"])
     for split in ("train", "valid", "test"):
-        tables.write_jsonl(done.where(F.col("split") == split).drop("split"), f"{out}/pairs_{split}")
-    tables.write_jsonl(done.where("split = 'valid'").drop("split"), f"{out}/pairs_eval")
+        tables.write_jsonl(done.where(F.col("split") == split).drop("split", "i", "src_rank", "pair"), f"{out}/pairs_{split}")
+    tables.write_jsonl(done.where("split = 'valid'").drop("split", "i", "src_rank", "pair"), f"{out}/pairs_eval")
     return done
 
 
-def evaluate(spark: SparkSession, passages: str, pair_path: str, ks: list[int], dims: int) -> DataFrame:
-    """k and every metric of the hashing encoder over a corpus and its pairs."""
+def report_validity(p: DataFrame, docs: DataFrame, key: str) -> None:
+    """Totals, what is wrong, histograms and samples of pairs."""
+    checked = cut(pairs.validated(p, docs, key))  # every report reads it
+    totals = pairs.validity(checked)
+    totals.show()
+    if totals.first()["invalid_share"] > 0.1:
+        print("more than a tenth of the pairs are invalid")
+    checked.select(F.explode("errors").alias("error")).groupBy("error").count().show()
+    pairs.histograms(checked).orderBy("measure", F.desc("n")).show(100, truncate=False)
+    pairs.samples(checked, key).show(100, truncate=60)
+
+
+def evaluate(spark: SparkSession, passages: str, pair_path: str, ks: list[int], dims: int, template: str = "bge") -> evaluation.Search:
+    """What the hashing encoder finds over a corpus for its pairs."""
     docs = corpus.last_wins(read(spark, passages).select("id", "text"), ["id"], ["text"])
-    asked = tables.read_jsonl(spark, pair_path, PAIR).where(F.size("positive_passages") > 0)
-    encoder = encode.HashingEncoder(dims)
-    c = encode.encode(docs.select(F.xxhash64("id").alias("doc_id"), encode.template(F.col("text"), "passage").alias("t")), F.col("t"), encoder)
-    q = encode.encode(asked.select(F.xxhash64("query_id").alias("query_id"), encode.template(F.col("query_text"), "query").alias("t"), "positive_passages"), F.col("t"), encoder)
-    wanted = q.select("query_id", F.explode(F.array_distinct("positive_passages")).alias("p")).select("query_id", F.xxhash64("p").alias("doc_id"), F.lit(True).alias("hit"))
-    found = vectors.top_k(q.select("query_id", "vector"), c.select("doc_id", "vector"), max(ks)).join(wanted, ["query_id", "doc_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    rows = metrics.per_query(found, wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rel")), ks)
-    names = ("accuracy", "precision", "recall", "mrr", "ndcg_full", "ndcg_first", "map_lib", "map_all")
-    return rows.groupBy("k").agg(*[F.avg(n).alias(n) for n in names]).orderBy("k")
+    asked = tables.read_jsonl(spark, pair_path, PAIR)
+    return evaluation.search(encode.HashingEncoder(dims), docs, asked, ks, encode.TemplateMode.of(template))
 
 
 def main(args: list[str] | None = None) -> None:
@@ -72,10 +90,13 @@ def main(args: list[str] | None = None) -> None:
     need = {"required": True}
     add("preprocess", ("--src", need), ("--out", need), ("--include-items", {"action": "store_true"}), ("--anchored", {"action": "store_true"}))
     add("merge", ("--inputs", need | {"nargs": "+"}), ("--out", need))
-    add("gen-data", ("--folder", need), ("--out", need), ("--hn-per-q", {"type": int, "default": 10}), ("--max-positives-per-prec", {"type": int, "default": 5}), ("--seed", {"type": int, "default": 42}))
+    flag = {"action": "store_true"}
+    add("gen-data", ("--folder", need), ("--out", need), ("--hn-per-q", {"type": int, "default": 2}), ("--max-positives-per-prec", {"type": int, "default": 5}), ("--seed", {"type": int, "default": 42}), ("--no-cross", flag), ("--use-admin-for-prec", flag), ("--prec-passages", flag))
+    add("concat", ("--inputs", need | {"nargs": "+"}), ("--out", need), ("--gzip", flag))
     add("validate", ("--corpus", need), ("--pairs", need))
-    add("embed", ("--input", need), ("--out", need), ("--type", {"choices": ["passage", "query"], "default": "passage"}), ("--id-field", {"default": "id"}), ("--text-field", {"default": "text"}), ("--dims", {"type": int, "default": 256}), ("--limit", {"type": int}))
-    add("eval", ("--passages", need), ("--pairs", need), ("--k-values", {"default": ""}), ("--dims", {"type": int, "default": 256}))
+    add("embed", ("--input", need), ("--out", need), ("--type", {"choices": ["passage", "query"], "default": "passage"}), ("--id-field", {"default": "id"}), ("--text-field", {"default": "text"}), ("--dims", {"type": int, "default": 256}), ("--limit", {"type": int}), ("--template", {"default": "bge"}), ("--max-words", {"type": int}), ("--npz", {"default": ""}))
+    add("eval", ("--passages", need), ("--pairs", need), ("--k-values", {"default": ""}), ("--dims", {"type": int, "default": 256}), ("--template", {"default": "bge"}), ("--detailed", flag), ("--report", {"default": ""}), ("--compare-dims", {"nargs": "+", "type": int}))
+    add("failed", ("--passages", need), ("--pairs", need), ("--k-values", {"default": ""}), ("--dims", {"type": int, "default": 256}))
     add("analyze-passages", ("--corpus", need), ("--min-text-length", {"type": int, "default": 10}))
     add("analyze-pairs", ("--pairs", need))
     a = parser.parse_args(args)
@@ -86,21 +107,39 @@ def main(args: list[str] | None = None) -> None:
     elif a.command == "merge":
         parts = [read(spark, p).withColumn("pos", F.monotonically_increasing_id()) for p in a.inputs]
         tables.write_jsonl(corpus.merge_corpora(*parts), a.out)
+    elif a.command == "concat":
+        tables.concat_jsonl(spark, a.inputs, a.out, a.gzip)
     elif a.command == "gen-data":
-        gen_data(spark, a.folder, a.out, a.hn_per_q, a.max_positives_per_prec, a.seed).groupBy("split").count().show()
+        done = gen_data(spark, a.folder, a.out, a.hn_per_q, a.max_positives_per_prec, a.seed, not a.no_cross, a.use_admin_for_prec, not a.prec_passages)
+        done.groupBy("split").count().show()
+        parts = [read(spark, f"{a.folder}/{name}").select("id") for name in ("law", "admin", "prec")]
+        report_validity(done.select("query_id", "query_text", "positive_passages", "hard_negatives", "meta"), corpus.union_ranked(*parts).select("id").distinct(), "query_id")
     elif a.command == "validate":
         p, docs = tables.read_jsonl(spark, a.pairs, PAIR), read(spark, a.corpus)
-        found = pairs.errors(F.col("query_id"), F.col("query_text"), F.col("positive_passages"), F.col("hard_negatives"))
+        found = pairs.structure_errors(F.col("query_id"), F.col("query_text"), F.col("positive_passages"), F.col("hard_negatives"))
         p.select(F.explode(found).alias("error")).groupBy("error").count().show()
         p.groupBy("query_id").count().where("count > 1").show()
         for column in ("positive_passages", "hard_negatives"):
             pairs.missing_ids(p, docs, column).show()
+        report_validity(p, docs, "query_id")
     elif a.command == "embed":
         rows = tables.corpus_texts(spark.read.json(a.input), a.id_field, a.text_field, a.limit)
-        coded = encode.encode(rows.withColumn("t", encode.template(F.col("text"), a.type)), F.col("t"), encode.HashingEncoder(a.dims))
+        coded = encode.encode(rows.withColumn("t", encode.template(F.col("text"), a.type, encode.TemplateMode.of(a.template))), F.col("t"), encode.HashingEncoder(a.dims), max_words=a.max_words)
         tables.write_embeddings(coded, a.out)
+        if a.npz:
+            tables.export_npz(spark.read.parquet(a.out), a.npz)
     elif a.command == "eval":
-        evaluate(spark, a.passages, a.pairs, metrics.parse_ks(a.k_values), a.dims).show()
+        ks = metrics.parse_ks(a.k_values)
+        if a.compare_dims:
+            text = evaluation.comparison_report({f"hashing-{n}": evaluate(spark, a.passages, a.pairs, ks, n, a.template) for n in a.compare_dims})
+        else:
+            found = evaluate(spark, a.passages, a.pairs, ks, a.dims, a.template)
+            text = evaluation.detailed_report(found) if a.detailed or a.report else reports.markdown([r.asDict() for r in found.means().collect()], "Evaluation")
+        print(text)
+        if a.report:
+            Path(a.report).write_text(text, encoding="utf-8")
+    elif a.command == "failed":
+        evaluate(spark, a.passages, a.pairs, metrics.parse_ks(a.k_values), a.dims).failed().orderBy("query_id").show(truncate=60)
     elif a.command == "analyze-passages":
         docs = read(spark, a.corpus)
         corpus.duplicate_summary(docs, min_len=a.min_text_length).show()

@@ -1,4 +1,4 @@
-"""What executors need before Python functions of this package can run there; cutting lineage."""
+"""What executors need before Python functions of this package can run there; the shared folder; cutting lineage."""
 
 from __future__ import annotations
 
@@ -24,14 +24,36 @@ def ship(spark: SparkSession) -> None:
     context._passagework_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the shared folder, so that plans built on it stay small.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) one of its own is made.
+    Only where that is unset and everything runs on one machine (``local`` masters) a folder of its
+    own is made; on a cluster the lack of the setting is an error, as other machines wouldn't see it.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    made = f"file://{tempfile.mkdtemp(prefix='passagework-')}"
+    context.setCheckpointDir(made)
+    return made
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the shared folder, so that plans built on it stay small."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='passagework-')}")
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores where its files make fewer tasks than that (a small table in one
+    row group); a table of more tasks than cores is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

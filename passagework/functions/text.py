@@ -2,7 +2,7 @@
 
 Java's ``\\s`` and ``trim`` know fewer characters than ``str.split`` and ``str.strip``, so the class
 is spelt out.  Everything here is a Column expression except ``nfkc``, for which Spark has no
-built-in: that is an Arrow UDF, skipped for texts that are plain ASCII.
+built-in: that is an Arrow UDF, to which texts of plain ASCII go as null and come back unread.
 """
 
 from __future__ import annotations
@@ -14,21 +14,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The white space of Python strings (fixed by Unicode), as a class and as a list.
 WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 @F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+    return texts.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
 def nfkc(c: Column) -> Column:
     """Compatibility composition (NFKC)."""
-    return _nfkc(c)
+    plain = F.octet_length(c) == F.char_length(c)
+    return F.when(plain, c).otherwise(_nfkc(F.when(~plain, c)))
 
 
 def py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def collapse_ws(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 TEXT_KEYS = ("조문내용", "항내용", "호내용", "내용", "text", "#text", "value")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def kind(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
@@ -37,17 +44,19 @@ def string(v: Column) -> Column:
 def members(v: Column) -> Column:
     """A list's members; a single value is a list of one, null an empty one."""
     none = F.array().cast("array<variant>")
-    return F.when(kind(v) == "VOID", none).when(is_array(v), F.coalesce(F.try_variant_get(v, "$", "array<variant>"), none)).otherwise(F.array(v))
+    return let(v, lambda x: F.when(kind(x) == "VOID", none).when(is_array(x), F.coalesce(F.try_variant_get(x, "$", "array<variant>"), none)).otherwise(F.array(x)))
 
 
 def truthy(v: Column) -> Column:
-    k = kind(v)
-    return ~(k.isin("VOID", "OBJECT<>", "ARRAY<VOID>") | (is_string(v) & (string(v) == "")) | (k.isin("BIGINT", "BOOLEAN") & string(v).isin("0", "false")))
+    def of(k: Column) -> Column:
+        return ~(k.isin("VOID", "OBJECT<>", "ARRAY<VOID>") | (k.isin("STRING", "BIGINT", "BOOLEAN") & F.concat_ws(":", k, string(v)).isin("STRING:", "BIGINT:0", "BOOLEAN:false")))
+
+    return let(kind(v), of)
 
 
 def pick(v: Column, *keys: str) -> Column:
     """The first member of ``keys`` that is neither absent nor empty."""
-    return F.coalesce(*[F.when(truthy(at(v, k)), at(v, k)) for k in keys], F.lit(None).cast("variant"))
+    return let(v, lambda x: F.coalesce(*[let(at(x, k), lambda y: F.when(truthy(y), y)) for k in keys], F.lit(None).cast("variant")))
 
 
 def text_at(v: Column, *keys: str) -> Column:
@@ -62,8 +71,11 @@ def _strings(values: Column) -> Column:
 def coerce_text(v: Column) -> Column:
     """A text of whatever comes: a string itself; of a list its strings; of an object the first of
     TEXT_KEYS that is a string, else all of its strings; otherwise ''."""
-    named = F.coalesce(*[F.when(is_string(at(v, k)), string(at(v, k))) for k in TEXT_KEYS])
-    every = _strings(F.map_values(F.try_variant_get(v, "$", "map<string,variant>")))
-    return F.coalesce(
-        F.when(is_string(v), string(v)).when(is_array(v), _strings(F.try_variant_get(v, "$", "array<variant>"))).when(is_object(v), F.coalesce(named, every)), F.lit("")
-    )
+
+    def of(x: Column) -> Column:
+        named = [let(at(x, k), lambda y: F.when(is_string(y), string(y))) for k in TEXT_KEYS]
+        every = _strings(F.map_values(F.try_variant_get(x, "$", "map<string,variant>")))
+        listed = _strings(F.try_variant_get(x, "$", "array<variant>"))
+        return F.coalesce(F.when(is_string(x), string(x)).when(is_array(x), listed).when(is_object(x), F.coalesce(*named, every)), F.lit(""))
+
+    return let(v, of)

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from passagework.functions import text as X
 
-# Fixed patterns of the citation grammar: a name, an article, and optionally a branch and paragraph.
-_NUMBERS = r"\s*제\s*([0-9]+)\s*조(?:의\s*([0-9]+))?(?:\s*제\s*([0-9]+)\s*항)?"
-LAW = r"([가-힣0-9\s]+(?:법|법률))" + _NUMBERS
-RULE = r"([가-힣0-9\s]+(?:규칙|고시|훈령|예규|지침|규정))" + _NUMBERS
-MENTION = r"([가-힣0-9\s]+법)\s*제\s*([0-9]+)\s*조"
+# The patterns of the citation grammar (a name, an article, optionally a branch and a paragraph).
+LAW = r"([가-힣A-Za-z0-9·\s]+(?:법|법률))\s*제?\s*([0-9]+)\s*조(?:\s*의\s*([0-9]+))?(?:\s*제?\s*([0-9]+)\s*항)?"
+RULE = r"([가-힣A-Za-z0-9·\s]+(?:규칙|고시|훈령|예규|지침|규정))\s*제?\s*([0-9]+)\s*조(?:\s*의\s*([0-9]+))?(?:\s*제?\s*([0-9]+)\s*항)?"
+MENTION = r"([가-힣A-Za-z0-9·\s]+법)\s*제?\s*([0-9]+)\s*조(?:\s*의\s*([0-9]+))?"
 ARTICLE = r"제\s*([0-9]+)\s*조"
 
 
@@ -33,9 +32,17 @@ def citations(text: Column) -> Column:
 
 
 def mentions(text: Column) -> Column:
+    """Statutes that a text mentions, from left to right: an array of (law_name, article_num)."""
     bare = F.coalesce(text, F.lit(""))
     names, numbers = (F.regexp_extract_all(bare, F.lit(MENTION), i) for i in (1, 2))
-    return F.transform(F.arrays_zip(names.alias("n"), numbers.alias("a")), lambda x: F.struct(X.py_strip(x["n"]).alias("law_name"), x["a"].alias("article_num")))
+    return F.transform(F.arrays_zip(names.alias("n"), numbers.alias("a")), lambda x: F.struct(X.one_line(x["n"], 80).alias("law_name"), x["a"].alias("article_num")))
+
+
+def parts_of(digits: Column) -> Column:
+    """Every distinct run of neighbouring digits, so that "contains" becomes an equality."""
+    n = F.length(digits)
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda a: F.transform(F.sequence(F.lit(1), n - a + 1), lambda k: F.substring(digits, a, k))))
+    return F.when(n > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
 def article_number(article: Column) -> Column:
@@ -70,8 +77,12 @@ def cited_passages(precedents: DataFrame, statutes: DataFrame, rules: DataFrame,
     laws = statutes.select(X.normalize_law_name(F.col("law_name")).alias("name"), article_number(F.col("article")).alias("article_num"), "id", F.lit("law").alias("type"))
     admin = rules.select(X.py_strip(F.col("rule_name")).alias("name"), article_number(F.col("article")).alias("article_num"), "id", F.lit("admin").alias("type"))
     target = laws.unionByName(admin).where("article_num is not null")
-    met = index_join(refs.withColumnRenamed("law_name", "name"), target, ["name", "article_num", "type"])
-    met = refine(met, ["case_id", "ref_pos"])
+    # what is cited is looked up once, however many cite it; no case needs more than ``max_positives`` of it
+    named = refs.withColumnRenamed("law_name", "name").withColumn("part", F.coalesce("paragraph", F.lit("")))
+    keys = ["name", "article_num", "type", "part"]
+    asked = named.select(*keys, "paragraph").distinct()
+    held = cap(refine(index_join(asked, target, keys[:3]), keys), keys, ["id"], max_positives).select(*keys, "id")
+    met = named.join(held, keys)
     hits = met.where("id is not null").groupBy("case_id", "id").agg(F.min("ref_pos").alias("ref_pos"))
     kept = cap(hits, ["case_id"], ["ref_pos", "id"], max_positives)
     lists = kept.groupBy("case_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ref_pos", "id"))), lambda x: x["id"]).alias("positives"))
@@ -88,10 +99,15 @@ def cited_passages(precedents: DataFrame, statutes: DataFrame, rules: DataFrame,
 def cross_positives(pairs: DataFrame, statutes: DataFrame, max_add: int = 2) -> DataFrame:
     """``pairs`` (query_id, source_text, positives) of precedents with statute passages that their
     text mentions: equal trimmed name, and the article's digits contain the number.  The cap counts
-    before duplicates are dropped."""
+    before duplicates are dropped.
+
+    A name and number needs no more than ``max_add`` passages, so the statutes are cut to these
+    first: a law that every text mentions is met a few times a mention, not once a passage.
+    """
     asked = pairs.select("query_id", F.posexplode(mentions(F.col("source_text"))).alias("m_pos", "m")).select("query_id", "m_pos", "m.*")
-    held = statutes.select(X.py_strip(F.col("law_name")).alias("law_name"), F.regexp_replace("article", "[^0-9]", "").alias("digits"), "id")
-    met = asked.join(held, "law_name").where(F.contains("digits", "article_num"))
+    digits = F.regexp_replace(F.coalesce("article", F.lit("")), "[^0-9]", "")
+    held = statutes.select(X.py_strip(F.col("law_name")).alias("law_name"), F.explode(parts_of(digits)).alias("article_num"), "id").where("law_name <> ''")
+    met = asked.join(cap(held, ["law_name", "article_num"], ["id"], max_add), ["law_name", "article_num"])
     added = cap(met, ["query_id"], ["m_pos", "id"], max_add).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("m_pos", "id"))), lambda x: x["id"]).alias("added"))
     out = pairs.join(added, "query_id", "left")
     return out.withColumn("positives", F.array_distinct(F.concat("positives", F.coalesce("added", F.array().cast("array<string>"))))).drop("added")

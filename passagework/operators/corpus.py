@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.functions import text as X
@@ -67,13 +67,32 @@ def text_hash(text: Column) -> Column:
 
 
 def duplicate_groups(df: DataFrame, key: str, text: str = "text", top: int | None = None, ids: int = 1000) -> DataFrame:
-    """Groups of more than one equal text: size, least key and, for listed groups, their keys.
+    """Groups of more than one equal text: hash, size, least key, keys in order, a sample of the text.
 
-    Sizes come from an aggregate; keys are gathered only for the ``top`` groups that are listed.
+    Sizes come from an aggregate that is combined before the shuffle.  With ``top`` only the largest
+    groups are listed and their keys gathered, ``ids`` of each at most; without it the keys are left
+    out, for ``duplicate_members`` to give as rows.
     """
-    named = df.select(F.col(key).alias("key"), text_hash(F.col(text)).alias("hash"), X.collapse_ws(F.coalesce(text, F.lit(""))).alias("body")).where("body <> ''")
-    sizes = named.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key")).where("n > 1")
-    return sizes.orderBy(F.desc("n"), "first_key").limit(top) if top else sizes
+    named = _bodies(df, key, text)
+    sizes = named.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key"), F.min("sample").alias("sample")).where("n > 1")
+    if not top:
+        return sizes
+    listed = sizes.orderBy(F.desc("n"), "first_key").limit(top)
+    members = named.join(F.broadcast(listed.select("hash")), "hash", "left_semi").select("hash", "key")  # ``top`` rows
+    first = members.withColumn("_r", F.row_number().over(Window.partitionBy("hash").orderBy("key"))).where(F.col("_r") <= ids)
+    keys = first.groupBy("hash").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    return listed.join(keys, "hash").select("hash", "n", "first_key", "keys", "sample").orderBy(F.desc("n"), "first_key")
+
+
+def duplicate_members(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """hash and key of every row whose text occurs more than once."""
+    named = _bodies(df, key, text)
+    return named.select("hash", "key").join(duplicate_groups(df, key, text).select("hash"), "hash", "left_semi")
+
+
+def _bodies(df: DataFrame, key: str, text: str) -> DataFrame:
+    body = X.collapse_ws(F.coalesce(text, F.lit("")))
+    return df.select(F.col(key).alias("key"), body.alias("body")).where("body <> ''").select("key", F.md5("body").alias("hash"), X.ellipsis(F.col("body"), 200).alias("sample"))
 
 
 def duplicate_summary(df: DataFrame, text: str = "text", min_len: int = 10) -> DataFrame:

@@ -78,8 +78,8 @@ class HashingEncoder:
         return np.divide(out, norms, out=out, where=norms > 0)
 
 
-def encode(df: DataFrame, text: Column, encoder: Encoder, out: str = "vector", max_words: int | None = None, pool_long: bool = False) -> DataFrame:
-    """``df`` with ``out``, an array of floats.
+def encode(df: DataFrame, text: Column, encoder: Encoder, out: str = "vector", max_words: int | None = None, pool_long: bool = False, double: bool = False) -> DataFrame:
+    """``df`` with ``out``, an array of floats (or doubles).
 
     Texts of more than ``max_words`` words are cut; or, with ``pool_long``, encoded in parts whose
     mean is normalised again.  The encoder is made once a task.
@@ -104,6 +104,6 @@ def encode(df: DataFrame, text: Column, encoder: Encoder, out: str = "vector", m
             means = sums / np.maximum(counts, 1)[:, None]
             norms = np.linalg.norm(means, axis=1, keepdims=True)
             means = np.divide(means, norms, out=means, where=norms > 0)
-            yield pd.Series(list(means.astype(np.float32)))
+            yield pd.Series(list(means if double else means.astype(np.float32)))
 
-    return df.withColumn(out, F.pandas_udf(run, T.ArrayType(T.FloatType()))(text))
+    return df.withColumn(out, F.pandas_udf(run, T.ArrayType(T.DoubleType() if double else T.FloatType()))(text))

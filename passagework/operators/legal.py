@@ -142,9 +142,9 @@ def flatten_blocks(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: [] if x is None else _flatten(json.loads(x)))
 
 
-def lines_of(v: Column) -> Column:
-    """A string's lines, or the strings of nested lists."""
-    return F.when(V.is_string(v), F.split(V.string(v), LINE_END)).otherwise(F.coalesce(flatten_blocks(F.to_json(v)), F.array().cast("array<string>")))
+def lines_of(v: Column, raw: Column) -> Column:
+    """A string's lines, or the strings of nested lists; ``raw``, ``v`` as JSON, is a plain column."""
+    return F.when(V.is_string(v), F.split(V.string(v), LINE_END)).otherwise(F.coalesce(flatten_blocks(raw), F.array().cast("array<string>")))
 
 
 def rule_passages(rules: DataFrame, number_appendices: bool = False) -> DataFrame:
@@ -161,7 +161,9 @@ def rule_passages(rules: DataFrame, number_appendices: bool = False) -> DataFram
         V.text_at(info, "시행일자", "발령일자", "제정일자").alias("effective_date"), V.pick(service, "조문내용").alias("clauses"), V.at(service, "별표").alias("appx"),
     )
     named = ["file", "rec_no", "rule_id", "rule_name", "effective_date"]
-    lines = heads.withColumn("lines", lines_of(F.col("clauses"))).withColumn("lines", F.transform("lines", X.py_strip))
+    # what the Python function reads goes through an explode, so that it is a plain column
+    whole = heads.select(*named, F.explode(F.array(F.struct("clauses", F.to_json("clauses").alias("raw")))).alias("c"))
+    lines = whole.withColumn("lines", lines_of(F.col("c.clauses"), F.col("c.raw"))).withColumn("lines", F.transform("lines", X.py_strip))
     starts = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(HEADER), i)), lambda i: i.isNotNull())
     cut = lines.withColumn("starts", starts).select(*named, "lines", "starts", F.posexplode("starts").alias("k", "start"))
     head = F.get("lines", F.col("start"))
@@ -172,10 +174,12 @@ def rule_passages(rules: DataFrame, number_appendices: bool = False) -> DataFram
     articles = cut.select(*named, label.alias("article"), F.regexp_extract(head, HEADER, 2).alias("title"), body.alias("text"), F.col("k").alias("pos")).where("text <> ''")
     article_id = F.concat(F.lit("ADM_"), F.col("rule_id"), F.lit("_"), F.col("article"))
     articles = articles.select(article_id.alias("id"), article_id.alias("parent_id"), F.lit("행정규칙").alias("type"), "*")
-    x, u = F.col("x"), F.col("u")
+    x, u = F.col("x"), F.col("w.u")
     each = heads.select(*named, F.posexplode(V.members(F.col("appx"))).alias("x_pos", "x")).where(V.is_object(x))
-    units = each.select(*named, "x_pos", F.posexplode(V.members(F.coalesce(V.at(x, "별표단위"), x))).alias("u_pos", "u")).where(V.is_object(u))
-    parts = units.select(*named, "x_pos", "u_pos", V.text_at(u, "별표제목", "제목").alias("appendix_title"), V.text_at(u, "별표번호", "번호").alias("appendix_no"), V.text_at(u, "별표가지번호", "가지번호").alias("branch"), X.join_lines(flatten_blocks(F.to_json(V.pick(u, "별표내용", "내용")))).alias("text"))
+    # the content goes through the explode as text, so that the Python function reads a plain column
+    held = F.transform(V.members(F.coalesce(V.at(x, "별표단위"), x)), lambda y: F.struct(y.alias("u"), F.to_json(V.pick(y, "별표내용", "내용")).alias("raw")))
+    units = each.select(*named, "x_pos", F.posexplode(held).alias("u_pos", "w")).where(V.is_object(u))
+    parts = units.select(*named, "x_pos", "u_pos", V.text_at(u, "별표제목", "제목").alias("appendix_title"), V.text_at(u, "별표번호", "번호").alias("appendix_no"), V.text_at(u, "별표가지번호", "가지번호").alias("branch"), X.join_lines(flatten_blocks(F.col("w.raw"))).alias("text"))
     own = F.concat(F.col("appendix_no"), F.lit("-")) if number_appendices else F.lit("")
     parent = F.concat(F.lit("ADM_"), F.col("rule_id"), F.lit("_APPX_"), own, F.when(F.col("branch") != "", F.col("branch")).otherwise("0"))
     appendices = parts.where("text <> ''").select(F.concat(parent, F.lit("_1")).alias("id"), parent.alias("parent_id"), F.lit("행정규칙-별표").alias("type"), *named, "appendix_no", "appendix_title", "text", (F.lit(1_000_000) + F.col("x_pos") * 1000 + F.col("u_pos")).alias("pos"))

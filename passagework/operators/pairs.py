@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from passagework.functions import text as X
 from passagework.functions.order import hash_key, number_rows
 from passagework.operators.chunks import valid_passages
+from passagework.operators.citations import cap
 from passagework.operators.corpus import first_wins
 from passagework.operators.negatives import tiered
 
@@ -68,30 +69,90 @@ def self_pairs(passages: DataFrame, query: Column, group: str, kind: str, n: int
     return out.select("pair", "query_text", "positive_passages", F.coalesce("negatives", F.array().cast("array<string>")).alias("hard_negatives"), "meta")
 
 
+def precedent_self_pairs(passages: DataFrame, n: int, seed: int = 42, min_len: int = 50) -> DataFrame:
+    """Pairs of precedent passages, each its own positive, negatives of the same court first; keeps
+    ``source_text`` (what the passage says, 400 characters of one line), where statutes may be mentioned."""
+    held = passages.withColumn("court_name", F.coalesce("court_name", F.lit("")))
+    query = query_precedent_passage(F.col("title"), F.col("headnote"), F.col("summary"))
+    out = self_pairs(held, query, "court_name", "prec", n, seed, min_len)
+    said = F.concat_ws(" ", F.coalesce("headnote", F.lit("")), F.coalesce("summary", F.lit("")), F.coalesce("text", F.lit("")))
+    return out.join(held.select(F.col("id").alias("pair"), X.one_line(said, 400).alias("source_text")), "pair")
+
+
 def finish(pairs: DataFrame, order: list[str]) -> DataFrame:
     """First pair of each query text; ids ``Q_00001`` ... in order; split by number."""
     once = first_wins(pairs, ["query_text"], order)
     numbered = number_rows(once, *order, out="i")
-    return numbered.withColumn("query_id", F.concat(F.lit("Q_"), X.zfill(F.col("i").cast("string"), 5))).withColumn("split", split_of(F.col("i") - 1))
+    return numbered.withColumn("query_id", F.concat(F.lit("Q_"), X.zfill(F.col("i").cast("string"), 5))).withColumn("split", split_of(F.col("i")))
 
 
-def split_of(index: Column) -> Column:
-    at = F.pmod(index, F.lit(10))
+def split_of(number: Column) -> Column:
+    """By the last digit of a row's number (from 1): 8 valid, 9 test, else train."""
+    at = F.pmod(number, F.lit(10))
     return F.when(at == 8, "valid").when(at == 9, "test").otherwise("train")
 
 
-def errors(query_id: Column, query_text: Column, positives: Column, negatives: Column) -> Column:
-    """What is wrong with a pair, as an array of words."""
+def absent(pairs: DataFrame, corpus: DataFrame, column: str, key: str = "pair", ident: str = "id") -> DataFrame:
+    """key and ``absent``: the ids of ``column`` that the corpus lacks, in order."""
+    named = pairs.select(key, F.explode(column).alias(ident)).distinct()
+    return named.join(corpus.select(ident), ident, "left_anti").groupBy(key).agg(F.sort_array(F.collect_list(ident)).alias("absent"))
+
+
+def validated(pairs: DataFrame, corpus: DataFrame, key: str = "pair") -> DataFrame:
+    """``pairs`` with ``errors``, an array of words: query_text (empty), positive_passages (null or
+    empty), absent_positives and absent_negatives (ids that the corpus lacks) with these as
+    missing_positives and missing_negatives, the first three of each."""
+    out = pairs
+    for column, name in (("positive_passages", "missing_positives"), ("hard_negatives", "missing_negatives")):
+        found = absent(pairs, corpus, column, key).select(key, F.slice("absent", 1, 3).alias(name))
+        out = out.join(found, key, "left")
+    errors = F.array(
+        F.when(F.coalesce("query_text", F.lit("")) == "", "query_text"),
+        F.when(F.coalesce(F.size("positive_passages"), F.lit(0)) <= 0, "positive_passages"),
+        F.when(F.col("missing_positives").isNotNull(), "absent_positives"),
+        F.when(F.col("missing_negatives").isNotNull(), "absent_negatives"),
+    )
+    return out.withColumn("errors", F.filter(errors, lambda x: x.isNotNull()))
+
+
+def structure_errors(query_id: Column, query_text: Column, positives: Column, negatives: Column) -> Column:
+    """What a data set's rows may not lack, as an array of words."""
     found = F.array(
         F.when(F.coalesce(query_id, F.lit("")) == "", "query_id"),
         F.when(X.py_strip(F.coalesce(query_text, F.lit(""))) == "", "query_text"),
         F.when(F.coalesce(F.size(positives), F.lit(0)) <= 0, "positive_passages"),
-        F.when(negatives.isNull(), "hard_negatives"),
         F.when(F.size(F.array_intersect(positives, negatives)) > 0, "overlap"),
     )
     return F.filter(found, lambda x: x.isNotNull())
 
 
+def validity(checked: DataFrame) -> DataFrame:
+    """total, valid and invalid of ``validated`` pairs, and the share of invalid ones."""
+    bad = F.size("errors") > 0
+    out = checked.agg(F.count(F.lit(1)).alias("total"), F.count(F.when(~bad, 1)).alias("valid"), F.count(F.when(bad, 1)).alias("invalid"))
+    return out.withColumn("invalid_share", F.when(F.col("total") > 0, F.col("invalid") / F.col("total")).otherwise(0.0))
+
+
+def histograms(checked: DataFrame) -> DataFrame:
+    """measure (type, positives, negatives), value and n, over valid pairs."""
+    size = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("string")
+    rows = F.array(
+        F.struct(F.lit("type").alias("measure"), F.coalesce("meta.type", F.lit("unknown")).alias("value")),
+        F.struct(F.lit("positives").alias("measure"), size("positive_passages").alias("value")),
+        F.struct(F.lit("negatives").alias("measure"), size("hard_negatives").alias("value")),
+    )
+    return checked.where(F.size("errors") == 0).select(F.explode(rows).alias("r")).groupBy("r.measure", "r.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def samples(checked: DataFrame, key: str = "pair", valid: int = 5, invalid: int = 10) -> DataFrame:
+    """The first ``valid`` valid pairs of each type, with 5 positives and 3 negatives at most, and the
+    first ``invalid`` invalid ones with what is wrong with them."""
+    kind = F.coalesce("meta.type", F.lit("unknown"))
+    good = cap(checked.where(F.size("errors") == 0).withColumn("type", kind), ["type"], [key], valid)
+    bad = cap(checked.where(F.size("errors") > 0).withColumn("type", F.lit("invalid")), ["type"], [key], invalid)
+    return good.unionByName(bad).select(key, "type", X.short(F.col("query_text"), 100).alias("query_text"), F.slice("positive_passages", 1, 5).alias("positive_passages"), F.slice("hard_negatives", 1, 3).alias("hard_negatives"), "errors")
+
+
 def missing_ids(pairs: DataFrame, corpus: DataFrame, column: str = "positive_passages", key: str = "id") -> DataFrame:
     """Ids that pairs name and the corpus lacks, with how often."""
     named = pairs.select(F.explode(column).alias(key)).groupBy(key).agg(F.count(F.lit(1)).alias("times"))
@@ -115,6 +176,11 @@ def multiplied(rows: DataFrame, times: int, key: str, seed: int = 42) -> DataFra
     return again.withColumn("order_key", hash_key(seed, F.col(key), F.col("copy")))
 
 
+def first_batches(rows: DataFrame, batch: int, order: str = "order_key", batches: int = 100) -> DataFrame:
+    """The first rows in order, for a trial run: ``batches`` of ``batch``."""
+    return rows.orderBy(order).limit(batch * batches)
+
+
 def batch_plan(examples: int, batch: int, epochs: int) -> dict[str, int]:
     """Batch size, steps and warm-up of a training run."""
     size = max(1, min(batch, examples))

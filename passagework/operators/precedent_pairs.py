@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passagework.cluster import cut
 from passagework.functions import text as X
+from passagework.functions.order import digits_for
 from passagework.operators import citations
-from passagework.operators.negatives import ring
+from passagework.operators.negatives import ring, tiered_candidates
 from passagework.operators.pairs import query_precedent
 
 
@@ -19,25 +21,39 @@ def _take(found: DataFrame, n: int) -> DataFrame:
 
 
 def cited_negatives(cases: DataFrame, laws: DataFrame, n: int, most: int, seed: int = 42) -> DataFrame:
-    """pair, hard_negatives.  Tier 1: other articles of the cited laws, in citation order; tier 2:
-    laws that aren't cited; tier 3: anything.  Never a positive.
+    """pair, hard_negatives.  Tier 1: other articles of the cited laws, in citation order (an article
+    is barred where it is the only one of its law that the case cites); tier 2: passages of laws that
+    aren't cited; tier 3: whatever else the cited laws hold.  Never a positive.
 
-    ``cases``: case_id, refs, positives (``most`` at most).  ``laws``: id, name.
+    Tier 2 goes round a ring of names, not of passages, so that what a case looks at depends on how
+    many laws it cites and not on how long they are.  Where the tiers together don't hold ``n``,
+    nothing else is left.  ``cases``: case_id, refs, positives (``most`` at most).  ``laws``: id,
+    name, article_num.
     """
-    pool = laws.select("id", F.lit(None).cast("string").alias("parent_id"), "name")
-    sizes = pool.groupBy("name").agg(F.count(F.lit(1)).alias("held"))
-    refs = cases.select("case_id", "positives", F.posexplode(citations.citations(F.col("refs"))).alias("pos", "ref"))
-    cited = refs.groupBy("case_id", F.col("ref.law_name").alias("name")).agg(F.min("pos").alias("pos")).persist()
-    asked = cited.select(F.concat_ws("#", X.zfill(F.col("pos").cast("string"), 6), "case_id").alias("id"), F.lit(None).cast("string").alias("parent_id"), "name")
-    first = ring(asked, pool, ["name"], n + most, 1, seed, "cited")
-    first = first.select(F.substring("pair", 8, 1000).alias("pair"), "cand", F.lit(1).alias("tier"), (F.substring("pair", 1, 6).cast("int") * 1_000_000 + F.col("step")).alias("step"))
-    # the ring over all laws reaches past every passage of the cited ones
-    extra = cited.join(sizes, "name", "left").groupBy("case_id").agg(F.coalesce(F.sum("held"), F.lit(0)).alias("extra"))
-    rest = ring(extra.select(F.col("case_id").alias("id"), F.lit(None).cast("string").alias("parent_id"), "extra"), pool, [], 2 * n + most, 2, seed, "any", extra="extra")
-    named = rest.join(pool.select(F.col("id").alias("cand"), "name"), "cand").join(cited.select(F.col("case_id").alias("pair"), "name", F.lit(3).alias("also")), ["pair", "name"], "left")
-    rest = named.select("pair", "cand", F.coalesce("also", F.lit(2)).alias("tier"), "step")
+    article = F.concat_ws("#", "name", "article_num")
+    pool = laws.select("id", F.when(F.col("article_num").isNotNull(), article).alias("parent_id"), "name")
+    digits = digits_for(pool.count())
+    refs = cases.select("case_id", F.posexplode(citations.citations(F.col("refs"))).alias("pos", "ref")).select("case_id", "pos", F.col("ref.law_name").alias("name"), "ref.article_num")
+    only = F.when(F.min("article_num") == F.max("article_num"), F.concat_ws("#", "name", F.min("article_num")))
+    cited = cut(refs.groupBy("case_id", "name").agg(F.min("pos").alias("pos"), only.alias("only")))  # every branch below reads it
+
+    def named(asked: DataFrame, parent: Column) -> DataFrame:
+        return asked.select(F.concat_ws("#", X.zfill(F.col("pos").cast("string"), 6), "case_id").alias("id"), parent.alias("parent_id"), "name")
+
+    def in_order(found: DataFrame, tier: int) -> DataFrame:
+        """(pair, cand, tier, step) of candidates found for ``named`` rows, in the order of their ``pos``."""
+        return found.select(F.substring("pair", 8, 1000).alias("pair"), "cand", F.lit(tier).alias("tier"), (F.substring("pair", 1, 6).cast("int") * 1_000_000 + F.col("step")).alias("step"))
+
+    none = F.lit(None).cast("string")
+    first = in_order(tiered_candidates(named(cited, F.col("only")), pool, [["name"]], n + most, seed), 1)
+    names = pool.select(F.col("name").alias("id"), none.alias("parent_id")).distinct()
+    own = cited.groupBy("case_id").agg(F.count(F.lit(1)).alias("cites"))
+    others = ring(own.select(F.col("case_id").alias("id"), none.alias("parent_id"), "cites"), names, [], F.col("cites") + n, 2, seed, "others", digits)
+    others = others.select(F.col("pair").alias("case_id"), F.col("cand").alias("name"), F.col("step").alias("pos")).join(cited.select("case_id", "name"), ["case_id", "name"], "left_anti")
+    second = in_order(ring(named(others, none), pool, ["name"], n, 2, seed, "any", digits), 2)
+    third = in_order(ring(named(cited, none), pool, ["name"], n + most, 3, seed, "rest", digits), 3)
     barred = cases.select(F.col("case_id").alias("pair"), F.explode("positives").alias("cand"))
-    return _take(first.unionByName(rest).join(barred, ["pair", "cand"], "left_anti"), n)
+    return _take(first.unionByName(second).unionByName(third).join(barred, ["pair", "cand"], "left_anti"), n)
 
 
 def fallback_negatives(cases: DataFrame, chunks: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -46,12 +62,10 @@ def fallback_negatives(cases: DataFrame, chunks: DataFrame, n: int, seed: int =
     ``chunks``: id, case_id, chunk_no; the first chunk is the positive.
     """
     own = cases.select(F.col("case_id").alias("pair")).join(chunks.select(F.col("case_id").alias("pair"), F.col("id").alias("cand"), "chunk_no"), "pair")
-    own = own.where("chunk_no > 1").select("pair", "cand", F.lit(1).alias("tier"), F.col("chunk_no").cast("int").alias("step"))
+    own = own.where("chunk_no > 1").select("pair", "cand", F.lit(1).alias("tier"), F.col("chunk_no").cast("long").alias("step"))
     pool = chunks.select("id", F.col("case_id").alias("parent_id"))
-    family = pool.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    other = ring(cases.select(F.col("case_id").alias("id"), F.col("case_id").alias("parent_id")), pool, [], n + family, 2, seed, "fallback")
-    other = other.where(F.col("cand_parent") != F.col("pair")).select("pair", "cand", "tier", "step")
-    return _take(own.unionByName(other), n)
+    other = tiered_candidates(cases.select(F.col("case_id").alias("id"), F.col("case_id").alias("parent_id")), pool, [[]], n, seed)
+    return _take(own.unionByName(other.select("pair", "cand", F.lit(2).alias("tier"), "step")), n)
 
 
 def precedent_pairs(fields: DataFrame, chunks: DataFrame, statutes: DataFrame, rules: DataFrame, n: int = 2, max_positives: int = 5, seed: int = 42) -> DataFrame:
@@ -67,8 +81,9 @@ def precedent_pairs(fields: DataFrame, chunks: DataFrame, statutes: DataFrame, r
     numbers = chunks.groupBy("case_id").agg(F.count(F.lit(1)).alias("num_chunks"))
     held = held.join(first, "case_id", "left").join(numbers, "case_id", "left")
     outcome = F.when(F.col("query").isNull(), "no_query").otherwise(F.col("outcome"))
-    held = held.withColumn("outcome", outcome).persist()  # every branch below reads it
-    laws = statutes.select("id", X.normalize_law_name(F.col("law_name")).alias("name")).unionByName(rules.select("id", X.py_strip(F.col("rule_name")).alias("name")))
+    held = cut(held.withColumn("outcome", outcome))  # every branch below reads it
+    number = citations.article_number(F.col("article")).alias("article_num")
+    laws = statutes.select("id", X.normalize_law_name(F.col("law_name")).alias("name"), number).unionByName(rules.select("id", X.py_strip(F.col("rule_name")).alias("name"), number))
     ok = held.where("outcome = 'ok'")
     back = held.where("outcome = 'no_matched_passage' and chunk is not null")
     negatives = cited_negatives(ok.select("case_id", "refs", "positives"), laws, n, max_positives, seed).unionByName(fallback_negatives(back.select("case_id"), chunks.select("id", "case_id", "chunk_no"), n, seed))

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passagework.cluster import cut
+
 #: Query vectors that are held by every task at once; more are searched in blocks of this size.
 QUERY_BLOCK = 4096
+#: Documents that are multiplied with them at a time.
+DOCS_AT_ONCE = 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -45,74 +50,142 @@ def _matrix(rows: list) -> np.ndarray:
     return np.array(rows, np.float64) if rows else np.zeros((0, 1))
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", doc_id: str = "doc_id", vector: str = "vector", normalize: bool = False, digits: int = 9) -> DataFrame:
+def _blocks(queries: DataFrame, query_id: str) -> list[DataFrame]:
+    """The queries in parts of about QUERY_BLOCK rows."""
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    return [queries.where(F.pmod(F.xxhash64(query_id), F.lit(n)) == i) for i in range(n)] if n > 1 else [queries]
+
+
+def _names(values: list | pa.Array) -> np.ndarray:
+    """Ids as an array that sorts as Spark does: numbers, or strings by code point."""
+    if isinstance(values, pa.Array):
+        return values.to_numpy(zero_copy_only=False).astype(np.int64) if pa.types.is_integer(values.type) else np.array(values.to_pylist(), np.str_)
+    return np.array(values, np.str_ if values and isinstance(values[0], str) else np.int64)
+
+
+def _stacked(column: pa.Array, normalize: bool) -> np.ndarray:
+    values = np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
+    return values / (np.linalg.norm(values, axis=1, keepdims=True) + 1e-8) if normalize else values
+
+
+def _best(query: np.ndarray, doc: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of flat candidates the ``k`` of each query by score, then id."""
+    order = np.lexsort((doc, -score, query))
+    query, doc, score = query[order], doc[order], score[order]
+    first = np.searchsorted(query, query, "left")
+    keep = np.arange(len(query)) - first < k
+    return query[keep], doc[keep], score[keep]
+
+
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", doc_id: str = "doc_id", vector: str = "vector", normalize: bool = False, digits: int = 9, skip_own: bool = False) -> DataFrame:
     """query_id, doc_id, score, rank of the k nearest documents; ties by document id.
 
+    Ids are whole numbers or strings.  ``skip_own`` leaves out the document of the query's own id.
     The query set is taken in blocks that every task holds as one matrix; a task multiplies its
-    Arrow batches with it and keeps k of each query, then ranks are taken over the tasks' winners.
+    Arrow batches with it, DOCS_AT_ONCE rows at a time, and keeps k of each query, then ranks are
+    taken over the tasks' winners.  Where there are several blocks the corpus becomes a checkpoint
+    first, so that what made its vectors runs once.
     """
     spark = corpus.sparkSession
-    rows = queries.select(query_id, vector).orderBy(query_id)
-    blocks, out = max(1, -(-queries.count() // QUERY_BLOCK)), None
-    for block in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block) if blocks > 1 else rows
-        held = part.collect()  # at most about QUERY_BLOCK rows
-        names, matrix = np.array([r[0] for r in held], np.int64), _matrix([r[1] for r in held])
+    docs = corpus.select(F.col(doc_id).alias("d"), F.col(vector).alias("v"))
+    blocks = _blocks(queries.select(query_id, vector), query_id)
+    docs = cut(docs) if len(blocks) > 1 else docs
+    types = ["string" if t.typeName() == "string" else "long" for t in (queries.schema[query_id].dataType, corpus.schema[doc_id].dataType)]
+    out = []
+    for part in blocks:
+        held = part.collect()  # about QUERY_BLOCK rows
+        names, matrix = _names([r[0] for r in held]), _matrix([r[1] for r in held])
         if normalize and len(held):
             matrix = matrix / (np.linalg.norm(matrix, axis=1, keepdims=True) + 1e-8)
         shared = spark.sparkContext.broadcast((names, matrix))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, matrix = shared.value
-            best_s, best_d = np.full((len(names), 0), 0.0), np.zeros((len(names), 0), np.int64)
+            best: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+            least = np.full(len(names), -np.inf)  # a query's k-th score so far
             for batch in batches:
-                if not batch.num_rows or not len(names):
-                    continue
-                docs = batch.column("d").to_numpy(zero_copy_only=False).astype(np.int64)
-                values = np.stack(batch.column("v").to_numpy(zero_copy_only=False)).astype(np.float64)
-                if normalize:
-                    values = values / (np.linalg.norm(values, axis=1, keepdims=True) + 1e-8)
-                scores = np.concatenate([best_s, np.round(matrix @ values.T, digits)], axis=1)
-                docs = np.concatenate([best_d, np.broadcast_to(docs, (len(names), len(docs)))], axis=1)
-                order = np.lexsort((docs, -scores), axis=1)[:, :k]
-                best_s, best_d = np.take_along_axis(scores, order, 1), np.take_along_axis(docs, order, 1)
-            n = best_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(best_d.ravel()), pa.array(best_s.ravel())], ["q", "d", "s"])
-
-        found = corpus.select(F.col(doc_id).cast("long").alias("d"), F.col(vector).cast("array<float>").alias("v")).mapInArrow(search, "q long, d long, s double")
-        out = found if out is None else out.unionAll(found)
+                for at in range(0, batch.num_rows if len(names) else 0, DOCS_AT_ONCE):
+                    part = batch.slice(at, DOCS_AT_ONCE)
+                    docs = _names(part.column("d"))
+                    scores = np.round(matrix @ _stacked(part.column("v"), normalize).T, digits)
+                    if skip_own:
+                        scores[names[:, None] == docs[None, :]] = -np.inf
+                    bar = np.maximum(least, -np.partition(-scores, k - 1, axis=1)[:, k - 1]) if len(docs) > k else least
+                    q, d = np.nonzero((scores >= bar[:, None]) & np.isfinite(scores))
+                    new = q, docs[d], scores[q, d]
+                    best = _best(*new, k) if best is None else _best(*map(np.concatenate, zip(best, new, strict=True)), k)
+                    full = np.flatnonzero(np.bincount(best[0], minlength=len(names)) >= k)
+                    least[full] = best[2][np.searchsorted(best[0], full, "right") - 1]
+            if best is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(names[best[0]].tolist(), kinds[0]), pa.array(best[1].tolist(), kinds[1]), pa.array(best[2])], ["q", "d", "s"])
+
+        kinds = [pa.string() if t == "string" else pa.int64() for t in types]
+        out.append(docs.mapInArrow(search, f"q {types[0]}, d {types[1]}, s double"))
     by = Window.partitionBy("q").orderBy(F.desc("s"), "d")
-    ranked = out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    ranked = reduce(DataFrame.unionAll, out).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(query_id), F.col("d").alias(doc_id), F.col("s").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def softmax_sums(queries: DataFrame, corpus: DataFrame, temperature: float, query_id: str = "query_id", vector: str = "vector", label: str = "label") -> DataFrame:
-    """query_id, top and total: the largest ``score / temperature`` over all documents of another
-    label, and the sum of exp(score / temperature - top).  Blocks and tasks as in ``top_k``; a task
-    gives out one row a query."""
+def contrast_losses(queries: DataFrame, corpus: DataFrame, temperature: float, query_id: str = "query_id", doc_id: str = "doc_id", vector: str = "vector", label: str = "label") -> DataFrame:
+    """query_id, positives and loss: the cross-entropies, summed, of each document of the query's
+    label (but itself) against all documents of other labels.
+
+    Two passes in blocks as in ``top_k``: the first gives each query's log-sum of its negatives (a
+    row a query and task), the second adds up the terms of its positives (another such row).  With a
+    sample of the negatives as ``corpus`` in the first place the loss is the sampled one.  Queries
+    without negatives have none.
+    """
     spark = corpus.sparkSession
-    rows = queries.select(query_id, label, vector)
-    blocks, out = max(1, -(-queries.count() // QUERY_BLOCK)), None
-    for block in range(blocks):
-        held = (rows.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block) if blocks > 1 else rows).collect()
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held]), _matrix([r[2] for r in held])))
+    docs = cut(corpus.select(F.col(doc_id).cast("long").alias("d"), F.col(label).alias("l"), F.col(vector).alias("v")))  # two passes a block
+    out = []
+    for part in _blocks(queries.select(query_id, label, vector), query_id):
+        held = part.collect()  # about QUERY_BLOCK rows
+        if not held:
+            continue
+        own = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held]), _matrix([r[2] for r in held])
+        shared = spark.sparkContext.broadcast(own)
+
+        def scored(batches: Iterator[pa.RecordBatch], names: np.ndarray, labels: np.ndarray, matrix: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+                    part = batch.slice(at, DOCS_AT_ONCE)
+                    same = labels[:, None] == part.column("l").to_numpy(zero_copy_only=False)[None, :]
+                    itself = names[:, None] == part.column("d").to_numpy(zero_copy_only=False)[None, :]
+                    yield matrix @ _stacked(part.column("v"), False).T / temperature, same & ~itself, ~same
 
-        def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def negatives(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, labels, matrix = shared.value
-            top, total = np.full(len(names), -np.inf), np.zeros(len(names))
-            for batch in batches:
-                if not batch.num_rows or not len(names):
-                    continue
-                values = np.stack(batch.column("v").to_numpy(zero_copy_only=False)).astype(np.float64)
-                scores = np.where(labels[:, None] != batch.column("l").to_numpy(zero_copy_only=False)[None, :], matrix @ values.T / temperature, -np.inf)
-                new = np.maximum(top, scores.max(axis=1))
-                with np.errstate(invalid="ignore"):
-                    total = np.where(np.isfinite(new), total * np.exp(np.where(np.isfinite(top), top - new, -np.inf)) + np.exp(scores - np.where(np.isfinite(new), new, 0)[:, None]).sum(axis=1), 0)
-                top = new
-            some = np.isfinite(top)
-            yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(top[some]), pa.array(total[some])], ["q", "top", "total"])
-
-        found = corpus.select(F.col(label).alias("l"), F.col(vector).cast("array<float>").alias("v")).mapInArrow(add, "q long, top double, total double")
-        out = found if out is None else out.unionAll(found)
-    whole = out.groupBy("q").agg(F.max("top").alias("m"), F.collect_list(F.struct("top", "total")).alias("parts"))  # a row a task
-    return whole.select(F.col("q").alias(query_id), F.col("m").alias("top"), F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["total"] * F.exp(x["top"] - F.col("m"))).alias("total"))
+            total = np.full(len(names), -np.inf)
+            for scores, _, other in scored(batches, names, labels, matrix):
+                total = np.logaddexp(total, np.logaddexp.reduce(np.where(other, scores, -np.inf), axis=1))
+            some = np.isfinite(total)
+            yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(total[some])], ["q", "t"])
+
+        sums = docs.mapInArrow(negatives, "q long, t double").groupBy("q").agg(F.max("t").alias("top"), F.collect_list("t").alias("ts"))
+        sums = sums.select("q", (F.col("top") + F.log(F.aggregate("ts", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))))).alias("t"))
+        found = {r["q"]: r["t"] for r in sums.collect()}  # a row a query of the block
+        known = spark.sparkContext.broadcast(np.array([found.get(q, -np.inf) for q in own[0].tolist()]))
+
+        def positives(batches: Iterator[pa.RecordBatch], shared=shared, known=known) -> Iterator[pa.RecordBatch]:
+            names, labels, matrix = shared.value
+            count, loss = np.zeros(len(names), np.int64), np.zeros(len(names))
+            against = known.value[:, None]
+            for scores, same, _ in scored(batches, names, labels, matrix):
+                same = same & np.isfinite(against)
+                count += same.sum(axis=1)
+                loss += np.where(same, np.logaddexp(scores, against) - scores, 0.0).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(count), pa.array(loss)], ["q", "n", "loss"])
+
+        out.append(docs.mapInArrow(positives, "q long, n long, loss double"))
+    if not out:
+        return spark.createDataFrame([], f"`{query_id}` long, positives long, loss double")
+    return reduce(DataFrame.unionAll, out).groupBy(F.col("q").alias(query_id)).agg(F.sum("n").alias("positives"), F.sum("loss").alias("loss"))
+
+
+def label_means(queries: DataFrame, corpus: DataFrame, query_id: str = "query_id", vector: str = "vector", label: str = "label") -> DataFrame:
+    """query_id, positives, score_sum: over all documents of the query's label but itself.  The sum of
+    products with them is the product with their sum, so no pair is ever formed."""
+    sums = corpus.select(label, F.posexplode(vector).alias("_d", "_x")).groupBy(label, "_d").agg(F.sum(F.col("_x").cast("double")).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    whole = sums.groupBy(label).agg(F.transform(F.sort_array(F.collect_list(F.struct("_d", "_s"))), lambda x: x["_s"]).alias("_sum"), F.max("_n").alias("_n"))
+    met = queries.select(query_id, label, vector).join(whole, label)
+    return met.select(query_id, (F.col("_n") - 1).alias("positives"), (dot(F.col(vector), F.col("_sum")) - dot(F.col(vector), F.col(vector))).alias("score_sum"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagework.cluster import cut
 from passagework.functions import text as X
 from passagework.functions.order import hash_key
 from passagework.operators import citations, pairs
@@ -102,8 +103,8 @@ def index_join_refine(spark, d):
 @query("""SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE contains(CAST(l_partkey AS VARCHAR), substr(CAST(o_custkey AS VARCHAR), 1, 2))""")
 def theta_residual_join(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.substring(F.col("o_custkey").cast("string"), 1, 2).alias("num"))
-    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.col("l_partkey").cast("string").alias("digits"))
-    return o.join(l, "o_orderkey").where(F.contains("digits", "num")).select("o_orderkey", "l_linenumber")
+    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.explode(citations.parts_of(F.col("l_partkey").cast("string"))).alias("num"))
+    return o.join(l, ["o_orderkey", "num"]).select("o_orderkey", "l_linenumber")
 
 
 @query("""WITH h AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS ref_pos FROM lineitem GROUP BY ALL)
@@ -153,14 +154,14 @@ def query_templates(spark, d):
     return p.unionAll(s)
 
 
-_QT = r"substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 40)"
+_QT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 _PAIRS = f"{_ring_sql(['grp', ''])}, pr AS (SELECT p.id AS pair, doc_id, {_QT} AS query_text, grp, coalesce(negatives, []) AS hard FROM p LEFT JOIN neg ON p.id = neg.pair)"
 _NUMBERED = f"{_PAIRS}, o AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY query_text ORDER BY doc_id) = 1), f AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM o)"
 
 
 def built(spark: SparkSession, d: str) -> DataFrame:
     p = passages(spark, d)
-    rows = pairs.self_pairs(p, X.one_line(F.col("text"), 40), "grp", "doc", N, SEED)
+    rows = pairs.self_pairs(p, X.collapse_ws(F.col("text")), "grp", "doc", N, SEED)
     return rows.withColumn("doc_id", F.substring("pair", 5, 20).cast("long"))
 
 
@@ -171,51 +172,59 @@ def self_pairs(spark, d):
 
 @query(f"WITH {_PAIRS} SELECT query_text, min(doc_id) AS doc_id FROM pr GROUP BY query_text")
 def query_dedup_first(spark, d):
-    rows = pool(spark, d).select(X.one_line(F.col("text"), 40).alias("query_text"), "doc_id")
+    rows = pool(spark, d).select(X.collapse_ws(F.col("text")).alias("query_text"), "doc_id")
     return first_wins(rows, ["query_text"], ["doc_id"])
 
 
-@query(f"WITH {_NUMBERED} SELECT 'Q_' || CASE WHEN length(CAST(i AS VARCHAR)) < 5 THEN lpad(CAST(i AS VARCHAR), 5, '0') ELSE CAST(i AS VARCHAR) END AS query_id, pair, query_text, CASE (i - 1) % 10 WHEN 8 THEN 'valid' WHEN 9 THEN 'test' ELSE 'train' END AS split FROM f")
+@query(f"WITH {_NUMBERED} SELECT 'Q_' || CASE WHEN length(CAST(i AS VARCHAR)) < 5 THEN lpad(CAST(i AS VARCHAR), 5, '0') ELSE CAST(i AS VARCHAR) END AS query_id, pair, query_text, CASE i % 10 WHEN 8 THEN 'valid' WHEN 9 THEN 'test' ELSE 'train' END AS split FROM f")
 def make_pairs(spark, d):
     return pairs.finish(built(spark, d), ["doc_id"]).select("query_id", "pair", "query_text", "split")
 
 
-_BAD = f"""{_PAIRS}, v AS (SELECT CASE WHEN doc_id % 11 = 0 THEN '' ELSE pair END AS query_id, CASE WHEN doc_id % 13 = 0 THEN ' ' ELSE query_text END AS q, CASE WHEN doc_id % 7 = 0 THEN [] ELSE [pair] END AS pos, CASE WHEN doc_id % 5 = 0 THEN list_append(hard, pair) ELSE hard END AS neg, pair, grp FROM pr),
-e AS (SELECT *, list_filter([CASE WHEN query_id = '' THEN 'query_id' END, CASE WHEN trim(q) = '' THEN 'query_text' END, CASE WHEN len(pos) = 0 THEN 'positive_passages' END, CASE WHEN len(list_intersect(pos, neg)) > 0 THEN 'overlap' END], lambda x: x IS NOT NULL) AS errors FROM v)"""
+_BAD = f"""{_PAIRS}, v AS (SELECT pair, CASE WHEN doc_id % 13 = 0 THEN '' ELSE query_text END AS q, CASE WHEN doc_id % 7 = 0 THEN [] WHEN doc_id % 17 = 0 THEN [pair, 'GONE_' || pair] ELSE [pair] END AS pos,
+ CASE WHEN doc_id % 5 = 0 THEN list_append(hard, 'GONE_' || pair) ELSE hard END AS neg, grp FROM pr),
+e AS (SELECT *, list_filter(pos, lambda x: starts_with(x, 'GONE_')) AS mp, list_filter(neg, lambda x: starts_with(x, 'GONE_')) AS mn FROM v),
+x AS (SELECT *, list_filter([CASE WHEN q = '' THEN 'query_text' END, CASE WHEN len(pos) = 0 THEN 'positive_passages' END, CASE WHEN len(mp) > 0 THEN 'absent_positives' END, CASE WHEN len(mn) > 0 THEN 'absent_negatives' END], lambda x: x IS NOT NULL) AS errors FROM e)"""
 
 
 def broken(spark: SparkSession, d: str) -> DataFrame:
     """All pairs, some of them damaged by rule, to be found by the checks."""
     p = built(spark, d)
-    none = F.array().cast("array<string>")
+    none, gone = F.array().cast("array<string>"), F.concat(F.lit("GONE_"), F.col("pair"))
     return p.select(
-        F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.col("pair")).alias("query_id"),
-        F.when(F.col("doc_id") % 13 == 0, " ").otherwise(F.col("query_text")).alias("query_text"),
-        F.when(F.col("doc_id") % 7 == 0, none).otherwise(F.col("positive_passages")).alias("positive_passages"),
-        F.when(F.col("doc_id") % 5 == 0, F.array_append("hard_negatives", F.col("pair"))).otherwise(F.col("hard_negatives")).alias("hard_negatives"),
-        "pair", F.col("meta.group").alias("grp"),
+        "pair",
+        F.when(F.col("doc_id") % 13 == 0, "").otherwise(F.col("query_text")).alias("query_text"),
+        F.when(F.col("doc_id") % 7 == 0, none).when(F.col("doc_id") % 17 == 0, F.array_append("positive_passages", gone)).otherwise(F.col("positive_passages")).alias("positive_passages"),
+        F.when(F.col("doc_id") % 5 == 0, F.array_append("hard_negatives", gone)).otherwise(F.col("hard_negatives")).alias("hard_negatives"),
+        F.struct(F.col("meta.group").alias("type")).alias("meta"),
     )
 
 
 def checked(spark: SparkSession, d: str) -> DataFrame:
-    found = pairs.errors(F.col("query_id"), F.col("query_text"), F.col("positive_passages"), F.col("hard_negatives"))
-    return broken(spark, d).withColumn("errors", found)
+    return pairs.validated(cut(broken(spark, d)), passages(spark, d))  # read once a check
 
 
-@query(f"WITH {_BAD} SELECT pair, errors FROM e")
+@query(f"WITH {_BAD} SELECT pair, errors, CASE WHEN len(mp) > 0 THEN mp END AS missing_positives, CASE WHEN len(mn) > 0 THEN mn END AS missing_negatives FROM x")
 def pair_validate_rowwise(spark, d):
-    return checked(spark, d).select("pair", "errors")
+    return checked(spark, d).select("pair", "errors", "missing_positives", "missing_negatives")
 
 
-@query(f"WITH {_BAD} SELECT grp, count(*) AS total, count(*) FILTER (WHERE len(errors) = 0) AS valid, count(*) FILTER (WHERE len(errors) > 0) AS invalid FROM e GROUP BY grp")
-def pair_type_hist(spark, d):
-    bad = F.size("errors") > 0
-    return checked(spark, d).groupBy("grp").agg(F.count(F.lit(1)).alias("total"), F.count(F.when(~bad, 1)).alias("valid"), F.count(F.when(bad, 1)).alias("invalid"))
+@query(f"WITH {_BAD} SELECT count(*) AS total, count(*) FILTER (WHERE len(errors) = 0) AS valid, count(*) FILTER (WHERE len(errors) > 0) AS invalid, round(count(*) FILTER (WHERE len(errors) > 0) / count(*), 6) AS invalid_share FROM x")
+def pair_validity(spark, d):
+    return pairs.validity(checked(spark, d)).withColumn("invalid_share", F.round("invalid_share", 6))
 
 
-@query(f"WITH {_BAD} SELECT len(pos) AS positives, len(neg) AS negatives, count(*) AS n FROM e GROUP BY ALL")
-def pair_count_hist(spark, d):
-    return broken(spark, d).groupBy(F.size("positive_passages").cast("long").alias("positives"), F.size("hard_negatives").cast("long").alias("negatives")).agg(F.count(F.lit(1)).alias("n"))
+@query(f"""WITH {_BAD}, g AS (SELECT * FROM x WHERE len(errors) = 0) SELECT 'type' AS measure, grp AS value, count(*) AS n FROM g GROUP BY ALL
+UNION ALL SELECT 'positives', CAST(len(pos) AS VARCHAR), count(*) FROM g GROUP BY ALL UNION ALL SELECT 'negatives', CAST(len(neg) AS VARCHAR), count(*) FROM g GROUP BY ALL""")
+def pair_histograms(spark, d):
+    return pairs.histograms(checked(spark, d))
+
+
+@query(f"""WITH {_BAD}, g AS (SELECT *, CASE WHEN len(errors) = 0 THEN grp ELSE 'invalid' END AS type FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY pair) AS r FROM g)
+SELECT pair, type, trim(substr(q, 1, 100)) AS query_text, pos[1:5] AS positive_passages, neg[1:3] AS hard_negatives, errors FROM r WHERE r <= CASE WHEN type = 'invalid' THEN 10 ELSE 5 END""")
+def pair_samples(spark, d):
+    """A report: five valid pairs of each type, ten invalid ones."""
+    return pairs.samples(checked(spark, d)).withColumn("query_text", X.py_strip(F.col("query_text")))
 
 
 @query("""WITH n AS (SELECT 'DOC_' || doc_id AS id FROM labels UNION ALL SELECT 'DOC_' || (doc_id + 1000000) FROM labels)
@@ -225,6 +234,18 @@ def missing_ids_anti(spark, d):
     return pairs.missing_ids(l, passages(spark, d))
 
 
+@query(f"""WITH {_PAIRS}, v AS (SELECT pair, CASE WHEN doc_id % 11 = 0 THEN '' ELSE pair END AS i, CASE WHEN doc_id % 13 = 0 THEN ' ' ELSE query_text END AS q, CASE WHEN doc_id % 5 = 0 THEN list_append(hard, pair) ELSE hard END AS neg FROM pr)
+SELECT pair, list_filter([CASE WHEN i = '' THEN 'query_id' END, CASE WHEN trim(q) = '' THEN 'query_text' END, CASE WHEN list_contains(neg, pair) THEN 'overlap' END], lambda x: x IS NOT NULL) AS errors FROM v""")
+def pair_structure(spark, d):
+    """Rows damaged by rule, and what a data set's check says of them."""
+    p, at = built(spark, d), F.col("doc_id")
+    found = pairs.structure_errors(
+        F.when(at % 11 == 0, "").otherwise(F.col("pair")), F.when(at % 13 == 0, " ").otherwise(F.col("query_text")), F.col("positive_passages"),
+        F.when(at % 5 == 0, F.array_append("hard_negatives", F.col("pair"))).otherwise(F.col("hard_negatives")),
+    )
+    return p.select("pair", found.alias("errors"))
+
+
 @query("SELECT o_custkey AS query_id, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
 def dup_query_ids(spark, d):
     return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("query_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

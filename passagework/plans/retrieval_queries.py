@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from passagework.cluster import cut
 from passagework.functions.order import hash_key
 from passagework.functions.stats import summary
-from passagework.operators import chunks, encode, metrics, vectors
+from passagework.functions.text import count_tokens, length_bucket
+from passagework.operators import chunks, citations, encode, evaluation, metrics, vectors
 from passagework.operators.corpus import first_wins, text_hash
 from passagework.sources.tables import passages, table
 
@@ -27,14 +29,14 @@ def query(sql: str | None = None):
 
 
 def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Every tenth vector asks, the others are searched."""
+    """The vectors whose id is divisible by 20 ask, all are searched; none finds itself."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    return e.where("id % 10 = 0").withColumnRenamed("id", "query_id"), e.where("id % 10 <> 0").withColumnRenamed("id", "doc_id")
+    return e.where("id % 20 = 0").withColumnRenamed("id", "query_id"), e.withColumnRenamed("id", "doc_id")
 
 
-def ranked(spark: SparkSession, d: str, normalize: bool = False) -> DataFrame:
+def ranked(spark: SparkSession, d: str, normalize: bool = False, top: int = TOP) -> DataFrame:
     q, c = sides(spark, d)
-    found = vectors.top_k(q, c, TOP, normalize=normalize)
+    found = vectors.top_k(q, c, top, normalize=normalize, skip_own=True)
     labels = c.select("doc_id", F.col("label").alias("doc_label"))
     return found.join(q.select("query_id", "label"), "query_id").join(labels, "doc_id").withColumn("hit", F.col("label") == F.col("doc_label"))
 
@@ -42,21 +44,21 @@ def ranked(spark: SparkSession, d: str, normalize: bool = False) -> DataFrame:
 def relevant(spark: SparkSession, d: str) -> DataFrame:
     q, c = sides(spark, d)
     counts = c.groupBy("label").agg(F.count(F.lit(1)).alias("n_rel"))
-    return q.select("query_id", "label").join(counts, "label", "left").select("query_id", F.coalesce("n_rel", F.lit(0)).alias("n_rel"))
+    return q.select("query_id", "label").join(counts, "label").select("query_id", (F.col("n_rel") - 1).alias("n_rel"))
 
 
 def per_query(spark: SparkSession, d: str) -> DataFrame:
     return metrics.per_query(ranked(spark, d), relevant(spark, d), KS)
 
 
-_Q = """q AS (SELECT vec_id AS query_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 10 = 0),
-c AS (SELECT vec_id AS doc_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 10 <> 0)"""
+_Q = """q AS (SELECT vec_id AS query_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0),
+c AS (SELECT vec_id AS doc_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
 _SCORE = "round(list_dot_product(q.v, c.v), 9)"
 _NORM = "round(list_dot_product(q.v, c.v) / ((sqrt(list_dot_product(q.v, q.v)) + 1e-8) * (sqrt(list_dot_product(c.v, c.v)) + 1e-8)), 9)"
-_RANKED = f"""{_Q}, s AS (SELECT query_id, doc_id, {_SCORE} AS score, CAST(q.label = c.label AS INT) AS hit FROM q CROSS JOIN c),
+_RANKED = f"""{_Q}, s AS (SELECT query_id, doc_id, {_SCORE} AS score, CAST(q.label = c.label AS INT) AS hit FROM q JOIN c ON query_id <> doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= {TOP}),
 h AS (SELECT *, sum(hit) OVER (PARTITION BY query_id ORDER BY rank) AS cum FROM r),
-n AS (SELECT query_id, count(c.doc_id) AS n_rel FROM q LEFT JOIN c ON q.label = c.label GROUP BY query_id),
+n AS (SELECT query_id, count(c.doc_id) AS n_rel FROM q LEFT JOIN c ON q.label = c.label AND query_id <> doc_id GROUP BY query_id),
 m AS (SELECT h.query_id, k, any_value(n_rel) AS n_rel, CAST(coalesce(sum(hit) FILTER (WHERE rank <= k), 0) AS DOUBLE) AS hits, min(rank) FILTER (WHERE rank <= k AND hit = 1) AS first,
  coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rank <= k AND hit = 1), 0) AS dcg, coalesce(sum(cum / rank) FILTER (WHERE rank <= k AND hit = 1), 0) AS precisions
  FROM h JOIN n ON h.query_id = n.query_id CROSS JOIN (SELECT unnest([1, 3, 5, 10]) AS k) GROUP BY h.query_id, k),
@@ -68,13 +70,13 @@ p AS (SELECT query_id, k, first, n_rel, CAST(hits > 0 AS DOUBLE) AS accuracy, hi
 @query(f"WITH {_RANKED} SELECT query_id, doc_id, score, rank FROM r")
 def knn_topk_dot(spark, d):
     q, c = sides(spark, d)
-    return vectors.top_k(q, c, TOP)
+    return vectors.top_k(q, c, TOP, skip_own=True)
 
 
-@query(f"WITH {_Q}, s AS (SELECT query_id, doc_id, {_NORM} AS score FROM q CROSS JOIN c) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= {TOP}")
+@query(f"WITH {_Q}, s AS (SELECT query_id, doc_id, {_NORM} AS score FROM q JOIN c ON query_id <> doc_id) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= {TOP}")
 def knn_topk_cosine(spark, d):
     q, c = sides(spark, d)
-    return vectors.top_k(q, c, TOP, normalize=True)
+    return vectors.top_k(q, c, TOP, normalize=True, skip_own=True)
 
 
 def _metric(name: str, column: str) -> None:
@@ -89,12 +91,18 @@ for _name, _column in (("ir_hit_rate", "accuracy"), ("ir_precision", "precision"
     _metric(_name, _column)
 
 
-@query(f"WITH {_RANKED} SELECT query_id, list(doc_id ORDER BY rank) FILTER (WHERE rank <= 5) AS retrieved FROM h WHERE query_id IN (SELECT query_id FROM p WHERE k = 10 AND first IS NULL) GROUP BY query_id")
+@query(f"""WITH {_RANKED}, f AS (SELECT query_id FROM p WHERE k = 10 AND first IS NULL), w AS (SELECT query_id, list(doc_id ORDER BY doc_id)[1:5] AS positives FROM q JOIN c ON q.label = c.label AND query_id <> doc_id GROUP BY query_id)
+SELECT f.query_id, coalesce(any_value(positives), []) AS positives, list(doc_id ORDER BY rank) FILTER (WHERE rank <= 5) AS retrieved FROM f JOIN h ON f.query_id = h.query_id LEFT JOIN w ON f.query_id = w.query_id GROUP BY f.query_id""")
 def failed_queries(spark, d):
     rows = ranked(spark, d)
     missed = metrics.per_query(rows, relevant(spark, d), [10]).where("first is null").select("query_id")
-    top = rows.where("rank <= 5").join(missed, "query_id", "left_semi")
-    return top.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("retrieved"))
+    q, c = sides(spark, d)
+    # six of a label are enough for five besides the query itself
+    first = citations.cap(c.select("label", "doc_id"), ["label"], ["doc_id"], 6).groupBy("label").agg(F.sort_array(F.collect_list("doc_id")).alias("own"))
+    positives = F.slice(F.filter("own", lambda x: x != F.col("query_id")), 1, 5)
+    held = q.join(missed, "query_id", "left_semi").join(first, "label").select("query_id", positives.alias("positives"))
+    top = rows.where("rank <= 5").groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("retrieved"))
+    return held.join(top, "query_id")
 
 
 @query(f"WITH {_RANKED} SELECT label, round(avg(mrr), 9) AS mrr, round(avg(ndcg_first), 9) AS ndcg, round(avg(recall), 9) AS recall FROM p JOIN q USING (query_id) GROUP BY label")
@@ -103,11 +111,16 @@ def metrics_by_source(spark, d):
     return per_query(spark, d).join(own, "query_id").groupBy("label").agg(F.round(F.avg("mrr"), 9).alias("mrr"), F.round(F.avg("ndcg_first"), 9).alias("ndcg"), F.round(F.avg("recall"), 9).alias("recall"))
 
 
-@query(f"WITH {_RANKED} SELECT CASE WHEN n_rel < 10 THEN 'very_short' WHEN n_rel < 20 THEN 'short' WHEN n_rel < 50 THEN 'medium' WHEN n_rel < 100 THEN 'long' ELSE 'very_long' END AS bucket, round(avg(mrr), 9) AS mrr, round(avg(ndcg_first), 9) AS ndcg FROM p GROUP BY 1")
-def metrics_by_bucket(spark, d):
-    from passagework.functions.text import length_bucket
+_WORDS = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> ''))"
 
-    return per_query(spark, d).groupBy(length_bucket(F.col("n_rel")).alias("bucket")).agg(F.round(F.avg("mrr"), 9).alias("mrr"), F.round(F.avg("ndcg_first"), 9).alias("ndcg"))
+
+@query(f"""WITH {_RANKED}, t AS (SELECT doc_id AS query_id, {_WORDS} AS n FROM documents)
+SELECT CASE WHEN n < 10 THEN 'very_short' WHEN n < 20 THEN 'short' WHEN n < 50 THEN 'medium' WHEN n < 100 THEN 'long' ELSE 'very_long' END AS bucket, round(avg(mrr), 9) AS mrr, round(avg(ndcg_first), 9) AS ndcg FROM p JOIN t USING (query_id) GROUP BY 1""")
+def metrics_by_bucket(spark, d):
+    """By the words of the document of the query's id."""
+    words = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), count_tokens(F.col("text")).alias("n"))
+    rows = per_query(spark, d).join(words, "query_id")
+    return rows.groupBy(length_bucket(F.col("n")).alias("bucket")).agg(F.round(F.avg("mrr"), 9).alias("mrr"), F.round(F.avg("ndcg_first"), 9).alias("ndcg"))
 
 
 @query(f"WITH {_RANKED} SELECT count(*) AS n, min(recall) AS min, max(recall) AS max, round(avg(recall), 9) AS mean, round(median(recall), 9) AS median, round(coalesce(stddev_samp(recall), 0), 9) AS stdev FROM p WHERE k = 10")
@@ -117,28 +130,46 @@ def metric_distribution(spark, d):
     return out.select("n", "min", "max", *[F.round(c, 9).alias(c) for c in ("mean", "median", "stdev")])
 
 
-_LOSS = f"""WITH {_Q}, s AS (SELECT query_id, doc_id, list_dot_product(q.v, c.v) / 10 AS score, q.label = c.label AS hit FROM q CROSS JOIN c),
-pos AS (SELECT query_id, doc_id, score AS p FROM s WHERE hit QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY doc_id) = 1),
-x AS (SELECT pos.query_id, p, max(s.score) AS t FROM pos JOIN s ON pos.query_id = s.query_id WHERE NOT hit GROUP BY pos.query_id, p),
-y AS (SELECT x.query_id, p, greatest(p, t) AS m, sum(exp(s.score - greatest(p, t))) AS e FROM x JOIN s ON x.query_id = s.query_id WHERE NOT hit GROUP BY ALL)
-SELECT count(*) AS pairs, round(avg(m + ln(exp(p - m) + e) - p), 6) AS loss FROM y"""
+_LOSS = f"""WITH {_Q}, s AS (SELECT query_id, doc_id, list_dot_product(q.v, c.v) / 10 AS score, q.label = c.label AS hit FROM q JOIN c ON query_id <> doc_id),
+t AS (SELECT query_id, max(score) AS t FROM s WHERE NOT hit GROUP BY query_id), n AS (SELECT s.query_id, t, sum(exp(score - t)) AS e FROM s JOIN t ON s.query_id = t.query_id WHERE NOT hit GROUP BY ALL)
+SELECT count(*) AS pairs, round(avg(greatest(score, t) + ln(exp(score - greatest(score, t)) + e * exp(t - greatest(score, t))) - score), 6) AS loss FROM s JOIN n ON s.query_id = n.query_id WHERE hit"""
 
 
 @query(_LOSS)
 def val_loss(spark, d):
-    """Cross-entropy of each query's first positive against all documents of other labels, T = 10."""
+    """Cross-entropy of every (query, positive) against all documents of other labels, T = 10."""
     q, c = sides(spark, d)
-    first = q.join(c.groupBy("label").agg(F.min("doc_id").alias("doc_id")), "label").join(c.select("doc_id", F.col("vector").alias("v")), "doc_id")
-    positive = first.select("query_id", (vectors.dot(F.col("vector"), F.col("v")) / 10).alias("p"))
-    sums = positive.join(vectors.softmax_sums(q, c, 10.0), "query_id").withColumn("m", F.greatest("p", "top"))
-    loss = F.col("m") + F.log(F.exp(F.col("p") - F.col("m")) + F.col("total") * F.exp(F.col("top") - F.col("m"))) - F.col("p")
-    return sums.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(loss), 6).alias("loss"))
+    rows = vectors.contrast_losses(q, c, 10.0)
+    return rows.agg(F.sum("positives").alias("pairs"), F.round(F.sum("loss") / F.sum("positives"), 6).alias("loss"))
 
 
-@query(f"WITH {_RANKED} SELECT round(avg(score) FILTER (WHERE hit = 1), 6) AS pos_mean, round(avg(score) FILTER (WHERE hit = 0), 6) AS neg_mean, round(avg(score) FILTER (WHERE hit = 1) - avg(score) FILTER (WHERE hit = 0), 6) AS separation FROM r")
+_PLOT = f"""WITH {_Q}, s AS (SELECT query_id, doc_id, {_SCORE} AS score, list_dot_product(q.v, c.v) AS raw, CAST(q.label = c.label AS INT) AS hit FROM q JOIN c ON query_id <> doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s), w AS (SELECT query_id, sum(hit) AS m FROM s GROUP BY query_id),
+g AS (SELECT r.query_id, score, row_number() OVER (PARTITION BY r.query_id ORDER BY rank) AS place, m FROM r JOIN w ON r.query_id = w.query_id WHERE rank <= 100 AND hit = 0),
+x AS (SELECT 'positive' AS kind, raw AS score FROM s WHERE hit = 1 UNION ALL SELECT 'negative', score FROM g WHERE place <= greatest(m, 1))"""
+
+
+@query(f"{_PLOT} SELECT round(avg(score) FILTER (WHERE kind = 'positive'), 6) AS pos_mean, round(avg(score) FILTER (WHERE kind = 'negative'), 6) AS neg_mean, round(avg(score) FILTER (WHERE kind = 'positive') - avg(score) FILTER (WHERE kind = 'negative'), 6) AS separation FROM x")
 def pos_neg_separation(spark, d):
-    pos, neg = F.avg(F.when(F.col("hit"), F.col("score"))), F.avg(F.when(~F.col("hit"), F.col("score")))
-    return ranked(spark, d).agg(F.round(pos, 6).alias("pos_mean"), F.round(neg, 6).alias("neg_mean"), F.round(pos - neg, 6).alias("separation"))
+    """Over all pairs of equal label, and as many others of a query from its first 100."""
+    q, c = sides(spark, d)
+    sums = vectors.label_means(q, c)
+    found = ranked(spark, d, top=100).where(~F.col("hit"))
+    others = evaluation.balanced(found, sums.select("query_id", F.col("positives").alias("m")))
+    pos = sums.agg((F.sum("score_sum") / F.sum("positives")).alias("p"))
+    both = pos.crossJoin(others.agg(F.avg("score").alias("n")))  # one row each
+    return both.select(F.round("p", 6).alias("pos_mean"), F.round("n", 6).alias("neg_mean"), F.round(F.col("p") - F.col("n"), 6).alias("separation"))
+
+
+@query(f"""{_PLOT}, e AS (SELECT min(round(score, 6)) AS lo, max(round(score, 6)) AS hi FROM x)
+SELECT kind, CAST(CASE WHEN hi > lo THEN least(floor((round(score, 6) - lo) / (hi - lo) * 20), 19) ELSE 0 END + 1 AS INT) AS bin, count(*) AS n FROM x, e GROUP BY ALL""")
+def similarity_histogram(spark, d):
+    q, c = sides(spark, d)
+    wanted = q.select("query_id", "label").join(c.select("doc_id", "label"), "label").where("query_id <> doc_id").select("query_id", "doc_id")
+    others = evaluation.balanced(ranked(spark, d, top=100).where(~F.col("hit")), wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("m")))
+    positive = q.join(wanted, "query_id").join(c.select("doc_id", F.col("vector").alias("v")), "doc_id").select(F.lit("positive").alias("kind"), vectors.dot(F.col("vector"), F.col("v")).alias("score"))
+    rows = cut(positive.unionByName(others.select(F.lit("negative").alias("kind"), "score")).withColumn("score", F.round("score", 6)))
+    return evaluation.histogram(rows, "score", 20, "kind").select("kind", "bin", "n")
 
 
 @query("""WITH x AS (SELECT label, unnest(range(1, 65)) AS i, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT label, i, avg(v[i]) AS a FROM x GROUP BY label, i),
@@ -175,13 +206,13 @@ def topk_token_cost(spark, d):
     return rows.select("model", "k", F.round(F.col("tokens") * F.col("k"), 6).alias("context"), F.round((F.col("first") - F.col("tokens")) / F.col("first") * 100, 6).alias("saving"))
 
 
-@query(f"""WITH a AS (SELECT label, count(*) AS article FROM embeddings WHERE vec_id % 2 = 0 GROUP BY label), b AS (SELECT label, count(*) AS paragraph FROM embeddings WHERE vec_id % 3 = 0 GROUP BY label)
-SELECT coalesce(a.label, b.label) AS label, coalesce(article, 0) AS article, coalesce(paragraph, 0) AS paragraph FROM a FULL JOIN b ON a.label = b.label""")
+@query("""WITH a AS (SELECT c_nationkey AS unit, count(*) AS article FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS unit, count(*) AS paragraph FROM supplier GROUP BY 1)
+SELECT coalesce(a.unit, b.unit) AS unit, coalesce(article, 0) AS article, coalesce(paragraph, 0) AS paragraph FROM a FULL JOIN b ON a.unit = b.unit""")
 def granularity_full_outer(spark, d):
-    e = table(spark, d, "embeddings")
-    a = e.where("vec_id % 2 = 0").groupBy("label").agg(F.count(F.lit(1)).alias("article"))
-    b = e.where("vec_id % 3 = 0").groupBy("label").agg(F.count(F.lit(1)).alias("paragraph"))
-    return a.join(b, "label", "full").select("label", F.coalesce("article", F.lit(0)).alias("article"), F.coalesce("paragraph", F.lit(0)).alias("paragraph"))
+    """Customers and suppliers of a nation stand for a law's articles and paragraphs."""
+    a = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("unit")).agg(F.count(F.lit(1)).alias("article"))
+    b = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("unit")).agg(F.count(F.lit(1)).alias("paragraph"))
+    return a.join(b, "unit", "full").select("unit", F.coalesce("article", F.lit(0)).alias("article"), F.coalesce("paragraph", F.lit(0)).alias("paragraph"))
 
 
 @query("""WITH n AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) + 1e-8 AS l FROM n)
@@ -191,31 +222,52 @@ def l2_normalize_rows(spark, d):
     return rows.select("vec_id", F.round(vectors.dot(F.col("v"), F.col("v")), 6).alias("norm2"), F.round(F.get("v", F.lit(0)), 6).alias("first"))
 
 
-@query()
+def _coded_sql(texts: str, key: str, dims: int, part: int) -> str:
+    """SQL of the hashing encoder: ``texts`` (key, t) to c (key, v), parts of ``part`` words pooled."""
+    return f"""w AS (SELECT {key}, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM (SELECT {key}, list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '') AS ws FROM {texts})),
+h AS (SELECT {key}, i // {part} AS part, CAST('0x' || substr(md5(w), 1, 2) AS INT) % {dims} AS dim, CASE WHEN substr(md5(w), 15, 1) >= '8' THEN 1 ELSE -1 END AS sign FROM w),
+s AS (SELECT {key}, part, dim, CAST(sum(sign) AS DOUBLE) AS x FROM h GROUP BY ALL), sn AS (SELECT {key}, part, sqrt(sum(x * x)) AS norm FROM s GROUP BY ALL),
+m AS (SELECT s.{key}, dim, sum(CASE WHEN norm > 0 THEN x / norm ELSE 0 END) AS x FROM s JOIN sn ON s.{key} = sn.{key} AND s.part = sn.part GROUP BY ALL),
+mn AS (SELECT {key}, sqrt(sum(x * x)) AS norm FROM m GROUP BY ALL), coded AS (SELECT m.{key}, dim, CASE WHEN norm > 0 THEN x / norm ELSE 0 END AS x FROM m JOIN mn ON m.{key} = mn.{key})"""
+
+
+@query(f"""WITH t AS (SELECT doc_id, '{encode.INSTRUCTIONS["passage"]}' || coalesce(text, '') AS t FROM documents), {_coded_sql("t", "doc_id", 64, 256)}
+SELECT doc_id, dim, round(x, 6) AS x FROM coded WHERE round(x, 6) <> 0""")
 def hash_encode(spark, d):
+    """The dimensions that aren't 0."""
     rows = passages(spark, d).select("doc_id", encode.template(F.coalesce("text", F.lit("")), "passage").alias("t"))
-    coded = encode.encode(rows, F.col("t"), encode.HashingEncoder(64), max_words=256, pool_long=True)
-    return coded.select("doc_id", F.transform("vector", lambda x: F.round(x, 5)).alias("vector"))
+    coded = encode.encode(rows, F.col("t"), encode.HashingEncoder(64), max_words=256, pool_long=True, double=True)
+    return coded.select("doc_id", F.posexplode("vector").alias("dim", "x")).withColumn("x", F.round("x", 6)).where("x <> 0")
+
+
+_SLICE = rf"""WITH z AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), i AS (SELECT doc_id, text, unnest(range(0, greatest(0, CAST(ceil((length(text) - 200) / 1000) AS BIGINT) - 1) + 1)) AS k FROM z WHERE length(text) > 0),
+k AS (SELECT doc_id, k, substr(text, k * 1000 + 1, 1200) AS chunk FROM i), l AS (SELECT *, {_WORDS.replace("text", "chunk")} AS n_words FROM k WHERE length(trim(regexp_replace(chunk, '^\s+|\s+$', '', 'g'))) >= 50),
+o AS (SELECT *, row_number() OVER (PARTITION BY md5(trim(regexp_replace(chunk, '\s+', ' ', 'g'))) ORDER BY doc_id, k) AS r FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS k, chunk FROM l)),
+t AS (SELECT doc_id, doc_id || '#' || k AS id, chunk AS t FROM o WHERE r = 1), {_coded_sql("t", "id", 128, 1_000_000)},
+f AS (SELECT id, list(x ORDER BY dim) AS x, list(dim ORDER BY dim) AS dim FROM coded GROUP BY id), v AS (SELECT t.id, doc_id, list_transform(range(128), lambda j: CAST(coalesce(x[list_position(dim, j)], 0) AS FLOAT)) AS v FROM t JOIN f ON t.id = f.id),
+q AS (SELECT * FROM v WHERE doc_id % 20 = 0), g AS (SELECT q.id AS query_id, c.id AS found, round(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])), 9) AS score, q.doc_id = c.doc_id AS hit FROM q JOIN v c ON q.id <> c.id),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, found) AS rank FROM g QUALIFY rank <= 10),
+e AS (SELECT q.id AS query_id, k, min(rank) FILTER (WHERE hit AND rank <= k) AS first FROM q CROSS JOIN (SELECT unnest([1, 3, 5, 10]) AS k) LEFT JOIN b ON q.id = b.query_id GROUP BY ALL)
+SELECT k, count(*) AS queries, round(avg(CAST(first IS NOT NULL AS INT)), 6) AS hit_rate, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM e GROUP BY k"""
 
 
-@query()
+@query(_SLICE)
 def retrieval_slice(spark, d):
     """Documents, chunks, dedup, encoding, exact search and metrics, end to end.
 
-    Passages are the chunks of at least 50 characters, once each; every document whose id is
-    divisible by 20 asks with the first 120 characters of its second chunk.
+    Passages are the chunks of at least 50 characters, once each; every passage of a document whose
+    id is divisible by 20 asks, whole, for the other passages of its document.
     """
-    body = passages(spark, d).select("id", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cut = chunks.chunk_rows(body, F.col("text"), min_len=50).select("id", "doc_id", "chunk_no", "chunk", text_hash(F.col("chunk")).alias("hash"))
-    once = first_wins(cut, ["hash"], ["doc_id", "chunk_no"]).persist()  # read by both sides
-    corpus = once.select((F.col("doc_id") * 1000 + F.col("chunk_no")).alias("doc_id"), "chunk")
-    asking = once.where((F.col("chunk_no") == 2) & (F.col("doc_id") % 20 == 0))
-    asked = asking.select((F.col("doc_id") * 1000 + F.col("chunk_no")).alias("query_id"), F.substring("chunk", 1, 120).alias("q"))
-    encoder = encode.HashingEncoder(128)
-    q = encode.encode(asked, F.col("q"), encoder).select("query_id", "vector")
-    c = encode.encode(corpus, F.col("chunk"), encoder).select("doc_id", "vector")
-    found = vectors.top_k(q, c, 10).withColumn("hit", F.col("query_id") == F.col("doc_id"))
-    rows = metrics.per_query(found, q.select("query_id", F.lit(1).alias("n_rel")), [1, 3, 5, 10])
+    body = passages(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    cuts = chunks.chunk_rows(body, F.col("text"), min_len=50).select("doc_id", "chunk_no", "chunk", text_hash(F.col("chunk")).alias("hash"))
+    once = first_wins(cuts, ["hash"], ["doc_id", "chunk_no"])
+    coded = encode.encode(once, F.col("chunk"), encode.HashingEncoder(128))
+    c = cut(coded.select(F.concat_ws("#", "doc_id", "chunk_no").alias("id"), "doc_id", "vector"))  # both sides read it
+    q = c.where("doc_id % 20 = 0")
+    found = vectors.top_k(q.select(F.col("id").alias("query_id"), "vector"), c.select(F.col("id").alias("doc_id"), "vector"), 10, skip_own=True)
+    found = found.withColumn("hit", F.substring_index("query_id", "#", 1) == F.substring_index("doc_id", "#", 1))
+    sizes = q.groupBy("doc_id").agg((F.count(F.lit(1)) - 1).alias("n_rel"))
+    rows = metrics.per_query(found, q.join(sizes, "doc_id").select(F.col("id").alias("query_id"), "n_rel"), [1, 3, 5, 10])
     return rows.groupBy("k").agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("accuracy"), 6).alias("hit_rate"), F.round(F.avg("mrr"), 6).alias("mrr"))
 
 

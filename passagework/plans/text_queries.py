@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagework.cluster import spread
 from passagework.functions import order as O
 from passagework.functions import stats as S
 from passagework.functions import text as X
@@ -32,17 +33,19 @@ BODY = _WS.format("text")
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
 
 
 @query(f"SELECT doc_id, {BODY} AS body FROM documents")
 def ws_normalize(spark, d):
-    return docs(spark, d).select("doc_id", X.normalize_whitespace(F.col("text"), compose=False).alias("body"))
+    return docs(spark, d).select("doc_id", X.normalize_whitespace(F.col("text")).alias("body"))
 
 
 @query(f"SELECT doc_id, lower({BODY}) AS body FROM documents")
 def nfkc_fold(spark, d):
-    return docs(spark, d).select("doc_id", X.normalize_text(F.col("text"), lower=True).alias("body"))
+    """Letters and digits are put in full width and zero-width spaces in, which folding undoes."""
+    wide = F.replace(F.translate("text", "aeioun0123", "ａｅｉｏｕｎ０１２３"), F.lit("t"), F.lit("t\u200b"))
+    return docs(spark, d).select("doc_id", X.normalize_text(wide, lower=True).alias("body"))
 
 
 @query(f"SELECT doc_id, substr({BODY}, 1, 120) AS line FROM documents")
@@ -176,11 +179,17 @@ def dedup_text_first(spark, d):
     return K.first_wins(rows, ["hash"], ["doc_id"])
 
 
-@query(f"SELECT md5({BODY}) AS hash, count(*) AS n, min(doc_id) AS first_key FROM documents WHERE {BODY} <> '' GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, first_key LIMIT 20")
+@query(f"""WITH b AS (SELECT doc_id, {BODY} AS body FROM documents), g AS (SELECT md5(body) AS hash, count(*) AS n, min(doc_id) AS first_key, list(doc_id ORDER BY doc_id)[1:1000] AS keys, min(CASE WHEN length(body) > 200 THEN substr(body, 1, 200) || '...' ELSE body END) AS sample
+FROM b WHERE body <> '' GROUP BY 1 HAVING count(*) > 1) SELECT hash, n, first_key, keys, sample FROM g ORDER BY n DESC, first_key LIMIT 20""")
 def dup_groups(spark, d):
     return K.duplicate_groups(docs(spark, d), "doc_id", top=20)
 
 
+@query(f"WITH b AS (SELECT doc_id, {BODY} AS body FROM documents) SELECT md5(body) AS hash, doc_id AS key FROM b WHERE body <> '' QUALIFY count(*) OVER (PARTITION BY body) > 1")
+def dup_members(spark, d):
+    return K.duplicate_members(docs(spark, d), "doc_id")
+
+
 @query(f"""WITH b AS (SELECT {BODY} AS body FROM documents), g AS (SELECT body, count(*) AS n FROM b GROUP BY body)
 SELECT CAST(sum(n) AS BIGINT) AS total, count(*) FILTER (WHERE body <> '') AS distinct_texts, CAST(coalesce(sum(n - 1) FILTER (WHERE body <> ''), 0) AS BIGINT) AS duplicates,
 CAST(coalesce(sum(n) FILTER (WHERE body = ''), 0) AS BIGINT) AS empty, CAST(coalesce(sum(n) FILTER (WHERE body <> '' AND length(body) < 10), 0) AS BIGINT) AS short,
@@ -251,8 +260,8 @@ def article_concat(spark, d):
     return K.concat_groups(table(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id"], "turn", "text")
 
 
-@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, CASE (row_number() OVER (ORDER BY doc_id) - 1) % 10 WHEN 8 THEN 'valid' WHEN 9 THEN 'test' ELSE 'train' END AS split FROM documents")
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, CASE row_number() OVER (ORDER BY doc_id) % 10 WHEN 8 THEN 'valid' WHEN 9 THEN 'test' ELSE 'train' END AS split FROM documents")
 def split_mod10(spark, d):
     from passagework.operators.pairs import split_of
 
-    return O.number_rows(docs(spark, d).select("doc_id"), "doc_id").select("doc_id", F.col("n").cast("long").alias("n"), split_of(F.col("n") - 1).alias("split"))
+    return O.number_rows(docs(spark, d).select("doc_id"), "doc_id").select("doc_id", F.col("n").cast("long").alias("n"), split_of(F.col("n")).alias("split"))

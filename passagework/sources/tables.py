@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passagework.cluster import spread
 from passagework.functions import text as X
 from passagework.operators.chunks import chunk_rows
 from passagework.operators.corpus import last_wins
@@ -23,14 +24,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def passages(spark: SparkSession, folder: str) -> DataFrame:
     """``documents`` seen as passages: id, parent_id, grp, type, text."""
-    d = table(spark, folder, "documents")
+    d = spread(table(spark, folder, "documents").select("doc_id", "text", "lang", "source"))
     return d.select("doc_id", F.concat(F.lit("DOC_"), F.col("doc_id").cast("string")).alias("id"), F.expr("doc_id div 5").alias("parent_id"), F.col("source").alias("grp"), F.col("lang").alias("type"), "text")
 
 
 def read_json_files(spark: SparkSession, path: str, glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """Whole-file JSON below ``path``: (file, js as VARIANT) and the files that don't parse."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
-    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw")).withColumn("js", F.try_parse_json("raw"))
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw")).withColumn("js", F.try_parse_json("raw"))  # sort by ``file`` for file order
     return rows.where("js is not null").select("file", "raw", "js"), rows.where("js is null").select("file", "raw")
 
 
@@ -39,6 +40,18 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).json(path)
 
 
+def read_queries(spark: SparkSession, path: str, id_field: str = "id", text_field: str = "question") -> DataFrame:
+    """query_id and query_text of a file of questions."""
+    raw = read_jsonl(spark, path, f"`{id_field}` string, `{text_field}` string")
+    return raw.select(F.col(id_field).alias("query_id"), F.col(text_field).alias("query_text"))
+
+
+def concat_jsonl(spark: SparkSession, paths: list[str], out: str, gzip: bool = False) -> None:
+    """JSON-lines files one after the other into one folder, line by line, nothing dropped but blank lines."""
+    lines = spark.read.text(paths).where(F.trim("value") != "")
+    lines.write.mode("overwrite").option("compression", "gzip" if gzip else "none").text(out)
+
+
 def load_passages(spark: SparkSession, path: str, schema: T.StructType | str, order: str) -> DataFrame:
     """A corpus by id; the last row of an id, by ``order``, wins."""
     return last_wins(read_jsonl(spark, path, schema), ["id"], [order])

@@ -10,7 +10,7 @@ from passagework.functions.text import metric_key
 from passagework.operators import reports
 from passagework.operators.corpus import article_id
 from passagework.operators.encode import TemplateMode, template
-from passagework.plans import legal_queries as L
+from tests import legal_records as L
 
 
 def test_config():
@@ -31,8 +31,10 @@ def test_small_expressions(spark):
 
 
 def test_reports(spark, tmp_path):
-    assert {(r["shape"], r["files"]) for r in L.shape_census(spark, "").collect()} == {("dict_other", 6), ("dict_flat", 1), ("dict_PrecService", 1), ("list_top", 1)}
-    counts = {r["type"]: (r["files"], r["empty"], r["passages"]) for r in L.file_counts(spark, "").collect()}
+    assert {(r["shape"], r["files"]) for r in reports.shape_census(L.files(spark)).collect()} == {("dict_other", 6), ("dict_flat", 1), ("dict_PrecService", 1), ("list_top", 1)}
+    laws, rules, _, chunks = L.parts(spark)
+    made = laws.select("file").unionAll(rules.select("file")).unionAll(chunks.select("file"))
+    counts = {r["type"]: (r["files"], r["empty"], r["passages"]) for r in reports.file_counts(L.files(spark), made).collect()}
     assert counts == {"law": (2, 0, 5), "admin": (2, 0, 4), "prec": (3, 1, 4), "unknown": (2, 2, 0)}
     (tmp_path / "article_a_b.json").write_text(json.dumps({"metrics": {"val_cosine_ndcg@10": 0.5, "note": "x"}}))
     (tmp_path / "item_c.json").write_text(json.dumps({"mrr@10": 1}))
@@ -54,11 +56,19 @@ def test_commands_end_to_end(spark, tmp_path, capsys):
     cli.main(["preprocess", "--src", src, "--out", mid])
     cli.main(["merge", "--inputs", f"{mid}/law", f"{mid}/admin", f"{mid}/prec", "--out", f"{mid}/corpus"])
     assert spark.read.json(f"{mid}/corpus").count() == 13
-    cli.main(["gen-data", "--folder", mid, "--out", out, "--hn-per-q", "2"])
+    cli.main(["gen-data", "--folder", mid, "--out", f"{out}/own", "--prec-passages"])
+    cli.main(["gen-data", "--folder", mid, "--out", out, "--hn-per-q", "2", "--use-admin-for-prec"])
     cli.main(["validate", "--corpus", f"{mid}/corpus", "--pairs", f"{out}/pairs_train"])
     cli.main(["embed", "--input", f"{mid}/corpus", "--out", f"{out}/vectors"])
     assert spark.read.parquet(f"{out}/vectors").count() == 13
     cli.main(["eval", "--passages", f"{mid}/corpus", "--pairs", f"{out}/pairs_train", "--k-values", "1,5"])
+    report = tmp_path / "report.md"
+    cli.main(["eval", "--passages", f"{mid}/corpus", "--pairs", f"{out}/pairs_train", "--detailed", "--report", str(report), "--template", "none"])
+    assert "By source" in report.read_text() and "very_" in report.read_text()
+    cli.main(["eval", "--passages", f"{mid}/corpus", "--pairs", f"{out}/pairs_train", "--compare-dims", "32", "64"])
+    cli.main(["failed", "--passages", f"{mid}/corpus", "--pairs", f"{out}/pairs_train", "--k-values", "1"])
+    cli.main(["concat", "--inputs", f"{out}/pairs_train", f"{out}/pairs_valid", "--out", f"{out}/both", "--gzip"])
+    assert spark.read.json(f"{out}/both").count() == spark.read.json(f"{out}/pairs_train").count() + (spark.read.json(f"{out}/pairs_valid").count() if any((tmp_path / "out" / "pairs_valid").glob("*.json")) else 0)
     cli.main(["analyze-passages", "--corpus", f"{mid}/corpus"])
     cli.main(["analyze-pairs", "--pairs", f"{out}/pairs_train"])
     assert "accuracy" in capsys.readouterr().out

@@ -4,10 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from passagework.functions import text as X
-from passagework.functions.order import hash_key, number_rows, positions
+from passagework.functions.order import digits_for, hash_key, number_rows, positions
 from passagework.functions.stats import summary
 from passagework.operators import citations, corpus, encode, metrics, vectors
-from passagework.operators.negatives import tiered
+from passagework.operators.negatives import tiered, tiered_candidates, with_runs
 from passagework.operators.pairs import batch_plan, split_of
 
 
@@ -59,6 +59,35 @@ CITED = [
     ("상법 제401조의2 제1항", [("상법", "401", "2", "1", "law")]),
     ("위반으로 형법 제355조", [("위반으로 형법", "355", None, None, "law")]),
     ("산업안전보건법 시행령 제3조", []),
+    ("민법 750조", [("민법", "750", None, None, "law")]),
+    ("5·18민주화운동 등에 관한 특별법 제3조", [("5·18민주화운동 등에 관한 특별법", "3", None, None, "law")]),
+    ("구 SW진흥법 제2조", [("구 SW진흥법", "2", None, None, "law")]),
+    ("민법 제750조 1항", [("민법", "750", None, "1", "law")]),
+    ("민법 제750조 제 2 항", [("민법", "750", None, "2", "law")]),
+    ("민법 제750조 의 2", [("민법", "750", "2", None, "law")]),
+    ("민법 제 750 조의 3 제1항", [("민법", "750", "3", "1", "law")]),
+    ("상법(2011년 개정) 제42조", []),
+    ("개인정보 보호법(구법) 제1조, 형법 제2조", [("형법", "2", None, None, "law")]),
+    ("저작권법  제1조", [("저작권법", "1", None, None, "law")]),
+    ("독점규제 및 공정거래에 관한 법률 제3조의2 제1항", [("독점규제 및 공정거래에 관한 법률", "3", "2", "1", "law")]),
+    ("EU법 제1조", [("EU법", "1", None, None, "law")]),
+    ("전기통신사업법2조", [("전기통신사업법", "2", None, None, "law")]),
+    ("특정범죄 가중처벌 등에 관한 법률 제5조의4 제5항 제1호", [("특정범죄 가중처벌 등에 관한 법률", "5", "4", "5", "law")]),
+    ("[1] 민법 제1조 / [2] 민법 제2조", [("민법", "1", None, None, "law"), ("민법", "2", None, None, "law")]),
+    ("민법 제1조; 민법 제1조 제1항", [("민법", "1", None, None, "law"), ("민법", "1", None, "1", "law")]),
+    ("금융감독원 고시 제12조", [("금융감독원 고시", "12", None, None, "admin")]),
+    ("업무처리 지침 3조의2", [("업무처리 지침", "3", "2", None, "admin")]),
+    ("행정업무 훈령 제1조, 예규 제2조", [("행정업무 훈령", "1", None, None, "admin"), ("예규", "2", None, None, "admin")]),
+    ("인사 규정 제7조 2항", [("인사 규정", "7", None, "2", "admin")]),
+    ("A·B 규칙 제1조", [("A·B 규칙", "1", None, None, "admin")]),
+    ("민법 제1조 및 시행규칙 제2조", [("민법", "1", None, None, "law"), ("민법 제1조 및 시행규칙", "2", None, None, "admin")]),
+    ("민법\n제1조", [("민법", "1", None, None, "law")]),
+    ("<b>민법</b> 제1조", [("민법", "1", None, None, "law")]),
+    ("법 제1조", []),
+    ("민법 조", []),
+    ("제750조", []),
+    ("민법 제조", []),
+    ("수표법 제1조 제2조", [("수표법", "1", None, None, "law")]),
     ("", []),
 ]
 
@@ -105,6 +134,78 @@ def test_numbers_and_positions(spark):
         own = [r for r in placed if r["g"] == g]
         assert [r["pos"] for r in own] == list(range(len(own)))
         assert {r["total"] for r in own} == {len(own)}
+    assert [digits_for(n) for n in (10, 800_001, 10**9)] == [1, 2, 4]
+
+
+def test_numbers_have_no_gaps_in_wide_tables(spark):
+    df = spark.range(200_000).select(hash_key(1, F.col("id")).alias("key"), "id", F.repeat(F.lit("x"), 30).alias("text"))
+    n = number_rows(df, "key", out="n", parts=8).select("key", "n", "text")
+    row = n.agg(F.countDistinct("n"), F.min("n"), F.max("n"), F.min(F.length("text"))).first()
+    assert tuple(row) == (200_000, 1, 200_000, 30)
+    ahead = n.alias("a").join(n.alias("b"), F.expr("b.n = a.n + 1")).where("a.key >= b.key").count()
+    assert ahead == 0
+
+
+def test_quantiles_of_groups(spark):
+    import statistics
+
+    rows = [(None if i % 4 == 0 else f"g{i % 3}", float(i * i % 97) if i % 11 else None) for i in range(900)]
+    found = {r["g"]: r for r in summary(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
+    for g in (None, "g0", "g1", "g2"):
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        low, mid, high = statistics.quantiles(own, n=4)
+        assert found[g]["n"] == len(own) and [found[g][c] for c in ("p25", "median", "p75")] == pytest.approx([low, mid, high])
+
+
+def slow_negatives(rows, tiers, n, seed=42):
+    """The rings written out: each pair walks its whole ring of every tier."""
+    import hashlib
+
+    md = lambda x: hashlib.md5(f"{seed}:{x}".encode()).hexdigest()
+    out = {}
+    for r in rows:
+        taken, used = [], []
+        for t, group in enumerate(tiers, 1):
+            held = sorted((x for x in rows if all(x[g] == r[g] for g in group)), key=lambda x: md(x["id"]))
+            start = int(md(f"tier{t}:{r['id']}")[:8], 16) % len(held)
+            for x in held[start:] + held[:start]:
+                kin = x["id"] == r["id"] or (x["parent_id"] is not None and x["parent_id"] == r["parent_id"])
+                if len(taken) < n and not kin and x["id"] not in taken:
+                    taken.append(x["id"])
+                    used.append(t)
+        if taken:
+            out[r["id"]] = (taken, used)
+    return out
+
+
+@pytest.mark.parametrize("hot", [0.0, 0.4, 0.97])
+def test_negatives_by_brute_force(spark, hot):
+    import random
+
+    draw = random.Random(7)
+    rows = [{"id": f"d{i}", "parent_id": "hot" if draw.random() < hot else None if i % 29 == 0 else f"p{draw.randrange(40)}", "grp": draw.choice("abc")} for i in range(400)]
+    df = spark.createDataFrame(rows, "id string, parent_id string, grp string")
+    found = {r["pair"]: (r["negatives"], r["tiers_used"]) for r in tiered(df, df, [["grp"], []], 3).collect()}
+    assert found == slow_negatives(rows, [["grp"], []], 3)
+
+
+def test_runs_chain_over_buckets(spark):
+    parents = (["a"] * 9_990 + ["b"] * 25_000 + [None, None, "b"]) + ["c", "a"] * 50
+    placed = spark.createDataFrame([(i, p) for i, p in enumerate(parents)], "pos long, parent_id string")
+    found = [(r["run"], r["at"]) for r in with_runs(placed, []).orderBy("pos").select("run", "at").collect()]
+    run, at, expected = -1, 0, []
+    for i, p in enumerate(parents):
+        same = i > 0 and p is not None and p == parents[i - 1]
+        run, at = (run, at + 1) if same else (run + 1, 0)
+        expected.append((run, at))
+    assert found == expected
+
+
+def test_negatives_of_a_large_family_cost_no_square(spark):
+    df = spark.range(20_000).select(F.concat(F.lit("D"), "id").alias("id"), F.when(F.col("id") < 15_000, "hot").otherwise(F.col("id").cast("string")).alias("parent_id"), F.lit("g").alias("grp"))
+    found = tiered_candidates(df, df, [["grp"]], 2, 42)
+    assert found.count() < 20 * 20_000
+    assert tiered(df, df, [["grp"]], 2).where(F.size("negatives") == 2).count() == 20_000
 
 
 def test_negatives_are_never_self_or_family(spark):
