@@ -31,8 +31,8 @@ from passagework.llm.common import batch_rows
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SEAM = regex.compile(rf"(?<=[^{SPACE}])(?=[{SPACE}])")
 SEAM_LAST = regex.compile(rf"(?r)(?<=[^{SPACE}])(?=[{SPACE}])")
-#: Characters of a leaf.
-LEAF = 16_384
+#: Characters of a leaf (and ids of one in decoding): small, so that most documents are trees.
+LEAF = 512
 FIRST_WINDOW = 16
 
 

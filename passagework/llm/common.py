@@ -2,38 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.cluster import ship
+from passagework.cluster import shared_root, ship
 
-#: Rows in one Arrow batch handed to Python; texts may be long, so batches are small.
-BATCH_ROWS = 256
+#: Rows in one Arrow batch handed to Python; texts may be long, so batches are small.  One number for
+#: all operators, as the setting is the session's and plans are run later than they are built.
+BATCH_ROWS = 200
 
 
-def batch_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def batch_rows(spark: SparkSession) -> None:
     """Bound the rows (and so the bytes) that one Python worker holds at once."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where no such setting exists (tests on one machine) a folder of its own is made.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get().rstrip("/")
-    made = f"file://{tempfile.mkdtemp(prefix='passagework-')}"
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -44,7 +30,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: lineage ends there."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._passagework_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that no plan reads any more."""
+    for df in tables:
+        path = getattr(df, "_passagework_path", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

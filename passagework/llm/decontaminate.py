@@ -7,12 +7,14 @@ into shingles and joined with the prefixes; length and position bounds follow at
 must lie within the document), then the words themselves are compared.  All of it is one codegen
 stage: the exploded rows are never written, only true occurrences leave it.
 
-The prefixes are broadcast only up to ``max_broadcast`` windows (about 300 bytes each).  A larger
-benchmark is joined in blocks of that size, each against all documents.
+Shingles are of two words; only where an item is a single word those of one word are made as well.
+The prefixes are broadcast only up to ``max_broadcast`` windows and MAX_BYTES.  A larger benchmark is
+joined in blocks within these bounds, each against all documents.
 
 Null and empty texts have no words and no hits.  A row is known by its identifier and text: rows
 that repeat both come back as often as they came.  Null identifiers are kept, further columns are
-dropped, an empty benchmark or document table gives zero hits or no rows.
+dropped, an empty benchmark or document table gives zero hits or no rows.  An item without an
+identifier hits words but is no item of the result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import ascii_lower, materialise, text_print
+from passagework.llm.common import ascii_lower, discard, materialise, text_print
 
 #: Everything that isn't part of a word, after A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -30,7 +32,7 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 END = "\x01"
 END_KEY = -1
 SHINGLE = 2
-MAX_BROADCAST = 100_000
+MAX_BROADCAST, MAX_BYTES = 100_000, 64_000_000
 
 
 def words(text: Column) -> Column:
@@ -50,21 +52,29 @@ def windows(items: DataFrame, item_id: str, text: str, window: int) -> DataFrame
     return cut.select("item", F.slice("w", F.col("at"), window).alias("grams")).groupBy("grams").agg(F.collect_set("item").alias("items"))
 
 
-def shingles(docs: DataFrame, size: int) -> DataFrame:
-    """One row a shingle and one more a document; ``ws`` and ``n`` ride along within the stage."""
-    held = docs.select("*", F.size("ws").alias("n"), F.array_append("ws", END).alias("plus"))
+def shingles(docs: DataFrame, sizes: list[int], ends: bool = True) -> DataFrame:
+    """A row for each place and size of shingle, and with ``ends`` one more a document; ``ws`` and ``n``
+    ride along within the stage."""
+    held = docs.select("*", F.size("ws").alias("n"), (F.array_append("ws", END) if ends else F.col("ws")).alias("plus"))
     rows = held.select("*", F.posexplode("plus").alias("pos", "word"))
-    key = F.when(F.col("pos") == F.col("n"), F.lit(END_KEY).cast("long")).otherwise(shingle_key(F.col("plus"), F.col("pos"), size))
-    return rows.withColumn("key", key)
+    keys = [shingle_key(F.col("plus"), F.col("pos"), size) for size in sizes]
+    if ends:
+        last = F.col("pos") == F.col("n")
+        keys = [F.when(last, F.lit(END_KEY).cast("long")).otherwise(keys[0]), *[F.when(~last, k) for k in keys[1:]]]
+    return rows.withColumn("key", keys[0] if len(keys) == 1 else F.explode(F.array(*keys))).where("key is not null")
 
 
-def prefixes(wins: DataFrame, docs: DataFrame, size: int, max_broadcast: int) -> DataFrame:
+def prefixes(wins: DataFrame, docs: DataFrame, sizes: list[int], max_broadcast: int) -> DataFrame:
     """Each window's rarest shingle and its place, by occurrences in all documents."""
-    each = wins.select("grams", F.explode(F.sequence(F.lit(0), F.size("grams") - size)).alias("offset"))
-    each = each.select("grams", "offset", shingle_key(F.col("grams"), F.col("offset"), size).alias("key"))
+    both = []
+    for size in sizes:
+        own = F.size("grams") >= SHINGLE if size == SHINGLE else F.size("grams") < SHINGLE
+        each = wins.where(own).select("grams", F.explode(F.sequence(F.lit(0), F.size("grams") - size)).alias("offset"))
+        both.append(each.select("grams", "offset", shingle_key(F.col("grams"), F.col("offset"), size).alias("key")))
+    each = reduce(DataFrame.unionAll, both)
     wanted = each.select("key").distinct()
     small = wanted.count() <= max_broadcast
-    seen = shingles(docs, size).select("key")
+    seen = shingles(docs, sizes, ends=False).select("key")
     counts = seen.join(F.broadcast(wanted) if small else wanted, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("times"))
     rare = each.join(counts, "key", "left").groupBy("grams").agg(
         F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "offset", "key")).alias("prefix")
@@ -78,10 +88,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", ite
     spark = docs.sparkSession
     held = docs.select(F.col(doc_id).alias("doc"), text_print(F.col(text)).alias("print"), words(F.col(text)).alias("ws"))
     wins = materialise(windows(items, item_id, text, window), "windows")
-    shape = wins.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("grams")).alias("least")).first()
-    size = min(SHINGLE, shape["least"] or SHINGLE)
-    table = materialise(prefixes(wins, held, size, max_broadcast), "prefixes")
-    blocks = max(1, -(-shape["n"] // max_broadcast))
+    bytes_ = F.octet_length(F.array_join("grams", " ")) + 16 * F.size("grams") + F.octet_length(F.array_join("items", " ")) + 16 * F.size("items") + 64
+    shape = wins.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("grams")).alias("least"), F.sum(bytes_).alias("bytes")).first()
+    sizes = [SHINGLE, 1] if (shape["least"] or SHINGLE) < SHINGLE else [SHINGLE]
+    table = materialise(prefixes(wins, held, sizes, max_broadcast), "prefixes")
+    discard(wins)
+    blocks = max(1, -(-shape["n"] // max_broadcast), -(-(shape["bytes"] or 0) // MAX_BYTES))
     own = spark.range(1).select(
         F.lit(END_KEY).cast("long").alias("key"), F.lit(0).alias("offset"), F.array().cast("array<string>").alias("grams"), F.array().cast("array<string>").alias("items")
     )
@@ -89,7 +101,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", ite
     def occurrences(block: int) -> DataFrame:
         part = table if blocks == 1 else table.where(F.pmod(F.xxhash64("grams", F.lit(7)), F.lit(blocks)) == block)
         part = part.unionByName(own) if block == 0 else part
-        met = shingles(held, size).join(F.broadcast(part), "key")
+        met = shingles(held, sizes).join(F.broadcast(part), "key")
         start = F.col("pos") - F.col("offset")
         met = met.where((start >= 0) & (start + F.size("grams") <= F.col("n")) & (F.slice("ws", start + 1, F.size("grams")) == F.col("grams")))
         return met.select("doc", "print", (F.col("key") == END_KEY).alias("own"), "n", F.struct(start.alias("start"), F.size("grams").alias("len")).alias("hit"), "items")

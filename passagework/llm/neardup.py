@@ -10,14 +10,19 @@
    their ``COORDS - agree + 1`` rarest, so only those are posted, and tokens of one class need not
    be posted at all.  Tokens that thousands share (common passages) come last and are skipped.
 4. Posting lists: within a token, each class is paired with the WINDOW before it in order of size.
-   For lists of up to WINDOW + 1 that is every pair.  Long lists are dealt out in salted parts.
+   For lists of up to WINDOW + 1 that is every pair.  Longer lists are dealt out in salted parts, other
+   parts for each token, where a class meets its FEW predecessors and the smallest classes of about its size.
 5. Candidate pairs count their collisions on whole signatures; of each class the best pair is
    confirmed first, on full sets, and connected components are formed; then those remaining pairs
    that still lie between two components.
-6. Closing: where a longer list still holds several components, its members outside the one that
-   holds most of it are compared with that component and with each other, in blocks of BLOCK sets
-   (counting exactly, giving out true links only).  So no link between different texts is lost, while a group
-   of many near copies costs its size times the number of its stray members, not its square.
+6. Closing: longer lists that still hold several components may hide links between them.  Among the
+   classes of such lists this is an exact prefix-filtered join of full sets: only shingles that two
+   components share count, each set's are ordered by rarity, and two sets meet where both could reach
+   the threshold if the shingle at hand were the first that they share.  A class whose shared shingles
+   are too few for any partner meets nobody, so pages that have a passage in common but not enough
+   else cost their size, not its square.  Long lists are joined in blocks of like size whose bounds
+   are compared first.  Candidates are confirmed on full sets, best ones first, as in 5.  So no link
+   between different texts is lost.
 
 Rows without words, or without text, are linked with nothing; a row with a null id has the
 component of its text's other rows (null if there are none).  Repeated rows share a class.  An
@@ -27,21 +32,23 @@ empty table gives an empty result; further columns are not returned.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.llm import shingles
-from passagework.llm.common import batch_rows, materialise, text_print
+from passagework.llm.common import batch_rows, discard, materialise, text_print
 from passagework.llm.components import components
 
 COORDS = 64
-WINDOW, PART, BLOCK, MASS = 8, 256, 512, 4000
+WINDOW, PART = 8, 256
 #: In lists of more than LONG classes FEW predecessors are enough: the closing step looks at the rest.
-LONG, FEW = 64, 3
+LONG, FEW = 64, 1
+#: Shingles of more than HOT sets are met by broadcast (there are few of them), the others by a shuffle.
+HOT = 20_000
 #: Ids of confirmed candidates are broadcast up to this number (8 bytes each).
 MAX_BROADCAST = 500_000
 _draw = np.random.default_rng(77)
@@ -95,10 +102,19 @@ def postings(classes: DataFrame, agree: int) -> DataFrame:
 
 def neighbours(posted: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes (a < b) that stand near each other in a posting list."""
-    salt = F.when(F.col("df") > PART, F.pmod(F.xxhash64("cls"), F.ceil(F.col("df") / PART))).otherwise(F.lit(0))
-    order = Window.partitionBy("token", "salt").orderBy("n", "cls").rowsBetween(-WINDOW, -1)
-    before = posted.withColumn("salt", salt).withColumn("before", F.collect_list(F.struct(F.col("cls").alias("other"), F.col("n").alias("m"))).over(order))
-    held = F.when(F.col("df") > LONG, F.filter("before", lambda x, i: i >= F.size("before") - FEW)).otherwise(F.col("before"))
+    salt = F.when(F.col("df") > PART, F.pmod(F.xxhash64("cls", "token"), F.ceil(F.col("df") / PART))).otherwise(F.lit(0))
+    part = Window.partitionBy("token", "salt")
+    order = part.orderBy("n", "cls").rowsBetween(-WINDOW, -1)
+    entry = F.struct(F.col("cls").alias("other"), F.col("n").alias("m"))
+    before = posted.withColumn("salt", salt).withColumn("before", F.collect_list(entry).over(order))
+    hubs = []
+    for shift in (0.0, 0.5):  # sizes within the threshold's ratio of each other, in two ways
+        like = F.floor(F.log("n") / np.log(100 / percent) + shift)
+        hub = F.min(F.struct(F.col("n").alias("m"), F.col("cls").alias("other"))).over(Window.partitionBy("token", "salt", "like"))
+        before = before.withColumn("like", like).withColumn(f"hub{len(hubs)}", hub)
+        hubs.append(F.struct(f"hub{len(hubs)}.other", f"hub{len(hubs)}.m"))
+    few = F.concat(F.filter("before", lambda x, i: i >= F.size("before") - FEW), F.array(*hubs))
+    held = F.when(F.col("df") > LONG, few).otherwise(F.col("before"))
     pairs = before.select("cls", "n", F.explode(held).alias("o")).where(near("n", F.col("o.m"), percent))
     return pairs.select(F.least("cls", "o.other").alias("a"), F.greatest("cls", "o.other").alias("b")).where("a <> b").distinct()
 
@@ -185,59 +201,93 @@ def small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= MAX_BROADCAST else table
 
 
-def closing(posted: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that long posting lists still hide between two components.
+def shingle_rows(sets: DataFrame) -> DataFrame:
+    """cls, comp, n, shingle: a row for each member of each set."""
 
-    A list's *family* is that component which holds most of it; its other members are the family's
-    strays.  Each stray is compared with the family's members and its other strays, in blocks.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.array([len(x) // 8 for x in batch.column("bytes").to_pylist()], np.int64)
+            members = np.frombuffer(b"".join(batch.column("bytes").to_pylist()), np.int64)
+            for at in range(0, len(members), 1_000_000):  # a few long sets may make a large batch
+                owner = np.repeat(np.arange(len(sizes)), sizes)[at : at + 1_000_000]
+                cols = [pa.array(batch.column(c).to_numpy()[owner]) for c in ("cls", "comp", "n")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(members[at : at + 1_000_000])], ["cls", "comp", "n", "shingle"])
+
+    return sets.select("cls", "comp", "n", "bytes").mapInArrow(run, "cls long, comp long, n long, shingle long")
+
+
+def reachable(cap: Column, other: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether two sets of ``n`` and ``m`` that share ``cap`` and ``other`` at most can be linked."""
+    return F.least(cap, other) * (100 + percent) >= (n + m) * percent
+
+
+def prefix_entries(rows: DataFrame, percent: int) -> DataFrame:
+    """shingle, cls, comp, n, cap of the places that count: ``cap`` is how much two sets could share if
+    that were the first shingle they share.
+
+    Only shingles of at least two components count, rarest first; a place counts while its ``cap`` is
+    enough for the smallest possible partner.
     """
-    spark = posted.sparkSession
+    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    shared = materialise(held.where("low <> high").select("shingle", "df"), "shared")
+    often = max(HOT, rows.count() // MAX_BROADCAST)
+    hot = shared.where(F.col("df") > often)  # at most MAX_BROADCAST rows, as a set has each shingle once
+    met = rows.join(F.broadcast(hot), "shingle").unionByName(rows.join(F.broadcast(hot), "shingle", "left_anti").join(shared.where(F.col("df") <= often), "shingle"))
+    own = met.groupBy("cls", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("own"))
+    common = F.size("own")
+    places = common - F.ceil(F.col("n") * percent / 100) + 1
+    kept = own.where(places > 0).select("cls", "comp", "n", common.alias("common"), F.posexplode(F.slice("own", F.lit(1), places.cast("int"))).alias("at", "s"))
+    return kept.select("s.shingle", "cls", "comp", "n", (F.col("common") - F.col("at")).alias("cap"))
+
+
+def entry_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """a, b, hits (how much they could share): pairs of different components that meet in an entry."""
+    by_list = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("len"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("shingle", "len")
+    listed = entries.join(small(materialise(by_list, "lists")), "shingle")
+    size = F.floor(F.log("n") * 50)  # sizes within a fiftieth
+    blocked = listed.withColumn("size", size).withColumn("salt", F.pmod(F.xxhash64("cls"), F.ceil(F.col("len") / PART)))
+    block = ["shingle", "size", "salt"]
+    bounds = blocked.groupBy(*block).agg(F.min("n").alias("least"), F.max("cap").alias("most"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    a, b = (bounds.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in bounds.columns[1:]]) for x in "ab")
+    ordered = F.struct("size_a", "salt_a") <= F.struct("size_b", "salt_b")
+    apart = ~((F.col("low_a") == F.col("high_b")) & (F.col("low_b") == F.col("high_a")))
+    meeting = a.join(b, "shingle").where(ordered & apart & reachable(F.col("most_a"), F.col("most_b"), F.col("least_a"), F.col("least_b"), percent))
+    meeting = meeting.select(*["shingle", "size_a", "salt_a", "size_b", "salt_b"])
+    left, right = (blocked.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("size", "salt", "cls", "comp", "n", "cap")]) for x in "ab")
+    met = meeting.join(left, ["shingle", "size_a", "salt_a"]).join(right, ["shingle", "size_b", "salt_b"])
+    met = met.where((F.col("comp_a") != F.col("comp_b")) & reachable(F.col("cap_a"), F.col("cap_b"), F.col("n_a"), F.col("n_b"), percent))
+    pair = met.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"), F.least("cap_a", "cap_b").alias("hits"))
+    return pair.groupBy("a", "b").agg(F.max("hits").alias("hits"))
+
+
+def closing(posted: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """a, b, hits: the pairs that could be links which long posting lists still hide between two
+    components; None if there is no such list."""
     long = posted.where(F.col("df") > WINDOW + 1).select("cls", "token")
     placed = long.join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    cells = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("held"))
-    family = cells.groupBy("token").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("held", "comp"))["comp"].alias("family")).where("kinds > 1")
-    family = small(materialise(family.select("token", "family"), "families"))
-    strays = placed.join(family, "token").where("comp <> family").select("family", "cls", "comp").distinct()
-    strays = materialise(strays, "strays")
-    if strays.isEmpty():
-        return spark.createDataFrame([], "a long, b long")
-    met = small(materialise(strays.groupBy("family").agg(F.count(F.lit(1)).alias("strays")), "met"))
-    whole = comp.select(F.col("comp").alias("family"), F.col("node").alias("cls"), "comp").unionAll(met.select("family", F.col("family").alias("cls"), F.col("family").alias("comp")))
-    held = whole.join(met.select("family"), "family", "left_semi").unionAll(strays).distinct()
-    held = held.join(sets, "cls")
-    counts = small(materialise(held.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("mass")).join(met, "family"), "blocks"))
-    # blocks are bounded by sets and by shingles; every block of strays meets every block of the family
-    m_blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("mass") / (BLOCK * MASS))).cast("int")
-    s_blocks = F.least(F.col("strays"), F.greatest(F.ceil(F.col("strays") / BLOCK), F.ceil(F.col("mass") / (BLOCK * MASS)))).cast("int")
-    held = held.join(counts, "family")
-    held = held.withColumn("m", F.pmod(F.xxhash64("cls"), m_blocks).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), s_blocks - 1)))
-    come = strays.join(sets, "cls").join(counts, "family")
-    come = come.withColumn("s", F.pmod(F.xxhash64("cls"), s_blocks).cast("int")).withColumn("m", F.explode(F.sequence(F.lit(0), m_blocks - 1)))
-    held = held.select("family", "m", "s", "cls", "comp", "bytes")
-    come = come.select("family", "m", "s", F.col("cls").alias("stray"), F.col("comp").alias("own"), F.col("bytes").alias("data"))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            names, places, sets_ = left["cls"].to_numpy(), left["comp"].to_numpy(), [np.frombuffer(x, np.uint64) for x in left["bytes"]]
-            sizes = np.array([len(x) for x in sets_])
-            flat, owner = np.concatenate(sets_), np.repeat(np.arange(len(sets_)), sizes)
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
-            for cls, own, data in zip(right["stray"].tolist(), right["own"].tolist(), right["data"], strict=True):
-                mine = np.frombuffer(data, np.uint64)
-                low, high = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
-                hit = high > low
-                runs = high[hit] - low[hit]
-                at = np.repeat(low[hit] - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
-                common = np.bincount(owner[at], minlength=len(names))
-                good = np.flatnonzero((100 * common >= percent * (sizes + len(mine) - common)) & (places != own))
-                _, one = np.unique(places[good], return_index=True)  # one link to a component is enough
-                found += [(cls, x) for x in names[good[one]].tolist()]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-    keys = ["family", "m", "s"]
-    return held.groupBy(*keys).cogroup(come.groupBy(*keys)).applyInPandas(run, "a long, b long")
+    mixed = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
+    mixed = materialise(mixed, "mixed")
+    if mixed.isEmpty():
+        return None
+    open_ = placed.join(small(mixed), "token", "left_semi").select("cls", "comp").distinct()
+    rows = materialise(shingle_rows(open_.join(sets, "cls")), "shingles")
+    entries = materialise(prefix_entries(rows, percent), "entries")
+    discard(mixed, rows)
+    found = materialise(entry_pairs(entries, percent), "closing")
+    discard(entries)
+    return found
+
+
+def settle(pairs: DataFrame, links: list[DataFrame], sets: DataFrame, percent: int) -> DataFrame:
+    """Components after ``pairs`` (a, b, hits) are confirmed: the best of each class first, then those
+    that still lie between two components.  The tables of links are added to ``links``."""
+    first = materialise(best_pairs(pairs), "first")
+    links.append(materialise(confirm(first, sets, percent), "links-1"))
+    comp = components(reduce(DataFrame.unionAll, links))
+    rest = between(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), comp)
+    links.append(materialise(confirm(rest, sets, percent), "links-2"))
+    discard(first)
+    return components(reduce(DataFrame.unionAll, links))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, agree: int | None = None, prints: bool = False) -> DataFrame:
@@ -259,15 +309,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionAll(posted.where(F.col("df") > WINDOW + 1).select("cls")).distinct()
     chosen = materialise(classes.select("cls", "doc").where("doc is not null").join(asked, "cls", "left_semi"), "chosen")
     sets = materialise(full_sets(docs, chosen, doc_id, text, words), "sets")
-    first = best_pairs(pairs)
-    links = materialise(confirm(first, sets, percent), "links-1")
-    comp = components(links)
-    rest = between(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), comp)
-    links = links.unionAll(materialise(confirm(rest, sets, percent), "links-2"))
-    comp = materialise(components(links), "components")
-    more = materialise(closing(posted, comp, sets, percent), "links-3")
-    if not more.isEmpty():
-        comp = components(links.unionAll(more))
+    links: list[DataFrame] = []
+    comp = settle(pairs, links, sets, percent)
+    more = closing(posted, comp, sets, percent)
+    if more is not None and not more.isEmpty():
+        comp = settle(more, links, sets, percent)
+    discard(posted, pairs, chosen, sets, *links, *([more] if more is not None else []))
     named = classes.select("cls", "least").join(comp.select(F.col("node").alias("cls"), "comp"), "cls")
     least = named.groupBy("comp").agg(F.min("least").alias("component"))
     placed = named.join(least, "comp").select("cls", "component").unionAll(

@@ -22,8 +22,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,42 +161,50 @@ def followed(docs: DataFrame, parts: int, doc_id: str = "doc_id", text: str = "t
     of an id range each, with ``own`` false for the row that follows a part's last one.
 
     Splits come from approximate quantiles of the ids; the first rows of the parts (one id a part)
-    are the only ones that are dealt twice, so nothing but one shuffle of the texts is needed.
+    are the only ones that are dealt twice, so nothing but one shuffle of the texts is needed.  Splits
+    and first ids (a number a part each) go to the tasks as arrays, so the plan is the same for any
+    number of parts.  Rows of one id, or without any, are one part's.
     """
     spark = docs.sparkSession
+    none = F.lit(-(2**63))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ids = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("id"))
+    ids = docs.select(F.coalesce(F.col(doc_id).cast("long"), none).alias("id"))
     splits = ids.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] if parts > 1 else []
-    splits = sorted(set(splits or []))
-    id_ = F.coalesce(F.col("doc"), F.lit(-(2**63)))
-    part = _interval(id_, splits)
-    least = {r["part"]: r["id"] for r in ids.select(_interval(F.col("id"), splits).alias("part"), "id").groupBy("part").agg(F.min("id").alias("id")).collect()}
-    order = sorted(least)
-    halo = {least[p]: order[i - 1] for i, p in enumerate(order)}  # the first part follows the last
-    dealt = rows.withColumn("part", part).withColumn("own", F.lit(True))
-    if halo:
-        before = F.coalesce(*[F.when(id_ == k, F.lit(p)) for k, p in halo.items()])
-        first = id_.isin(list(halo))
-        both = F.when(first, F.array(F.struct(F.lit(True).alias("own"), F.col("part")), F.struct(F.lit(False).alias("own"), before.alias("part")))).otherwise(F.array(F.struct(F.lit(True).alias("own"), F.col("part"))))
-        dealt = rows.withColumn("part", part).withColumn("to", F.explode(both)).select("doc", "text", "to.own", "to.part")
-    dealt = dealt.withColumn("tie", F.xxhash64("text"))
+    splits = np.array(sorted(set(splits or [])), np.int64)
+
+    @F.pandas_udf(T.LongType())
+    def part_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(splits, ids.to_numpy(np.int64), "right"))
+
+    found = ids.select(part_of("id").alias("part"), "id").groupBy("part").agg(F.min("id").alias("id")).orderBy("part").collect()  # a row a part
+    first, order = np.array([r["id"] for r in found], np.int64), np.array([r["part"] for r in found], np.int64)
+    before = np.roll(order, 1)  # the first part follows the last
+    spots = _spots(spark, max(1, parts))
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def targets(ids: pd.Series) -> pd.Series:
+        """Where a row goes: place, part and whether it is the part's own, in one number."""
+        values = ids.to_numpy(np.int64)
+        own = np.searchsorted(splits, values, "right")
+        out = [[int(spots[p]) << 32 | int(p) << 1 | 1] for p in own]
+        at = np.searchsorted(first, values)
+        for i in np.flatnonzero((at < len(first)) & (first[np.minimum(at, len(first) - 1)] == values)) if len(first) else ():
+            p = int(before[at[i]])
+            out[i].append(int(spots[p]) << 32 | p << 1)
+        return pd.Series(out)
+
+    dealt = rows.select("doc", "text", F.xxhash64("text").alias("tie"), F.explode(targets(F.coalesce("doc", none))).alias("to"))
+    low = F.col("to").bitwiseAND(F.lit(2**32 - 1))
+    dealt = dealt.select("doc", "text", "tie", F.shiftright("to", 32).cast("int").alias("at"), F.shiftright(low, 1).cast("int").alias("part"), (low.bitwiseAND(F.lit(1)) == 1).alias("own"))
     # what follows a part stands after its own rows, also where the last part is followed by the first
-    return dealt.withColumn("at", _dealt(spark, F.col("part"), max(1, parts))).repartition(max(1, parts), "at").sortWithinPartitions("part", F.desc("own"), F.asc_nulls_first("doc"), "tie")
+    return dealt.repartition(max(1, parts), "at").sortWithinPartitions("part", F.desc("own"), F.asc_nulls_first("doc"), "tie")
 
 
-def _dealt(spark: SparkSession, part: Column, parts: int) -> Column:
+def _spots(spark: SparkSession, parts: int) -> np.ndarray:
     """A number for each part whose hash falls to a partition of its own, so that no two parts meet."""
     tried = spark.range(40 * parts).select(F.col("id").cast("int").alias("k"))
     found = {r["p"]: r["k"] for r in tried.groupBy(F.pmod(F.hash("k"), F.lit(parts)).alias("p")).agg(F.min("k").alias("k")).collect()}
-    return F.get(F.array(*[F.lit(found.get(p, p)) for p in range(parts)]), part)
-
-
-def _interval(value: Column, splits: list[int], low: int = 0) -> Column:
-    """The number of splits that ``value`` is not below, by a binary tree of comparisons."""
-    if not splits:
-        return F.lit(low)
-    mid = len(splits) // 2
-    return F.when(value < splits[mid], _interval(value, splits[:mid], low)).otherwise(_interval(value, splits[mid + 1 :], low + mid + 1))
+    return np.array([found.get(p, p) for p in range(parts)], np.int64)
 
 
 def edited(text: str, after: str) -> str:
@@ -206,7 +215,7 @@ def edited(text: str, after: str) -> str:
 
 def with_next(docs: DataFrame, parts: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited (the text), fingerprint, edited_fingerprint, near_edited, near_next."""
-    batch_rows(docs.sparkSession, 200)
+    batch_rows(docs.sparkSession)
     names = [doc_id, "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagework.llm import labelled
-from passagework.llm.common import batch_rows, materialise
+from passagework.llm.common import batch_rows, discard, materialise
 
 #: Documents that are learnt from, at most.
 SAMPLE = 12_000
@@ -35,11 +35,23 @@ for _chars, _k in (("abcdefghijklmnopqrstuvwxyz", 1), ("ABCDEFGHIJKLMNOPQRSTUVWX
     _CLASS[np.frombuffer(_chars.encode(), np.uint8)] = _k
 _CLASS[192:], _CLASS[128:192] = 8, 9
 N_STATS = CLASSES + 8
+BYTES_AT_ONCE = 4_000_000
 
 
 def statistics(texts: pa.Array) -> np.ndarray:
-    """One row of N_STATS numbers a text; null counts as empty."""
+    """One row of N_STATS numbers a text; null counts as empty.  Texts are read BYTES_AT_ONCE at a time
+    (a longer one alone)."""
     texts = texts.fill_null("").cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    out, at = [np.zeros((0, N_STATS))], 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + BYTES_AT_ONCE, "right")) - 1)
+        out.append(_statistics(texts.slice(at, to - at)))
+        at = to
+    return np.concatenate(out)
+
+
+def _statistics(texts: pa.Array) -> np.ndarray:
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
@@ -98,11 +110,14 @@ def fourier(x: np.ndarray) -> np.ndarray:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators: points of the non-decreasing fit, for interpolation."""
-    order = np.argsort(x, kind="stable")
+    """Pool-adjacent-violators: points of the non-decreasing fit, for interpolation.  Equal ``x`` are
+    one point to begin with, so the order of rows doesn't matter."""
+    places, which = np.unique(x, return_inverse=True)
+    weights = np.bincount(which, minlength=len(places))
+    means = np.bincount(which, y, len(places)) / np.maximum(weights, 1)
     blocks: list[list[float]] = []  # mean, weight, first x, last x
-    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([b, 1.0, a, a])
+    for a, b, n in zip(places.tolist(), means.tolist(), weights.tolist(), strict=True):
+        blocks.append([b, n, a, a])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             m, w, _, last = blocks.pop()
             top = blocks[-1]
@@ -153,6 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, calibrate: Column,
     held = seen if held.isEmpty() else held
     points = held.select("x", "label").collect()  # at most ``sample`` rows
     model = Model(mean, scale, weights, np.zeros(0), np.zeros(0))
+    discard(seen)
     model.steps, model.levels = isotonic(model.raw(np.array([r["x"] for r in points])), np.array([r["label"] for r in points]))
     return model
 

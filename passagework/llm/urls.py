@@ -13,6 +13,7 @@ gives an empty result.  Without labelled URLs everything that no rule blocks is
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,7 +27,6 @@ TREES, DEPTH, RATE, LEAF = 24, 3, 0.3, 5
 THRESHOLD = 0.5
 #: Rules up to this number become one expression; more are joined.
 INLINE_RULES = 200
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-."
 FEATURES = ("url_len", "host_len", "host_depth", "path_len", "path_depth", "digits", "host_digits", "hyphens", "longest", "entropy", "params", "values", "last_rate", "two_rate")
 
 
@@ -44,13 +44,10 @@ def count_of(text: Column, char: str) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters of ALPHABET, in bits a character."""
-    total = F.greatest(F.length(text), F.lit(1)).cast("double")
-    out = F.lit(0.0)
-    for c in ALPHABET:
-        n = count_of(text, c)
-        out = out - F.when(n > 0, n / total * F.log2(n / total)).otherwise(0.0)
-    return out
+    """Shannon entropy of the characters, in bits a character; 0 of an empty text."""
+    chars, total = F.split(text, ""), F.length(text).cast("double")
+    counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)))
+    return F.when(F.length(text) > 0, F.aggregate(counts, F.lit(0.0), lambda s, n: s - n / total * F.log2(n / total))).otherwise(0.0)
 
 
 def rate(key: Column, rates: dict[str, float], other: float) -> Column:
@@ -198,23 +195,35 @@ def judge(df: DataFrame, rules: list[tuple[str, str, str]], model: Model, url: s
     return scored.withColumn("verdict", verdict).drop("ruled", *[f"_{n}" for n in FEATURES])
 
 
+#: Words of which the labelled list is made: what is sold by spam, and what plain sites are about.
+SOLD = "discount bonus lucky vip payday replica jackpot coin promo diet outlet coupon viagra poker hookup winner".split()
+SELLS = "store offers deal click cash zone hub shop now 24 777 best4you online-sale xxl direct promo".split()
+ABOUT = "garden library weather river market school music history travel science kitchen letters harbour museum orchard bridge".split()
+GOES = "club society house notes guide archive times review works post".split()
+PATHS = "about news article blog help docs contact team story archive".split()
+
+
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """A list of labelled URLs made by rule: hosts of advertising, betting and the like, which string
-    several catchwords together, and hosts of plain sites, with ordinary paths for either."""
-    first = ("cheap", "free", "best", "win", "hot", "adult", "casino", "spam", "ads", "buy")
-    second = ("pills", "bets", "farm", "track", "loans", "deals", "x", "slots", "prize", "4u")
-    plain = ("garden", "library", "weather", "river", "market", "school", "music", "history", "travel", "science", "ththor", "thernd", "tionsh", "kitchen", "letters")
-    tops, langs = ("com", "net", "org"), ("en", "de", "fr", "es")
-    tails = ("", ".html", "/", "?page=2&ref=x", "#top")
+    """A list of labelled URLs made by rule, without any table: ``made_urls``."""
+    return spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(u).alias("url"), F.lit(v).alias("label")) for u, v in made_urls()])).alias("r")).select("r.*")
+
+
+def made_urls(each: int = 600, seed: int = 5) -> list[tuple[str, int]]:
+    """``each`` URLs of either label.  Those to block string what is sold and how together with hyphens
+    and digits, on cheap suffixes more often, with tracking parameters; plain ones are a word or two,
+    now and then hyphenated, with ordinary paths.  Either may have any suffix, path and query."""
+    draw = random.Random(seed)
     rows: list[tuple[str, int]] = []
-    for i, a in enumerate(first):
-        for j, b in enumerate(second):
-            n = 7 * i + 13 * j
-            host = f"{('www.', '', 'm.')[n % 3]}{a}-{b}.example.{tops[n % 3]}"
-            rows.append((f"http{'s' * (n % 2)}://{host}/{langs[n % 4]}/{37 * n % 1000}{tails[n % 5]}", 1))
-    for i, a in enumerate(plain):
-        for j in range(14):
-            n = 11 * i + 5 * j
-            host = f"{('www.', '', 'm.', 'blog.')[n % 4]}{a}.example.{tops[(i + j) % 3]}"
-            rows.append((f"http{'s' * (j % 2)}://{host}/{langs[(i + 2 * j) % 4]}/{91 * n % 30000}{tails[(i + j) % 5]}", 0))
-    return spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(u).alias("url"), F.lit(v).alias("label")) for u, v in rows])).alias("r")).select("r.*")
+    for label in (1, 0):
+        for _ in range(each):
+            if label:
+                name = draw.choice(("-", "-", "-", "")).join((draw.choice(SOLD), draw.choice(SELLS))) + draw.choice(("", "", "", str(draw.randrange(10, 9999))))
+                host = draw.choice(("www.", "", "m.", "go.", "")) + name + "." + draw.choice(("com", "net", "org", "info", "xyz", "top", "click", "biz"))
+            else:
+                name = draw.choice((draw.choice(ABOUT), draw.choice(ABOUT) + draw.choice(GOES), draw.choice(ABOUT) + draw.choice(("", "", "", "-")) + draw.choice(GOES)))
+                host = draw.choice(("www.", "", "m.", "blog.", "en.")) + name + "." + draw.choice(("com", "net", "org", "com", "org", "info", "edu"))
+            path = "/" + "/".join(draw.choice((draw.choice(PATHS), str(draw.randrange(30_000)), draw.choice(("en", "de", "fr", "es")))) for _ in range(draw.randrange(4)))
+            names = ("id", "page", "q", "lang") if not label else ("aff", "ref", "utm_source", "clickid", "page")
+            query = "&".join(f"{draw.choice(names)}={draw.randrange(10 ** draw.randrange(1, 8 if label else 3))}" for _ in range(draw.choice((0, 0, 1, 2, 4) if label else (0, 0, 0, 1, 2))))
+            rows.append((f"http{draw.choice(('', 's'))}://{host}{path}{draw.choice(('', '', '.html', '/'))}{'?' + query if query else ''}{draw.choice(('', '', '', '#top'))}", label))
+    return rows

@@ -31,9 +31,9 @@ LEAST = 1000
 LEVEL = 4
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-CHUNK = 1 << 16
-#: Groups of copies (about 100 bytes each) are broadcast up to this number, else they are shuffled.
-MAX_BROADCAST = 200_000
+CHUNK, MOST_HEADERS = 1 << 16, 1 << 20
+#: Groups of copies (about 100 bytes each) are broadcast up to this number, else they are shuffled in SALTS parts.
+MAX_BROADCAST, SALTS = 200_000, 32
 ANONYMOUS = "<urn:page:none>"
 
 
@@ -43,8 +43,11 @@ def groups(pages: DataFrame, least: int = LEAST, page_id: str = "page_id", html:
     named = pages.select(F.col(page_id).cast("long").alias("page_id"), "url", body.alias("html"), F.octet_length(body).alias("size"), F.sha1(F.encode(body, "UTF-8")).alias("digest"))
     large = named.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
     copies = materialise(large.where("n > 1").select("digest", "size", "keeper"), "copies")
-    copies = F.broadcast(copies) if copies.count() <= MAX_BROADCAST else copies
-    met = named.join(copies, ["digest", "size"], "left")
+    if copies.count() <= MAX_BROADCAST:
+        met = named.join(F.broadcast(copies), ["digest", "size"], "left")
+    else:  # a group of very many copies is dealt out
+        spread = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = named.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(spread, ["digest", "size", "salt"], "left")
     return met.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to"))
 
 
@@ -82,18 +85,20 @@ class DamagedArchive(ValueError):
     """A record isn't what its headers say."""
 
 
-def members(chunks: Iterator[bytes]) -> Iterator[bytes]:
-    """The inflated gzip members of a byte stream, one at a time."""
-    inflate, out = zlib.decompressobj(31), []
-    begun = False
+def inflated(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
+    """The inflated bytes of a stream of gzip members, CHUNK at most at a time, and whether a member
+    ends with them."""
+    inflate, begun = zlib.decompressobj(31), False
     for chunk in chunks:
-        while chunk:
+        more = False  # output that is still to come though all input was taken
+        while chunk or more:
             begun = True
-            out.append(inflate.decompress(chunk))
-            if not inflate.eof:
-                break
-            yield b"".join(out)
-            chunk, inflate, out, begun = inflate.unused_data, zlib.decompressobj(31), [], False
+            data = inflate.decompress(chunk, CHUNK)
+            more = not inflate.eof and len(data) == CHUNK
+            chunk = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
+            yield data, inflate.eof
+            if inflate.eof:
+                inflate, begun = zlib.decompressobj(31), False
     if begun:
         raise DamagedArchive("the last member is cut off")
 
@@ -107,19 +112,30 @@ def headers(head: bytes) -> dict[str, str]:
 
 
 def read_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record, framed by Content-Length, block digest verified."""
-    for member in members(chunks):
-        head, mark, rest = member.partition(b"\r\n\r\n")
-        if not mark or not head.startswith(b"WARC/"):
-            raise DamagedArchive("a member doesn't begin with a record")
-        found = headers(head)
-        size = int(found["content-length"])
-        block = rest[:size]
-        if len(block) != size or rest[size:] != b"\r\n\r\n":
+    """Headers and block of each record, framed by Content-Length, block digest verified.  A member
+    that inflates to more than its header says is given up at once."""
+    held, found, size = bytearray(), None, 0
+    for data, ends in inflated(chunks):
+        held += data
+        if found is None:
+            at = held.find(b"\r\n\r\n")
+            if not held.startswith(b"WARC/"[: len(held)]) or (at < 0 and (ends or len(held) > MOST_HEADERS)):
+                raise DamagedArchive("a member doesn't begin with a record")
+            if at >= 0:
+                found = headers(bytes(held[:at]))
+                size = int(found["content-length"])
+                del held[: at + 4]
+        if found is not None and len(held) > size + 4:
+            raise DamagedArchive("a block is longer than its header says")
+        if not ends:
+            continue
+        if len(held) != size + 4 or held[size:] != b"\r\n\r\n":
             raise DamagedArchive("a block is not as long as its header says")
+        block = bytes(held[:size])
         if sha1_label(block) != found["warc-block-digest"]:
             raise DamagedArchive("a block's digest is wrong")
         yield found, block
+        held, found, size = bytearray(), None, 0
 
 
 def page_of(record_id: str | None) -> int | None:
@@ -140,14 +156,19 @@ def parse(found: dict[str, str], block: bytes) -> tuple[int | None, str | None,
 
 def write(grouped: DataFrame, folder: str) -> list[str]:
     """An archive for each partition of ``grouped`` (see ``groups``); gives their paths."""
-    batch_rows(grouped.sparkSession, 200)
+    batch_rows(grouped.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, path = None, f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz"
-        for batch in batches:
-            for page_id, url, html, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                out = out or AtomicWriter(path)
-                out.write(gzip_member(record(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to)))
+        try:
+            for batch in batches:
+                for page_id, url, html, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
+                    out = out or AtomicWriter(path)
+                    out.write(gzip_member(record(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to)))
+        except BaseException:
+            if out:
+                out.abort()
+            raise
         if out:
             out.commit()
             yield pa.RecordBatch.from_pydict({"path": [path]})

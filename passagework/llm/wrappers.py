@@ -12,18 +12,23 @@ items, each of them once, optional or repeated.
 
 A host's wrapper is the merge of all its pages: those of a task merge first, then hosts' partial
 wrappers in MERGE_PARTS salted parts, then those.  Only the wrapper of a host, whose size depends on the variety
-of its markup, is ever held, never its pages.
-
-With its wrapper a page is walked in parallel: items in boilerplate regions (navigation, headers,
-footers, sidebars, notices, adverts, forms, comments, scripts, styles) are left out; where the page
-has article or main elements only those count.  Of what is left a slot that is the same constant on all
-pages of a host (MIN_PAGES at least) whose other slots vary is the template's, not the page's; within
-article or main elements other slots of theirs must vary.  A constant folded into a repeated item with
-texts that differ is no slot of its own and stays.
-
-Null and empty html gives an empty text; a null or unparsable url is a host of its own name ''.
-Repeated pages get equal texts; null ids and further columns are kept; an empty table gives an empty
-result.  Cut-off and mis-nested markup is read as far as it goes.
+of its markup, is ever held, never its pages.  Partial wrappers are merged in the order of their text, so a
+table dealt to the same partitions gives the same wrapper; dealt otherwise, alignments (and with them which
+slots count as constant) may differ where several are equally long.
+
+The wrapper says what is read.  Each of its slots is labelled once a host: as part of a region that isn't
+the article's (navigation, headers, footers, sidebars, notices, adverts, forms, comments: by the names in its
+signature, or, outside article and main elements, because what it holds on all pages is mostly link text in
+several slots), as main (inside an article or main element) or as plain; and as the template's where it is
+the same constant on all pages of a host (MIN_PAGES at least) whose other slots vary.  A page is then aligned with the
+wrapper: its texts are those of main slots, or of plain ones where it has no article or main
+element; a constant only counts where the page has that text, a list of links only where it is one
+there.  What has no slot isn't read: a page that took part in the inference has one for all it holds.
+
+Character references are decoded; a ``<`` that begins no tag is text, as is a tag that the next one interrupts; a tag whose
+quotes don't match ends at its first ``>``, one that the page's end cuts off is left out.  Null and empty html gives an empty text; a null or unparsable url
+is a host of its own name ''.  Repeated pages get equal texts; null ids and further columns are kept; an empty
+table gives an empty result.  Cut-off and mis-nested markup is read as far as it goes.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
@@ -45,6 +51,8 @@ from passagework.llm.common import batch_rows, materialise
 from passagework.llm.urls import parse as parse_url
 
 MIN_PAGES, MERGE_PARTS = 3, 256
+#: A region of several slots with so much link text is navigation.
+LINK_SHARE, LINK_SLOTS = 0.8, 3
 #: Hosts whose partial wrappers a task holds.
 HOSTS_AT_ONCE = 2_000
 #: Wrappers are broadcast up to so many bytes of JSON, else joined by host.
@@ -68,9 +76,11 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(\bhidden\b)", re.S)
 WORD = re.compile(r"[a-z]+")
+#: A tag whose quotes don't match.
+LOOSE = re.compile(r"<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/<>]*)(?P<rest>[^<>]*)>")
 
-# An item is ["t", constant or None, optional, repeated] or ["e", signature, optional, repeated, items]
-# or ["g", "", optional, repeated, items].
+# An item is ["t", constant or None, optional, repeated, characters, those in links, slots] or
+# ["e", signature, optional, repeated, items] or ["g", "", optional, repeated, items].
 
 
 def signature(tag: str, rest: str) -> tuple[str, bool]:
@@ -91,30 +101,40 @@ def tree(page: str) -> list:
     root: list = []
     stack: list[tuple[str, list]] = [("", root)]
     buffer: list[str] = []
+    linked, link = 0, False
 
     def flush() -> None:
+        nonlocal linked, link
         if buffer:
-            text = " ".join(entities.unescape("".join(buffer)).split())
-            buffer.clear()
+            raw = "".join(buffer)
+            text = " ".join(entities.unescape(raw).split())
             if text:
-                stack[-1][1].append(["t", text, False, False])
+                stack[-1][1].append(["t", text, False, False, len(text), len(text) * linked // len(raw), 1])
+            buffer.clear()
+        linked, link = 0, False
 
     at, end = 0, len(page)
     while at < end:
-        found = TOKEN.match(page, at)
-        if not found:  # an unfinished tag: as text up to the next one
-            nxt = page.find("<", at + 1)
-            at = end if nxt < 0 else nxt
+        found = TOKEN.match(page, at) or LOOSE.match(page, at)
+        if not found:  # a tag that never ends: cut off with the page, or no tag at all
+            if page.find("<", at + 1) < 0:
+                break
+            buffer.append("&lt;")
+            at += 1
             continue
         at = found.end()
-        if found["text"]:
-            buffer.append(found["text"])
+        kinds = found.groupdict()
+        if kinds.get("text"):
+            buffer.append(kinds["text"])
+            linked += len(kinds["text"]) if link else 0
             continue
-        tag = (found["tag"] or "").lower()
+        tag = (kinds["tag"] or "").lower()
         if not tag:
             continue
-        if found["close"]:
+        rest = kinds["rest"] or ""
+        if kinds["close"]:
             if tag in INLINE:
+                link = link and tag != "a"
                 continue
             flush()
             for depth in range(len(stack) - 1, 0, -1):
@@ -122,7 +142,7 @@ def tree(page: str) -> list:
                     del stack[depth:]
                     break
             continue
-        if tag in RAW and not found["rest"].endswith("/"):
+        if tag in RAW and not rest.endswith("/"):
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = close.end() if close else end
             if tag not in INLINE:
@@ -131,19 +151,20 @@ def tree(page: str) -> list:
         if tag in INLINE:
             if tag == "br":
                 buffer.append(" ")
-            elif found["rest"] and signature(tag, found["rest"])[1]:
+            elif rest and signature(tag, rest)[1]:
                 close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = close.end() if close else at
+            link = link or tag == "a"
             continue
         flush()
         shut = CLOSES_ITSELF.get(tag, ())
         while len(stack) > 1 and stack[-1][0] in shut or (len(stack) > 1 and stack[-1][0] == "p"):
             stack.pop()
-        name, hidden = signature(tag, found["rest"] or "")
+        name, hidden = signature(tag, rest)
         item = ["e", name, False, False, []]
         if not hidden:
             stack[-1][1].append(item)
-        if tag not in VOID and not (found["rest"] or "").endswith("/"):
+        if tag not in VOID and not rest.endswith("/"):
             stack.append((tag, item[4]))
     flush()
     return root
@@ -168,7 +189,7 @@ def merge_items(a: list, b: list) -> list:
     """One item for two of equal key."""
     optional, repeated = a[2] or b[2], a[3] or b[3]
     if a[0] == "t":
-        return ["t", a[1] if a[1] == b[1] else None, optional, repeated]
+        return ["t", a[1] if a[1] == b[1] else None, optional, repeated, a[4] + b[4], a[5] + b[5], a[6] + b[6]]
     return [a[0], a[1], optional, repeated, merge(a[4], b[4])]
 
 
@@ -221,10 +242,10 @@ def absorb(items: list, other: list) -> list:
 
 def merge(a: list, b: list) -> list:
     """The pattern of both sequences."""
-    if a == b:
-        return a
     a, b = absorb(a, b), absorb(b, a)
     ka, kb = [key(x) for x in a], [key(x) for x in b]
+    if ka == kb:
+        return refold([merge_items(x, y) for x, y in zip(a, b, strict=True)])
     out: list = []
     for op, i, j, m, n in difflib.SequenceMatcher(None, ka, kb, autojunk=False).get_opcodes():
         if op == "equal":
@@ -266,10 +287,6 @@ def is_main(name: str) -> bool:
     return tag in MAIN_TAGS or (bool(MAIN_WORDS.intersection(words)) and tag in ("div", "section", "td"))
 
 
-def has_main(items: list) -> bool:
-    return any(x[0] == "e" and not outside(x[1], False) and (is_main(x[1]) or has_main(x[4])) for x in items)
-
-
 def varies(items: list, within: bool = False) -> bool:
     """Whether any slot that may be content differs between pages (a repeated one may differ within
     a page, which says nothing)."""
@@ -284,44 +301,88 @@ def main_varies(items: list) -> bool:
     )
 
 
-def flat(items: list) -> list:
-    return [y for x in items for y in (flat(x[4]) if x[0] == "g" else [x])]
+def links_of(items: list) -> tuple[int, int, int]:
+    """Characters, those in links, and slots of a pattern or page."""
+    total = [0, 0, 0]
+    for x in items:
+        for i, n in enumerate(x[4:7] if x[0] == "t" else links_of(x[4])):
+            total[i] += n
+    return total[0], total[1], total[2]
+
+
+def mostly_links(items: list) -> bool:
+    chars, linked, slots = links_of(items)
+    return slots >= LINK_SLOTS and linked >= LINK_SHARE * chars
+
+
+@dataclass(slots=True)
+class Slot:
+    """A labelled item of a wrapper; groups are dissolved."""
+
+    key: str
+    out: bool = False
+    main: bool = False
+    links: bool = False
+    repeated: bool = False
+    template: str | None = None
+    inner: list[Slot] = field(default_factory=list)
 
 
-def extract(page: list, wrapper: list, pages: int) -> str:
-    """The page's main text."""
-    only_main = has_main(page)
+def labelled(wrapper: list, pages: int) -> list[Slot]:
+    """The wrapper's items as slots that say what is read."""
     template = {within: pages >= MIN_PAGES and test(wrapper) for within, test in ((False, varies), (True, main_varies))}
-    out: list[str] = []
 
-    def walk(items: list, pattern: list, within: bool) -> None:
-        slots, at = flat(pattern), 0
-        keys = [key(x) for x in slots]
+    def walk(items: list, within: bool) -> list[Slot]:
+        slots: list[Slot] = []
+        for x in items:
+            if x[0] == "g":
+                slots += walk(x[4], within)
+            elif x[0] == "t":
+                slots.append(Slot("#", main=within, template=x[1] if template[within] and not x[2] and not x[3] else None))
+            else:
+                main = within or is_main(x[1])
+                slots.append(Slot(x[1], outside(x[1], within), main, not main and mostly_links(x[4]), x[3], None, walk(x[4], main)))
+        return slots
+
+    return walk(wrapper, False)
+
+
+def extract(page: list, slots: list[Slot]) -> str:
+    """The page's main text, by the host's labelled wrapper."""
+    plain: list[str] = []
+    main: list[str] = []
+    has_main = False
+
+    def walk(items: list, slots: list[Slot]) -> None:
+        nonlocal has_main
+        keys, at = [s.key for s in slots], 0
         for item in items:
             k = key(item)
-            try:
+            if k in keys[at:]:
                 found = keys.index(k, at)
-            except ValueError:
-                found = keys.index(k) if k in keys else -1
-            slot = slots[found] if found >= 0 else None
+            elif k in keys:
+                found = keys.index(k)
+            else:
+                continue
+            slot = slots[found]
+            at = found if slot.repeated else found + 1
             if item[0] == "t":
-                constant = template[within] and slot is not None and slot[1] == item[1] and not slot[2] and not slot[3]
-                if (within or not only_main) and not constant:
-                    out.append(item[1])
-                at = found + 1 if found >= 0 else at
-            elif not outside(item[1], within):
-                walk(item[4], slot[4] if slot else [], within or is_main(item[1]))
-                at = at if found < 0 else found if slot[3] else found + 1
-    walk(page, wrapper, False)
-    return " ".join(out)
+                if slot.template != item[1]:
+                    (main if slot.main else plain).append(item[1])
+            elif not slot.out and not (slot.links and mostly_links(item[4])):
+                has_main = has_main or is_main(slot.key)
+                walk(item[4], slot.inner)
+
+    walk(page, slots)
+    return " ".join(main if has_main else plain)
 
 
 # --- Spark --------------------------------------------------------------------------------------
 
 
 @lru_cache(maxsize=512)
-def load(wrapper: str) -> list:
-    return json.loads(wrapper)
+def load(wrapper: str, pages: int) -> list[Slot]:
+    return labelled(json.loads(wrapper), pages)
 
 
 def infer(pages: DataFrame) -> DataFrame:
@@ -357,7 +418,7 @@ def infer(pages: DataFrame) -> DataFrame:
 def main_texts(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with the column ``out``, the main text, in place of ``html``."""
     spark = pages.sparkSession
-    batch_rows(spark, 200)
+    batch_rows(spark)
     host = parse_url(F.col(url))[0]
     kept = [c for c in pages.columns if c not in (html, out)]
     wrappers = materialise(infer(pages.select(host.alias("host"), F.col(html).alias("html"))), "wrappers")
@@ -371,7 +432,7 @@ def main_texts(pages: DataFrame, url: str = "url", html: str = "html", out: str
         for batch in batches:
             texts = []
             for page, found in zip(batch.column("_pw_html").to_pylist(), batch.column("_pw_wrapper").to_pylist(), strict=True):
-                texts.append(extract(tree(page or ""), load(found["wrapper"]) if found else [], found["pages"] if found else 0))
+                texts.append(extract(tree(page or ""), load(found["wrapper"], found["pages"]) if found else []))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, out])
 
     return met.mapInArrow(run, schema)
