@@ -68,9 +68,12 @@ def _statistics(texts: pa.Array) -> np.ndarray:
     twice = np.zeros(n)
     if len(full):
         step = np.empty(len(kinds), np.uint8)
-        step[:-1], step[-1] = kinds[1:] != kinds[:-1], 1
+        last = ends[full] - 1  # what follows a text is no part of it
+        step[:-1] = kinds[1:] != kinds[:-1]
+        step[last] = 1
         turn[full] = np.add.reduceat(step, starts[full], dtype=np.int64)
-        step[:-1], step[-1] = data[1:] == data[:-1], 0
+        step[:-1] = data[1:] == data[:-1]
+        step[last] = 0
         twice[full] = np.add.reduceat(step, starts[full], dtype=np.int64)
     lines_new, words_new = np.ones(n), np.ones(n)
     for i, x in enumerate(texts.to_pylist()):

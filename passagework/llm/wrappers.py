@@ -71,7 +71,7 @@ OUT_WORDS = frozenset(
 MAIN_TAGS, MAIN_WORDS = frozenset(("article", "main")), frozenset(("main", "article"))
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<(?![a-zA-Z/!?]))",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<(?![a-zA-Z/!?]))",
     re.S,
 )
 ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(\bhidden\b)", re.S)
@@ -347,6 +347,21 @@ def labelled(wrapper: list, pages: int) -> list[Slot]:
     return walk(wrapper, False)
 
 
+def covers(slots: list[Slot], items: list) -> bool:
+    """Whether ``slots`` have a place for all that ``items`` hold."""
+    return all(any(s.key == key(x) and (x[0] == "t" or covers(s.inner, x[4])) for s in slots) for x in items)
+
+
+def place(item: list, slots: list[Slot], at: int) -> int:
+    """The slot of an item: the first from ``at`` on, else from the start, that has its key and room
+    for what it holds; -1 if no slot has its key."""
+    k = key(item)
+    found = [i for i in (*range(at, len(slots)), *range(min(at, len(slots)))) if slots[i].key == k]
+    if len(found) > 1 and item[0] != "t":
+        return next((i for i in found if covers(slots[i].inner, item[4])), found[0])
+    return found[0] if found else -1
+
+
 def extract(page: list, slots: list[Slot]) -> str:
     """The page's main text, by the host's labelled wrapper."""
     plain: list[str] = []
@@ -355,14 +370,10 @@ def extract(page: list, slots: list[Slot]) -> str:
 
     def walk(items: list, slots: list[Slot]) -> None:
         nonlocal has_main
-        keys, at = [s.key for s in slots], 0
+        at = 0
         for item in items:
-            k = key(item)
-            if k in keys[at:]:
-                found = keys.index(k, at)
-            elif k in keys:
-                found = keys.index(k)
-            else:
+            found = place(item, slots, at)
+            if found < 0:
                 continue
             slot = slots[found]
             at = found if slot.repeated else found + 1

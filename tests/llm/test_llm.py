@@ -78,10 +78,10 @@ def test_token_shards(spark, tmp_path):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(TOKENIZER)
-    df = awkward(spark).unionAll(docs(spark, [(9, "a<|endoftext|>b½ ‏ x"), (-4, "minus")]))
+    df = awkward(spark).unionAll(docs(spark, [(9, "a<|endoftext|>b½ ‏ x"), (-4, "minus"), (20, "one"), (20, "two"), (None, None), (40, "x" * 300)]))
     shards = sstable.write(df, f"file://{tmp_path}/s", TOKENIZER, 2, shards=3)
     rows = sstable.read(spark, shards).orderBy("start").collect()
-    expected = sorted(((r["doc_id"], r["text"] or "") for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    expected = [(r["doc_id"], r["text"] or "") for r in df.withColumn("tie", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy(F.col("doc_id").asc_nulls_first(), "tie", "text").collect()]
     at = 0
     assert len(rows) == len(expected)
     for r, (i, text) in zip(rows, expected, strict=True):
@@ -104,6 +104,11 @@ def test_shard_lookups_and_damage(tmp_path):
     assert len(reader.blocks) > 1
     assert all(reader.get(i).tolist() == ids.tolist() for i, ids in held.items())
     assert sum(reader.may_hold(i * 3 + 1) for i in range(5000)) < 200
+    at = 0
+    for i, ids in held.items():
+        assert reader.find(i)[0] == at
+        at += len(ids)
+    assert reader.find(-1) is None and reader.find(10**9) is None
     raw = bytearray((tmp_path / "x.sst").read_bytes())
     raw[20] ^= 1
     (tmp_path / "y.sst").write_bytes(raw)
@@ -149,6 +154,19 @@ def test_quality_held_out(spark):
 def test_isotonic():
     x, y = quality.isotonic(np.array([1.0, 2, 3, 4, 5]), np.array([0.0, 1, 0, 1, 1]))
     assert np.interp([1, 2, 3, 4, 5], x, y).tolist() == [0, 0.5, 0.5, 1, 1]
+    for values, labels in (([1.0, 1, 2], [0.0, 1, 1]), ([1.0, 2, 1], [1.0, 1, 0])):  # ties, in either order
+        x, y = quality.isotonic(np.array(values), np.array(labels))
+        assert np.interp([1, 2], x, y).tolist() == [0.5, 1]
+
+
+def test_quality_statistics_by_parts(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array([prose(i, 5 + i) for i in range(40)] + [None, "", prose(1, 3000), "é日本"])
+    whole = quality.statistics(texts)
+    monkeypatch.setattr(quality, "BYTES_AT_ONCE", 300)
+    assert np.array_equal(quality.statistics(texts), whole) and np.array_equal(quality.statistics(texts.slice(3, 7)), whole[3:10])
+    assert quality.statistics(texts.slice(0, 0)).shape == (0, quality.N_STATS)
 
 
 INSULTS = ["blockhead", "nincompoop", "dunderpate"]
@@ -184,7 +202,7 @@ def test_toxicity_learns_short_and_rare_insults(spark):
 
     df, labels = labelled_docs(spark, spoil, 6000)
     model = toxicity.fit(df, labels, ~part(4, 2), part(4, 1))
-    assert toxicity.START in model.marks[0] and {len(m) for m in model.marks} >= {4, 5}
+    assert {len(m) for m in model.landmarks.marks} >= {4, 5}
     scored = toxicity.score(df, model).join(labels, "doc_id").where(part(4, 2) & (F.col("toxic") == 1))
     missed = scored.where(F.col("score") < 0.3).groupBy((F.col("doc_id") % 3).alias("kind")).count().collect()
     assert not missed, missed
@@ -192,18 +210,50 @@ def test_toxicity_learns_short_and_rare_insults(spark):
     assert (plain < 0.3).all()
 
 
-def test_toxicity_bound_loses_nothing(spark):
-    marks = [bytes([toxicity.START, *(ord(c) - 96 for c in w)]) for w in INSULTS]
-    model = toxicity.Model(marks, np.eye(3), np.ones(5))
-    texts = [insult(prose(i, 40), i) for i in range(300, 420)]
-    for text in texts:
-        letters, begin, sentence, _ = toxicity.tokens([text])
+def slow_kernel(x: bytes, z: bytes) -> float:
+    """Common subsequences of three letters, by the definition."""
+
+    def weights(word):
+        found: dict[tuple, float] = {}
+        for i in range(len(word)):
+            for j in range(i + 1, len(word)):
+                for k in range(j + 1, min(len(word), i + toxicity.SPAN)):
+                    u = word[i], word[j], word[k]
+                    found[u] = found.get(u, 0) + toxicity.DECAY ** (k - i - 2)
+        return found
+
+    a, b = weights(x), weights(z)
+    norm = (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+    return sum(v * b.get(u, 0) for u, v in a.items()) / norm if norm else 0.0
+
+
+def test_toxicity_kernel_and_bound():
+    marks = [bytes([toxicity.START, *(ord(c) - 96 for c in w)]) for w in [*INSULTS, "head", "dunder"]]
+    model = toxicity.Model(marks)
+    assert np.allclose(model.gram, [[slow_kernel(a, b) ** toxicity.POWER for b in marks] for a in marks], atol=1e-5)
+    assert np.linalg.eigvalsh(model.gram).min() >= -1e-6 and (model.gram == model.gram.T).all()
+    for text in [insult(prose(i, 40), i) for i in range(300, 360)]:
+        letters, begin, _ = toxicity.tokens([text])
         data, ends = letters.tobytes(), [*begin[1:].tolist(), len(letters)]
-        best: dict[int, np.ndarray] = {}
-        for a, b, s in zip(begin.tolist(), ends, sentence.tolist(), strict=True):
-            best[s] = np.maximum(best.get(s, np.zeros(3)), model.similar(data[a:b]))
-        _, sims = model.matches([text])
-        assert np.allclose(sims.sum(axis=0), sum(best.values()), atol=1e-5)
+        rows = np.array([[slow_kernel(data[a:b], m) for m in marks] for a, b in zip(begin.tolist(), ends, strict=True)])
+        assert np.allclose(model.landmarks.sums([text])[0], np.where(rows >= toxicity.LEAST, rows**toxicity.POWER, 0).sum(axis=0), atol=1e-4)
+
+
+def test_toxicity_reads_long_texts_in_pieces(monkeypatch):
+    model = toxicity.Model([bytes([toxicity.START, *(ord(c) - 96 for c in w)]) for w in INSULTS])
+    text = ". ".join(insult(prose(i, 40), i) for i in range(300, 340))
+    whole = model.bags([text, "", text + text, "no"])
+    monkeypatch.setattr(toxicity, "CHARS_AT_ONCE", 500)
+    assert "".join(toxicity.pieces(text)) == text and max(map(len, toxicity.pieces(text))) <= 500
+    assert np.allclose(model.bags([text, "", text + text, "no"]), whole)
+
+
+def test_toxicity_other_scripts_are_no_latin():
+    model = toxicity.Model([bytes([toxicity.START, *(ord(c) - 96 for c in w)]) for w in INSULTS])
+    draw = random.Random(2)
+    for low, high in ((0x430, 0x450), (0x3B1, 0x3CA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0x20000, 0x2A6D0)):
+        texts = [" ".join("".join(chr(draw.randrange(low, high)) for _ in range(8)) for _ in range(200))]
+        assert not model.landmarks.sums(texts).any()
 
 
 # --- 6 ------------------------------------------------------------------------------------------
@@ -256,6 +306,64 @@ def test_phrases_are_local():
     assert (phrases.from_text(phrases.to_text(whole)) == whole).all()
 
 
+def slow_sketch(text: str) -> list[int]:
+    """The parse written out, a symbol at a time."""
+    top = 2**64
+
+    def mix(x):
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ x >> 33) * m % top
+        return x ^ x >> 33
+
+    p = [int(x) for x in phrases._P]
+    names, seen = [mix((ord(c) * p[0] + p[1]) % top) for c in text], set()
+    for level in range(1, phrases.LEVELS + 1 if text else 0):
+        folded: list[list[int]] = []
+        for x in names:
+            if folded and folded[-1][0] == x:
+                folded[-1][1] += 1
+            else:
+                folded.append([x, 1])
+        names = [mix((x * p[3] + n) % top) if n > 1 else x for x, n in folded]
+        labels = names
+        for _ in range(phrases.ROUNDS):
+            tossed = []
+            for i, x in enumerate(labels):
+                differ = x ^ labels[i - 1] if i else 1
+                low = (differ & -differ).bit_length() - 1 if differ else 0
+                tossed.append(2 * low + (x >> low & 1))
+            labels = tossed
+        cuts = [i for i in range(len(names)) if i == 0 or (labels[i] < labels[i - 1] and (i + 1 == len(names) or labels[i] <= labels[i + 1]))]
+        made = []
+        for a, b in zip(cuts, [*cuts[1:], len(names)], strict=True):
+            total = sum(mix(names[i]) * ((p[i - a & 1] + ((i - a) << 32) * p[2]) % top | 1) for i in range(a, b)) % top
+            made.append(mix((total + b - a) % top))
+        names = made
+        if level >= phrases.LOWEST:
+            seen.update(names)
+    return sorted(seen)[: phrases.KEEP]
+
+
+def test_parse_by_brute_force():
+    texts = [prose(1, 300), "", "a", "aaaaaaa", "ab" * 40, "日本語" * 30, "mississippi" * 9, prose(2, 3), "x" * 500 + prose(3, 50)]
+    assert [x.tolist() for x in phrases.sketches(texts)] == [slow_sketch(t) for t in texts]
+
+
+def test_likeness_estimates_the_common_share():
+    errors = []
+    for seed in range(40):
+        words = prose(seed, 400).split()
+        other = words[: 10 * (seed % 40)] + prose(900 + seed, 400).split()[10 * (seed % 40) :]
+        full = []
+        for text in (" ".join(words), " ".join(other)):
+            keep, phrases.KEEP = phrases.KEEP, 10**9
+            full.append(set(phrases.sketches([text])[0].tolist()))
+            phrases.KEEP = keep
+        true = len(full[0] & full[1]) / len(full[0] | full[1])
+        errors.append(phrases.likeness(*phrases.sketches([" ".join(words), " ".join(other)])) - true)
+    assert max(map(abs, errors)) < 0.2 and abs(sum(errors)) / len(errors) < 0.02
+
+
 @pytest.mark.parametrize("parts", [1, 3, 8])
 def test_next_document(spark, parts):
     rows = [(i * 3 % 31, prose(i, 5 + i)) for i in range(31)]
@@ -316,12 +424,37 @@ def near_rows():
 def test_near_duplicates(spark, monkeypatch, words, window):
     monkeypatch.setattr(neardup, "WINDOW", window)
     monkeypatch.setattr(neardup, "PART", 16)
-    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "LONG", 12)
+    monkeypatch.setattr(neardup, "HOT", 10)
     rows = near_rows()
     found = neardup.near_duplicates(docs(spark, rows), words=words, percent=80)
     assert sorted(map(tuple, found.collect())) == slow_components(rows, words, 80)
 
 
+def test_common_passages_cost_no_square(spark, monkeypatch):
+    made = []
+    real = neardup.entry_pairs
+    monkeypatch.setattr(neardup, "entry_pairs", lambda e, p: made.append(real(e, p)) or made[-1])
+    common = [f"c{i}" for i in range(70)]
+    rows = [(i, " ".join([*common, *(f"o{i}x{k}" for k in range(12))])) for i in range(200)]  # alike by 0.74
+    rows += [(1000 + i, " ".join([*common, *(f"p{i}x{k}" for k in range(i % 20))])) for i in range(200)]
+    found = neardup.near_duplicates(docs(spark, rows), words=1)
+    assert sorted(map(tuple, found.collect())) == slow_components(rows, 1, 80)
+
+
+def test_prefix_entries_lose_no_link(spark):
+    draw = random.Random(8)
+    sets = []
+    for cls in range(120):
+        base = [10_000 * (cls % 6) + k for k in range(40)]
+        own = {draw.choice(base) for _ in range(60)} | {draw.randrange(10**9) for _ in range(draw.randrange(12))} | set(range(20 * (cls % 2)))
+        sets.append((cls, cls % 50, len(own), sorted(own)))
+    rows = spark.createDataFrame([(c, g, n, x) for c, g, n, own in sets for x in own], "cls long, comp long, n long, shingle long")
+    found = {(r["a"], r["b"]) for r in neardup.entry_pairs(neardup.prefix_entries(rows, 80), 80).collect()}
+    linked = {(a[0], b[0]) for a in sets for b in sets if a[0] < b[0] and a[1] != b[1] and 100 * len(set(a[3]) & set(b[3])) >= 80 * len(set(a[3]) | set(b[3]))}
+    assert linked and linked <= found
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
     found = neardup.near_duplicates(docs(spark, [(5, prose(1)), (5, prose(1)), (3, prose(1)), (None, prose(1)), (None, prose(2)), (7, prose(9)), (7, prose(8))]))
@@ -342,8 +475,13 @@ def test_components(spark):
     for a, b in links:
         a, b = root(a), root(b)
         parent[max(a, b)] = min(a, b)
-    found = components.components(spark.createDataFrame([(a, b) for a, b in links if a != b], "a long, b long"))
-    assert {r["node"]: r["comp"] for r in found.collect()} == {x: root(x) for a, b in links if a != b for x in (a, b)}
+    expected = {x: root(x) for a, b in links if a != b for x in (a, b)}
+    df = spark.createDataFrame([*links, *links[:50], (None, 1), (1, None)], "a long, b long")
+    assert {r["node"]: r["comp"] for r in components.components(df).collect()} == expected
+    hot, components.HOT = components.HOT, 3  # most nodes are met by broadcast
+    assert {r["node"]: r["comp"] for r in components.components(df).collect()} == expected
+    components.HOT = hot
+    assert components.components(df.limit(0)).count() == 0
 
 
 # --- 1, 2 and 3 ---------------------------------------------------------------------------------
@@ -366,11 +504,15 @@ def test_url_rules_and_trees(spark):
         ("no scheme", "", "", None, None),
         (None, "", "", None, None),
         ("ftp://É.Org/es/://x", "É.org", "/es/://x", "org/es/", "block"),
-        ("https://cheap-pills.example.net/fr/1", "cheap-pills.example.net", "/fr/1", None, "block"),
+        ("https://lucky-jackpot-777.biz/fr/1?aff=12345", "lucky-jackpot-777.biz", "/fr/1", None, "block"),
+        ("https://garden.example.org/fr/12", "garden.example.org", "/fr/12", None, "allow"),
         ("https://garden.example.org/fr/12", "garden.example.org", "/fr/12", None, "allow"),
+        ("://", "", "", None, None),
+        ("http://h.example/" + "a/" * 20_000, "h.example", "/" + "a/" * 20_000, None, None),
     ]
     model = urls.fit(urls.labelled_urls(spark))
     df = pages(spark, [(i, c[0], None) for i, c in enumerate(cases)])
+    assert urls.judge(pages(spark, [(None, "http://a.com/en/", None)]), RULES, model).first()["verdict"] == "block"
     for rules in (RULES, [*RULES, *(("block", f"h{i}.invalid", "/") for i in range(urls.INLINE_RULES))]):
         found = {r["page_id"]: r for r in urls.judge(df, rules, model).collect()}
         for i, (_, host, path, rule, verdict) in enumerate(cases):
@@ -382,6 +524,25 @@ def test_url_rules_and_trees(spark):
     assert urls.judge(df, [], nothing).where("verdict <> 'allow'").count() == 0
 
 
+def test_url_trees_held_out(spark):
+    rows = urls.made_urls()
+    random.Random(1).shuffle(rows)
+    half = len(rows) // 2
+    model = urls.fit(spark.createDataFrame(rows[:half], "url string, label int"))
+    judged = urls.judge(spark.createDataFrame(rows[half:], "url string, label int"), [], model)
+    wrong = judged.where((F.col("verdict") == "block") != (F.col("label") == 1)).count()
+    assert wrong <= 0.1 * half
+
+
+def test_entropy(spark):
+    import math
+
+    for text in ("", "a", "aab", "abc.def-0", "日本日"):
+        n = len(text)
+        expected = -sum(text.count(c) / n * math.log2(text.count(c) / n) for c in set(text)) if n else 0
+        assert spark.range(1).select(urls.entropy(F.lit(text))).first()[0] == pytest.approx(expected)
+
+
 def test_tree_columns_agree(spark):
     draw = np.random.default_rng(3)
     x = draw.normal(size=(400, len(urls.FEATURES)))
@@ -431,10 +592,72 @@ def test_patterns_fold_and_align():
     kinds = [(wrappers.key(x), x[2], x[3]) for x in div[4]]
     assert kinds[0] == ("ul", False, False) and div[4][0][4][0][3] is True
     assert ("hr", True, False) in kinds and ("(h2 p)", False, True) in kinds
-    assert wrappers.merge(first, first) == first
+    again = wrappers.merge(first, first)
+    assert [(wrappers.key(x), x[2], x[3]) for x in again[0][4]] == [(wrappers.key(x), x[2], x[3]) for x in first[0][4]]
+    assert wrappers.links_of(again)[0] == 2 * wrappers.links_of(first)[0]
+
+
+def test_wrapper_decides_what_is_read(spark):
+    page = PAGE.format(ARTICLE)
+    items = wrappers.tree(page)
+    assert wrappers.extract(items, wrappers.labelled(wrappers.fold(items), 1)) == "Head & tail Onetwo three four five"
+    assert wrappers.extract(items, []) == ""
+
+
+def test_links_are_navigation_outside_articles(spark):
+    menu = "<div><a href=1>one</a></div><div><a href=2>two</a></div><div><a href=3>three</a></div>"
+    rows = [(i, f"http://a.x/{i}", f"<body><section>{menu}</section><div><h2>Story {i}</h2><p>Body <a href=x>{i}</a> text.</p></div></body>") for i in range(2)]
+    rows += [(10, "http://b.x/", f"<article><h1>Links</h1>{menu}</article>")]
+    found = {r["page_id"]: r["text"] for r in wrappers.main_texts(pages(spark, rows)).collect()}
+    assert found == {0: "Story 0 Body 0 text.", 1: "Story 1 Body 1 text.", 10: "Links one two three"}
+
 
+def test_stray_brackets_and_quotes_lose_no_text():
+    def text(page):
+        items = wrappers.tree(page)
+        return wrappers.extract(items, wrappers.labelled(wrappers.fold(items), 1))
 
-def test_warc(spark, tmp_path):
+    assert text("<article><p>1 < 2 and 3 <4, a<b and<p>next</article>") == "1 < 2 and 3 <4, a<b and next"
+    assert text('<article><p title="x>kept</p><p>also</p></article>') == "kept also"
+    assert text("<article><p title='it>kept</p><p>also &lt;i&gt; &amp;amp;</p></article>") == "kept also <i> &amp;"
+    assert text("<article><p>ends <b>here</b> <a href='x") == "ends here"
+
+
+BLOCKS = st.deferred(lambda: st.one_of(
+    st.sampled_from(["one", "two words", "<b>bold</b> text", "a <a href=x>link</a>"]).map("<p>{}</p>".format),
+    st.tuples(st.sampled_from(["div", "div class=ad", "section", "ul", "nav", "article", "div id=x"]), st.lists(BLOCKS, max_size=4)).map(lambda t: f"<{t[0]}>{''.join(t[1])}</{t[0].split()[0]}>"),
+    st.sampled_from(["<ul><li>a<li>b<li>c</ul>", "<h2>h</h2><p>p</p><h2>i</h2><p>q</p>", "<hr>", "plain"]),
+))
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.lists(BLOCKS, max_size=4).map("".join), min_size=1, max_size=5))
+def test_every_page_of_a_host_has_slots_for_all_it_holds(pages_):
+    """No text is lost for want of a slot: with nothing out and no template, all texts come back."""
+    trees = [wrappers.tree(p) for p in pages_]
+    wrapper = wrappers.fold(trees[0])
+    for t in trees[1:]:
+        wrapper = wrappers.merge(wrapper, wrappers.fold(t))
+
+    def opened(slots):
+        for s in slots:
+            s.out, s.links, s.template, s.main = False, False, None, False
+            opened(s.inner)
+        return slots
+
+    def texts(items):
+        return [y for x in items for y in ([x[1]] if x[0] == "t" else texts(x[4]))]
+
+    slots = opened(wrappers.labelled(wrapper, 1))
+    is_main, wrappers.is_main = wrappers.is_main, lambda name: False
+    try:
+        for t in trees:
+            assert wrappers.extract(t, slots) == " ".join(texts(t))
+    finally:
+        wrappers.is_main = is_main
+
+
+def test_warc(spark, tmp_path, monkeypatch):
     big = "x" * 999 + "é"
     rows = [(1, "http://a/1 2", big), (2, None, big), (3, "u", "small"), (4, "v", "small"), (5, "w", None), (6, "x", ""), (7, "http://a/\r\nX: y", big), (None, "n", big), (8, "y", "y" * 999), (9, "y", "y" * 999)]
     df = pages(spark, rows).repartition(3)
@@ -448,6 +671,8 @@ def test_warc(spark, tmp_path):
     assert got == expected and found.count() == len(rows)
     assert [bytes(r["payload"]) for r in found.where("page_id = 7").collect()] == [big.encode()]
     assert warc.write_and_read(df.limit(0)).count() == 0
+    monkeypatch.setattr(warc, "MAX_BROADCAST", 0)  # the shuffled join
+    assert {(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.write_and_read(df).collect()} == expected
 
 
 def test_warc_reader_finds_damage():
@@ -458,6 +683,12 @@ def test_warc_reader_finds_damage():
         assert [warc.parse(*r)[0] for r in read] == [1, 2] and warc.parse(*read[1])[5] == 1
     with pytest.raises(warc.DamagedArchive):
         list(warc.read_records([data[:-9]]))
+    large = warc.record(3, "http://x/", random.Random(1).randbytes(400_000) + bytes(3_000_000), None)
+    assert [len(b) for _, b in warc.read_records([warc.gzip_member(large), warc.gzip_member(good)])][0] > 3_400_000
+    bomb, taken = good.replace(b"payload", b"payload" + bytes(50_000_000)), []
+    with pytest.raises(warc.DamagedArchive):
+        list(warc.read_records(taken.append(1) or bytes([x]) for x in warc.gzip_member(bomb)))
+    assert len(taken) < 2_000  # given up long before its end
     for old, new in ((b"payload", b"pAyload"), (b"Content-Length: 8", b"Content-Length: 9")):
         assert old in good
         with pytest.raises(warc.DamagedArchive):
