@@ -32,8 +32,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", label: str = "comp"
     pairs = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("a") != F.col("b"))
     pairs = materialise(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     count = F.count(F.lit(1)).alias("deg")
+    n = pairs.count()  # rounds never add links
     for _ in range(MAX_ROUNDS):
-        n = pairs.count()
         both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), count).select("a", F.least("a", "m").alias("m"), "deg")
         large = _meet(both.where(F.col("b") > F.col("a")), least, n).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

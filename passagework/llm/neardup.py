@@ -10,15 +10,16 @@
    their ``COORDS - agree + 1`` rarest, so only those are posted, and tokens of one class need not
    be posted at all.  Tokens that thousands share (common passages) come last and are skipped.
 4. Posting lists: within a token, each class is paired with the WINDOW before it in order of size.
-   For lists of up to WINDOW + 1 that is every pair.  Longer lists are dealt out in salted parts, other
-   parts for each token, where a class meets its FEW predecessors and the smallest classes of about its size.
+   For lists of up to WINDOW + 1 that is every pair.  Longer lists are dealt out in salted
+   parts, where a class meets its FEW predecessors and the smallest classes of about its size.
 5. Candidate pairs count their collisions on whole signatures; of each class the best pair is
    confirmed first, on full sets, and connected components are formed; then those remaining pairs
    that still lie between two components.
 6. Closing: longer lists that still hold several components may hide links between them.  Among the
    classes of such lists this is an exact prefix-filtered join of full sets: only shingles that two
    components share count, each set's are ordered by rarity, and two sets meet where both could reach
-   the threshold if the shingle at hand were the first that they share.  A class whose shared shingles
+   the threshold if the shingle at hand were the first that they share, and if of each of BUCKETS parts
+   of all shingles they shared as many as the poorer one has.  A class whose shared shingles
    are too few for any partner meets nobody, so pages that have a passage in common but not enough
    else cost their size, not its square.  Long lists are joined in blocks of like size whose bounds
    are compared first.  Candidates are confirmed on full sets, best ones first, as in 5.  So no link
@@ -46,7 +47,9 @@ from passagework.llm.components import components
 COORDS = 64
 WINDOW, PART = 8, 256
 #: In lists of more than LONG classes FEW predecessors are enough: the closing step looks at the rest.
-LONG, FEW = 64, 1
+LONG, FEW = 64, 2
+#: Parts that a set's shingles are counted in, to bound what two sets have in common.
+BUCKETS = 16
 #: Shingles of more than HOT sets are met by broadcast (there are few of them), the others by a shuffle.
 HOT = 20_000
 #: Ids of confirmed candidates are broadcast up to this number (8 bytes each).
@@ -102,7 +105,7 @@ def postings(classes: DataFrame, agree: int) -> DataFrame:
 
 def neighbours(posted: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes (a < b) that stand near each other in a posting list."""
-    salt = F.when(F.col("df") > PART, F.pmod(F.xxhash64("cls", "token"), F.ceil(F.col("df") / PART))).otherwise(F.lit(0))
+    salt = F.when(F.col("df") > PART, F.pmod(F.xxhash64("cls"), F.ceil(F.col("df") / PART))).otherwise(F.lit(0))
     part = Window.partitionBy("token", "salt")
     order = part.orderBy("n", "cls").rowsBetween(-WINDOW, -1)
     entry = F.struct(F.col("cls").alias("other"), F.col("n").alias("m"))
@@ -222,8 +225,8 @@ def reachable(cap: Column, other: Column, n: Column, m: Column, percent: int) ->
 
 
 def prefix_entries(rows: DataFrame, percent: int) -> DataFrame:
-    """shingle, cls, comp, n, cap of the places that count: ``cap`` is how much two sets could share if
-    that were the first shingle they share.
+    """shingle, cls, comp, n, cap, parts of the places that count: ``cap`` is how much two sets could share
+    if that were the first shingle they share, ``parts`` how many shared shingles fall to each of BUCKETS.
 
     Only shingles of at least two components count, rarest first; a place counts while its ``cap`` is
     enough for the smallest possible partner.
@@ -236,8 +239,9 @@ def prefix_entries(rows: DataFrame, percent: int) -> DataFrame:
     own = met.groupBy("cls", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("own"))
     common = F.size("own")
     places = common - F.ceil(F.col("n") * percent / 100) + 1
-    kept = own.where(places > 0).select("cls", "comp", "n", common.alias("common"), F.posexplode(F.slice("own", F.lit(1), places.cast("int"))).alias("at", "s"))
-    return kept.select("s.shingle", "cls", "comp", "n", (F.col("common") - F.col("at")).alias("cap"))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.size(F.filter("own", lambda x: F.pmod(x["shingle"], F.lit(BUCKETS)) == i)))
+    kept = own.where(places > 0).select("cls", "comp", "n", common.alias("common"), parts.alias("parts"), F.posexplode(F.slice("own", F.lit(1), places.cast("int"))).alias("at", "s"))
+    return kept.select("s.shingle", "cls", "comp", "n", (F.col("common") - F.col("at")).alias("cap"), "parts")
 
 
 def entry_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -253,10 +257,12 @@ def entry_pairs(entries: DataFrame, percent: int) -> DataFrame:
     apart = ~((F.col("low_a") == F.col("high_b")) & (F.col("low_b") == F.col("high_a")))
     meeting = a.join(b, "shingle").where(ordered & apart & reachable(F.col("most_a"), F.col("most_b"), F.col("least_a"), F.col("least_b"), percent))
     meeting = meeting.select(*["shingle", "size_a", "salt_a", "size_b", "salt_b"])
-    left, right = (blocked.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("size", "salt", "cls", "comp", "n", "cap")]) for x in "ab")
+    left, right = (blocked.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("size", "salt", "cls", "comp", "n", "cap", "parts")]) for x in "ab")
     met = meeting.join(left, ["shingle", "size_a", "salt_a"]).join(right, ["shingle", "size_b", "salt_b"])
-    met = met.where((F.col("comp_a") != F.col("comp_b")) & reachable(F.col("cap_a"), F.col("cap_b"), F.col("n_a"), F.col("n_b"), percent))
-    pair = met.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"), F.least("cap_a", "cap_b").alias("hits"))
+    most = reduce(Column.__add__, [F.least(F.get("parts_a", F.lit(i)), F.get("parts_b", F.lit(i))) for i in range(BUCKETS)])
+    sizes = (F.col("n_a") + F.col("n_b")) * percent
+    met = met.where((F.col("comp_a") != F.col("comp_b")) & reachable(F.col("cap_a"), F.col("cap_b"), F.col("n_a"), F.col("n_b"), percent) & (most * (100 + percent) >= sizes))
+    pair = met.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"), most.alias("hits"))
     return pair.groupBy("a", "b").agg(F.max("hits").alias("hits"))
 
 
@@ -278,16 +284,30 @@ def closing(posted: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -
     return found
 
 
-def settle(pairs: DataFrame, links: list[DataFrame], sets: DataFrame, percent: int) -> DataFrame:
+def joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after ``links`` (a, b) are added: only they are walked, between the components at hand."""
+    if comp is None:
+        return materialise(components(links), "components")
+    a, b = (comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
+    ends = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    new = materialise(components(ends), "merged")
+    moved = comp.join(new.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    out = materialise(moved.unionByName(new.join(comp.select("node"), "node", "left_anti").select("node", "comp")), "components")
+    discard(new, comp)
+    return out
+
+
+def settle(pairs: DataFrame, comp: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
     """Components after ``pairs`` (a, b, hits) are confirmed: the best of each class first, then those
-    that still lie between two components.  The tables of links are added to ``links``."""
+    that still lie between two components."""
     first = materialise(best_pairs(pairs), "first")
-    links.append(materialise(confirm(first, sets, percent), "links-1"))
-    comp = components(reduce(DataFrame.unionAll, links))
+    links = materialise(confirm(first, sets, percent), "links-1")
+    comp = joined(comp, links)
     rest = between(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), comp)
-    links.append(materialise(confirm(rest, sets, percent), "links-2"))
-    discard(first)
-    return components(reduce(DataFrame.unionAll, links))
+    more = materialise(confirm(rest, sets, percent), "links-2")
+    comp = joined(comp, more)
+    discard(first, links, more)
+    return comp
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, agree: int | None = None, prints: bool = False) -> DataFrame:
@@ -309,12 +329,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionAll(posted.where(F.col("df") > WINDOW + 1).select("cls")).distinct()
     chosen = materialise(classes.select("cls", "doc").where("doc is not null").join(asked, "cls", "left_semi"), "chosen")
     sets = materialise(full_sets(docs, chosen, doc_id, text, words), "sets")
-    links: list[DataFrame] = []
-    comp = settle(pairs, links, sets, percent)
+    comp = settle(pairs, None, sets, percent)
     more = closing(posted, comp, sets, percent)
     if more is not None and not more.isEmpty():
-        comp = settle(more, links, sets, percent)
-    discard(posted, pairs, chosen, sets, *links, *([more] if more is not None else []))
+        comp = settle(more, comp, sets, percent)
+    discard(posted, pairs, chosen, sets, *([more] if more is not None else []))
     named = classes.select("cls", "least").join(comp.select(F.col("node").alias("cls"), "comp"), "cls")
     least = named.groupBy("comp").agg(F.min("least").alias("component"))
     placed = named.join(least, "comp").select("cls", "component").unionAll(
