@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.llm import shingles
-from passagework.llm.common import batch_rows, discard, materialise, text_print
+from passagework.llm.common import batch_rows, discard, materialise, shuffle_partitions, text_print
 from passagework.llm.components import components
 
 COORDS = 64
@@ -49,7 +49,8 @@ WINDOW, PART = 8, 256
 #: In lists of more than LONG classes FEW predecessors are enough: the closing step looks at the rest.
 LONG, FEW = 64, 2
 #: Parts that a set's shingles are counted in, to bound what two sets have in common.
-BUCKETS = 16
+BUCKETS = 8
+PARTS = [f"p{i}" for i in range(BUCKETS)]
 #: Shingles of more than HOT sets are met by broadcast (there are few of them), the others by a shuffle.
 HOT = 20_000
 #: Ids of confirmed candidates are broadcast up to this number (8 bytes each).
@@ -225,8 +226,9 @@ def reachable(cap: Column, other: Column, n: Column, m: Column, percent: int) ->
 
 
 def prefix_entries(rows: DataFrame, percent: int) -> DataFrame:
-    """shingle, cls, comp, n, cap, parts of the places that count: ``cap`` is how much two sets could share
-    if that were the first shingle they share, ``parts`` how many shared shingles fall to each of BUCKETS.
+    """shingle, cls, comp, n, cap, p0 ... of the places that count: ``cap`` is how much two sets could share
+    if that were the first shingle they share, p0 ... how many shared shingles fall to each of BUCKETS parts
+    (plain columns: what many pairs are compared by must stay a small method).
 
     Only shingles of at least two components count, rarest first; a place counts while its ``cap`` is
     enough for the smallest possible partner.
@@ -239,9 +241,12 @@ def prefix_entries(rows: DataFrame, percent: int) -> DataFrame:
     own = met.groupBy("cls", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("own"))
     common = F.size("own")
     places = common - F.ceil(F.col("n") * percent / 100) + 1
-    parts = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.size(F.filter("own", lambda x: F.pmod(x["shingle"], F.lit(BUCKETS)) == i)))
-    kept = own.where(places > 0).select("cls", "comp", "n", common.alias("common"), parts.alias("parts"), F.posexplode(F.slice("own", F.lit(1), places.cast("int"))).alias("at", "s"))
-    return kept.select("s.shingle", "cls", "comp", "n", (F.col("common") - F.col("at")).alias("cap"), "parts")
+
+    def part(i: int) -> Column:
+        return F.size(F.filter("own", lambda x: F.pmod(x["shingle"], F.lit(BUCKETS)) == i)).alias(PARTS[i])
+
+    kept = own.where(places > 0).select("cls", "comp", "n", common.alias("common"), *map(part, range(BUCKETS)), F.posexplode(F.slice("own", F.lit(1), places.cast("int"))).alias("at", "s"))
+    return kept.select("s.shingle", "cls", "comp", "n", (F.col("common") - F.col("at")).alias("cap"), *PARTS)
 
 
 def entry_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -257,9 +262,11 @@ def entry_pairs(entries: DataFrame, percent: int) -> DataFrame:
     apart = ~((F.col("low_a") == F.col("high_b")) & (F.col("low_b") == F.col("high_a")))
     meeting = a.join(b, "shingle").where(ordered & apart & reachable(F.col("most_a"), F.col("most_b"), F.col("least_a"), F.col("least_b"), percent))
     meeting = meeting.select(*["shingle", "size_a", "salt_a", "size_b", "salt_b"])
-    left, right = (blocked.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("size", "salt", "cls", "comp", "n", "cap", "parts")]) for x in "ab")
-    met = meeting.join(left, ["shingle", "size_a", "salt_a"]).join(right, ["shingle", "size_b", "salt_b"])
-    most = reduce(Column.__add__, [F.least(F.get("parts_a", F.lit(i)), F.get("parts_b", F.lit(i))) for i in range(BUCKETS)])
+    left, right = (blocked.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("size", "salt", "cls", "comp", "n", "cap", *PARTS)]) for x in "ab")
+    # few bytes but many comparisons: a number of partitions of its own, which isn't made smaller
+    ours = meeting.join(left, ["shingle", "size_a", "salt_a"]).repartition(shuffle_partitions(entries.sparkSession), "shingle", "size_b", "salt_b")
+    met = ours.join(right, ["shingle", "size_b", "salt_b"])
+    most = reduce(Column.__add__, [F.least(f"{c}_a", f"{c}_b") for c in PARTS])
     sizes = (F.col("n_a") + F.col("n_b")) * percent
     met = met.where((F.col("comp_a") != F.col("comp_b")) & reachable(F.col("cap_a"), F.col("cap_b"), F.col("n_a"), F.col("n_b"), percent) & (most * (100 + percent) >= sizes))
     pair = met.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"), most.alias("hits"))
