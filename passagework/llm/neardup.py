@@ -251,10 +251,12 @@ def prefix_entries(rows: DataFrame, percent: int) -> DataFrame:
 
 def entry_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """a, b, hits (how much they could share): pairs of different components that meet in an entry."""
-    by_list = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("len"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("shingle", "len")
-    listed = entries.join(small(materialise(by_list, "lists")), "shingle")
-    size = F.floor(F.log("n") * 50)  # sizes within a fiftieth
-    blocked = listed.withColumn("size", size).withColumn("salt", F.pmod(F.xxhash64("cls"), F.ceil(F.col("len") / PART)))
+    sized = entries.withColumn("size", F.floor(F.log("n") * 50))  # sizes within a fiftieth
+    held = sized.groupBy("shingle", "size").agg(F.count(F.lit(1)).alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    held = materialise(held, "lists")
+    mixed = held.groupBy("shingle").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("shingle")
+    listed = sized.join(small(materialise(held.join(mixed, "shingle").select("shingle", "size", "held"), "mixed")), ["shingle", "size"])
+    blocked = listed.withColumn("salt", F.pmod(F.xxhash64("cls"), F.ceil(F.col("held") / PART)))
     block = ["shingle", "size", "salt"]
     bounds = blocked.groupBy(*block).agg(F.min("n").alias("least"), F.max("cap").alias("most"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     a, b = (bounds.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in bounds.columns[1:]]) for x in "ab")
