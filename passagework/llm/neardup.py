@@ -49,7 +49,7 @@ WINDOW, PART = 8, 256
 #: In lists of more than LONG classes FEW predecessors are enough: the closing step looks at the rest.
 LONG, FEW = 64, 2
 #: Parts that a set's shingles are counted in, to bound what two sets have in common.
-BUCKETS = 8
+BUCKETS = 16
 PARTS = [f"p{i}" for i in range(BUCKETS)]
 #: Shingles of more than HOT sets are met by broadcast (there are few of them), the others by a shuffle.
 HOT = 20_000
@@ -238,14 +238,10 @@ def prefix_entries(rows: DataFrame, percent: int) -> DataFrame:
     often = max(HOT, rows.count() // MAX_BROADCAST)
     hot = shared.where(F.col("df") > often)  # at most MAX_BROADCAST rows, as a set has each shingle once
     met = rows.join(F.broadcast(hot), "shingle").unionByName(rows.join(F.broadcast(hot), "shingle", "left_anti").join(shared.where(F.col("df") <= often), "shingle"))
-    own = met.groupBy("cls", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("own"))
-    common = F.size("own")
-    places = common - F.ceil(F.col("n") * percent / 100) + 1
-
-    def part(i: int) -> Column:
-        return F.size(F.filter("own", lambda x: F.pmod(x["shingle"], F.lit(BUCKETS)) == i)).alias(PARTS[i])
-
-    kept = own.where(places > 0).select("cls", "comp", "n", common.alias("common"), *map(part, range(BUCKETS)), F.posexplode(F.slice("own", F.lit(1), places.cast("int"))).alias("at", "s"))
+    in_part = [F.count(F.when(F.pmod(F.col("shingle"), F.lit(BUCKETS)) == i, 1)).cast("int").alias(c) for i, c in enumerate(PARTS)]
+    own = met.groupBy("cls", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("own"), F.count(F.lit(1)).alias("common"), *in_part)
+    places = F.col("common") - F.ceil(F.col("n") * percent / 100) + 1
+    kept = own.where(places > 0).select("cls", "comp", "n", "common", *PARTS, F.posexplode(F.slice("own", F.lit(1), places.cast("int"))).alias("at", "s"))
     return kept.select("s.shingle", "cls", "comp", "n", (F.col("common") - F.col("at")).alias("cap"), *PARTS)
 
 
