@@ -1,7 +1,17 @@
 """A corpus pipeline of five stages: quality, toxicity, near-duplicates, decontamination, tokens.
 
 Each stage takes (spark, docs, sf_dir) and gives a table that is written as Parquet and read again
-as the next one's ``docs``.  All but the last keep the columns of ``documents``.
+as the next one's ``docs``.  All but the last return the columns of ``documents``; further columns,
+also of names that the operators use, are dropped.
+
+Null and empty texts are scored like others and go on if the classifiers let them; they have no words,
+so they are nobody's copy and hold no benchmark window, and their tokens are none.  Rows that repeat an
+identifier and text come once after the third stage; one identifier with different texts is judged by
+text.  Rows without an identifier can't be named by copies and stay.  Very long texts are taken whole.
+An empty table gives an empty one of the same columns.
+
+Near-duplicates are found by five words here, the operators' default; four is the contract of the
+operator's own query.
 """
 
 from __future__ import annotations
