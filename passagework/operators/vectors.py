@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.cluster import cut
+from passagework.operators import blocked
 
-#: Query vectors that are held by every task at once; more are searched in blocks of this size.
-QUERY_BLOCK = 4096
-#: Documents that are multiplied with them at a time.
-DOCS_AT_ONCE = 1024
+#: Queries and documents that a task multiplies at a time.
+QUERIES_AT_ONCE, DOCS_AT_ONCE = 512, 2048
+#: Parts of a corpus from which some are searched first, for floors.
+FLOORS_FROM = 16
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -46,25 +47,13 @@ def mean_pool(df: DataFrame, keys: list[str], vector: str, renormalize: bool = T
     return pooled.withColumn("_n", norm(F.col(vector))).withColumn(vector, F.when(F.col("_n") > 0, F.transform(vector, lambda x: x / F.col("_n"))).otherwise(F.col(vector))).drop("_n")
 
 
-def _matrix(rows: list) -> np.ndarray:
-    return np.array(rows, np.float64) if rows else np.zeros((0, 1))
-
-
-def _blocks(queries: DataFrame, query_id: str) -> list[DataFrame]:
-    """The queries in parts of about QUERY_BLOCK rows."""
-    n = max(1, -(-queries.count() // QUERY_BLOCK))
-    return [queries.where(F.pmod(F.xxhash64(query_id), F.lit(n)) == i) for i in range(n)] if n > 1 else [queries]
-
-
-def _names(values: list | pa.Array) -> np.ndarray:
+def _names(values: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Ids as an array that sorts as Spark does: numbers, or strings by code point."""
-    if isinstance(values, pa.Array):
-        return values.to_numpy(zero_copy_only=False).astype(np.int64) if pa.types.is_integer(values.type) else np.array(values.to_pylist(), np.str_)
-    return np.array(values, np.str_ if values and isinstance(values[0], str) else np.int64)
+    return values.to_numpy().astype(np.int64) if pa.types.is_integer(values.type) else np.array(values.to_pylist(), np.str_)
 
 
-def _stacked(column: pa.Array, normalize: bool) -> np.ndarray:
-    values = np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
+def _scaled(column: pa.Array | pa.ChunkedArray, normalize: bool) -> np.ndarray:
+    values = blocked.matrix(column)
     return values / (np.linalg.norm(values, axis=1, keepdims=True) + 1e-8) if normalize else values
 
 
@@ -77,109 +66,114 @@ def _best(query: np.ndarray, doc: np.ndarray, score: np.ndarray, k: int) -> tupl
     return query[keep], doc[keep], score[keep]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def nearest(docs: np.ndarray, vectors: np.ndarray, asked: np.ndarray, matrix: np.ndarray, floors: np.ndarray, k: int, digits: int = 9, skip_own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries, ids and rounded scores of the ``k`` best of ``docs`` for each, none below its floor."""
+    least = floors.copy()  # a query's k-th score so far, or its floor
+    best: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.zeros(0, np.int64), docs[:0], np.zeros(0))
+    for at in range(0, len(docs), DOCS_AT_ONCE):
+        names = docs[at : at + DOCS_AT_ONCE]
+        scores = np.round(matrix @ vectors[at : at + DOCS_AT_ONCE].T, digits)
+        if skip_own:
+            scores[asked[:, None] == names[None, :]] = -np.inf
+        bar = np.maximum(least, -np.partition(-scores, k - 1, axis=1)[:, k - 1]) if len(names) > k else least
+        q, d = np.nonzero((scores >= bar[:, None]) & np.isfinite(scores))
+        best = _best(*map(np.concatenate, zip(best, (q, names[d], scores[q, d]), strict=True)), k)
+        full = np.flatnonzero(np.bincount(best[0], minlength=len(asked)) >= k)
+        least[full] = np.maximum(least[full], best[2][np.searchsorted(best[0], full, "right") - 1])
+    return best
+
+
+def _kinds(queries: DataFrame, query_id: str, corpus: DataFrame, doc_id: str) -> list[str]:
+    return ["string" if t.typeName() == "string" else "long" for t in (queries.schema[query_id].dataType, corpus.schema[doc_id].dataType)]
+
+
+def _found(names: np.ndarray, best: tuple[np.ndarray, np.ndarray, np.ndarray], kinds: list[str]) -> pa.RecordBatch:
+    types = [pa.string() if t == "string" else pa.int64() for t in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(names[best[0]].tolist(), types[0]), pa.array(best[1].tolist(), types[1]), pa.array(best[2])], ["q", "d", "s"])
+
+
+def best_of(found: DataFrame, k: int, query_id: str, doc_id: str) -> DataFrame:
+    """query_id, doc_id, score, rank of the ``k`` best of (q, d, s); ties by document id."""
+    by = Window.partitionBy("q").orderBy(F.desc("s"), "d")
+    ranked = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return ranked.select(F.col("q").alias(query_id), F.col("d").alias(doc_id), F.col("s").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", doc_id: str = "doc_id", vector: str = "vector", normalize: bool = False, digits: int = 9, skip_own: bool = False) -> DataFrame:
     """query_id, doc_id, score, rank of the k nearest documents; ties by document id.
 
-    Ids are whole numbers or strings.  ``skip_own`` leaves out the document of the query's own id.
-    The query set is taken in blocks that every task holds as one matrix; a task multiplies its
-    Arrow batches with it, DOCS_AT_ONCE rows at a time, and keeps k of each query, then ranks are
-    taken over the tasks' winners.  Where there are several blocks the corpus becomes a checkpoint
-    first, so that what made its vectors runs once.
+    Ids are whole numbers or strings; rows without an id or a vector take no part.  ``skip_own``
+    leaves out the document of the query's own id.  Queries meet the parts of the corpus as
+    ``blocked`` says; each part gives at most k for a query.  Where there are many parts, about the
+    root of their number is searched first, and what a query finds there is its floor in the others,
+    so that the rows to be ranked don't grow with queries times parts.
     """
-    spark = corpus.sparkSession
-    docs = corpus.select(F.col(doc_id).alias("d"), F.col(vector).alias("v"))
-    blocks = _blocks(queries.select(query_id, vector), query_id)
-    docs = cut(docs) if len(blocks) > 1 else docs
-    types = ["string" if t.typeName() == "string" else "long" for t in (queries.schema[query_id].dataType, corpus.schema[doc_id].dataType)]
-    out = []
-    for part in blocks:
-        held = part.collect()  # about QUERY_BLOCK rows
-        names, matrix = _names([r[0] for r in held]), _matrix([r[1] for r in held])
-        if normalize and len(held):
-            matrix = matrix / (np.linalg.norm(matrix, axis=1, keepdims=True) + 1e-8)
-        shared = spark.sparkContext.broadcast((names, matrix))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, matrix = shared.value
-            best: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-            least = np.full(len(names), -np.inf)  # a query's k-th score so far
-            for batch in batches:
-                for at in range(0, batch.num_rows if len(names) else 0, DOCS_AT_ONCE):
-                    part = batch.slice(at, DOCS_AT_ONCE)
-                    docs = _names(part.column("d"))
-                    scores = np.round(matrix @ _stacked(part.column("v"), normalize).T, digits)
-                    if skip_own:
-                        scores[names[:, None] == docs[None, :]] = -np.inf
-                    bar = np.maximum(least, -np.partition(-scores, k - 1, axis=1)[:, k - 1]) if len(docs) > k else least
-                    q, d = np.nonzero((scores >= bar[:, None]) & np.isfinite(scores))
-                    new = q, docs[d], scores[q, d]
-                    best = _best(*new, k) if best is None else _best(*map(np.concatenate, zip(best, new, strict=True)), k)
-                    full = np.flatnonzero(np.bincount(best[0], minlength=len(names)) >= k)
-                    least[full] = best[2][np.searchsorted(best[0], full, "right") - 1]
-            if best is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(names[best[0]].tolist(), kinds[0]), pa.array(best[1].tolist(), kinds[1]), pa.array(best[2])], ["q", "d", "s"])
-
-        kinds = [pa.string() if t == "string" else pa.int64() for t in types]
-        out.append(docs.mapInArrow(search, f"q {types[0]}, d {types[1]}, s double"))
-    by = Window.partitionBy("q").orderBy(F.desc("s"), "d")
-    ranked = reduce(DataFrame.unionAll, out).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-    return ranked.select(F.col("q").alias(query_id), F.col("d").alias(doc_id), F.col("s").alias("score"), F.col("rank").cast("long").alias("rank"))
+    kinds = _kinds(queries, query_id, corpus, doc_id)
+    docs = corpus.select(F.col(doc_id).alias("d"), F.col(vector).alias("v")).where("d is not null and v is not null")
+    asked = queries.select(F.col(query_id).alias("q"), F.col(vector).alias("v"), F.lit(float("-inf")).alias("floor")).where("q is not null and v is not null")
+    parts = blocked.parts_for(docs)
+
+    def visit(part: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = _names(part.column("d")), _scaled(part.column("v"), normalize)
+        for batch in _slices(batches, QUERIES_AT_ONCE):
+            names = _names(batch.column("q"))
+            yield _found(names, nearest(ids, vectors, names, _scaled(batch.column("v"), normalize), batch.column("floor").to_numpy(), k, digits, skip_own), kinds)
+
+    schema = f"q {kinds[0]}, d {kinds[1]}, s double"
+    ahead = math.isqrt(parts) if parts >= FLOORS_FROM else parts
+    found = blocked.meet(docs.where(blocked.part_of(parts, "d") < ahead), asked, ahead, blocked.part_of(parts, "d"), visit, schema)
+    if ahead < parts:
+        found = cut(best_of(found, k, "q", "d").withColumnRenamed("score", "s"))
+        floors = found.where(F.col("rank") == k).select("q", F.col("s").alias("floor"))
+        asked = asked.drop("floor").join(floors, "q", "left").select("q", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+        found = found.select("q", "d", "s").unionAll(blocked.meet(docs, asked, parts, blocked.part_of(parts, "d"), visit, schema, first=ahead))
+    return best_of(found, k, query_id, doc_id)
 
 
 def contrast_losses(queries: DataFrame, corpus: DataFrame, temperature: float, query_id: str = "query_id", doc_id: str = "doc_id", vector: str = "vector", label: str = "label") -> DataFrame:
     """query_id, positives and loss: the cross-entropies, summed, of each document of the query's
     label (but itself) against all documents of other labels.
 
-    Two passes in blocks as in ``top_k``: the first gives each query's log-sum of its negatives (a
-    row a query and task), the second adds up the terms of its positives (another such row).  With a
-    sample of the negatives as ``corpus`` in the first place the loss is the sampled one.  Queries
-    without negatives have none.
+    Two passes in blocks: the first gives each query's log-sum of its negatives (a row a query and
+    part), the second adds up the terms of its positives (another such row).  Queries without
+    negatives have none.
     """
-    spark = corpus.sparkSession
-    docs = cut(corpus.select(F.col(doc_id).cast("long").alias("d"), F.col(label).alias("l"), F.col(vector).alias("v")))  # two passes a block
-    out = []
-    for part in _blocks(queries.select(query_id, label, vector), query_id):
-        held = part.collect()  # about QUERY_BLOCK rows
-        if not held:
-            continue
-        own = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held]), _matrix([r[2] for r in held])
-        shared = spark.sparkContext.broadcast(own)
-
-        def scored(batches: Iterator[pa.RecordBatch], names: np.ndarray, labels: np.ndarray, matrix: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-                    part = batch.slice(at, DOCS_AT_ONCE)
-                    same = labels[:, None] == part.column("l").to_numpy(zero_copy_only=False)[None, :]
-                    itself = names[:, None] == part.column("d").to_numpy(zero_copy_only=False)[None, :]
-                    yield matrix @ _stacked(part.column("v"), False).T / temperature, same & ~itself, ~same
-
-        def negatives(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, labels, matrix = shared.value
-            total = np.full(len(names), -np.inf)
-            for scores, _, other in scored(batches, names, labels, matrix):
-                total = np.logaddexp(total, np.logaddexp.reduce(np.where(other, scores, -np.inf), axis=1))
+    docs = corpus.select(F.col(doc_id).cast("long").alias("d"), F.col(label).alias("l"), F.col(vector).alias("v")).where("d is not null and v is not null and l is not null")
+    asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(label).alias("l"), F.col(vector).alias("v")).where("q is not null and v is not null and l is not null")
+    parts, part = blocked.parts_for(docs), lambda n: blocked.part_of(n, "d")
+
+    def scored(held: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+        """Scores of some queries and documents, where the labels are equal, and where the row is the query's own."""
+        ids, labels, vectors = held.column("d").to_numpy(), held.column("l").to_numpy(), blocked.matrix(held.column("v"))
+        for batch in _slices(batches, QUERIES_AT_ONCE):
+            names, own, rows = batch.column("q").to_numpy(), batch.column("l").to_numpy(zero_copy_only=False), blocked.matrix(batch.column("v"))
+            for at in range(0, len(ids), DOCS_AT_ONCE):
+                to = slice(at, at + DOCS_AT_ONCE)
+                yield batch, rows @ vectors[to].T / temperature, own[:, None] == labels[None, to], names[:, None] == ids[None, to]
+
+    def negatives(held: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, scores, same, _ in scored(held, batches):
+            total = np.logaddexp.reduce(np.where(same, -np.inf, scores), axis=1)
             some = np.isfinite(total)
-            yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(total[some])], ["q", "t"])
-
-        sums = docs.mapInArrow(negatives, "q long, t double").groupBy("q").agg(F.max("t").alias("top"), F.collect_list("t").alias("ts"))
-        sums = sums.select("q", (F.col("top") + F.log(F.aggregate("ts", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))))).alias("t"))
-        found = {r["q"]: r["t"] for r in sums.collect()}  # a row a query of the block
-        known = spark.sparkContext.broadcast(np.array([found.get(q, -np.inf) for q in own[0].tolist()]))
-
-        def positives(batches: Iterator[pa.RecordBatch], shared=shared, known=known) -> Iterator[pa.RecordBatch]:
-            names, labels, matrix = shared.value
-            count, loss = np.zeros(len(names), np.int64), np.zeros(len(names))
-            against = known.value[:, None]
-            for scores, same, _ in scored(batches, names, labels, matrix):
-                same = same & np.isfinite(against)
-                count += same.sum(axis=1)
-                loss += np.where(same, np.logaddexp(scores, against) - scores, 0.0).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(count), pa.array(loss)], ["q", "n", "loss"])
-
-        out.append(docs.mapInArrow(positives, "q long, n long, loss double"))
-    if not out:
-        return spark.createDataFrame([], f"`{query_id}` long, positives long, loss double")
-    return reduce(DataFrame.unionAll, out).groupBy(F.col("q").alias(query_id)).agg(F.sum("n").alias("positives"), F.sum("loss").alias("loss"))
+            yield pa.RecordBatch.from_arrays([batch.column("q").filter(pa.array(some)), pa.array(total[some])], ["q", "t"])
+
+    def positives(held: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, scores, same, itself in scored(held, batches):
+            against, same = batch.column("t").to_numpy()[:, None], same & ~itself
+            loss = np.where(same, np.logaddexp(scores, against) - scores, 0.0).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("q"), pa.array(same.sum(axis=1)), pa.array(loss)], ["q", "n", "loss"])
+
+    each = blocked.meet(docs, asked, parts, part(parts), negatives, "q long, t double")
+    tops = each.groupBy("q").agg(F.max("t").alias("top"), F.collect_list("t").alias("ts"))  # a number a part and step
+    against = tops.select("q", (F.col("top") + F.log(F.aggregate("ts", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))))).alias("t"))
+    sums = blocked.meet(docs, asked.join(against, "q"), parts, part(parts), positives, "q long, n long, loss double")
+    return sums.groupBy(F.col("q").alias(query_id)).agg(F.sum("n").alias("positives"), F.sum("loss").alias("loss"))
 
 
 def label_means(queries: DataFrame, corpus: DataFrame, query_id: str = "query_id", vector: str = "vector", label: str = "label") -> DataFrame:
