@@ -54,16 +54,17 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa
             at = end
 
 
-def meet(corpus: DataFrame, queries: DataFrame, parts: int, part: Column, visit: Visit, schema: str, first: int = 0) -> DataFrame:
-    """What ``visit`` makes of each part of ``corpus`` (``part`` says which, from ``first`` to
-    ``parts`` - 1) and all ``queries``.
+def stream(corpus: DataFrame, queries: DataFrame, tasks: int, visit: Visit, schema: str) -> DataFrame:
+    """What ``visit`` makes of the corpus rows and the queries of each ``part`` (a column of both, from
+    0).  Parts are dealt to ``tasks`` tasks in turn.  Parts of one side only aren't visited."""
 
-    Parts without rows, and all parts where there are no queries, aren't visited.
-    """
-    c, q = F.struct(*[F.col(f"`{x}`") for x in corpus.columns]), F.struct(*[F.col(f"`{x}`") for x in queries.columns])
-    held = corpus.select((part - first).alias("part"), F.lit(False).alias("asks"), c.alias("c"), F.lit(None).cast(queries.select(q.alias("q")).schema["q"].dataType).alias("q")).where("part >= 0")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1 - first))).alias("part"), F.lit(True).alias("asks"), F.lit(None).cast(held.schema["c"].dataType).alias("c"), q.alias("q"))
-    both = held.unionByName(asked).repartitionById(parts - first, F.col("part")).sortWithinPartitions("part", "asks")
+    def packed(df: DataFrame) -> Column:
+        return F.struct(*[F.col(f"`{x}`") for x in df.columns if x != "part"])
+
+    kind = {n: df.select(packed(df).alias("x")).schema["x"].dataType for n, df in (("c", corpus), ("q", queries))}
+    held = corpus.select("part", F.lit(False).alias("asks"), packed(corpus).alias("c"), F.lit(None).cast(kind["q"]).alias("q"))
+    asked = queries.select("part", F.lit(True).alias("asks"), F.lit(None).cast(kind["c"]).alias("c"), packed(queries).alias("q"))
+    both = held.unionByName(asked).repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in groupby(_segments(batches), key=lambda x: x[0]):
@@ -78,6 +79,15 @@ def meet(corpus: DataFrame, queries: DataFrame, parts: int, part: Column, visit:
     return both.mapInArrow(run, schema)
 
 
+def meet(corpus: DataFrame, queries: DataFrame, parts: int, part: Column, visit: Visit, schema: str, first: int = 0) -> DataFrame:
+    """What ``visit`` makes of each part of ``corpus`` (``part`` says which, from ``first`` to
+    ``parts`` - 1) and all ``queries``."""
+    n = parts - first
+    held = corpus.select((part - first).alias("part"), *[F.col(f"`{x}`") for x in corpus.columns]).where("part >= 0")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"), *[F.col(f"`{x}`") for x in queries.columns])
+    return stream(held, asked, n, visit, schema)
+
+
 def matrix(column: pa.Array | pa.ChunkedArray, kind: type = np.float64) -> np.ndarray:
     """Arrays of equal length as the rows of a matrix."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passagework.operators import tokens
+
 
 class TemplateMode(Enum):
     NONE = "none"
@@ -78,18 +80,30 @@ class HashingEncoder:
         return np.divide(out, norms, out=out, where=norms > 0)
 
 
-def encode(df: DataFrame, text: Column, encoder: Encoder, out: str = "vector", max_words: int | None = None, pool_long: bool = False, double: bool = False) -> DataFrame:
+def encode(
+    df: DataFrame, text: Column, encoder: Encoder, out: str = "vector", max_words: int | None = None, pool_long: bool = False, double: bool = False,
+    tokenizer: tokens.Tokenizer | None = None, max_tokens: int | None = None, overlap: int = 0,
+) -> DataFrame:
     """``df`` with ``out``, an array of floats (or doubles).
 
-    Texts of more than ``max_words`` words are cut; or, with ``pool_long``, encoded in parts whose
+    Texts of more than ``max_words`` words, or of more than ``max_tokens`` tokens of ``tokenizer``,
+    are cut; or, with ``pool_long``, encoded in parts (windows of tokens, cut back to the text) whose
     mean is normalised again.  The encoder is made once a task.
     """
+    if max_tokens is not None:
+        tokens.check(max_tokens, overlap)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             parts: list[str] = []
             owner: list[int] = []
             for i, x in enumerate(texts.fillna("")):
+                if tokenizer is not None and max_tokens:
+                    cuts = [c for _, _, c in tokens.cut_text(x, tokenizer, max_tokens, overlap)] or [x]
+                    cuts = cuts if pool_long else cuts[:1]
+                    parts += cuts
+                    owner += [i] * len(cuts)
+                    continue
                 words = x.split()
                 if max_words and len(words) > max_words:
                     cuts = [" ".join(words[k : k + max_words]) for k in range(0, len(words), max_words)]
@@ -107,3 +121,13 @@ def encode(df: DataFrame, text: Column, encoder: Encoder, out: str = "vector", m
             yield pd.Series(list(means if double else means.astype(np.float32)))
 
     return df.withColumn(out, F.pandas_udf(run, T.ArrayType(T.DoubleType() if double else T.FloatType()))(text))
+
+
+def encode_queries(df: DataFrame, text: Column, encoder: Encoder, tokenizer: tokens.Tokenizer | None = None, max_tokens: int | None = None, mode: TemplateMode = TemplateMode.BGE, out: str = "vector", double: bool = False) -> DataFrame:
+    """Queries under their template; what is longer than ``max_tokens`` is cut off."""
+    return encode(df, template(F.coalesce(text, F.lit("")), "query", mode), encoder, out, double=double, tokenizer=tokenizer, max_tokens=max_tokens)
+
+
+def encode_passages(df: DataFrame, text: Column, encoder: Encoder, tokenizer: tokens.Tokenizer | None = None, max_tokens: int | None = None, mode: TemplateMode = TemplateMode.BGE, out: str = "vector", double: bool = False, overlap: int = 0) -> DataFrame:
+    """Passages under their template; longer ones are encoded window by window and their mean is normalised."""
+    return encode(df, template(F.coalesce(text, F.lit("")), "passage", mode), encoder, out, pool_long=True, double=double, tokenizer=tokenizer, max_tokens=max_tokens, overlap=overlap)

@@ -47,7 +47,7 @@ def mean_pool(df: DataFrame, keys: list[str], vector: str, renormalize: bool = T
     return pooled.withColumn("_n", norm(F.col(vector))).withColumn(vector, F.when(F.col("_n") > 0, F.transform(vector, lambda x: x / F.col("_n"))).otherwise(F.col(vector))).drop("_n")
 
 
-def _names(values: pa.Array | pa.ChunkedArray) -> np.ndarray:
+def id_array(values: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Ids as an array that sorts as Spark does: numbers, or strings by code point."""
     return values.to_numpy().astype(np.int64) if pa.types.is_integer(values.type) else np.array(values.to_pylist(), np.str_)
 
@@ -66,7 +66,7 @@ def _best(query: np.ndarray, doc: np.ndarray, score: np.ndarray, k: int) -> tupl
     return query[keep], doc[keep], score[keep]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -93,7 +93,7 @@ def _kinds(queries: DataFrame, query_id: str, corpus: DataFrame, doc_id: str) ->
     return ["string" if t.typeName() == "string" else "long" for t in (queries.schema[query_id].dataType, corpus.schema[doc_id].dataType)]
 
 
-def _found(names: np.ndarray, best: tuple[np.ndarray, np.ndarray, np.ndarray], kinds: list[str]) -> pa.RecordBatch:
+def result_batch(names: np.ndarray, best: tuple[np.ndarray, np.ndarray, np.ndarray], kinds: list[str]) -> pa.RecordBatch:
     types = [pa.string() if t == "string" else pa.int64() for t in kinds]
     return pa.RecordBatch.from_arrays([pa.array(names[best[0]].tolist(), types[0]), pa.array(best[1].tolist(), types[1]), pa.array(best[2])], ["q", "d", "s"])
 
@@ -120,10 +120,10 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_
     parts = blocked.parts_for(docs)
 
     def visit(part: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = _names(part.column("d")), _scaled(part.column("v"), normalize)
-        for batch in _slices(batches, QUERIES_AT_ONCE):
-            names = _names(batch.column("q"))
-            yield _found(names, nearest(ids, vectors, names, _scaled(batch.column("v"), normalize), batch.column("floor").to_numpy(), k, digits, skip_own), kinds)
+        ids, vectors = id_array(part.column("d")), _scaled(part.column("v"), normalize)
+        for batch in slices(batches, QUERIES_AT_ONCE):
+            names = id_array(batch.column("q"))
+            yield result_batch(names, nearest(ids, vectors, names, _scaled(batch.column("v"), normalize), batch.column("floor").to_numpy(), k, digits, skip_own), kinds)
 
     schema = f"q {kinds[0]}, d {kinds[1]}, s double"
     ahead = math.isqrt(parts) if parts >= FLOORS_FROM else parts
@@ -151,7 +151,7 @@ def contrast_losses(queries: DataFrame, corpus: DataFrame, temperature: float, q
     def scored(held: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
         """Scores of some queries and documents, where the labels are equal, and where the row is the query's own."""
         ids, labels, vectors = held.column("d").to_numpy(), held.column("l").to_numpy(), blocked.matrix(held.column("v"))
-        for batch in _slices(batches, QUERIES_AT_ONCE):
+        for batch in slices(batches, QUERIES_AT_ONCE):
             names, own, rows = batch.column("q").to_numpy(), batch.column("l").to_numpy(zero_copy_only=False), blocked.matrix(batch.column("v"))
             for at in range(0, len(ids), DOCS_AT_ONCE):
                 to = slice(at, at + DOCS_AT_ONCE)

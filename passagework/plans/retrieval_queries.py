@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from passagework.cluster import cut
+from passagework.cluster import cut, shared_root
 from passagework.functions.order import hash_key
 from passagework.functions.stats import summary
 from passagework.functions.text import count_tokens, length_bucket
-from passagework.operators import chunks, citations, encode, evaluation, metrics, vectors
+from passagework.operators import chunks, citations, encode, evaluation, index, metrics, tokens, vectors
 from passagework.operators.corpus import first_wins, text_hash
 from passagework.sources.tables import passages, table
 
@@ -79,6 +81,39 @@ def knn_topk_cosine(spark, d):
     return vectors.top_k(q, c, TOP, normalize=True, skip_own=True)
 
 
+def _indexed(spark: SparkSession, d: str, normalize: bool = False) -> tuple[index.Index, DataFrame]:
+    """All embeddings in an index of the shared folder, and the queries."""
+    q, c = sides(spark, d)
+    return index.build(c, f"{shared_root(spark)}/index-{uuid.uuid4().hex}", normalize=normalize), q
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT vec_id) AS ids, CAST(sum(vec_id) AS BIGINT) AS id_sum, round(sum(embedding[1]), 6) AS first FROM embeddings")
+def index_build(spark, d):
+    """What the saved lists hold, cell by cell, read back."""
+    built, _ = _indexed(spark, d)
+    return built.lists(spark).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("d").alias("ids"), F.sum("d").alias("id_sum"), F.round(F.sum(F.get("v", F.lit(0))), 6).alias("first"))
+
+
+@query(f"WITH {_RANKED} SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10")
+def index_search_exact(spark, d):
+    """The saved index with all its cells probed."""
+    built, q = _indexed(spark, d)
+    return index.search(built, q, 10, skip_own=True)
+
+
+@query(f"WITH {_Q}, s AS (SELECT query_id, doc_id, {_NORM} AS score FROM q JOIN c ON query_id <> doc_id) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10")
+def index_search_cosine(spark, d):
+    built, q = _indexed(spark, d, normalize=True)
+    return index.search(built, q, 10, skip_own=True)
+
+
+@query()
+def index_search(spark, d):
+    """The saved index with two thirds of its cells probed; tests hold its recall against the exact search."""
+    built, q = _indexed(spark, d)
+    return index.search(built, q, 10, probes=-(-2 * len(built.centroids) // 3), skip_own=True)
+
+
 def _metric(name: str, column: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         return metrics.mean(per_query(spark, d), column, "k")
@@ -224,13 +259,47 @@ def l2_normalize_rows(spark, d):
 
 def _coded_sql(texts: str, key: str, dims: int, part: int) -> str:
     """SQL of the hashing encoder: ``texts`` (key, t) to c (key, v), parts of ``part`` words pooled."""
-    return f"""w AS (SELECT {key}, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM (SELECT {key}, list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '') AS ws FROM {texts})),
-h AS (SELECT {key}, i // {part} AS part, CAST('0x' || substr(md5(w), 1, 2) AS INT) % {dims} AS dim, CASE WHEN substr(md5(w), 15, 1) >= '8' THEN 1 ELSE -1 END AS sign FROM w),
+    words = f"SELECT {key}, i // {part} AS part, w FROM (SELECT {key}, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM (SELECT {key}, list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '') AS ws FROM {texts}))"
+    return _pooled_sql(words, key, dims)
+
+
+def _pooled_sql(words: str, key: str, dims: int) -> str:
+    """SQL of the hashing encoder over ``words`` (key, part, w)."""
+    return f"""w AS ({words}),
+h AS (SELECT {key}, part, CAST('0x' || substr(md5(w), 1, 2) AS INT) % {dims} AS dim, CASE WHEN substr(md5(w), 15, 1) >= '8' THEN 1 ELSE -1 END AS sign FROM w),
 s AS (SELECT {key}, part, dim, CAST(sum(sign) AS DOUBLE) AS x FROM h GROUP BY ALL), sn AS (SELECT {key}, part, sqrt(sum(x * x)) AS norm FROM s GROUP BY ALL),
 m AS (SELECT s.{key}, dim, sum(CASE WHEN norm > 0 THEN x / norm ELSE 0 END) AS x FROM s JOIN sn ON s.{key} = sn.{key} AND s.part = sn.part GROUP BY ALL),
 mn AS (SELECT {key}, sqrt(sum(x * x)) AS norm FROM m GROUP BY ALL), coded AS (SELECT m.{key}, dim, CASE WHEN norm > 0 THEN x / norm ELSE 0 END AS x FROM m JOIN mn ON m.{key} = mn.{key})"""
 
 
+#: Token windows of the registered queries.
+WINDOW, OVERLAP, PIECE = 256, 32, 6
+
+
+def _windows_sql(texts: str, size: int, overlap: int) -> str:
+    """SQL of the token windows of ``texts`` (doc_id, t): cut (doc_id, window_no, start, n_tokens, chunk)."""
+    step = size - overlap
+    return rf"""pieces AS (SELECT doc_id, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]{{1,{PIECE}}}|[\x20\x09-\x0D]+') AS p FROM {texts} WHERE t <> ''),
+numbered AS (SELECT doc_id, p, unnest(range(0, greatest(0, CAST(ceil((len(p) - {size}) / {step}) AS BIGINT)) + 1)) AS k FROM pieces),
+cut AS (SELECT doc_id, CAST(k AS INT) AS window_no, CAST(length(array_to_string(p[1:k * {step}], '')) AS INT) AS start, CAST(least({size}, len(p) - k * {step}) AS INT) AS n_tokens, array_to_string(p[k * {step} + 1:k * {step} + {size}], '') AS chunk FROM numbered)"""
+
+
+@query(f"WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {_windows_sql('t', WINDOW, OVERLAP)} SELECT * FROM cut")
+def token_chunks(spark, d):
+    """Every whole document in windows of 256 tokens that share 32."""
+    rows = passages(spark, d).select("doc_id", F.inline(tokens.window_column(F.coalesce("text", F.lit("")), tokens.PieceTokenizer(PIECE), WINDOW, OVERLAP)))
+    return rows.select("doc_id", "window_no", "start", "n_tokens", "chunk")
+
+
+@query(f"""WITH t AS (SELECT doc_id, '{encode.INSTRUCTIONS["passage"]}' || coalesce(text, '') AS t FROM documents), {_windows_sql("t", WINDOW, 0)},
+{_pooled_sql("SELECT doc_id, window_no AS part, unnest(list_filter(regexp_split_to_array(chunk, '" + chr(92) + "s+'), lambda x: x <> '')) AS w FROM cut", "doc_id", 64)}
+SELECT doc_id, dim, round(x, 6) AS x FROM coded WHERE round(x, 6) <> 0""")
+def token_encode(spark, d):
+    """Passages encoded by windows of tokens, the mean of which is normalised; the dimensions that aren't 0."""
+    coded = encode.encode_passages(passages(spark, d).select("doc_id", "text"), F.col("text"), encode.HashingEncoder(64), tokens.PieceTokenizer(PIECE), WINDOW, double=True)
+    return coded.select("doc_id", F.posexplode("vector").alias("dim", "x")).withColumn("x", F.round("x", 6)).where("x <> 0")
+
+
 @query(f"""WITH t AS (SELECT doc_id, '{encode.INSTRUCTIONS["passage"]}' || coalesce(text, '') AS t FROM documents), {_coded_sql("t", "doc_id", 64, 256)}
 SELECT doc_id, dim, round(x, 6) AS x FROM coded WHERE round(x, 6) <> 0""")
 def hash_encode(spark, d):
