@@ -136,9 +136,16 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_
     return best_of(found, k, query_id, doc_id)
 
 
-def contrast_losses(queries: DataFrame, corpus: DataFrame, temperature: float, query_id: str = "query_id", doc_id: str = "doc_id", vector: str = "vector", label: str = "label") -> DataFrame:
+def log_sums(each: DataFrame) -> DataFrame:
+    """q and t, the logarithm of the sum of the exponentials of its (q, t); a few numbers a query and part."""
+    tops = each.groupBy("q").agg(F.max("t").alias("top"), F.collect_list("t").alias("ts"))
+    return tops.select("q", (F.col("top") + F.log(F.aggregate("ts", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))))).alias("t"))
+
+
+def contrast_losses(queries: DataFrame, corpus: DataFrame, temperature: float, query_id: str = "query_id", doc_id: str = "doc_id", vector: str = "vector", label: str = "label", against: DataFrame | None = None) -> DataFrame:
     """query_id, positives and loss: the cross-entropies, summed, of each document of the query's
-    label (but itself) against all documents of other labels.
+    label (but itself) against all documents of other labels, or against the log-sum ``t`` that
+    ``against`` (q, t) gives of those that were sampled.
 
     Two passes in blocks: the first gives each query's log-sum of its negatives (a row a query and
     part), the second adds up the terms of its positives (another such row).  Queries without
@@ -169,9 +176,8 @@ def contrast_losses(queries: DataFrame, corpus: DataFrame, temperature: float, q
             loss = np.where(same, np.logaddexp(scores, against) - scores, 0.0).sum(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("q"), pa.array(same.sum(axis=1)), pa.array(loss)], ["q", "n", "loss"])
 
-    each = blocked.meet(docs, asked, parts, part(parts), negatives, "q long, t double")
-    tops = each.groupBy("q").agg(F.max("t").alias("top"), F.collect_list("t").alias("ts"))  # a number a part and step
-    against = tops.select("q", (F.col("top") + F.log(F.aggregate("ts", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))))).alias("t"))
+    if against is None:
+        against = log_sums(blocked.meet(docs, asked, parts, part(parts), negatives, "q long, t double"))
     sums = blocked.meet(docs, asked.join(against, "q"), parts, part(parts), positives, "q long, n long, loss double")
     return sums.groupBy(F.col("q").alias(query_id)).agg(F.sum("n").alias("positives"), F.sum("loss").alias("loss"))
 

@@ -11,7 +11,7 @@ from passagework.cluster import cut, shared_root
 from passagework.functions.order import hash_key
 from passagework.functions.stats import summary
 from passagework.functions.text import count_tokens, length_bucket
-from passagework.operators import chunks, citations, encode, evaluation, index, metrics, tokens, vectors
+from passagework.operators import chunks, citations, encode, evaluation, index, losses, metrics, similarity, tokens, vectors
 from passagework.operators.corpus import first_wins, text_hash
 from passagework.sources.tables import passages, table
 
@@ -199,12 +199,88 @@ def pos_neg_separation(spark, d):
 @query(f"""{_PLOT}, e AS (SELECT min(round(score, 6)) AS lo, max(round(score, 6)) AS hi FROM x)
 SELECT kind, CAST(CASE WHEN hi > lo THEN least(floor((round(score, 6) - lo) / (hi - lo) * 20), 19) ELSE 0 END + 1 AS INT) AS bin, count(*) AS n FROM x, e GROUP BY ALL""")
 def similarity_histogram(spark, d):
+    """Pairs of equal label are counted in the tasks that multiply them; no pair is written."""
     q, c = sides(spark, d)
-    wanted = q.select("query_id", "label").join(c.select("doc_id", "label"), "label").where("query_id <> doc_id").select("query_id", "doc_id")
-    others = evaluation.balanced(ranked(spark, d, top=100).where(~F.col("hit")), wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("m")))
-    positive = q.join(wanted, "query_id").join(c.select("doc_id", F.col("vector").alias("v")), "doc_id").select(F.lit("positive").alias("kind"), vectors.dot(F.col("vector"), F.col("v")).alias("score"))
-    rows = cut(positive.unionByName(others.select(F.lit("negative").alias("kind"), "score")).withColumn("score", F.round("score", 6)))
-    return evaluation.histogram(rows, "score", 20, "kind").select("kind", "bin", "n")
+    others = evaluation.balanced(ranked(spark, d, top=100).where(~F.col("hit")), relevant(spark, d).select("query_id", F.col("n_rel").alias("m")))
+    return similarity.pair_histogram(q, c, others.select(F.lit("negative").alias("kind"), "score"), 20)
+
+
+@query(f"""WITH RECURSIVE {_RANKED[5:] if _RANKED.startswith("WITH ") else _RANKED}, s100 AS (SELECT query_id, doc_id, {_SCORE} AS score, q.label = c.label AS hit FROM q JOIN c ON query_id <> doc_id),
+r100 AS (SELECT query_id, hit FROM s100 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 100),
+o AS (SELECT n.query_id, any_value(n_rel) AS positives, count(hit) FILTER (WHERE NOT hit) AS others FROM n LEFT JOIN r100 ON n.query_id = r100.query_id GROUP BY n.query_id),
+i AS (SELECT *, row_number() OVER (ORDER BY query_id) AS i FROM o),
+f AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS query_id, CAST(0 AS BIGINT) AS positives, CAST(0 AS BIGINT) AS others, CAST(0 AS BIGINT) AS taken, CAST(0 AS BIGINT) AS shortage
+ UNION ALL SELECT i.i, i.query_id, i.positives, i.others, least(i.others, greatest(1, shortage + i.positives)), shortage + i.positives - least(i.others, greatest(1, shortage + i.positives)) FROM f JOIN i ON i.i = f.i + 1)
+SELECT query_id, positives, others, taken FROM f WHERE i > 0""")
+def similarity_balance(spark, d):
+    """Others that each query gives to the sample: from its first 100, as many as keep pace with the
+    positives of all queries so far, one at least."""
+    counts = relevant(spark, d).select("query_id", F.col("n_rel").alias("positives"))
+    others = ranked(spark, d, top=100).where(~F.col("hit")).groupBy("query_id").agg(F.count(F.lit(1)).alias("others"))
+    return similarity.running_balance(counts.join(others, "query_id", "left"))
+
+
+@query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT a.label, b.label AS other, count(*) AS pairs, round(avg(list_dot_product(a.v, b.v)), 6) AS mean FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY ALL""")
+def label_heatmap(spark, d):
+    """Mean similarity of all pairs of two labels, from the labels' sums."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return similarity.heat_map(rows).where("pairs > 0").select("label", "other", "pairs", F.round("mean", 6).alias("mean"))
+
+
+@query()
+def projection(spark, d):
+    """Every vector on the first two principal components; tests hold them against a plain solver."""
+    rows = table(spark, d, "embeddings")
+    found = similarity.principal(rows, 2, "embedding")
+    return rows.select("vec_id", "label", found.place(F.col("embedding")).alias("p")).select("vec_id", "label", F.round(F.get("p", F.lit(0)), 9).alias("x"), F.round(F.get("p", F.lit(1)), 9).alias("y"))
+
+
+#: Sampled negatives a query, and the temperature, of the registered queries.
+SAMPLED, TEMPERATURE = 100, 0.05
+_SAMPLE = f"""{_Q}, total AS (SELECT count(*) AS total FROM c), ring AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || doc_id)) - 1 AS pos FROM c),
+st AS (SELECT *, CAST('0x' || substr(md5('42:q:' || query_id), 1, 8) AS BIGINT) % total AS start FROM q, total),
+g AS (SELECT query_id, doc_id, list_dot_product(st.v, ring.v) / {TEMPERATURE} AS score, row_number() OVER (PARTITION BY query_id ORDER BY (pos - start + total) % total) AS place FROM st JOIN ring ON st.label <> ring.label QUALIFY place <= {SAMPLED})"""
+
+
+@query(f"WITH {_SAMPLE} SELECT query_id, place - 1 AS place, doc_id, round(score, 6) AS score FROM g")
+def sampled_negatives(spark, d):
+    """The sampled documents of each query, none of its label, in order."""
+    q, c = sides(spark, d)
+    drawn = losses.sampled_negatives(q, c, SAMPLED, TEMPERATURE)
+    rows = drawn.select(F.col("q").alias("query_id"), F.posexplode(F.arrays_zip("negatives", "scores")).alias("place", "x"))
+    return rows.select("query_id", F.col("place").cast("long").alias("place"), F.col("x.negatives").alias("doc_id"), F.round("x.scores", 6).alias("score"))
+
+
+@query(f"""WITH {_SAMPLE}, t AS (SELECT query_id, max(score) AS t FROM g GROUP BY query_id), n AS (SELECT g.query_id, any_value(t) + ln(sum(exp(score - t))) AS t FROM g JOIN t ON g.query_id = t.query_id GROUP BY g.query_id),
+s AS (SELECT query_id, list_dot_product(q.v, c.v) / {TEMPERATURE} AS score FROM q JOIN c ON query_id <> doc_id AND q.label = c.label)
+SELECT count(*) AS pairs, round(avg(greatest(score, t) + ln(exp(score - greatest(score, t)) + exp(t - greatest(score, t))) - score), 6) AS loss FROM s JOIN n ON s.query_id = n.query_id""")
+def val_loss_sampled(spark, d):
+    """Cross-entropy of every (query, positive) against the query's sampled negatives."""
+    q, c = sides(spark, d)
+    rows = losses.sampled_losses(q, c, SAMPLED, TEMPERATURE)
+    return rows.agg(F.sum("positives").alias("pairs"), F.round(F.sum("loss") / F.sum("positives"), 6).alias("loss"))
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
+p AS (SELECT a.vec_id AS id, a.v AS a, b.v AS b, (row_number() OVER (ORDER BY md5('42:' || a.vec_id)) - 1) // 32 AS batch FROM u a JOIN u b ON b.vec_id = a.vec_id + 1),
+s AS (SELECT x.batch, x.id, 20 * list_dot_product(x.a, y.b) AS score, x.id = y.id AS own FROM p x JOIN p y ON x.batch = y.batch),
+l AS (SELECT batch, id, ln(sum(exp(score))) - max(score) FILTER (WHERE own) AS loss FROM s GROUP BY batch, id)
+SELECT CAST(batch AS BIGINT) AS batch, count(*) AS pairs, round(avg(loss), 6) AS loss FROM l GROUP BY batch""")
+def in_batch_loss(spark, d):
+    """Every vector and the one of the next id are a pair; batches of 32 in hash order, scale 20."""
+    e = table(spark, d, "embeddings")
+    pairs = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("query")).join(e.select((F.col("vec_id") - 1).alias("id"), F.col("embedding").alias("positive")), "id")
+    rows = losses.in_batch(losses.batched(cut(pairs), 32, "id"), 20.0)
+    return rows.groupBy("batch").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("loss"), 6).alias("loss"))
+
+
+@query("""WITH e AS (SELECT label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT label, count(*) AS pairs, round(sum(list_sum(list_transform(v, lambda x: (x - round(x, 1)) * (x - round(x, 1))))) / sum(len(v)), 9) AS mse FROM e GROUP BY label""")
+def distill_mse(spark, d):
+    """Vectors against themselves in steps of a tenth, as student and teacher."""
+    e = table(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("student"))
+    return losses.distillation(e.withColumn("teacher", F.transform("student", lambda x: F.round(x, 1))), "student", "teacher", "label").select("label", "pairs", F.round("mse", 9).alias("mse"))
 
 
 @query("""WITH x AS (SELECT label, unnest(range(1, 65)) AS i, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT label, i, avg(v[i]) AS a FROM x GROUP BY label, i),
