@@ -47,6 +47,25 @@ def mean_pool(df: DataFrame, keys: list[str], vector: str, renormalize: bool = T
     return pooled.withColumn("_n", norm(F.col(vector))).withColumn(vector, F.when(F.col("_n") > 0, F.transform(vector, lambda x: x / F.col("_n"))).otherwise(F.col(vector))).drop("_n")
 
 
+def masked_mean(tokens: Column, mask: Column) -> Column:
+    """Mean of the token vectors (arrays in an array) that the mask (1 or 0 a token) keeps.
+
+    As many tokens count as have a mask.  Where the mask keeps none the mean is a zero vector; without
+    any token it is null.  Null entries of the mask are 0.
+    """
+    kept = F.zip_with(F.slice(tokens, 1, F.greatest(F.size(mask), F.lit(0))), mask, lambda t, m: F.struct(t.alias("t"), F.coalesce(m.cast("double"), F.lit(0.0)).alias("m")))
+    kept = F.filter(kept, lambda x: x["t"].isNotNull())
+    zero = F.transform(F.get(tokens, F.lit(0)), lambda x: F.lit(0.0))
+    total = F.aggregate(kept, zero, lambda s, x: F.zip_with(s, x["t"], lambda a, b: a + F.coalesce(b.cast("double"), F.lit(0.0)) * x["m"]))
+    weight = F.greatest(F.aggregate(kept, F.lit(0.0), lambda s, x: s + x["m"]), F.lit(1e-6))
+    return F.transform(total, lambda x: x / weight)
+
+
+def first_token(tokens: Column) -> Column:
+    """The vector of the first token, which stands for the text; null without any."""
+    return F.transform(F.get(tokens, F.lit(0)), lambda x: x.cast("double"))
+
+
 def id_array(values: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Ids as an array that sorts as Spark does: numbers, or strings by code point."""
     return values.to_numpy().astype(np.int64) if pa.types.is_integer(values.type) else np.array(values.to_pylist(), np.str_)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.cluster import cut, spread
-from passagework.operators import citations, legal, precedent_pairs, reports
+from passagework.operators import citations, legal, precedent_pairs, reports, units
 from passagework.operators.corpus import article_passages, merge_corpora
 from passagework.operators.pairs import GROUNDS, RULING
 from passagework.sources.tables import table
@@ -202,6 +202,35 @@ def cited_positives(spark, d):
     return citations.cited_passages(fields.select("case_id", "refs"), *_targets(laws, rules)).select("case_id", "outcome", "positives", "cited_laws", "cited_rules", "matched_refs")
 
 
+_UNITS = """members AS (SELECT id AS p, parent_id AS unit, 'article' AS kind FROM statutes UNION SELECT CASE WHEN id IN (SELECT id FROM statutes) THEN id ELSE parent_id END, id, 'item' FROM items),
+wanted AS (SELECT case_id, unnest(positives) AS p, generate_subscripts(positives, 1) AS pos FROM cited WHERE positives IS NOT NULL),
+kinds AS (SELECT unnest(['paragraph', 'item', 'article']) AS kind),
+each AS (SELECT case_id, k.kind, coalesce(m.unit, w.p) AS unit, min(pos) AS pos FROM wanted w CROSS JOIN kinds k LEFT JOIN members m ON m.p = w.p AND m.kind = k.kind GROUP BY ALL)"""
+
+
+@query(f"{_ALL}, {_ITEMS}, {_CITED}, {_UNITS} SELECT case_id, kind, list(unit ORDER BY pos, unit) AS positives FROM each GROUP BY case_id, kind")
+def chunk_unit_positives(spark, d):
+    """Cited passages of each case, as paragraphs, items and articles."""
+    laws, items, rules, fields = map(cut, parts(spark, d, "statutes", "items", "rules", "fields"))
+    found = citations.cited_passages(fields.select("case_id", "refs"), *_targets(laws, rules)).where("positives is not null").select("case_id", "positives")
+    pairs, members = cut(found), cut(units.hierarchy(laws, items))
+    out = [units.remap(pairs, members, u, "case_id", "positives").select("case_id", F.lit(u).alias("kind"), "positives") for u in units.UNITS]
+    return out[0].unionAll(out[1]).unionAll(out[2]).where(F.size("positives") > 0)
+
+
+@query(f"""{_ALL}, {_ITEMS}, articles AS (SELECT law_id, article, list_reduce(list({_strip("text")} ORDER BY j), lambda a, x: CASE WHEN x = '' OR contains(a, x) THEN a WHEN a = '' THEN x ELSE a || chr(10) || x END, '') AS text FROM statutes GROUP BY ALL),
+every AS (SELECT 'paragraph' AS unit, text FROM statutes UNION ALL SELECT 'item', text FROM items UNION ALL SELECT 'article', text FROM articles UNION ALL SELECT unit, text FROM rules, (SELECT unnest(['paragraph', 'item', 'article']) AS unit)),
+sizes AS (SELECT unit, count(*) AS n, avg(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) AS tokens FROM every GROUP BY unit)
+SELECT unit, k, n, round(tokens * k, 6) AS tokens, round(((SELECT tokens FROM sizes WHERE unit = 'paragraph') - tokens) * k, 6) AS saved FROM sizes, (SELECT unnest([10, 20]) AS k)""")
+def chunk_unit_tokens(spark, d):
+    """Words that k passages of each unit cost, and save against paragraphs."""
+    laws, items, rules = map(cut, parts(spark, d, "statutes", "items", "rules"))
+    held = units.corpora(laws, items, rules)
+    every = [df.select(F.lit(u).alias("unit"), "text") for u, df in held.items()]
+    sizes = cut(reports.chunk_tokens(every[0].unionAll(every[1]).unionAll(every[2]), "unit"))  # a row a unit
+    return reports.token_saving(sizes, "unit", "paragraph").join(sizes.select("unit", "n"), "unit").select("unit", "k", "n", F.round("tokens", 6).alias("tokens"), F.round("saved", 6).alias("saved"))
+
+
 _QUERY = f"""CASE WHEN f.headnote <> '' THEN substr({_ws("'요지 ' || f.source || '" + RULING + "'")}, 1, 200) WHEN {_ws("f.summary")} <> '' THEN substr({_ws("substr(" + _strip(_ws("regexp_replace(regexp_replace(f.summary, '(?i)<br\\s*/?>', ' ', 'g'), '<[^>]+>', '', 'g')")) + ", 1, 200) || '" + GROUNDS + "'")}, 1, 200) ELSE f.title || '에 적용되는 법령은?' END"""
 
 

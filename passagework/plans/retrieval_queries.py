@@ -11,7 +11,7 @@ from passagework.cluster import cut, shared_root
 from passagework.functions.order import hash_key
 from passagework.functions.stats import summary
 from passagework.functions.text import count_tokens, length_bucket
-from passagework.operators import chunks, citations, encode, evaluation, index, losses, metrics, similarity, tokens, vectors
+from passagework.operators import chunks, citations, encode, evaluation, index, losses, metrics, similarity, stopping, tokens, vectors
 from passagework.operators.corpus import first_wins, text_hash
 from passagework.sources.tables import passages, table
 
@@ -419,3 +419,37 @@ def retrieval_slice(spark, d):
 @query(f"SELECT vec_id, md5('42:' || vec_id) AS order_key FROM embeddings ORDER BY order_key LIMIT 100")
 def hash_sample(spark, d):
     return table(spark, d, "embeddings").select("vec_id", hash_key(42, F.col("vec_id")).alias("order_key")).orderBy("order_key").limit(100)
+
+
+_TOKENS = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+t AS (SELECT vec_id, i, v[8 * i + 1:8 * i + 8] AS t, CASE WHEN i <= vec_id % 7 AND vec_id % 9 > 0 THEN 1.0 ELSE 0.0 END AS m FROM e, (SELECT unnest(range(8)) AS i))"""
+
+
+@query(f"""WITH {_TOKENS}, d AS (SELECT vec_id, i, m, unnest(range(1, 9)) AS d, t FROM t), s AS (SELECT vec_id, d, sum(m * t[d]) / greatest(sum(m), 1e-6) AS x FROM d GROUP BY ALL)
+SELECT s.vec_id, list(round(x, 6) ORDER BY d) AS mean, any_value(list_transform(e.v[1:8], lambda x: round(x, 6))) AS first FROM s JOIN e ON s.vec_id = e.vec_id GROUP BY s.vec_id""")
+def masked_pool(spark, d):
+    """Every vector as eight token vectors, of which the first few are no padding (none, at every ninth)."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    tokens_ = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("v", i * 8 + 1, 8))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when((i <= F.col("vec_id") % 7) & (F.col("vec_id") % 9 > 0), 1).otherwise(0))
+    rounded = lambda c, n: F.transform(c, lambda x: F.round(x, 6)).alias(n)
+    return e.select("vec_id", tokens_.alias("t"), mask.alias("m")).select("vec_id", rounded(vectors.masked_mean(F.col("t"), F.col("m")), "mean"), rounded(vectors.first_token(F.col("t")), "first"))
+
+
+#: Kinds of event as names of metrics; two of them mean the metric asked for, and the likelier name counts.
+_LOGGED = {"view": "cosine_ndcg@10", "click": "val_ndcg@10", "purchase": "val_loss", "signup": "cosine_mrr@10", "error": "ndcg_at_10"}
+_STOPS = f"""WITH e AS (SELECT user_id AS run, CAST(epoch(ts) AS BIGINT) // 3600 AS step, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 6 WHEN 'error' THEN 7 END AS place, value FROM events WHERE event_type IN ('view', 'click', 'error') AND value IS NOT NULL),
+c AS (SELECT run, step, max(value) AS value FROM (SELECT *, min(place) OVER (PARTITION BY run, step) AS first FROM e) WHERE place = first GROUP BY ALL),
+n AS (SELECT *, row_number() OVER w AS i, coalesce(value > max(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM c WINDOW w AS (PARTITION BY run ORDER BY step)),
+f AS (SELECT *, i - max(i) FILTER (WHERE improved) OVER (PARTITION BY run ORDER BY step) AS waited, max(value) OVER (PARTITION BY run ORDER BY step) AS best, max(step) FILTER (WHERE improved) OVER (PARTITION BY run ORDER BY step) AS best_step FROM n),
+g AS (SELECT *, CASE WHEN step <= 473000 THEN 7 ELSE 5 END AS allowed FROM f)"""
+
+
+@query(f"""{_STOPS} SELECT run, count(*) AS evaluations, min(step) FILTER (WHERE waited >= allowed) AS stopped, coalesce(arg_min(best, step) FILTER (WHERE waited >= allowed), arg_max(best, step)) AS best,
+coalesce(arg_min(best_step, step) FILTER (WHERE waited >= allowed), arg_max(best_step, step)) AS best_step FROM g GROUP BY run""")
+def early_stops(spark, d):
+    """Users are runs, hours are steps, kinds of event are metrics: when would each run have stopped?"""
+    named = F.create_map(*[F.lit(x) for pair in _LOGGED.items() for x in pair])[F.col("event_type")]
+    step = F.floor(F.unix_timestamp("ts") / 3600).cast("long")
+    log = table(spark, d, "events").select(F.col("user_id").alias("run"), step.alias("step"), named.alias("metric"), "value")
+    return stopping.stops(stopping.early_stopping(stopping.chosen(log, "cosine_ndcg@10"), patience=5, warmup=236_500))
