@@ -21,6 +21,12 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def first_of_text(df: DataFrame, text: str, order: list[str]) -> DataFrame:
+    """Of rows of equal ``text`` the first by ``order``.  Texts may be long, so what is shuffled and
+    compared as the key is a 128-bit hash; the text goes along as a value."""
+    return first_wins(df.withColumn("_text", F.md5(F.coalesce(text, F.lit("")))), ["_text"], order).drop("_text")
+
+
 def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     last = F.max(F.struct(*order, *[c for c in rest if c not in order])).alias("_r")
@@ -96,7 +102,8 @@ def _bodies(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def duplicate_summary(df: DataFrame, text: str = "text", min_len: int = 10) -> DataFrame:
-    """Total, distinct, duplicate, empty and short texts, and the duplicates' share of all rows."""
+    """Total, distinct, duplicate, empty and short texts, number, largest and mean size of the groups of equal
+    ones, and the duplicates' share of all rows."""
     named = df.select(X.collapse_ws(F.coalesce(text, F.lit(""))).alias("body"))
     by_text = named.groupBy(F.md5("body").alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.max(F.length("body")).alias("len"))
     full = F.col("len") > 0
@@ -108,6 +115,7 @@ def duplicate_summary(df: DataFrame, text: str = "text", min_len: int = 10) -> D
         F.coalesce(F.sum(F.when(full & (F.col("len") < min_len), F.col("n"))), F.lit(0)).alias("short"),
         F.coalesce(F.max(F.when(full & (F.col("n") > 1), F.col("n"))), F.lit(0)).alias("largest"),
         F.count(F.when(full & (F.col("n") > 1), 1)).alias("groups"),
+        F.coalesce(F.round(F.avg(F.when(full & (F.col("n") > 1), F.col("n"))), 6), F.lit(0.0)).alias("mean_size"),
     )
     return counts.withColumn("dup_ratio", F.when(F.col("total") > 0, F.round(F.col("duplicates") / F.col("total"), 6)).otherwise(0.0))
 

@@ -9,7 +9,7 @@ from passagework.functions import text as X
 from passagework.functions.order import hash_key, number_rows
 from passagework.operators.chunks import valid_passages
 from passagework.operators.citations import cap
-from passagework.operators.corpus import first_wins
+from passagework.operators.corpus import first_of_text
 from passagework.operators.negatives import tiered
 
 
@@ -81,7 +81,7 @@ def precedent_self_pairs(passages: DataFrame, n: int, seed: int = 42, min_len: i
 
 def finish(pairs: DataFrame, order: list[str]) -> DataFrame:
     """First pair of each query text; ids ``Q_00001`` ... in order; split by number."""
-    once = first_wins(pairs, ["query_text"], order)
+    once = first_of_text(pairs, "query_text", order)
     numbered = number_rows(once, *order, out="i")
     return numbered.withColumn("query_id", F.concat(F.lit("Q_"), X.zfill(F.col("i").cast("string"), 5))).withColumn("split", split_of(F.col("i")))
 

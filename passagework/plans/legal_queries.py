@@ -234,16 +234,37 @@ def chunk_unit_tokens(spark, d):
 _QUERY = f"""CASE WHEN f.headnote <> '' THEN substr({_ws("'요지 ' || f.source || '" + RULING + "'")}, 1, 200) WHEN {_ws("f.summary")} <> '' THEN substr({_ws("substr(" + _strip(_ws("regexp_replace(regexp_replace(f.summary, '(?i)<br\\s*/?>', ' ', 'g'), '<[^>]+>', '', 'g')")) + ", 1, 200) || '" + GROUNDS + "'")}, 1, 200) ELSE f.title || '에 적용되는 법령은?' END"""
 
 
-@query(f"""{_ALL}, {_CITED} SELECT c.case_id, outcome, {_QUERY} AS query_text, CASE WHEN outcome = 'ok' THEN positives WHEN outcome = 'no_matched_passage' AND k.text IS NOT NULL THEN [k.parent_id || '_1'] ELSE [] END AS positive_passages,
-CASE WHEN outcome = 'ok' THEN 'prec_to_law_admin' WHEN outcome = 'no_matched_passage' AND k.text IS NOT NULL THEN 'prec_fallback' END AS kind, CASE WHEN outcome = 'ok' OR (outcome = 'no_matched_passage' AND k.text IS NOT NULL) THEN 2 ELSE 0 END AS negatives, 0 AS wrong
-FROM cited c JOIN fields f ON c.case_id = f.case_id LEFT JOIN chunks k ON c.case_id = k.case_id AND k.chunk_no = 1""")
+def _start(salt: str, ident: str, total: str) -> str:
+    """Where on a ring of ``total`` places the walk of ``ident`` begins."""
+    return f"CAST('0x' || substr(md5('42:{salt}:' || {ident}), 1, 8) AS BIGINT) % {total}"
+
+
+_SIX = lambda x: f"CASE WHEN length(CAST({x} AS VARCHAR)) < 6 THEN lpad(CAST({x} AS VARCHAR), 6, '0') ELSE CAST({x} AS VARCHAR) END"
+#: Negatives of precedents, the rings written out whole: candidates of each tier with the step at which a case meets them.
+_NEGATIVES = f"""laws AS (SELECT id, law_name AS name, law_name || '#' || article_num AS kin FROM target),
+ring AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY md5('42:' || id)) - 1 AS pos, count(*) OVER (PARTITION BY name) AS total FROM laws),
+says AS (SELECT r.case_id, r.law_name AS name, min(ref_pos) AS pos, CASE WHEN min(article_num) = max(article_num) THEN r.law_name || '#' || min(article_num) END AS sole FROM refs r JOIN cited c ON r.case_id = c.case_id AND outcome = 'ok' GROUP BY r.case_id, r.law_name),
+names AS (SELECT name, row_number() OVER (ORDER BY md5('42:' || name)) - 1 AS pos, count(*) OVER () AS total FROM (SELECT DISTINCT name FROM laws)),
+others AS (SELECT c.case_id, n.name, (n.pos - {_start("others", "c.case_id", "n.total")} + n.total) % n.total AS pos FROM (SELECT DISTINCT case_id FROM says) c CROSS JOIN names n WHERE NOT EXISTS (SELECT 1 FROM says s WHERE s.case_id = c.case_id AND s.name = n.name)),
+candidates AS (SELECT case_id, id, 1 AS tier, s.pos * 1000000 + (r.pos - {_start("tier1", _SIX("s.pos") + " || '#' || case_id", "total")} + total) % total AS step FROM says s JOIN ring r ON s.name = r.name WHERE coalesce(sole <> kin, true)
+UNION ALL SELECT case_id, id, 2, o.pos * 1000000 + (r.pos - {_start("any", _SIX("o.pos") + " || '#' || case_id", "r.total")} + r.total) % r.total FROM others o JOIN ring r ON o.name = r.name
+UNION ALL SELECT case_id, id, 3, s.pos * 1000000 + (r.pos - {_start("rest", _SIX("s.pos") + " || '#' || case_id", "total")} + total) % total FROM says s JOIN ring r ON s.name = r.name
+UNION ALL SELECT c.case_id, k.parent_id || '_' || k.chunk_no, 1, k.chunk_no FROM cited c JOIN chunks k ON c.case_id = k.case_id AND outcome = 'no_matched_passage' AND k.chunk_no > 1
+UNION ALL SELECT c.case_id, k.id, 2, (k.pos - {_start("tier1", "c.case_id", "total")} + total) % total FROM (SELECT case_id FROM cited WHERE outcome = 'no_matched_passage' AND case_id IN (SELECT case_id FROM chunks)) c JOIN (SELECT parent_id || '_' || chunk_no AS id, case_id, row_number() OVER (ORDER BY md5('42:' || parent_id || '_' || chunk_no)) - 1 AS pos, count(*) OVER () AS total FROM chunks) k ON c.case_id <> k.case_id),
+once AS (SELECT case_id, id, min(tier * 10000000000000 + step) AS spot FROM candidates GROUP BY ALL),
+free AS (SELECT o.* FROM once o LEFT JOIN cited c ON o.case_id = c.case_id WHERE NOT coalesce(list_contains(c.positives, o.id), false)),
+negatives AS (SELECT case_id, list(id ORDER BY spot, id) AS hard FROM (SELECT * FROM free QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY spot, id) <= 2) GROUP BY case_id)"""
+
+
+@query(f"""{_ALL}, {_CITED}, {_NEGATIVES} SELECT c.case_id, outcome, {_QUERY} AS query_text, CASE WHEN outcome = 'ok' THEN positives WHEN outcome = 'no_matched_passage' AND k.text IS NOT NULL THEN [k.parent_id || '_1'] ELSE [] END AS positive_passages,
+CASE WHEN outcome = 'ok' THEN 'prec_to_law_admin' WHEN outcome = 'no_matched_passage' AND k.text IS NOT NULL THEN 'prec_fallback' END AS kind, coalesce(n.hard, []) AS hard_negatives
+FROM cited c JOIN fields f ON c.case_id = f.case_id LEFT JOIN chunks k ON c.case_id = k.case_id AND k.chunk_no = 1 LEFT JOIN negatives n ON c.case_id = n.case_id""")
 def citation_pairs(spark, d):
-    """Positives as SQL has them; of the negatives how many there are, and how many are positives too."""
+    """Queries, positives, and which negatives, of every precedent."""
     laws, rules, fields, chunks = map(cut, parts(spark, d, "statutes", "rules", "fields", "chunks"))  # each is read several times
     held = chunks.select("id", F.substring("parent_id", 6, 100).alias("case_id"), "chunk_no", "title")
     out = precedent_pairs.precedent_pairs(fields, held, *_targets(laws, rules))
-    wrong = F.size(F.array_intersect("positive_passages", "hard_negatives"))
-    return out.select("case_id", "outcome", "query_text", "positive_passages", F.col("meta.type").alias("kind"), F.size("hard_negatives").alias("negatives"), wrong.alias("wrong"))
+    return out.select("case_id", "outcome", "query_text", "positive_passages", F.col("meta.type").alias("kind"), "hard_negatives")
 
 
 def _said(text: str) -> str:

@@ -14,7 +14,7 @@ from passagework.functions import text as X
 from passagework.functions.order import hash_key
 from passagework.operators import citations, pairs
 from passagework.operators.chunks import valid_passages
-from passagework.operators.corpus import first_wins
+from passagework.operators.corpus import first_of_text
 from passagework.operators.negatives import tiered
 from passagework.sources.tables import passages, table
 
@@ -103,8 +103,8 @@ def index_join_refine(spark, d):
 @query("""SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE contains(CAST(l_partkey AS VARCHAR), substr(CAST(o_custkey AS VARCHAR), 1, 2))""")
 def theta_residual_join(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.substring(F.col("o_custkey").cast("string"), 1, 2).alias("num"))
-    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.explode(citations.parts_of(F.col("l_partkey").cast("string"))).alias("num"))
-    return o.join(l, ["o_orderkey", "num"]).select("o_orderkey", "l_linenumber")
+    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.col("l_partkey").cast("string").alias("id"))
+    return o.join(l, (o["o_orderkey"] == l["o_orderkey"]) & F.contains("id", "num")).select(l["o_orderkey"], "l_linenumber")
 
 
 @query("""WITH h AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS ref_pos FROM lineitem GROUP BY ALL)
@@ -173,7 +173,7 @@ def self_pairs(spark, d):
 @query(f"WITH {_PAIRS} SELECT query_text, min(doc_id) AS doc_id FROM pr GROUP BY query_text")
 def query_dedup_first(spark, d):
     rows = pool(spark, d).select(X.collapse_ws(F.col("text")).alias("query_text"), "doc_id")
-    return first_wins(rows, ["query_text"], ["doc_id"])
+    return first_of_text(rows, "query_text", ["doc_id"])
 
 
 @query(f"WITH {_NUMBERED} SELECT 'Q_' || CASE WHEN length(CAST(i AS VARCHAR)) < 5 THEN lpad(CAST(i AS VARCHAR), 5, '0') ELSE CAST(i AS VARCHAR) END AS query_id, pair, query_text, CASE i % 10 WHEN 8 THEN 'valid' WHEN 9 THEN 'test' ELSE 'train' END AS split FROM f")
@@ -267,7 +267,7 @@ def positive_passage_lengths(spark, d):
 
 @query(f"WITH {_NUMBERED}, g AS (SELECT f.pair, list(p.text ORDER BY k) AS neg FROM (SELECT pair, unnest(hard) AS id, generate_subscripts(hard, 1) AS k FROM f) f JOIN p ON f.id = p.id GROUP BY f.pair) SELECT f.pair AS query_id, f.pair AS pos_id, list_concat([query_text, p.text], coalesce(neg, [])) AS texts FROM f JOIN p ON f.pair = p.id LEFT JOIN g ON f.pair = g.pair")
 def example_rows(spark, d):
-    once = first_wins(built(spark, d), ["query_text"], ["doc_id"]).withColumn("query_id", F.col("pair"))
+    once = first_of_text(built(spark, d), "query_text", ["doc_id"]).withColumn("query_id", F.col("pair"))
     return pairs.example_rows(once, passages(spark, d), N)
 
 

@@ -193,7 +193,7 @@ def dup_members(spark, d):
 @query(f"""WITH b AS (SELECT {BODY} AS body FROM documents), g AS (SELECT body, count(*) AS n FROM b GROUP BY body)
 SELECT CAST(sum(n) AS BIGINT) AS total, count(*) FILTER (WHERE body <> '') AS distinct_texts, CAST(coalesce(sum(n - 1) FILTER (WHERE body <> ''), 0) AS BIGINT) AS duplicates,
 CAST(coalesce(sum(n) FILTER (WHERE body = ''), 0) AS BIGINT) AS empty, CAST(coalesce(sum(n) FILTER (WHERE body <> '' AND length(body) < 10), 0) AS BIGINT) AS short,
-coalesce(max(n) FILTER (WHERE body <> '' AND n > 1), 0) AS largest, count(*) FILTER (WHERE body <> '' AND n > 1) AS groups,
+coalesce(max(n) FILTER (WHERE body <> '' AND n > 1), 0) AS largest, count(*) FILTER (WHERE body <> '' AND n > 1) AS groups, coalesce(round(avg(n) FILTER (WHERE body <> '' AND n > 1), 6), 0) AS mean_size,
 round(coalesce(sum(n - 1) FILTER (WHERE body <> ''), 0) / sum(n), 6) AS dup_ratio FROM g""")
 def dup_summary(spark, d):
     return K.duplicate_summary(docs(spark, d))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from passagework.cluster import spread
 from passagework.functions import text as X
+from passagework.functions.order import number_rows
 from passagework.operators.chunks import chunk_rows
 from passagework.operators.corpus import last_wins
 
@@ -31,10 +32,19 @@ def passages(spark: SparkSession, folder: str) -> DataFrame:
 def read_json_files(spark: SparkSession, path: str, glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """Whole-file JSON below ``path``: (file, js as VARIANT) and the files that don't parse."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
-    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw")).withColumn("js", F.try_parse_json("raw"))  # sort by ``file`` for file order
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw")).withColumn("js", F.try_parse_json("raw"))
     return rows.where("js is not null").select("file", "raw", "js"), rows.where("js is null").select("file", "raw")
 
 
+def in_file_order(rows: DataFrame, out: str = "file_no", file: str = "file") -> DataFrame:
+    """``rows`` with ``out``, the place of their file among all files in order of the path (from 0).
+
+    Only the paths are sorted; the numbers are joined back to the rows.
+    """
+    numbered = number_rows(rows.select(file).where(F.col(file).isNotNull()).distinct(), file, out=out, first=0)
+    return rows.join(numbered, file, "left")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """JSON lines, gzipped or not; blank lines are skipped."""
     return spark.read.schema(schema).json(path)

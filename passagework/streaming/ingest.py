@@ -35,19 +35,21 @@ def passages_of(files: DataFrame) -> DataFrame:
 def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
     """Append the passages of files that weren't seen before to the Parquet table ``out``, then stop.
 
-    A passage id that the table has already is left out: the first one stays.
+    A passage id that the table has already is left out: the first one stays.  Each batch is a folder of
+    its own, named by the batch's number and written as a whole, and compared with the batches before
+    it alone: one that is repeated after a crash takes its own place again.
     """
 
-    def add(batch: DataFrame, _: int) -> None:
+    def add(batch: DataFrame, number: int) -> None:
         new = passages_of(batch).dropDuplicates([ID])
         try:
-            known = spark.read.parquet(out).select(ID)
+            known = spark.read.parquet(out).where(F.col("batch") < number).select(ID)
         except Exception as e:  # no table yet
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             known = None
         new = new if known is None else new.join(known, ID, "left_anti")
-        new.write.mode("append").parquet(out)
+        new.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     stream = source_stream(spark, folder)
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
