@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from passagework.cluster import cut
 from passagework.functions import text as X
 from passagework.functions.stats import summary
-from passagework.operators import encode, metrics, reports, vectors
+from passagework.operators import encode, metrics, models, reports, vectors
 
 #: Metrics that reports list.
 METRICS = ("accuracy", "precision", "recall", "mrr", "ndcg_full", "ndcg_first", "map_lib", "map_all")
@@ -60,13 +60,16 @@ class Search:
         return reduce(DataFrame.unionAll, [summary(rows.select(F.col(m).alias("v")), [], "v").withColumn("metric", F.lit(m)) for m in ("mrr", "recall")])
 
 
-def search(encoder: encode.Encoder, passages: DataFrame, pairs: DataFrame, ks: list[int], mode: encode.TemplateMode = encode.TemplateMode.BGE) -> Search:
+def search(encoder: encode.Encoder | models.Model, passages: DataFrame, pairs: DataFrame, ks: list[int], mode: encode.TemplateMode = encode.TemplateMode.BGE) -> Search:
     """``passages``: id, text, one row an id; ``pairs``: query_id, query_text, positive_passages,
-    meta.type.  Pairs without positives don't count."""
+    meta.type.  Pairs without positives don't count.  A bare encoder takes texts whole."""
     asked = pairs.where(F.size("positive_passages") > 0)
-    c = encode.encode(passages.select(F.col("id").alias("doc_id"), encode.template(F.col("text"), "passage", mode).alias("t")), F.col("t"), encoder)
-    q = encode.encode(asked.select("query_id", encode.template(F.col("query_text"), "query", mode).alias("t")), F.col("t"), encoder)
-    found = vectors.top_k(q.select("query_id", "vector"), c.select("doc_id", "vector"), max(ks))
+    held = passages.select(F.col("id").alias("doc_id"), "text")
+    if isinstance(encoder, models.Model):
+        c, q = encoder.encode_passages(held, F.col("text")), encoder.encode_queries(asked.select("query_id", "query_text"), F.col("query_text"))
+    else:
+        c, q = encode.encode_passages(held, F.col("text"), encoder, mode=mode), encode.encode_queries(asked.select("query_id", "query_text"), F.col("query_text"), encoder, mode=mode)
+    found = vectors.top_k(q.select("query_id", "vector"), cut(c.select("doc_id", "vector")), max(ks))  # encoded once, counted and searched
     wanted = asked.select("query_id", F.explode(F.array_distinct("positive_passages")).alias("doc_id"), F.lit(True).alias("hit"))
     ranked = cut(found.join(wanted, ["query_id", "doc_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False))))  # every report reads it
     queries = asked.select(
@@ -104,7 +107,7 @@ def comparison_report(searches: dict[str, Search]) -> str:
     return "\n".join([reports.markdown(rows(compare(searches)), "Models"), reports.markdown(rows(compare_sources(searches)), "Models by source")])
 
 
-def chunk_study(corpora: dict[str, DataFrame], pairs: dict[str, DataFrame], encoders: dict[str, encode.Encoder], ks: list[int], base: str, info: DataFrame | None = None) -> DataFrame:
+def chunk_study(corpora: dict[str, DataFrame], pairs: dict[str, DataFrame], encoders: dict[str, encode.Encoder | models.Model], ks: list[int], base: str, info: DataFrame | None = None) -> DataFrame:
     """unit, model, k, metrics, words a passage and what k passages save against unit ``base``.
 
     ``corpora`` and ``pairs`` are by unit of chunking (their positives name that unit's ids);

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.operators import corpus, encode, evaluation
+from passagework.operators import corpus, encode, evaluation, models
 
 UNITS = ("paragraph", "item", "article")
 
@@ -43,7 +43,7 @@ def remap(pairs: DataFrame, members: DataFrame, kind: str, query_id: str = "quer
     return pairs.join(lists, query_id, "left").select(*[found if c == positives else F.col(c) for c in pairs.columns])
 
 
-def study(statutes: DataFrame, items: DataFrame, rules: DataFrame, pairs: DataFrame, encoders: dict[str, encode.Encoder], ks: list[int], info: DataFrame | None = None) -> DataFrame:
+def study(statutes: DataFrame, items: DataFrame, rules: DataFrame, pairs: DataFrame, encoders: dict[str, encode.Encoder | models.Model], ks: list[int], info: DataFrame | None = None) -> DataFrame:
     """The study of chunk units from one set of flattened passages: ``pairs`` name paragraphs.
 
     unit, model, k, queries, metrics, words and characters a passage, and what k passages save against
