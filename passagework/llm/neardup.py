@@ -18,16 +18,18 @@
 6. Closing: longer lists that still hold several components may hide links between them.  Among the
    classes of such lists this is an exact prefix-filtered join of full sets: only shingles that two
    components share count, each set's are ordered by rarity, and two sets meet where both could reach
-   the threshold if the shingle at hand were the first that they share, and if of each of BUCKETS parts
-   of all shingles they shared as many as the poorer one has.  A class whose shared shingles
+   the threshold if the shingle at hand were among the first that they share, and if of each of BUCKETS
+   parts of all shingles they shared as many as the poorer one has.  Prefixes are longer by up to EXTRA
+   places, as long as these are rare too, and two sets must then meet in as many places more: sets
+   that share a phrase, but not several, are no candidates.  A class whose shared shingles
    are too few for any partner meets nobody, so pages that have a passage in common but not enough
    else cost their size, not its square.  Long lists are joined in blocks of like size whose bounds
    are compared first.  Candidates are confirmed on full sets, best ones first, as in 5.  So no link
    between different texts is lost.
 
 Rows without words, or without text, are linked with nothing; a row with a null id has the
-component of its text's other rows (null if there are none).  Repeated rows share a class.  An
-empty table gives an empty result; further columns are not returned.
+component that its text is linked into (null if no row there has an id), and links others as well.
+Repeated rows share a class.  An empty table gives an empty result; further columns are not returned.
 """
 
 from __future__ import annotations
@@ -51,6 +53,8 @@ LONG, FEW = 64, 2
 #: Parts that a set's shingles are counted in, to bound what two sets have in common.
 BUCKETS = 16
 PARTS = [f"p{i}" for i in range(BUCKETS)]
+#: Places by which a prefix may be longer than it must be; they hold shingles of RARE sets at most, or no more than the last one that it needs.
+EXTRA, RARE = 15, 64
 #: Shingles of more than HOT sets are met by broadcast (there are few of them), the others by a shuffle.
 HOT = 20_000
 #: Ids of confirmed candidates are broadcast up to this number (8 bytes each).
@@ -131,8 +135,14 @@ def collisions(pairs: DataFrame, classes: DataFrame, agree: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """cls, n and the bytes of the sorted set, for the classes of ``chosen`` (cls, doc)."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).join(small(chosen), "doc")
+    """cls, n and the bytes of the sorted set, for the classes of ``chosen`` (cls, doc, print): found by
+    id, or by the hash of the text where no row of a class has an id."""
+    held = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
+    rows = held.join(small(chosen.where("doc is not null").select("cls", "doc")), "doc").select("cls", "text")
+    nameless = materialise(chosen.where("doc is null").select("cls", "print"), "nameless")
+    if not nameless.isEmpty():
+        unnamed = held.where("doc is null").select(text_print(F.col("text")).alias("print"), "text")
+        rows = rows.unionAll(unnamed.join(small(nameless), "print").dropDuplicates(["print"]).select("cls", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,12 +236,14 @@ def reachable(cap: Column, other: Column, n: Column, m: Column, percent: int) ->
 
 
 def prefix_entries(rows: DataFrame, percent: int) -> DataFrame:
-    """shingle, cls, comp, n, cap, p0 ... of the places that count: ``cap`` is how much two sets could share
-    if that were the first shingle they share, p0 ... how many shared shingles fall to each of BUCKETS parts
-    (plain columns: what many pairs are compared by must stay a small method).
+    """shingle, cls, comp, n, extra, cap, p0 ... of the places that count: ``cap`` is how much two sets could
+    share if that were the first shingle they share, p0 ... how many shared shingles fall to each of BUCKETS
+    parts (plain columns: what many pairs are compared by must stay a small method).
 
     Only shingles of at least two components count, rarest first; a place counts while its ``cap`` is
-    enough for the smallest possible partner.
+    enough for the smallest possible partner, and ``extra`` places more.  If two linked sets share k
+    shingles, the i-th of them in this order stands no later than k - i places before the end, so
+    with prefixes longer by e both hold the first e + 1 that they share.
     """
     held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     shared = materialise(held.where("low <> high").select("shingle", "df"), "shared")
@@ -241,12 +253,16 @@ def prefix_entries(rows: DataFrame, percent: int) -> DataFrame:
     in_part = [F.count(F.when(F.pmod(F.col("shingle"), F.lit(BUCKETS)) == i, 1)).cast("int").alias(c) for i, c in enumerate(PARTS)]
     own = met.groupBy("cls", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("own"), F.count(F.lit(1)).alias("common"), *in_part)
     places = F.col("common") - F.ceil(F.col("n") * percent / 100) + 1
-    kept = own.where(places > 0).select("cls", "comp", "n", "common", *PARTS, F.posexplode(F.slice("own", F.lit(1), places.cast("int"))).alias("at", "s"))
-    return kept.select("s.shingle", "cls", "comp", "n", (F.col("common") - F.col("at")).alias("cap"), *PARTS)
+    own = own.withColumn("places", places.cast("int")).where("places > 0")
+    last = F.greatest(F.lit(RARE), F.get("own", F.col("places") - 1)["df"])
+    own = own.withColumn("extra", F.size(F.filter(F.slice("own", F.col("places") + 1, EXTRA), lambda x: x["df"] <= last)))
+    kept = own.select("cls", "comp", "n", "extra", "common", *PARTS, F.posexplode(F.slice("own", F.lit(1), F.col("places") + F.col("extra"))).alias("at", "s"))
+    return kept.select("s.shingle", "cls", "comp", "n", "extra", (F.col("common") - F.col("at")).alias("cap"), *PARTS)
 
 
 def entry_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """a, b, hits (how much they could share): pairs of different components that meet in an entry."""
+    """a, b, hits (how much they could share): pairs of different components that meet in an entry, and
+    in as many more as both their prefixes are longer by."""
     sized = entries.withColumn("size", F.floor(F.log("n") * 50))  # sizes within a fiftieth
     held = sized.groupBy("shingle", "size").agg(F.count(F.lit(1)).alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     held = materialise(held, "lists")
@@ -254,21 +270,25 @@ def entry_pairs(entries: DataFrame, percent: int) -> DataFrame:
     listed = sized.join(small(materialise(held.join(mixed, "shingle").select("shingle", "size", "held"), "mixed")), ["shingle", "size"])
     blocked = listed.withColumn("salt", F.pmod(F.xxhash64("cls"), F.ceil(F.col("held") / PART)))
     block = ["shingle", "size", "salt"]
-    bounds = blocked.groupBy(*block).agg(F.min("n").alias("least"), F.max("cap").alias("most"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    bounds = blocked.groupBy(*block).agg(F.min("n").alias("least"), F.max(F.col("cap") + F.col("extra")).alias("most"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     a, b = (bounds.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in bounds.columns[1:]]) for x in "ab")
     ordered = F.struct("size_a", "salt_a") <= F.struct("size_b", "salt_b")
     apart = ~((F.col("low_a") == F.col("high_b")) & (F.col("low_b") == F.col("high_a")))
     meeting = a.join(b, "shingle").where(ordered & apart & reachable(F.col("most_a"), F.col("most_b"), F.col("least_a"), F.col("least_b"), percent))
     meeting = meeting.select(*["shingle", "size_a", "salt_a", "size_b", "salt_b"])
-    left, right = (blocked.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("size", "salt", "cls", "comp", "n", "cap", *PARTS)]) for x in "ab")
+    left, right = (blocked.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("size", "salt", "cls", "comp", "n", "extra", "cap", *PARTS)]) for x in "ab")
     # few bytes but many comparisons: a number of partitions of its own, which isn't made smaller
     ours = meeting.join(left, ["shingle", "size_a", "salt_a"]).repartition(shuffle_partitions(entries.sparkSession), "shingle", "size_b", "salt_b")
     met = ours.join(right, ["shingle", "size_b", "salt_b"])
     most = reduce(Column.__add__, [F.least(f"{c}_a", f"{c}_b") for c in PARTS])
     sizes = (F.col("n_a") + F.col("n_b")) * percent
-    met = met.where((F.col("comp_a") != F.col("comp_b")) & reachable(F.col("cap_a"), F.col("cap_b"), F.col("n_a"), F.col("n_b"), percent) & (most * (100 + percent) >= sizes))
-    pair = met.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"), most.alias("hits"))
-    return pair.groupBy("a", "b").agg(F.max("hits").alias("hits"))
+    more = F.least("extra_a", "extra_b")
+    once = (F.col("size_a") != F.col("size_b")) | (F.col("salt_a") != F.col("salt_b")) | (F.col("cls_a") < F.col("cls_b"))  # a block with itself
+    within = reachable(F.col("cap_a") + more, F.col("cap_b") + more, F.col("n_a"), F.col("n_b"), percent)
+    met = met.where(once & (F.col("comp_a") != F.col("comp_b")) & within & (most * (100 + percent) >= sizes))
+    pair = met.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"), most.alias("hits"), more.alias("more"))
+    counted = pair.groupBy("a", "b").agg(F.max("hits").alias("hits"), F.max("more").alias("more"), F.count(F.lit(1)).alias("met"))
+    return counted.where(F.col("met") > F.col("more")).select("a", "b", "hits")
 
 
 def closing(posted: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
@@ -327,12 +347,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     s = percent / 100
     agree = agree or max(1, int(COORDS * s - 5.4 * (COORDS * s * (1 - s)) ** 0.5))
     rows = materialise(signatures(docs, doc_id, text, words), "signatures")
-    classes = rows.where("n > 0").groupBy("cls", "n").agg(F.min(F.when(F.col("doc").isNotNull(), F.struct("doc", "print"))).alias("least"), F.first("sig").alias("sig")).withColumn("doc", F.col("least.doc"))
+    classes = rows.where("n > 0").groupBy("cls", "n").agg(F.min(F.when(F.col("doc").isNotNull(), F.struct("doc", "print"))).alias("least"), F.min("print").alias("print"), F.first("sig").alias("sig")).withColumn("doc", F.col("least.doc"))
     classes = materialise(classes, "classes")
     posted = materialise(postings(classes, agree), "postings")
     pairs = materialise(collisions(neighbours(posted, percent), classes, agree), "candidates")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionAll(posted.where(F.col("df") > WINDOW + 1).select("cls")).distinct()
-    chosen = materialise(classes.select("cls", "doc").where("doc is not null").join(asked, "cls", "left_semi"), "chosen")
+    chosen = materialise(classes.select("cls", "doc", "print").join(asked, "cls", "left_semi"), "chosen")
     sets = materialise(full_sets(docs, chosen, doc_id, text, words), "sets")
     comp = settle(pairs, None, sets, percent)
     more = closing(posted, comp, sets, percent)
