@@ -1,18 +1,20 @@
 """Command line: preprocess, merge, concat, gen-data, validate, chunk, embed, search, eval, failed, chunk-study,
-visualize, analyze-passages, analyze-pairs."""
+visualize, analyze-passages, analyze-pairs, crawl, config."""
 
 from __future__ import annotations
 
 import argparse
+import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagework import config
 from passagework.cluster import cut, ship
-from passagework.functions.stats import summary
-from passagework.operators import citations, corpus, encode, evaluation, index, legal, metrics, models, pairs, precedent_pairs, reports, similarity, tokens, units, vectors
+from passagework.operators import analysis, citations, corpus, encode, evaluation, index, legal, metrics, models, pairs, precedent_pairs, reports, similarity, tokens, units, vectors
 from passagework.sources import tables
+from passagework.sources.web import crawl
 
 PASSAGE = "id string, parent_id string, type string, law_id string, law_name string, rule_id string, rule_name string, article string, title string, effective_date string, appendix_no string, appendix_title string, source string, case_number string, court_name string, judgment_date string, headnote string, summary string, text string"
 PAIR = "query_id string, query_text string, positive_passages array<string>, hard_negatives array<string>, meta struct<type: string>"
@@ -132,16 +134,22 @@ def main(args: list[str] | None = None) -> None:
     add("gen-data", ("--folder", need), ("--out", need), ("--hn-per-q", {"type": int, "default": 2}), ("--max-positives-per-prec", {"type": int, "default": 5}), ("--seed", {"type": int, "default": 42}), ("--no-cross", flag), ("--use-admin-for-prec", flag), ("--prec-passages", flag))
     add("concat", ("--inputs", need | {"nargs": "+"}), ("--out", need), ("--gzip", flag))
     add("validate", ("--corpus", need), ("--pairs", need))
-    add("embed", ("--input", need), ("--out", need), ("--type", {"choices": ["passage", "query"], "default": "passage"}), ("--id-field", {"default": "id"}), ("--text-field", {"default": "text"}), ("--dims", {"type": int, "default": 256}), ("--limit", {"type": int}), ("--template", {"default": "bge"}), ("--max-words", {"type": int}), ("--npz", {"default": ""}), ("--model", {"default": ""}), ("--tokenizer", {"default": ""}), ("--normalize", flag), ("--index", {"default": ""}), ("--cells", {"type": int}))
+    add("embed", ("--input", need), ("--out", need), ("--type", {"choices": ["passage", "query"], "default": "passage"}), ("--id-field", {"default": "id"}), ("--text-field", {"default": "text"}), ("--dims", {"type": int, "default": 256}), ("--limit", {"type": int}), ("--template", {"default": "bge"}), ("--max-words", {"type": int}), ("--npz", {"default": ""}), ("--arrays", {"default": ""}), ("--output-format", {"choices": ["npz", "npy", "both"], "default": "npz"}), ("--model", {"default": ""}), ("--tokenizer", {"default": ""}), ("--normalize", flag), ("--index", {"default": ""}), ("--cells", {"type": int}))
     add("chunk", ("--input", need), ("--out", need), ("--tokenizer", {"default": ""}), ("--max-tokens", {"type": int, "default": 384}), ("--overlap", {"type": int, "default": 0}))
     add("search", ("--index", need), ("--queries", need), ("--out", need), ("--model", {"default": "words-256"}), ("--k", {"type": int, "default": 10}), ("--probes", {"type": int}), ("--id-field", {"default": "id"}), ("--text-field", {"default": "question"}), ("--template", {"default": "bge"}))
     add("chunk-study", ("--src", need), ("--pairs", need), ("--out", need), ("--models", {"nargs": "+", "default": ["words-256", "grams-256"]}), ("--k-values", {"default": ""}))
     add("visualize", ("--corpus", need), ("--pairs", need), ("--out", need), ("--model", {"default": "words-256"}))
     add("eval", ("--passages", need), ("--pairs", need), ("--k-values", {"default": ""}), ("--dims", {"type": int, "default": 256}), ("--template", {"default": "bge"}), ("--detailed", flag), ("--report", {"default": ""}), ("--compare-dims", {"nargs": "+", "type": int}), ("--compare-models", {"nargs": "+"}), ("--model", {"default": ""}))
     add("failed", ("--passages", need), ("--pairs", need), ("--k-values", {"default": ""}), ("--dims", {"type": int, "default": 256}))
-    add("analyze-passages", ("--corpus", need), ("--min-text-length", {"type": int, "default": 10}))
-    add("analyze-pairs", ("--pairs", need))
+    add("analyze-passages", ("--corpus", need), ("--min-text-length", {"type": int, "default": 10}), ("--tokenizer", {"default": ""}))
+    add("analyze-pairs", ("--pairs", need), ("--corpus", {"default": ""}), ("--tokenizer", {"default": ""}), ("--samples", {"type": int, "default": 5}))
+    add("crawl", ("--search-url", need), ("--detail-url", need), ("--first", {"type": int, "default": 1}), ("--last", need | {"type": int}), ("--delay", {"type": float, "default": 1.0}), ("--out", need))
+    add("config", ("--file", {"default": ""}), ("--set", {"nargs": "*", "default": []}))
     a = parser.parse_args(args)
+    if a.command == "config":
+        held = json.loads(Path(a.file).read_text(encoding="utf-8")) if a.file else {}
+        print(json.dumps(config.overridden(held, a.set), ensure_ascii=False, indent=2))
+        return
     spark = SparkSession.builder.appName("passagework").getOrCreate()
     ship(spark)
     if a.command == "preprocess":
@@ -192,6 +200,8 @@ def main(args: list[str] | None = None) -> None:
             index.build(spark.read.parquet(a.out).withColumnRenamed("id", "doc_id"), a.index, a.cells)
         if a.npz:
             tables.export_npz(spark.read.parquet(a.out), a.npz)
+        if a.arrays:
+            tables.export_arrays(spark.read.parquet(a.out), a.arrays, a.output_format)
     elif a.command == "eval":
         ks = metrics.parse_ks(a.k_values)
         if a.compare_models:
@@ -209,12 +219,16 @@ def main(args: list[str] | None = None) -> None:
     elif a.command == "analyze-passages":
         docs = read(spark, a.corpus)
         corpus.duplicate_summary(docs, min_len=a.min_text_length).show()
-        summary(docs.select(reports.passage_source(F.col("id"), F.col("type")).alias("source"), F.length("text").alias("v")), ["source"], "v").show()
+        analysis.passage_statistics(docs, tokens.FileTokenizer(a.tokenizer) if a.tokenizer else None).orderBy("measure", "source").show()
         corpus.duplicate_groups(docs, "id", top=20).show()
+    elif a.command == "crawl":
+        tables.write_jsonl(crawl(spark, a.search_url, a.detail_url, a.first, a.last, a.delay), a.out)
     else:
-        p = tables.read_jsonl(spark, a.pairs, PAIR)
-        p.groupBy(reports.query_source(F.col("meta.type")).alias("source")).agg(F.count(F.lit(1)).alias("pairs"), F.avg(F.size("positive_passages")).alias("positives"), F.avg(F.size("hard_negatives")).alias("negatives")).show()
-        summary(p.select(F.length("query_text").alias("v")), [], "v").show()
+        p = cut(tables.read_jsonl(spark, a.pairs, PAIR))
+        held = read(spark, a.corpus).select("id", "text") if a.corpus else spark.createDataFrame([], "id string, text string")
+        analysis.type_summary(p).orderBy(F.desc("pairs"), "type").show()
+        analysis.pair_statistics(p, held, tokens.FileTokenizer(a.tokenizer) if a.tokenizer else None).orderBy("measure").show()
+        analysis.sample_pairs(p, a.samples).show(truncate=60)
 
 
 if __name__ == "__main__":

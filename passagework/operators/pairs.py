@@ -10,6 +10,7 @@ from passagework.functions.order import hash_key, number_rows
 from passagework.operators.chunks import valid_passages
 from passagework.operators.citations import cap
 from passagework.operators.corpus import first_of_text
+from passagework.operators.encode import TemplateMode, template
 from passagework.operators.negatives import tiered
 
 
@@ -170,6 +171,22 @@ def example_rows(pairs: DataFrame, corpus: DataFrame, negatives: int) -> DataFra
     return out.select("query_id", F.col("pid").alias("pos_id"), F.concat(F.array("query_text", "ptext"), F.coalesce("neg", F.array().cast("array<string>"))).alias("texts"))
 
 
+def training_rows(pairs: DataFrame, corpus: DataFrame, negatives: int = 0, normalize: bool = False, mode: TemplateMode = TemplateMode.BGE) -> DataFrame:
+    """``example_rows`` under the template of each side, of normalised texts if ``normalize``; pairs
+    without any positive in the corpus have no row (``without_positive`` counts them)."""
+    said = (lambda c: X.normalize_text(F.col(c))) if normalize else (lambda c: F.coalesce(c, F.lit("")))
+    asked = pairs.withColumn("query_text", template(said("query_text"), "query", mode))
+    held = corpus.select("id", template(said("text"), "passage", mode).alias("text"))
+    return example_rows(asked, held, negatives)
+
+
+def without_positive(pairs: DataFrame, corpus: DataFrame) -> DataFrame:
+    """One row: pairs, and those that name no passage of the corpus as positive."""
+    held = pairs.select("query_id", F.explode("positive_passages").alias("id")).join(corpus.select("id"), "id", "left_semi").select("query_id").distinct()
+    met = pairs.select("query_id").join(held.withColumn("held", F.lit(1)), "query_id", "left")
+    return met.agg(F.count(F.lit(1)).alias("pairs"), F.count(F.when(F.col("held").isNull(), 1)).alias("without_positive"))
+
+
 def multiplied(rows: DataFrame, times: int, key: str, seed: int = 42) -> DataFrame:
     """Each row ``times`` over, in hash order of key and copy."""
     again = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))

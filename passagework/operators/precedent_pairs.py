@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from passagework.cluster import cut
 from passagework.functions import text as X
 from passagework.functions.order import digits_for
-from passagework.operators import citations
+from passagework.operators import citations, legal
 from passagework.operators.negatives import ring, tiered_candidates
 from passagework.operators.pairs import query_precedent
 
@@ -68,6 +68,14 @@ def fallback_negatives(cases: DataFrame, chunks: DataFrame, n: int, seed: int =
     return _take(own.unionByName(other.select("pair", "cand", F.lit(2).alias("tier"), "step")), n)
 
 
+def from_files(files: DataFrame, statutes: DataFrame, rules: DataFrame, n: int = 2, max_positives: int = 5, seed: int = 42, size: int = 1200, overlap: int = 200) -> tuple[DataFrame, DataFrame]:
+    """Pairs (``precedent_pairs``) and all chunks of the precedents among files (file, js)."""
+    fields = cut(legal.precedent_fields(legal.records(files).where("type = 'prec'")))
+    chunks = cut(legal.precedent_passages(fields, size=size, overlap=overlap))
+    held = chunks.select("id", F.substring("parent_id", 6, 100).alias("case_id"), "chunk_no", "title")
+    return precedent_pairs(fields, held, statutes, rules, n, max_positives, seed), chunks
+
+
 def precedent_pairs(fields: DataFrame, chunks: DataFrame, statutes: DataFrame, rules: DataFrame, n: int = 2, max_positives: int = 5, seed: int = 42) -> DataFrame:
     """case_id, outcome, query_text, positive_passages, hard_negatives, meta of each precedent.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.cluster import cut, spread
-from passagework.operators import citations, legal, precedent_pairs, reports, units
+from passagework.operators import analysis, citations, legal, precedent_pairs, reports, units
 from passagework.operators.corpus import article_passages, merge_corpora
 from passagework.operators.pairs import GROUNDS, RULING
 from passagework.sources.tables import table
@@ -267,6 +267,25 @@ def citation_pairs(spark, d):
     return out.select("case_id", "outcome", "query_text", "positive_passages", F.col("meta.type").alias("kind"), "hard_negatives")
 
 
+@query(f"""{_ALL}, {_CITED}, held AS (SELECT DISTINCT law_name, article_num, type FROM target), known AS (SELECT law_name, type, list(article_num ORDER BY article_num)[1:5] AS known FROM held GROUP BY ALL)
+SELECT r.law_name, r.article_num, r.type, count(DISTINCT case_id) AS cases, CASE WHEN any_value(k.known) IS NULL THEN 'law' ELSE 'article' END AS reason, coalesce(any_value(k.known), []) AS known
+FROM refs r LEFT JOIN known k ON r.law_name = k.law_name AND r.type = k.type WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.law_name = r.law_name AND h.article_num = r.article_num AND h.type = r.type) GROUP BY r.law_name, r.article_num, r.type""")
+def failed_citations(spark, d):
+    """What precedents cite and the passages lack, and why."""
+    laws, rules, fields = parts(spark, d, "statutes", "rules", "fields")
+    return analysis.failed_citations(fields.select("case_id", "refs"), *_targets(laws, rules))
+
+
+@query(f"""{_ALL}, {_CITED}, o AS (SELECT c.outcome, count(*) AS cases, count(*) FILTER (WHERE outcome = 'ok' OR (outcome = 'no_matched_passage' AND k.case_id IS NOT NULL)) AS pairs FROM cited c LEFT JOIN chunks k ON c.case_id = k.case_id AND k.chunk_no = 1 GROUP BY c.outcome)
+SELECT outcome, cases, pairs, round(CASE WHEN outcome <> 'ok' THEN cases / (SELECT sum(cases) FROM o WHERE outcome <> 'ok') END, 6) AS share FROM o""")
+def precedent_outcomes(spark, d):
+    """Outcomes of building precedents' pairs, and how the failures divide."""
+    laws, rules, fields, chunks = map(cut, parts(spark, d, "statutes", "rules", "fields", "chunks"))
+    held = chunks.select("id", F.substring("parent_id", 6, 100).alias("case_id"), "chunk_no", "title")
+    counted = analysis.outcome_counts(precedent_pairs.precedent_pairs(fields, held, *_targets(laws, rules)))
+    return counted.withColumn("share", F.round("share", 6))
+
+
 def _said(text: str) -> str:
     return f"regexp_replace({text}, '[^0-9]', '', 'g')"
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from passagework.cluster import cut
 from passagework.functions import text as X
 from passagework.functions.order import hash_key
-from passagework.operators import citations, pairs
+from passagework.operators import analysis, citations, encode, pairs
 from passagework.operators.chunks import valid_passages
 from passagework.operators.corpus import first_of_text
 from passagework.operators.negatives import tiered
@@ -246,6 +246,33 @@ def pair_structure(spark, d):
     return p.select("pair", found.alias("errors"))
 
 
+def _measure_sql(source: str) -> str:
+    """Statistics of ``v`` by ``measure``; quartiles at shares of n + 1."""
+
+    def quant(p: float) -> str:
+        j = f"greatest(1, least(CAST(floor({p} * (n + 1)) AS BIGINT), n - 1))"
+        return f"coalesce(max(v) FILTER (WHERE i = {j}) + (max(v) FILTER (WHERE i = {j} + 1) - max(v) FILTER (WHERE i = {j})) * ({p} * (max(n) + 1) - max({j})), max(v) FILTER (WHERE i = {j}))"
+
+    return f"""{source}, ranked AS (SELECT measure, CAST(v AS DOUBLE) AS v, row_number() OVER (PARTITION BY measure ORDER BY v) AS i, count(*) OVER (PARTITION BY measure) AS n FROM measured)
+SELECT measure, count(*) AS n, min(v) AS min, max(v) AS max, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(coalesce(stddev_samp(v), 0), 6) AS stdev, round({quant(0.25)}, 6) AS p25, round({quant(0.75)}, 6) AS p75 FROM ranked GROUP BY measure"""
+
+
+_TOKENS = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda x: x <> ''))"
+
+
+@query(_measure_sql(f"""WITH {_PAIRS}, measured AS (SELECT 'positives' AS measure, 1 AS v FROM pr UNION ALL SELECT 'negatives', len(hard) FROM pr
+UNION ALL SELECT 'query_tokens', {_TOKENS.format("query_text")} FROM pr WHERE query_text <> '' UNION ALL SELECT 'passage_tokens', {_TOKENS.format("text")} FROM p WHERE text <> '')"""))
+def pair_statistics(spark, d):
+    """What a report on a set of pairs says of sizes and lengths."""
+    found = analysis.pair_statistics(built(spark, d), passages(spark, d))
+    return found.select("measure", "n", "min", "max", *[F.round(c, 6).alias(c) for c in ("mean", "median", "stdev", "p25", "p75")])
+
+
+@query(f"WITH {_PAIRS} SELECT 'doc' AS type, count(*) AS pairs, CAST(1.0 AS DOUBLE) AS share, count(*) AS positives, CAST(sum(len(hard)) AS BIGINT) AS negatives, CAST(1.0 AS DOUBLE) AS mean_positives, round(avg(len(hard)), 6) AS mean_negatives FROM pr")
+def pair_types(spark, d):
+    return analysis.type_summary(built(spark, d)).withColumn("mean_negatives", F.round("mean_negatives", 6))
+
+
 @query("SELECT o_custkey AS query_id, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
 def dup_query_ids(spark, d):
     return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("query_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -271,6 +298,17 @@ def example_rows(spark, d):
     return pairs.example_rows(once, passages(spark, d), N)
 
 
+_SIDES = [f"'{encode.INSTRUCTIONS[side]}' || " for side in ("query", "passage")]
+
+
+@query(f"""WITH {_NUMBERED}, g AS (SELECT f.pair, list({_SIDES[1]}{_QT} ORDER BY k) AS neg FROM (SELECT pair, unnest(hard) AS id, generate_subscripts(hard, 1) AS k FROM f) f JOIN p ON f.id = p.id GROUP BY f.pair)
+SELECT f.pair AS query_id, f.pair AS pos_id, list_concat([{_SIDES[0]}query_text, {_SIDES[1]}{_QT.replace("text", "p.text")}], coalesce(neg, [])) AS texts FROM f JOIN p ON f.pair = p.id LEFT JOIN g ON f.pair = g.pair""")
+def training_rows(spark, d):
+    """Rows for training, texts normalised and under their templates."""
+    once = first_of_text(built(spark, d), "query_text", ["doc_id"]).withColumn("query_id", F.col("pair"))
+    return pairs.training_rows(once, passages(spark, d), N, normalize=True)
+
+
 @query(f"WITH {_POOL}, m AS (SELECT id, unnest(range(1, 4)) AS copy FROM p) SELECT id, copy, md5('{SEED}:' || id || ':' || copy) AS order_key FROM m")
 def example_multiply(spark, d):
     return pairs.multiplied(pool(spark, d).select("id"), 3, "id", SEED).select("id", F.col("copy").cast("long").alias("copy"), "order_key")

@@ -96,6 +96,27 @@ def write_embeddings(df: DataFrame, path: str) -> None:
     df.select("id", "vector").write.mode("overwrite").parquet(path)
 
 
+def export_arrays(df: DataFrame, folder: str, kind: str = "npy", limit: int = MAX_EXPORT) -> int:
+    """Embeddings in order of id as local files, for sets of a bounded size: ``embeddings.npz`` (both
+    arrays), or ``embeddings.npy`` with ``ids.npy``, or all (``both``); always ``ids.txt``, an id a line."""
+    import numpy as np
+
+    if kind not in ("npz", "npy", "both"):
+        raise ValueError("the kind of file is npz, npy or both")
+    target = Path(folder)
+    target.mkdir(parents=True, exist_ok=True)
+    n = export_npz(df, str(target / "embeddings.npz"), limit)
+    with np.load(target / "embeddings.npz", allow_pickle=True) as held:
+        ids, vectors = held["ids"], held["embeddings"]
+    (target / "ids.txt").write_text("".join(f"{i}\n" for i in ids), encoding="utf-8")
+    if kind != "npz":
+        np.save(target / "embeddings.npy", vectors)
+        np.save(target / "ids.npy", ids)
+    if kind == "npy":
+        (target / "embeddings.npz").unlink()
+    return n
+
+
 def export_npz(df: DataFrame, path: str, limit: int = MAX_EXPORT) -> int:
     """ids and embeddings as one local ``.npz``, for sets of a bounded size."""
     import numpy as np
