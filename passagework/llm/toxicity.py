@@ -7,7 +7,8 @@ positive semidefinite as a power of such; that of texts is its sum over all pair
 
 Nystroem: with W the kernel matrix of the landmarks, a word is W^(-1/2) (k(x, z_1), ..., k(x, z_m))
 and a text the sum over its words.  Values of less than LEAST before the power, which is what unrelated
-words reach, count as 0.  A linear SVM with squared hinge loss is trained on these features and the text's
+words reach, count as 0, in the landmarks' matrix as in a word's vector; that kernel needn't be positive
+semidefinite, so of W the part with eigenvalues above 0 is taken, the nearest matrix that is.  A linear SVM with squared hinge loss is trained on these features and the text's
 length; its margin is turned into a probability on rows it hasn't seen.
 
 Landmarks are taken from the words, and parts of words, that occur in LEAST_COUNT toxic labelled documents
@@ -16,9 +17,10 @@ steps: the next is the one of the most weight that those before it explain the l
 from words of 2 to 38 letters; longer runs are scored but give no landmarks.
 
 Words: a mark for the start and then the runs of letters between white space, with a mark for the end after two or three letters
-(else a short landmark would match all words that begin so); other characters within a word are left out, accents
-and case are folded, digits that stand for letters are read as such, and single letters that follow
-each other (``i d i o t``) make one word.  Letters that aren't Latin have codes of their own.  Most words can't reach LEAST for
+(else a short landmark would match all words that begin so); other characters within a word are left out, case
+and the accents of Latin letters are folded, digits that stand for letters are read as such, and single letters that follow
+each other (``i d i o t``) make one word.  Letters that aren't Latin share OTHERS codes, so that some of them
+pass for each other.  Most words can't reach LEAST for
 any landmark, which a bound shows for all words of a batch at once; only the others are compared with the landmarks, so
 nothing is lost by it.  Texts are read CHARS_AT_ONCE characters at a time, cut between words.
 
@@ -66,7 +68,7 @@ def _code(c: int) -> int:
     if not x.isalpha():
         return 0
     base = unicodedata.normalize("NFKD", x).lower()[:1] if c < 0x250 or 0xFF00 <= c < 0xFF60 else ""
-    return ord(base) - 96 if "a" <= base <= "z" else 27 + c % OTHERS
+    return ord(base) - 96 if "a" <= base <= "z" else 27 + ord(x.casefold()[0]) % OTHERS
 
 
 FOLD = np.array([_code(c) for c in range(0x10000)], np.uint8)
@@ -212,7 +214,8 @@ def pieces(text: str) -> list[str]:
 class Model:
     def __init__(self, marks: list[bytes]):
         self.landmarks = Landmarks(marks)
-        gram = np.minimum(self.landmarks.kernel(marks).astype(float), 1) ** POWER
+        gram = np.minimum(self.landmarks.kernel(marks).astype(float), 1)
+        gram = np.where(gram >= LEAST, gram, 0) ** POWER  # as the words' own values are taken
         self.gram = (gram + gram.T) / 2  # equal up to rounding
         values, vectors = np.linalg.eigh(self.gram)
         self.whiten = vectors @ np.diag((np.maximum(values, 0) + RIDGE) ** -0.5) @ vectors.T
