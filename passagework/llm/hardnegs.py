@@ -48,7 +48,7 @@ def integers(rows: DataFrame, vec_id: str, vector: str, label: Column) -> DataFr
     v = F.col(vector).cast("array<double>")
     whole = F.transform(v, lambda x: F.floor(F.lit(float(SCALE)) * x).cast("long"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    kept = rows.select(F.col(vec_id).alias("id"), label.alias("label"), F.when(v.isNotNull() & fine, whole).alias("x")).where("id is not null and label is not null and x is not null")
+    kept = rows.select(F.col(vec_id).cast("long").alias("id"), label.alias("label"), F.when(v.isNotNull() & fine, whole).alias("x")).where("id is not null and label is not null and x is not null")
     return kept.groupBy("id").agg(F.min(F.struct("label", "x")).alias("_r")).select("id", "_r.label", "_r.x")
 
 

@@ -19,22 +19,26 @@ RULES = [
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url: the longest rule that fits, else the trees'."""
     model = urls.fit(urls.labelled_urls(spark))
     judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES, model)
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page and its length, by the wrapper of its host."""
     found = wrappers.main_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back: payload digests, responses and revisits."""
     held = warc.write_and_read(table(spark, sf_dir, "pages"), payload=False)
     return held.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie inside windows of benchmark items, and which items these are."""
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",

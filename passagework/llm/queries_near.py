@@ -13,11 +13,13 @@ WORDS, PERCENT = 4, 80
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of 80 hundredths of four-word shingles; the smallest id is kept."""
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), words=WORDS, percent=PERCENT)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, with their likenesses to each other and to the next text."""
     found = phrases.with_next(table(spark, sf_dir, "documents"), shuffle_partitions(spark))
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 

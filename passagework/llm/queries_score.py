@@ -34,10 +34,12 @@ def _result(scored: DataFrame, folds: int, held: int) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; fold 0 of 5 is held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return _result(quality_scores(docs, table(spark, sf_dir, "labels")).drop("text"), 5, 0)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; fold 2 of 4 is held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return _result(toxicity_scores(docs, table(spark, sf_dir, "labels")).drop("text"), 4, 2)

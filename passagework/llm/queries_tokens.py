@@ -35,6 +35,7 @@ def bpe_round_trip(docs: DataFrame) -> DataFrame:
 
 
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of the ids and of the decoded bytes of every document; null texts are empty."""
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
@@ -44,5 +45,6 @@ END_ID = 2
 
 
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from the shards."""
     held = sstable.write_and_read(table(spark, sf_dir, "documents"), public(TOKENIZER_FILE), END_ID)
     return held.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
