@@ -150,14 +150,11 @@ def search(index: Index, queries: DataFrame, k: int, probes: int | None = None,
         probing = cut(probing)
         met = [r[0] for r in probing.select(F.explode("cells").alias("c")).distinct().collect()]  # as many as there are cells at most
         lists = lists.where(F.col("cell").isin(met)) if len(met) < cells else lists  # other folders aren't read
-    where = F.create_map(*[F.lit(x) for pair in enumerate(begins.tolist()) for x in pair]) if total > cells else None
-    size = F.create_map(*[F.lit(x) for pair in enumerate(pieces.tolist()) for x in pair]) if total > cells else None
-    cell = F.col("cell")
-    part = cell if where is None else (where[cell] + F.pmod(F.xxhash64("d"), size[cell])).cast("int")
-    held = lists.select(part.cast("int").alias("part"), "d", "v")
-    probed = probing.select("q", "v", F.explode("cells").alias("cell"))
-    pieces_of = F.lit(0) if where is None else F.explode(F.sequence(F.lit(0), size[cell].cast("int") - 1))
-    probed = probed.select("q", "v", "cell", pieces_of.alias("piece")).select((cell if where is None else where[cell] + F.col("piece")).cast("int").alias("part"), "q", "v")
+    # the first part of each cell, and how many it has: MOST_CELLS rows of three numbers at most
+    placed = F.broadcast(spark.createDataFrame([(i, int(b), int(n)) for i, (b, n) in enumerate(zip(begins, pieces, strict=True))], "cell int, begin int, pieces int"))
+    held = lists.join(placed, "cell").select((F.col("begin") + F.pmod(F.xxhash64("d"), F.col("pieces"))).cast("int").alias("part"), "d", "v")
+    probed = probing.select("q", "v", F.explode("cells").alias("cell")).join(placed, "cell")
+    probed = probed.select(F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("pieces") - 1)).alias("part"), "q", "v")
 
     def visit(table: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, rows = vectors.id_array(table.column("d")), blocked.matrix(table.column("v"))

@@ -46,7 +46,7 @@ def test_cells_that_no_query_probes_are_not_read(spark, tmp_path, clustered):
 def test_recall_on_the_tables(spark, data, tmp_path):
     q, c = sides(spark, data)
     built = index.build(c, f"file://{tmp_path}/index")
-    found = index.search(built, q, 10, probes=-(-2 * len(built.centroids) // 3), skip_own=True)
+    found = index.search(built, q, 10, probes=-(-3 * len(built.centroids) // 4), skip_own=True)
     assert index.recall(found, vectors.top_k(q, c, 10, skip_own=True), 10).first()["recall"] >= 0.9
 
 
