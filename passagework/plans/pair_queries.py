@@ -14,7 +14,7 @@ from passagework.functions import text as X
 from passagework.functions.order import hash_key
 from passagework.operators import analysis, citations, encode, pairs
 from passagework.operators.chunks import valid_passages
-from passagework.operators.corpus import first_of_text
+from passagework.operators.corpus import first_of_text, first_wins
 from passagework.operators.negatives import tiered
 from passagework.sources.tables import passages, table
 
