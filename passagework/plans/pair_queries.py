@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from passagework.cluster import cut
 from passagework.functions import text as X
-from passagework.functions.order import hash_key
 from passagework.operators import analysis, citations, encode, pairs
 from passagework.operators.chunks import valid_passages
 from passagework.operators.corpus import first_of_text, first_wins

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from passagework.functions import text as X
 from passagework.functions.order import digits_for, hash_key, number_rows, positions
 from passagework.functions.stats import summary
-from passagework.operators import citations, corpus, encode, metrics, vectors
+from passagework.operators import blocked, citations, corpus, encode, metrics, vectors
 from passagework.operators.negatives import tiered, tiered_candidates, with_runs
 from passagework.operators.pairs import batch_plan, split_of
 
@@ -236,7 +236,8 @@ def test_top_k_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, vector array<float>")
     queries = df.where("doc_id < 9").withColumnRenamed("doc_id", "query_id")
     whole = sorted(map(tuple, vectors.top_k(queries, df, 4).collect()))
-    monkeypatch.setattr(vectors, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(blocked, "PART_ROWS", 9)
+    monkeypatch.setattr(vectors, "QUERIES_AT_ONCE", 2)
     assert sorted(map(tuple, vectors.top_k(queries, df, 4).collect())) == whole
     for q, v in rows[:9]:
         best = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), d) for d, w in rows))[:4]
