@@ -7,8 +7,8 @@ positive semidefinite as a power of such; that of texts is its sum over all pair
 
 Nystroem: with W the kernel matrix of the landmarks, a word is W^(-1/2) (k(x, z_1), ..., k(x, z_m))
 and a text the sum over its words.  Values of less than LEAST before the power, which is what unrelated
-words reach, count as 0, in the landmarks' matrix as in a word's vector; that kernel needn't be positive
-semidefinite, so of W the part with eigenvalues above 0 is taken, the nearest matrix that is.  A linear SVM with squared hinge loss is trained on these features and the text's
+words reach, count as 0 in a word's vector; W keeps them, and so stays positive semidefinite. The features
+are thus close to those of the kernel's Nystroem map, not equal to them.  A linear SVM with squared hinge loss is trained on these features and the text's
 length; its margin is turned into a probability on rows it hasn't seen.
 
 Landmarks are taken from the words, and parts of words, that occur in LEAST_COUNT toxic labelled documents
@@ -214,8 +214,7 @@ def pieces(text: str) -> list[str]:
 class Model:
     def __init__(self, marks: list[bytes]):
         self.landmarks = Landmarks(marks)
-        gram = np.minimum(self.landmarks.kernel(marks).astype(float), 1)
-        gram = np.where(gram >= LEAST, gram, 0) ** POWER  # as the words' own values are taken
+        gram = np.minimum(self.landmarks.kernel(marks).astype(float), 1) ** POWER
         self.gram = (gram + gram.T) / 2  # equal up to rounding
         values, vectors = np.linalg.eigh(self.gram)
         self.whiten = vectors @ np.diag((np.maximum(values, 0) + RIDGE) ** -0.5) @ vectors.T

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import random
 
-import numpy as np
 import pytest
 
 from passagework.llm import labelled, neardup
@@ -91,17 +90,3 @@ def test_case_is_folded_in_every_script():
     for upper, lower in (("ИДИОТ", "идиот"), ("ΗΛΙΘΙΟΣ", "ηλιθιος"), ("ԱԲԳ", "աբգ"), ("ÄRGER", "arger")):
         assert toxicity.tokens([upper])[0].tolist() == toxicity.tokens([lower])[0].tolist()
     assert toxicity.tokens(["идиот"])[0].tolist() != toxicity.tokens(["дидот"])[0].tolist()
-
-
-def test_one_kernel_on_both_sides():
-    from passagework.llm import toxicity
-
-    texts = ["idiot", "moron", "idiotic"]
-    marks = []
-    for text in texts:
-        letters, begin, _ = toxicity.tokens([text])
-        marks.append(letters.tobytes()[begin[0] :])
-    model = toxicity.Model(marks)
-    bags = model.bags(texts)[:, :-1]  # one word a text: the kernel with each landmark
-    assert bags == pytest.approx(model.gram, abs=1e-5)
-    assert np.linalg.eigvalsh(model.whiten).min() > 0
