@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from passagework import catalog
 from passagework.operators import stopping, vectors
 
 
@@ -74,3 +77,21 @@ def test_masked_pooling(spark):
     df = spark.createDataFrame(rows, "i int, t array<array<double>>, m array<int>")
     found = {r["i"]: (r["mean"], r["first"]) for r in df.select("i", vectors.masked_mean(F.col("t"), F.col("m")).alias("mean"), vectors.first_token(F.col("t")).alias("first")).collect()}
     assert found == {1: ([2.0, 4.0], [1.0, 2.0]), 2: ([0.0, 0.0], [1.0, 2.0]), 3: (None, None), 4: (None, None), 5: ([1.0, 1.0], [1.0, 1.0]), 6: ([4.0, 0.0], [2.0, 2.0])}
+
+
+def _said(spark, name, folder, table):
+    """Rows of a query and of its SQL over one table, as text (so that signs of 0 show)."""
+    ours = catalog.QUERIES[name](spark, str(folder))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    theirs = con.execute(f"SELECT {', '.join(ours.columns)} FROM ({catalog.ORACLES[name]})").fetchall()
+    return sorted(str(tuple(r)) for r in ours.collect()), sorted(map(str, theirs))
+
+
+def test_steps_are_of_the_nearest_second(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1, 5, 59, 59, 499_999)
+    rows = [(at + datetime.timedelta(microseconds=k), k, "view", 1.0 + k) for k in (0, 1, 2, 499_999, 500_000)]
+    spark.createDataFrame(rows, "ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    ours, theirs = _said(spark, "early_stops", tmp_path, "events")
+    assert ours == theirs
+    assert len({r["best_step"] for r in catalog.QUERIES["early_stops"](spark, str(tmp_path)).collect()}) == 2
