@@ -95,3 +95,10 @@ def test_steps_are_of_the_nearest_second(spark, tmp_path):
     ours, theirs = _said(spark, "early_stops", tmp_path, "events")
     assert ours == theirs
     assert len({r["best_step"] for r in catalog.QUERIES["early_stops"](spark, str(tmp_path)).collect()}) == 2
+
+
+def test_pooled_zeros_keep_their_sign(spark, tmp_path):
+    rows = [(i, [-1e-7 if d % 3 else 0.25 for d in range(64)], 1) for i in (1, 2, 9)] + [(3, [0.0078125, -0.0078125, -0.0, 0.0] * 16, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    ours, theirs = _said(spark, "masked_pool", tmp_path, "embeddings")
+    assert ours == theirs and "-0.0" in ours[0]
