@@ -16,6 +16,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def listed(v: Column, path: str = "$") -> Column:
+    """The members of the list at ``path``, null for anything else."""
+    return F.try_variant_get(v, path, "array<variant>")
+
+
 def kind(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
@@ -44,12 +49,18 @@ def string(v: Column) -> Column:
 def members(v: Column) -> Column:
     """A list's members; a single value is a list of one, null an empty one."""
     none = F.array().cast("array<variant>")
-    return let(v, lambda x: F.when(kind(x) == "VOID", none).when(is_array(x), F.coalesce(F.try_variant_get(x, "$", "array<variant>"), none)).otherwise(F.array(x)))
+    return let(v, lambda x: F.coalesce(listed(x), F.when(kind(x) == "VOID", none).otherwise(F.array(x))))
+
+
+def members_at(v: Column, key: str) -> Column:
+    """``members(at(v, key))``; a list, which each step would copy whole, is taken out at once."""
+    return F.coalesce(listed(v, f"$['{key}']"), members(at(v, key)))
 
 
 def truthy(v: Column) -> Column:
     def of(k: Column) -> Column:
-        return ~(k.isin("VOID", "OBJECT<>", "ARRAY<VOID>") | (k.isin("STRING", "BIGINT", "BOOLEAN") & F.concat_ws(":", k, string(v)).isin("STRING:", "BIGINT:0", "BOOLEAN:false")))
+        scalar = F.when(k == "STRING", string(v) != "").when(k == "BIGINT", string(v) != "0").when(k == "BOOLEAN", string(v) != "false")
+        return scalar.otherwise(~k.isin("VOID", "OBJECT<>", "ARRAY<VOID>"))
 
     return let(kind(v), of)
 
@@ -59,6 +70,12 @@ def pick(v: Column, *keys: str) -> Column:
     return let(v, lambda x: F.coalesce(*[let(at(x, k), lambda y: F.when(truthy(y), y)) for k in keys], F.lit(None).cast("variant")))
 
 
+def members_picked(v: Column, *keys: str) -> Column:
+    """``members(pick(v, *keys))``, as ``members_at`` where the first key has a list."""
+    first = let(listed(v, f"$['{keys[0]}']"), lambda x: F.when(F.exists(x, lambda y: ~F.is_variant_null(y)), x))
+    return F.coalesce(first, members(pick(v, *keys)))
+
+
 def text_at(v: Column, *keys: str) -> Column:
     """``pick`` as text, '' if there is none."""
     return F.coalesce(string(pick(v, *keys)), F.lit(""))
@@ -73,9 +90,8 @@ def coerce_text(v: Column) -> Column:
     TEXT_KEYS that is a string, else all of its strings; otherwise ''."""
 
     def of(x: Column) -> Column:
-        named = [let(at(x, k), lambda y: F.when(is_string(y), string(y))) for k in TEXT_KEYS]
+        first = [let(at(x, k), lambda y: F.when(is_string(y), string(y))) for k in TEXT_KEYS]
         every = _strings(F.map_values(F.try_variant_get(x, "$", "map<string,variant>")))
-        listed = _strings(F.try_variant_get(x, "$", "array<variant>"))
-        return F.coalesce(F.when(is_string(x), string(x)).when(is_array(x), listed).when(is_object(x), F.coalesce(*named, every)), F.lit(""))
+        return F.coalesce(F.when(is_string(x), string(x)).when(is_array(x), _strings(listed(x))).when(is_object(x), F.coalesce(*first, every)), F.lit(""))
 
     return let(v, of)

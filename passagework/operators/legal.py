@@ -74,36 +74,50 @@ def statutes(laws: DataFrame, include_items: bool = False, anchored: bool = Fals
         "file", "rec_no",
         X.zfill(F.when(wrapped, V.text_at(info, "법령ID")).otherwise(V.text_at(js, "법령ID", "law_id")), 6).alias("law_id"),
         F.when(wrapped, V.text_at(info, "법령명_한글", "법령명")).otherwise(V.text_at(js, "법령명", "law_name")).alias("law_name"),
-        F.posexplode(V.members(F.when(wrapped, V.pick(V.at(law, "조문"), "조문단위")).otherwise(V.pick(js, "조문", "articles")))).alias("a_pos", "a"),
+        F.posexplode(F.when(wrapped, V.members(V.pick(V.at(law, "조문"), "조문단위"))).otherwise(V.members_picked(js, "조문", "articles"))).alias("a_pos", "a"),
     )
     a = F.col("a")
+
+    def item(i: Column, k: Column) -> Column:
+        return V.let(V.is_object(i), lambda own: _item(i, k, own))
+
+    def _item(i: Column, k: Column, own: Column) -> Column:
+        no = F.coalesce(F.when(own, V.string(V.pick(i, "호번호", "item_no"))), (k + 1).cast("string"))
+        said = V.coerce_text(F.when(own, F.coalesce(V.pick(i, "호내용", "item_text"), i)).otherwise(i))
+        return F.struct(X.py_strip(no).alias("no"), said.alias("text"))
+
+    def paragraph(p: Column, j: Column) -> Column:
+        return V.let(V.is_object(p), lambda own: _paragraph(p, j, own))
+
+    def _paragraph(p: Column, j: Column, own: Column) -> Column:
+        place = (j + 1).cast("string")
+        no = F.when(own, X.py_strip(F.coalesce(V.string(V.pick(p, "항번호", "paragraph_no")), place))).otherwise(place)
+        said = V.coerce_text(F.when(own, F.coalesce(V.pick(p, "항내용", "paragraph_text"), p)).otherwise(p))
+        inner = F.when(own, V.members_at(p, "호")).otherwise(F.array().cast("array<variant>"))
+        return F.struct(no.alias("no"), said.alias("text"), F.transform(inner, item).alias("items"))
+
+    # an article is one row throughout: its paragraphs and items stay in it as arrays
+    keys = ["file", "rec_no", "a_pos", "law_id", "law_name"]
     articles = heads.where(V.is_object(a)).select(
-        "file", "rec_no", "a_pos", "law_id", "law_name",
+        *keys,
         X.py_strip(V.text_at(a, "조문번호", "article_no")).alias("number"),
         V.text_at(a, "조문시행일자", "effective_date").alias("effective_date"),
         V.coerce_text(V.pick(a, "조문내용", "article_text")).alias("body"),
-        F.posexplode_outer(V.members(V.at(a, "항"))).alias("p_pos", "p"),
+        F.transform(V.members_at(a, "항"), paragraph).alias("raw"),
     ).where("number <> ''")
-    p = F.col("p")
-    own = V.is_object(p)
-    paragraphs = articles.select(
-        "*",
-        F.when(own, X.py_strip(F.coalesce(V.string(V.pick(p, "항번호", "paragraph_no")), (F.col("p_pos") + 1).cast("string")))).otherwise((F.col("p_pos") + 1).cast("string")).alias("p_no"),
-        V.coerce_text(F.when(own, F.coalesce(V.pick(p, "항내용", "paragraph_text"), p)).otherwise(p)).alias("p_text"),
-        F.posexplode_outer(V.members(F.when(own, V.at(p, "호")))).alias("i_pos", "i"),
+    # its texts as groups: the body alone, then each paragraph's text before those of its items
+    said = F.concat(F.array(F.array("body")), F.transform("raw", lambda p: F.concat(F.array(p["text"]), F.transform(p["items"], lambda i: i["text"]))))
+    texts = articles.withColumn("said", said).withColumn("said", X.normalize_groups(F.col("said")))
+
+    def items_of(p: Column, j: Column) -> Column:
+        made = F.transform(p["items"], lambda i, k: F.struct(k.alias("i_pos"), i["no"].alias("i_no"), F.get(F.get("said", j + 1), k + 1).alias("i_text")))
+        return F.filter(made, lambda x: x["i_text"] != "")
+
+    paras = F.transform("raw", lambda p, j: F.struct(j.alias("p_pos"), p["no"].alias("p_no"), F.get(F.get("said", j + 1), F.lit(0)).alias("p_text"), items_of(p, j).alias("items")))
+    by_article = texts.select(
+        *keys, "effective_date", article_label(F.col("number")).alias("article"), F.get(F.get("said", F.lit(0)), F.lit(0)).alias("body"),
+        F.filter(paras, lambda x: x["p_text"] != "").alias("paras"),
     )
-    i = F.col("i")
-    own_item = V.is_object(i)
-    item_no = F.coalesce(F.when(own_item, V.string(V.pick(i, "호번호", "item_no"))), (F.col("i_pos") + 1).cast("string"))
-    item_text = V.coerce_text(F.when(own_item, F.coalesce(V.pick(i, "호내용", "item_text"), i)).otherwise(i))
-    flat = paragraphs.select("file", "rec_no", "a_pos", "law_id", "law_name", "number", "effective_date", "body", "p_pos", "p_no", "p_text", "i_pos", X.py_strip(item_no).alias("i_no"), item_text.alias("i_text"))
-    for c in ("body", "p_text", "i_text"):
-        flat = flat.withColumn(c, X.normalize_whitespace(F.col(c)))
-    keys = ["file", "rec_no", "a_pos", "law_id", "law_name", "number", "effective_date", "body"]
-    items = F.filter(F.sort_array(F.collect_list(F.struct("i_pos", "i_no", "i_text"))), lambda x: x["i_pos"].isNotNull() & (x["i_text"] != ""))
-    by_para = flat.groupBy(*keys, "p_pos", "p_no", "p_text").agg(items.alias("items"))
-    paras = F.filter(F.sort_array(F.collect_list(F.struct("p_pos", "p_no", "p_text", "items"))), lambda x: x["p_pos"].isNotNull() & (x["p_text"] != ""))
-    by_article = by_para.groupBy(*keys).agg(paras.alias("paras")).withColumn("article", article_label(F.col("number")))
     article_id = F.concat(F.lit("LAW_"), F.col("law_id"), F.lit("_"), F.col("article"))
 
     def row(ident: Column, parent: Column, text: Column, para: Column, item: Column) -> Column:
@@ -143,7 +157,7 @@ def flatten_blocks(texts: pd.Series) -> pd.Series:
 
 
 def lines_of(v: Column, raw: Column) -> Column:
-    """A string's lines, or the strings of nested lists; ``raw``, ``v`` as JSON, is a plain column."""
+    """A string's lines, or the strings of nested lists; ``raw``, ``v`` as JSON (null for a string), is a plain column."""
     return F.when(V.is_string(v), F.split(V.string(v), LINE_END)).otherwise(F.coalesce(flatten_blocks(raw), F.array().cast("array<string>")))
 
 
@@ -162,7 +176,7 @@ def rule_passages(rules: DataFrame, number_appendices: bool = False) -> DataFram
     )
     named = ["file", "rec_no", "rule_id", "rule_name", "effective_date"]
     # what the Python function reads goes through an explode, so that it is a plain column
-    whole = heads.select(*named, F.explode(F.array(F.struct("clauses", F.to_json("clauses").alias("raw")))).alias("c"))
+    whole = heads.select(*named, F.explode(F.array(F.struct("clauses", F.when(~V.is_string(F.col("clauses")), F.to_json("clauses")).alias("raw")))).alias("c"))
     lines = whole.withColumn("lines", lines_of(F.col("c.clauses"), F.col("c.raw"))).withColumn("lines", F.transform("lines", X.py_strip))
     starts = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(HEADER), i)), lambda i: i.isNotNull())
     cut = lines.withColumn("starts", starts).select(*named, "lines", "starts", F.posexplode("starts").alias("k", "start"))
