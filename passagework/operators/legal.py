@@ -64,20 +64,49 @@ def article_label(number: Column) -> Column:
     return F.when(whole, n).when(n != "", F.concat(F.lit("제"), n, F.lit("조"))).otherwise("")
 
 
-def statutes(laws: DataFrame, include_items: bool = False, anchored: bool = False) -> DataFrame:
-    """Passages of statutes (file, rec_no, js): articles without paragraphs, else paragraphs with
-    their items (or, with ``include_items``, the items alone)."""
-    js = F.col("js")
-    law, info = V.at(js, "법령"), V.at(V.at(js, "법령"), "기본정보")
-    wrapped = law.isNotNull()
-    heads = laws.select(
-        "file", "rec_no",
-        X.zfill(F.when(wrapped, V.text_at(info, "법령ID")).otherwise(V.text_at(js, "법령ID", "law_id")), 6).alias("law_id"),
-        F.when(wrapped, V.text_at(info, "법령명_한글", "법령명")).otherwise(V.text_at(js, "법령명", "law_name")).alias("law_name"),
-        F.posexplode(F.when(wrapped, V.members(V.pick(V.at(law, "조문"), "조문단위"))).otherwise(V.members_picked(js, "조문", "articles"))).alias("a_pos", "a"),
-    )
-    a = F.col("a")
+def _objects(**fields: str) -> str:
+    """A pattern of ``schema_of_variant`` of a list of objects of these fields, any of which may lack."""
+    return "ARRAY<OBJECT<" + "".join(f"(`?{name}`?: {kind}(, |(?=>)))?" for name, kind in sorted(fields.items())) + ">>"
+
+
+_ITEMS = {"호번호": "STRING", "호내용": "STRING"}
+_PARAGRAPHS = {"항번호": "STRING", "항내용": "STRING", "호": _objects(**_ITEMS)}
+#: The articles of a regular statute: lists of objects of strings alone, and what they are read as.
+REGULAR = "^" + _objects(**{"조문번호": "STRING", "조문내용": "STRING", "조문시행일자": "STRING", "항": _objects(**_PARAGRAPHS)}) + "$"
+REGULAR_TYPE = "array<struct<`조문번호`:string,`조문내용`:string,`조문시행일자`:string,`항`:array<struct<`항번호`:string,`항내용`:string,`호`:array<struct<`호번호`:string,`호내용`:string>>>>>>"
+
+
+def _articles(js: Column, law: Column, wrapped: Column) -> Column:
+    """The articles of a statute as structs of number, effective_date, body and raw, its paragraphs (no,
+    text, items); null for what is no object.  Those of a regular statute are read by one cast of the
+    whole list, all others member by member."""
+    held = F.when(wrapped, V.at(V.at(law, "조문"), "조문단위")).otherwise(V.at(js, "조문"))
+    regular = V.let(held, lambda x: F.when(V.kind(x).rlike(REGULAR), F.try_variant_get(x, "$", REGULAR_TYPE)))
+    every = F.when(wrapped, V.members(V.pick(V.at(law, "조문"), "조문단위"))).otherwise(V.members_picked(js, "조문", "articles"))
+    return V.let(regular, lambda x: F.coalesce(F.transform(x, _regular_article), F.transform(F.when(x.isNull(), every), lambda a: F.when(V.is_object(a), _article(a)))))
+
+
+def _filled(no: Column, place: Column) -> Column:
+    return X.py_strip(F.coalesce(F.nullif(no, F.lit("")), (place + 1).cast("string")))
+
+
+def _regular_article(a: Column) -> Column:
+    """As ``_article``; a text that lacks is its number, the only other string."""
 
+    def item(i: Column, k: Column) -> Column:
+        return F.struct(_filled(i["호번호"], k).alias("no"), F.coalesce(i["호내용"], i["호번호"], F.lit("")).alias("text"))
+
+    def paragraph(p: Column, j: Column) -> Column:
+        inner = F.coalesce(F.transform(p["호"], item), F.array().cast("array<struct<no:string,text:string>>"))
+        return F.struct(_filled(p["항번호"], j).alias("no"), F.coalesce(p["항내용"], p["항번호"], F.lit("")).alias("text"), inner.alias("items"))
+
+    raw = F.coalesce(F.transform(a["항"], paragraph), F.array().cast("array<struct<no:string,text:string,items:array<struct<no:string,text:string>>>>"))
+    said = lambda c: F.coalesce(c, F.lit(""))
+    made = F.struct(X.py_strip(said(a["조문번호"])).alias("number"), said(a["조문시행일자"]).alias("effective_date"), said(a["조문내용"]).alias("body"), raw.alias("raw"))
+    return F.when(a.isNotNull(), made)
+
+
+def _article(a: Column) -> Column:
     def item(i: Column, k: Column) -> Column:
         return V.let(V.is_object(i), lambda own: _item(i, k, own))
 
@@ -96,15 +125,29 @@ def statutes(laws: DataFrame, include_items: bool = False, anchored: bool = Fals
         inner = F.when(own, V.members_at(p, "호")).otherwise(F.array().cast("array<variant>"))
         return F.struct(no.alias("no"), said.alias("text"), F.transform(inner, item).alias("items"))
 
-    # an article is one row throughout: its paragraphs and items stay in it as arrays
-    keys = ["file", "rec_no", "a_pos", "law_id", "law_name"]
-    articles = heads.where(V.is_object(a)).select(
-        *keys,
+    return F.struct(
         X.py_strip(V.text_at(a, "조문번호", "article_no")).alias("number"),
         V.text_at(a, "조문시행일자", "effective_date").alias("effective_date"),
         V.coerce_text(V.pick(a, "조문내용", "article_text")).alias("body"),
         F.transform(V.members_at(a, "항"), paragraph).alias("raw"),
-    ).where("number <> ''")
+    )
+
+
+def statutes(laws: DataFrame, include_items: bool = False, anchored: bool = False) -> DataFrame:
+    """Passages of statutes (file, rec_no, js): articles without paragraphs, else paragraphs with
+    their items (or, with ``include_items``, the items alone)."""
+    js = F.col("js")
+    law, info = V.at(js, "법령"), V.at(V.at(js, "법령"), "기본정보")
+    wrapped = law.isNotNull()
+    heads = laws.select(
+        "file", "rec_no",
+        X.zfill(F.when(wrapped, V.text_at(info, "법령ID")).otherwise(V.text_at(js, "법령ID", "law_id")), 6).alias("law_id"),
+        F.when(wrapped, V.text_at(info, "법령명_한글", "법령명")).otherwise(V.text_at(js, "법령명", "law_name")).alias("law_name"),
+        F.posexplode(_articles(js, law, wrapped)).alias("a_pos", "a"),
+    )
+    # an article is one row throughout: its paragraphs and items stay in it as arrays
+    keys = ["file", "rec_no", "a_pos", "law_id", "law_name"]
+    articles = heads.select(*keys, "a.number", "a.effective_date", "a.body", "a.raw").where("number <> ''")
     # its texts as groups: the body alone, then each paragraph's text before those of its items
     said = F.concat(F.array(F.array("body")), F.transform("raw", lambda p: F.concat(F.array(p["text"]), F.transform(p["items"], lambda i: i["text"]))))
     texts = articles.withColumn("said", said).withColumn("said", X.normalize_groups(F.col("said")))
