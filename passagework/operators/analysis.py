@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passagework.cluster import cut
 from passagework.functions import text as X
 from passagework.functions.stats import summary
 from passagework.operators import citations, corpus, reports, tokens
@@ -41,11 +41,13 @@ def _kind() -> Column:
 def pair_statistics(pairs: DataFrame, passages: DataFrame, tokenizer: tokens.Tokenizer | None = None) -> DataFrame:
     """measure, n, min, max, mean, median, stdev, p25, p75: of positives and negatives a pair, tokens of the
     queries, and tokens of the distinct positives that the corpus holds.  Empty texts don't count."""
-    sizes = [pairs.select(F.lit(m).alias("measure"), _size(c).alias("v")) for m, c in (("positives", "positive_passages"), ("negatives", "hard_negatives"))]
-    asked = pairs.where(F.col("query_text") != "").select(F.lit("query_tokens").alias("measure"), count(F.col("query_text"), tokenizer).alias("v"))
-    named = pairs.select(F.explode("positive_passages").alias("id")).distinct()
-    held = named.join(passages.select("id", "text"), "id").where(F.col("text") != "").select(F.lit("passage_tokens").alias("measure"), count(F.col("text"), tokenizer).alias("v"))
-    return summary(reduce(DataFrame.unionAll, [*sizes, asked, held]), ["measure"], "v")
+    asked = F.when(F.col("query_text") != "", count(F.col("query_text"), tokenizer))
+    own = cut(pairs.select(_size("positive_passages").alias("positives"), _size("hard_negatives").alias("negatives"), asked.alias("query_tokens"), "positive_passages"))  # pairs are built once
+    sizes = own.select(F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in ("positives", "negatives", "query_tokens")])))
+    named = own.select(F.explode("positive_passages").alias("id")).distinct()
+    # texts are counted where they lie, not shuffled
+    held = named.join(passages.where(F.col("text") != "").select("id", count(F.col("text"), tokenizer).alias("v")), "id").select(F.lit("passage_tokens").alias("measure"), "v")
+    return summary(cut(sizes.unionAll(held)), ["measure"], "v")
 
 
 def type_summary(pairs: DataFrame) -> DataFrame:
