@@ -162,13 +162,23 @@ def missing_ids(pairs: DataFrame, corpus: DataFrame, column: str = "positive_pas
 
 def example_rows(pairs: DataFrame, corpus: DataFrame, negatives: int) -> DataFrame:
     """query_id, pos_id and texts: the query, a positive, then negatives in order (those that the
-    corpus holds).  One row a positive; a pair without any positive in the corpus has none."""
-    texts = corpus.select(F.col("id").alias("pid"), F.col("text").alias("ptext"))
-    positive = pairs.select("query_id", "query_text", F.posexplode("positive_passages").alias("p_pos", "pid")).join(texts, "pid")
-    negative = pairs.select("query_id", F.posexplode(F.slice("hard_negatives", 1, negatives)).alias("n_pos", "pid")).join(texts, "pid")
-    lists = negative.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n_pos", "ptext"))), lambda x: x["ptext"]).alias("neg"))
-    out = positive.join(lists, "query_id", "left")
-    return out.select("query_id", F.col("pid").alias("pos_id"), F.concat(F.array("query_text", "ptext"), F.coalesce("neg", F.array().cast("array<string>"))).alias("texts"))
+    corpus holds).  One row a positive; a pair without any positive in the corpus has none.
+
+    Positives and negatives meet the corpus in one join, so that it is shuffled once; what a pair was
+    given comes together in one more shuffle, with its query.
+    """
+    own = pairs.withColumn("_k", F.xxhash64("query_id", "query_text", "positive_passages"))  # should ids repeat
+    named = lambda c, kind: F.transform(c, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), x.alias("pid")))
+    none = F.array().cast("array<struct<kind:int,pos:int,pid:string>>")
+    both = F.concat(F.coalesce(named(F.col("positive_passages"), 0), none), F.coalesce(named(F.slice("hard_negatives", 1, negatives), 1), none))
+    asked = own.select("query_id", "_k", F.inline(both))
+    met = asked.join(corpus.select(F.col("id").alias("pid"), F.col("text").alias("ptext")), "pid").select("query_id", "_k", "kind", "pos", "pid", "ptext")
+    said = own.select("query_id", "_k", F.lit(-1).alias("kind"), F.lit(0).alias("pos"), F.lit(None).cast("string").alias("pid"), F.col("query_text").alias("ptext"))
+    held = met.unionByName(said).groupBy("query_id", "_k").agg(F.sort_array(F.collect_list(F.struct("kind", "pos", "pid", "ptext"))).alias("l"))
+    of = lambda kind: F.filter("l", lambda x: x["kind"] == kind)
+    texts = lambda rows: F.transform(rows, lambda x: x["ptext"])
+    out = held.select("query_id", texts(F.slice(of(-1), 1, 1)).alias("q"), F.explode(of(0)).alias("p"), texts(of(1)).alias("neg"))
+    return out.select("query_id", F.col("p.pid").alias("pos_id"), F.concat("q", F.array("p.ptext"), "neg").alias("texts"))
 
 
 def training_rows(pairs: DataFrame, corpus: DataFrame, negatives: int = 0, normalize: bool = False, mode: TemplateMode = TemplateMode.BGE) -> DataFrame:
