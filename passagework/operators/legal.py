@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from passagework.functions import text as X
 from passagework.functions import variant as V
@@ -21,6 +17,8 @@ JUDGMENTS = ("판결", "판결 : 확정", "결정")
 DELETED = "삭제"
 HEADER = r"^제\s*(\d+)\s*조(?:\(([^)]*)\))?"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+#: A string of JSON text and, if it is a key, its colon; the loop is possessive and doesn't recurse.
+JSON_STRING = r'"(?:[^"\\]++|\\.)*+"\s*+:?'
 
 
 def _has(v: Column, keys: tuple[str, ...]) -> Column:
@@ -185,23 +183,18 @@ def statutes(laws: DataFrame, include_items: bool = False, anchored: bool = Fals
     return out.select("r.id", "r.parent_id", F.lit("법령").alias("type"), "law_id", "law_name", "article", "effective_date", "r.text", "file", "rec_no", "a_pos", "r.p_pos", "r.i_pos")
 
 
-def _flatten(x: object) -> list[str]:
-    if isinstance(x, str):
-        return [x.strip()] if x.strip() else []
-    if isinstance(x, dict):
-        x = list(x.values())
-    return [y for e in x for y in _flatten(e)] if isinstance(x, list) else []
-
+def flatten_blocks(texts: Column) -> Column:
+    """Strings of nested JSON of any depth, in order and stripped, empty ones dropped; none of a null.
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def flatten_blocks(texts: pd.Series) -> pd.Series:
-    """Strings of nested JSON, in order; nesting of any depth has no SQL form."""
-    return texts.map(lambda x: [] if x is None else _flatten(json.loads(x)))
+    Those of the text that no colon follows; they are read as one flat list."""
+    held = F.filter(F.regexp_extract_all(texts, F.lit(JSON_STRING), 0), lambda x: ~F.endswith(x, F.lit(":")))
+    said = F.from_json(F.concat(F.lit("["), F.array_join(held, ","), F.lit("]")), "array<string>")
+    return F.coalesce(F.filter(F.transform(said, X.py_strip), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def lines_of(v: Column, raw: Column) -> Column:
-    """A string's lines, or the strings of nested lists; ``raw``, ``v`` as JSON (null for a string), is a plain column."""
-    return F.when(V.is_string(v), F.split(V.string(v), LINE_END)).otherwise(F.coalesce(flatten_blocks(raw), F.array().cast("array<string>")))
+    """A string's lines, or the strings of nested lists; ``raw`` is ``v`` as JSON (null for a string)."""
+    return F.when(V.is_string(v), F.split(V.string(v), LINE_END)).otherwise(flatten_blocks(raw))
 
 
 def rule_passages(rules: DataFrame, number_appendices: bool = False) -> DataFrame:
@@ -218,7 +211,7 @@ def rule_passages(rules: DataFrame, number_appendices: bool = False) -> DataFram
         V.text_at(info, "시행일자", "발령일자", "제정일자").alias("effective_date"), V.pick(service, "조문내용").alias("clauses"), V.at(service, "별표").alias("appx"),
     )
     named = ["file", "rec_no", "rule_id", "rule_name", "effective_date"]
-    # what the Python function reads goes through an explode, so that it is a plain column
+    # the clauses go through an explode, so that filters below don't take them out of the variant again
     whole = heads.select(*named, F.explode(F.array(F.struct("clauses", F.when(~V.is_string(F.col("clauses")), F.to_json("clauses")).alias("raw")))).alias("c"))
     lines = whole.withColumn("lines", lines_of(F.col("c.clauses"), F.col("c.raw"))).withColumn("lines", F.transform("lines", X.py_strip))
     starts = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(HEADER), i)), lambda i: i.isNotNull())
@@ -233,7 +226,7 @@ def rule_passages(rules: DataFrame, number_appendices: bool = False) -> DataFram
     articles = articles.select(article_id.alias("id"), article_id.alias("parent_id"), F.lit("행정규칙").alias("type"), "*")
     x, u = F.col("x"), F.col("w.u")
     each = heads.select(*named, F.posexplode(V.members(F.col("appx"))).alias("x_pos", "x")).where(V.is_object(x))
-    # the content goes through the explode as text, so that the Python function reads a plain column
+    # the content goes through the explode as text, so that filters below don't write it again
     held = F.transform(V.members(F.coalesce(V.at(x, "별표단위"), x)), lambda y: F.struct(y.alias("u"), F.to_json(V.pick(y, "별표내용", "내용")).alias("raw")))
     units = each.select(*named, "x_pos", F.posexplode(held).alias("u_pos", "w")).where(V.is_object(u))
     parts = units.select(*named, "x_pos", "u_pos", V.text_at(u, "별표제목", "제목").alias("appendix_title"), V.text_at(u, "별표번호", "번호").alias("appendix_no"), V.text_at(u, "별표가지번호", "가지번호").alias("branch"), X.join_lines(flatten_blocks(F.col("w.raw"))).alias("text"))
